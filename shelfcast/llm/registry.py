@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from shelfcast.llm import quality_rules
+from shelfcast.llm import decontamination, near_dedup, quality_rules, sharding
 
 QUERIES = {
+    "op2_rendezvous_shards": sharding.op2_rendezvous_shards,
     "op3_quality_ledger": quality_rules.op3_quality_ledger,
+    "op6_positional_index": decontamination.op6_positional_index,
+    "op9_dart_minhash": near_dedup.op9_dart_minhash,
 }
 ORACLES = {
     "op3_quality_ledger": quality_rules.SQL,
+    "op6_positional_index": decontamination.SQL,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from shelfcast.llm import decontamination, near_dedup, quality_rules, sharding
+from shelfcast.llm import decontamination, near_dedup, packing, quality_rules, sharding
 
 QUERIES = {
     "op2_rendezvous_shards": sharding.op2_rendezvous_shards,
     "op3_quality_ledger": quality_rules.op3_quality_ledger,
+    "op5_cost_balanced_packing": packing.op5_cost_balanced_packing,
     "op6_positional_index": decontamination.op6_positional_index,
     "op9_dart_minhash": near_dedup.op9_dart_minhash,
 }

@@ -270,6 +270,19 @@ def hit_words(hits: Column) -> Column:
     return F.aggregate(hits, start, step, lambda a: a["n"])
 
 
+#: Hashes of contaminated texts that may be broadcast: 32 MB.
+BROADCAST_ROWS = 4_000_000
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (text, any others) in which no window of an item occurs."""
+    hashed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
+    found = contamination(hashed.select(F.col("__text_hash").alias("doc_id"), "text"), items, slack=0)
+    gone = stage(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__text_hash")).distinct(), "contaminated")
+    small = gone.count() <= BROADCAST_ROWS
+    return hashed.join(F.broadcast(gone) if small else gone, "__text_hash", "left_anti").drop("__text_hash")
+
+
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = hit_words(F.col("hits"))

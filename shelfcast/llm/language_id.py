@@ -160,14 +160,15 @@ class _Scorer:
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns with lang_pred and score, for each row."""
-    source = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    column = text if text in keep else "__text"
+    source = docs.select(*keep, *([] if text in keep else [F.col(text).alias("__text")]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"] + ["lang_pred string", "score double"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            found = [scorer.score(t.as_py()) for t in batch.column("__text")]
+            found = [scorer.score(t.as_py()) for t in batch.column(column)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return source.mapInArrow(rows, schema)

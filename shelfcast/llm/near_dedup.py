@@ -250,15 +250,26 @@ def linked(docs: DataFrame, rows: DataFrame, text: str = "text", threshold: floa
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, class_id) for each row of ``docs``; class_id is the smallest doc_id of its class."""
+    """(doc_id, text_hash, root, class_id) for each row of ``docs``.
+
+    ``root`` is null without words, else the same for the whole class; class_id is its smallest doc_id.
+    """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = stage(signed(source), "signed")
-    links = linked(source, rows)
-    roots = _contracted(links)
-    placed = rows.select("doc_id", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    roots = _contracted(linked(source, rows))
+    placed = rows.select("doc_id", "text_hash", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).drop("key")
     lowest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    placed = placed.join(lowest, "root", "left")
-    return placed.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return placed.join(lowest, "root", "left").select("doc_id", "text_hash", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) with one row of each class: that of the smallest doc_id. Rows without words stay."""
+    placed = stage(classes(docs), "classes")
+    first = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    wordless = placed.where("root IS NULL").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    hashed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
+    here = (F.col("__text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return hashed.join(first, here, "left_semi").dropDuplicates(["doc_id", "__text_hash"]).unionByName(hashed.join(wordless, here, "left_semi")).drop("__text_hash")
 
 
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,12 +95,13 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns of ``docs`` with the measurements of each whole text."""
-    source = docs.select(*[F.col(k) for k in keep], F.col(text).cast("string").alias("__text"))
+    column = text if text in keep else "__text"
+    source = docs.select(*[F.col(k) for k in keep], *([] if text in keep else [F.col(text).alias("__text")]))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"] + [f"{m} bigint" for m in MEASURES])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in W.text_slices(batch, "__text"):
+            for row, end, data, offsets in W.text_slices(batch, column):
                 values = _measure(data, offsets)
                 own = [batch.column(k).slice(row, end - row) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(own + [pa.array(values[m].astype(np.int64)) for m in MEASURES], names=[*keep, *MEASURES])

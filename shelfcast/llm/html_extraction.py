@@ -1,8 +1,8 @@
 """Main text of web pages by removal of site templates.
 
-Every element's subtree is hashed (tag, class, id, texts and child hashes). Spark counts the pages of
+Every block element's subtree is hashed (tag, class, id, texts and child hashes). Spark counts the pages of
 each host that hold a hash; a subtree found on many pages of its host (at least ``MIN_PAGES`` and a
-``SHARE`` of them; half of them inside of the main content, and never its own paragraphs) is the
+``SHARE`` of them; inside of the main content, in half of the host's different articles, and only whole containers there) is the
 site's template and goes. What is left is cleaned by meaning: elements that HTML or their class, id
 or role names as menus, headers, footers, sidebars, notices, adverts, forms or comments. The text is
 that of the articles, else of the main element, else of the body.
@@ -48,7 +48,8 @@ DROPPED_WORDS = frozenset(
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 KEPT_TAGS = frozenset("html body article main".split())
-OWN_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split()) | KEPT_TAGS
+#: What may be a site's part inside of the main content: whole containers, never their lines or cells.
+CONTAINERS = frozenset("div section center details dl figure ol table ul".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -59,7 +60,7 @@ _WORDS = re.compile(r"[A-Za-z]+")
 class Element:
     tag: str
     attributes: dict[str, str]
-    inside: bool
+    main: Element | None  # the outermost element of main content around it, or itself
     parts: list = field(default_factory=list)  # texts and elements
     hash: int = 0
 
@@ -77,8 +78,8 @@ def _close(element: Element) -> None:
 
 
 def parse(source: str) -> tuple[Element, list[Element]]:
-    """The root and all elements. Tags left open end with their parent; end tags of nothing are ignored."""
-    root = Element("", {}, False)
+    """The root and all elements. Tags left open end with their parent; end tags of nothing only end a block."""
+    root = Element("", {}, None)
     stack, found, at = [root], [], 0
 
     def pop(until: int) -> None:
@@ -104,13 +105,17 @@ def parse(source: str) -> tuple[Element, list[Element]]:
         if token[1]:
             if (place := within((tag,), frozenset() if tag in HOLDS else HOLDS - {tag})) is not None:
                 pop(place)
+            elif tag in BLOCK:
+                stack[-1].parts.append(" ")
             continue
         attributes = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(token[3] or "")}
         if tag in CLOSES_P and (place := within(("p",), HOLDS)) is not None:
             pop(place)
         if tag in CLOSED_BY_ITSELF and (place := within(CLOSED_BY_ITSELF[tag], HOLDS)) is not None:
             pop(place)
-        element = Element(tag, attributes, stack[-1].inside or tag in ("article", "main") or attributes.get("role", "") == "main")
+        element = Element(tag, attributes, stack[-1].main)
+        if element.main is None and (tag in ("article", "main") or attributes.get("role", "") == "main"):
+            element.main = element
         stack[-1].parts.append(element)
         found.append(element)
         if tag in RAW:
@@ -135,10 +140,10 @@ def _named_apart(element: Element) -> bool:
     attributes = element.attributes
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
-    if element.tag in KEPT_TAGS and not element.inside or element.tag in ("html", "body"):
+    if element.main is element or element.tag in ("html", "body"):
         return False
     if element.tag == "header":
-        return not (element.inside and any(not isinstance(p, str) and p.tag in ("h1", "h2") for p in element.parts))
+        return not (element.main is not None and any(not isinstance(p, str) and p.tag in ("h1", "h2") for p in element.parts))
     if attributes.get("role", "").lower() in DROPPED_ROLES:
         return True
     names = {w.lower() for w in _WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
@@ -175,7 +180,7 @@ def _text(elements: list[Element], gone: set[int]) -> str:
 
 def template_parts(elements: list[Element], hashes: set[int], inside: set[int]) -> set[int]:
     """Elements to delete: of the host's template, in the main content only by the stricter set."""
-    return {id(e) for e in elements if e.tag not in KEPT_TAGS and e.tag and (e.hash in inside and e.tag not in OWN_TEXT if e.inside else e.hash in hashes)}
+    return {id(e) for e in elements if e.tag in BLOCK and e.tag not in KEPT_TAGS and (e.hash in inside and e.tag in CONTAINERS if e.main is not None else e.hash in hashes)}
 
 
 def main_text(source: str, hashes: set[int] = frozenset(), inside: set[int] = frozenset()) -> str:
@@ -188,26 +193,31 @@ def main_text(source: str, hashes: set[int] = frozenset(), inside: set[int] = fr
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, hash) for each page's distinct subtrees; ``pages`` has host and html."""
+    """(host, hash, main) for each page's distinct subtrees, with the hash of the main content around them or 0."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, found = [], []
             for host, source in zip(batch.column("host"), batch.column("html"), strict=True):
                 _, elements = parse(source.as_py() or "")
-                own = {e.hash for e in elements if e.tag not in RAW and e.tag not in VOID}
+                own = {(e.hash, e.main.hash if e.main is not None else 0) for e in elements if e.tag in BLOCK and e.tag not in VOID}
                 hosts += [host.as_py()] * len(own)
-                hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["host", "hash"])
+                found += own
+            both = np.array(found, np.uint64).reshape(len(found), 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["host", "hash", "main"])
 
-    return pages.select("host", "html").mapInArrow(rows, "host string, hash bigint")
+    return pages.select("host", "html").mapInArrow(rows, "host string, hash bigint, main bigint")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, share_inside: float = SHARE_INSIDE) -> DataFrame:
-    """(host, hash, strict): subtrees on many of a host's pages; strict ones on enough to go from main content too."""
-    held = subtrees(pages).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    """(host, hash, strict): subtrees on many of a host's pages; strict ones in enough different articles to go from main content too."""
+    each = stage(subtrees(pages).groupBy("host", "hash", "main").agg(F.count(F.lit(1)).alias("n")), "subtrees")
+    held = each.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.count_if(F.col("main") != 0).alias("n_in")).where(F.col("n") >= min_pages)
     total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    return held.join(total, "host").where(F.col("n") >= share * F.col("n_pages")).select("host", "hash", (F.col("n") >= share_inside * F.col("n_pages")).alias("strict"))
+    articles = each.where("main = hash").groupBy("host").agg(F.count(F.lit(1)).alias("n_articles"))
+    known = held.join(total, "host").join(articles, "host", "left").where(F.col("n") >= share * F.col("n_pages"))
+    strict = (F.col("n_in") >= min_pages) & (F.col("n_in") >= share_inside * F.coalesce("n_articles", F.lit(0)))
+    return known.select("host", "hash", strict.alias("strict"))
 
 
 def with_host(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

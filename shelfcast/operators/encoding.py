@@ -24,7 +24,7 @@ def apply_map(rows: DataFrame, codes: DataFrame, columns: list[str], unseen: int
 def fold_seen(rows: DataFrame, code: str) -> DataFrame:
     """``rows`` (fold, kind) with codes that the fold's training rows have not seen set to -1."""
     seen = rows.where("kind = 'train'").select("fold", code).distinct().withColumn("__seen", F.lit(True))
-    return rows.join(seen, ["fold", code], "left").withColumn(f"{code}_fold", F.when(F.col("__seen"), F.col(code)).otherwise(-1)).drop("__seen")
+    return rows.join(seen, ["fold", code], "left").withColumn(f"{code}_fold", F.when(F.col("__seen"), F.col(code)).otherwise(F.lit(-1).cast(dict(rows.dtypes)[code]))).drop("__seen")
 
 
 def scaled(rows: DataFrame, train: Column, columns: list[str], fill_mean: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from shelfcast.functions import scalars as S
 from shelfcast.operators import cleaning
@@ -12,7 +12,10 @@ from shelfcast.operators import cleaning
 FILLED = (*cleaning.MEASURES, "sales_days")
 DESCRIPTORS = ("gds_ctgry_3_lvel", "price", "blt_site_no")
 KEY = ("site_no", "item_id")
-_ORDER = Window.partitionBy(*KEY).orderBy("month_idx")
+
+
+def _order() -> WindowSpec:
+    return Window.partitionBy(*KEY).orderBy("month_idx")
 
 
 def expand(monthly_rows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
@@ -26,7 +29,7 @@ def expand(monthly_rows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
         bounded = monthly_rows.crossJoin(F.broadcast(last))  # one row
     else:
         bounded = monthly_rows.join(ends.select("site_no", "last_idx"), "site_no")
-    until = F.coalesce(F.lead("month_idx").over(_ORDER) - 1, F.greatest("last_idx", "month_idx"))
+    until = F.coalesce(F.lead("month_idx").over(_order()) - 1, F.greatest("last_idx", "month_idx"))
     months = bounded.withColumn("__until", until).withColumn("__month", F.explode(F.sequence("month_idx", "__until")))
     own = F.col("__month") == F.col("month_idx")
     return months.select(
@@ -37,10 +40,10 @@ def expand(monthly_rows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
 
 def history(panel: DataFrame) -> DataFrame:
     """Lags and rolling features of the months before each row; none sees the row's own month."""
-    back = {n: _ORDER.rowsBetween(-n, -1) for n in (1, 3, 6)}
+    back = {n: _order().rowsBetween(-n, -1) for n in (1, 3, 6)}
     none = F.lit(0.0)
-    out: dict[str, Column] = {f"qty_lag_{n}m": F.coalesce(F.lag("total_qty", n).over(_ORDER), none) for n in (1, 2, 3, 6)}
-    out |= {f"{c}_lag_1m": F.coalesce(F.lag(c, 1).over(_ORDER), F.lit(0)) for c in ("offline_qty", "online_qty", "sales_days")}
+    out: dict[str, Column] = {f"qty_lag_{n}m": F.coalesce(F.lag("total_qty", n).over(_order()), none) for n in (1, 2, 3, 6)}
+    out |= {f"{c}_lag_1m": F.coalesce(F.lag(c, 1).over(_order()), F.lit(0)) for c in ("offline_qty", "online_qty", "sales_days")}
     sold = F.when(F.col("total_qty") > 0, 1).otherwise(0)
     for n in (3, 6):
         over = back[n]
@@ -66,14 +69,14 @@ def history(panel: DataFrame) -> DataFrame:
             f"discount_rate_last_{n}m": F.when(F.abs(total("total_tlp")) < 1e-9, none).otherwise(S.r6(S.ratio(total("total_tsp"), total("total_tlp")))),
         }
     out["is_sold_last_1m"] = F.coalesce(F.max(sold).over(back[1]), F.lit(0))
-    before = _ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    before = _order().rowsBetween(Window.unboundedPreceding, -1)
     out["months_since_last_sale"] = F.coalesce(F.col("month_idx") - F.last(F.when(F.col("total_qty") > 0, F.col("month_idx")), ignorenulls=True).over(before), F.lit(-1))
     return panel.withColumns(out)
 
 
 def targets(panel: DataFrame, train_until: str, valid_until: str) -> DataFrame:
     """Quantities of the next month and the next two, whether they sell, and the split by month. Months without both targets go."""
-    ahead = F.lead("total_qty", 1).over(_ORDER), F.lead("total_qty", 2).over(_ORDER)
+    ahead = F.lead("total_qty", 1).over(_order()), F.lead("total_qty", 2).over(_order())
     split = F.when(F.col("month") <= train_until, "train").when(F.col("month") <= valid_until, "valid").otherwise("test")
     found = panel.withColumns({"future_qty_1m": ahead[0], "future_qty_2m": ahead[0] + ahead[1], "split": split}).where("future_qty_2m IS NOT NULL")
     return found.withColumns({f"future_has_sales_{n}m": F.when(F.col(f"future_qty_{n}m") > 0, 1).otherwise(0) for n in (1, 2)})
@@ -81,7 +84,7 @@ def targets(panel: DataFrame, train_until: str, valid_until: str) -> DataFrame:
 
 def active_dataset(panel: DataFrame, activity: DataFrame, train_until: str, valid_until: str) -> DataFrame:
     """Rows whose next month lies within their store's activity, with the horizons that are known and the levels of the targets (-1 where not)."""
-    ahead = F.lead("total_qty", 1).over(_ORDER), F.lead("total_qty", 2).over(_ORDER)
+    ahead = F.lead("total_qty", 1).over(_order()), F.lead("total_qty", 2).over(_order())
     split = F.when(F.col("month") <= train_until, "train").when(F.col("month") <= valid_until, "valid").otherwise("test")
     joined = panel.withColumns({"future_qty_1m": ahead[0], "__two": ahead[0] + ahead[1], "split": split}).join(activity.select("site_no", "first_idx", "last_idx"), "site_no")
     kept = joined.where((F.col("month_idx") + 1 <= F.col("last_idx")) & F.col("future_qty_1m").isNotNull())

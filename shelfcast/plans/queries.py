@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions import scalars as S
@@ -346,3 +346,170 @@ def sm_scaled_rates(s: SparkSession, d: str) -> DataFrame:
     rows = T.forecasts(s, d)
     counts = {r["bucket"]: r["n"] for r in rows.groupBy(S.demand_bucket(F.col("target")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}
     return sampling.stratified(rows, "target", sampling.scaled_rates(counts, sampling.RATES, 2000)).select("month", "site_no", "item_id", "target", "sampling_probability", "sample_weight")
+
+# selection
+
+add("sel_metric_order", lambda s, d: selection.best(metrics.quantity(_judged(s, d), ["site_no", "candidate"]), ["site_no"], [("wape", "min"), ("total_bias_rate", "abs_min")], ["candidate"]).select("site_no", "candidate", "wape", "total_bias_rate"),
+    f"WITH {LONG.replace('SELECT split, candidate, target', 'SELECT split, site_no AS sn, candidate, target')}, q AS (SELECT site_no, candidate, {_METRIC} FROM lo GROUP BY 1, 2) SELECT site_no, candidate, wape, total_bias_rate FROM q QUALIFY row_number() OVER (PARTITION BY site_no ORDER BY coalesce(wape, 'inf'::DOUBLE), abs(coalesce(total_bias_rate, 'inf'::DOUBLE)), candidate) = 1")
+add("sel_metric_winners", lambda s, d: selection.winners(metrics.quantity(_judged(s, d), ["site_no", "candidate"]), ["site_no"], [("wape", "min"), ("rmse", "min"), ("total_bias_rate", "abs_min")], ["candidate"], 2).select("site_no", "candidate", "n_best", "rank"),
+    f"""WITH {LONG}, q AS (SELECT site_no, candidate, {_METRIC} FROM lo GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY site_no ORDER BY wape, candidate) = 1 AS INTEGER) + CAST(row_number() OVER (PARTITION BY site_no ORDER BY rmse, candidate) = 1 AS INTEGER) + CAST(row_number() OVER (PARTITION BY site_no ORDER BY abs(total_bias_rate), candidate) = 1 AS INTEGER) AS n_best FROM q)
+SELECT site_no, candidate, n_best, row_number() OVER (PARTITION BY site_no ORDER BY n_best DESC, candidate) AS rank FROM r WHERE n_best > 0 QUALIFY rank <= 2""")
+
+
+@query("sel_business", f"""WITH {LONG}, z AS (SELECT site_no, candidate, avg(CASE WHEN t = 0 THEN CASE WHEN p > 1 THEN 1.0 ELSE 0.0 END END) AS zr, round(sum(abs(p - t)) / count(*), 6) AS mae, round(100 * (sum(p) - sum(t)) / sum(t), 6) AS total_bias_rate, round(100 * sum(abs(p - t)) FILTER (WHERE t > 0) / sum(t), 6) AS nonzero_wape, round(100 * sum(abs(p - t)) FILTER (WHERE t >= 20) / sum(t) FILTER (WHERE t >= 20), 6) AS ge_20_wape FROM lo GROUP BY 1, 2),
+b AS (SELECT *, min(mae) OVER (PARTITION BY site_no) AS base FROM z), c AS (SELECT *, concat_ws(',', CASE WHEN zr > 0.8 THEN 'zero_false_positives' END, CASE WHEN mae > base * 1.35 THEN 'mae' END) AS reasons FROM b)
+SELECT site_no, candidate, reasons, reasons = '' AS accepted, row_number() OVER (PARTITION BY site_no ORDER BY reasons = '' DESC, abs(total_bias_rate), nonzero_wape, ge_20_wape, candidate) AS rank FROM c""")
+def sel_business(s: SparkSession, d: str) -> DataFrame:
+    """Guardrails against the store's best MAE; at most 80 % of zero rows may be forecast above one."""
+    rows = _judged(s, d)
+    t, p = F.col("target"), F.col("prediction")
+    error = F.abs(p - t)
+    share = lambda mask: S.r6(100 * F.sum(F.when(mask, error)) / F.sum(F.when(mask, t)))
+    found = rows.groupBy("site_no", "candidate").agg(
+        F.avg(F.when(t == 0, F.when(p > 1, 1.0).otherwise(0.0))).alias("zr"), S.r6(F.sum(error) / F.count(F.lit(1))).alias("mae"), S.r6(100 * (F.sum(p) - F.sum(t)) / F.sum(t)).alias("total_bias_rate"), share(t > 0).alias("nonzero_wape"), share(t >= 20).alias("ge_20_wape"),
+    )
+    base = found.groupBy("site_no").agg(F.min("mae").alias("base_mae"))
+    judged = selection.business(found.join(base, "site_no").withColumn("zero_gt_1_rate", F.when(F.col("zr") > 0.8, F.col("zr")).otherwise(0.0)), ["site_no"], ["candidate"])
+    return judged.select("site_no", "candidate", "reasons", "accepted", "rank")
+
+
+def _recalls(s: SparkSession, d: str) -> DataFrame:
+    """The gate sweep with the recalls of both head segments beside each threshold."""
+    sweep = metrics.gate_sweep(T.forecasts(s, d), _TAU)
+    heads = sweep.groupBy("threshold").agg(F.max(F.when(F.col("segment") == "5_20", F.col("pass_rate"))).alias("recall_5_20"), F.max(F.when(F.col("segment") == "20plus", F.col("pass_rate"))).alias("recall_20plus"))
+    return sweep.join(heads, "threshold").where(F.col("wape_gate_a").isNotNull())
+
+
+_HEADS = f"sw AS ({_SWEEP}), he AS (SELECT threshold, max(CASE WHEN segment = '5_20' THEN pass_rate END) AS r5, max(CASE WHEN segment = '20plus' THEN pass_rate END) AS r20 FROM sw GROUP BY 1), sh AS (SELECT * FROM sw JOIN he USING (threshold) WHERE wape_gate_a IS NOT NULL)"
+add("sel_gate_safe", lambda s, d: selection.gate(_recalls(s, d), ["segment"], "wape_gate_a", 0.8).select("segment", "threshold", "wape_gate_a"),
+    f"WITH {T.FOR}, {_GS}, {_HEADS} SELECT segment, threshold, wape_gate_a FROM sh WHERE r5 >= 0.8 AND r20 >= 0.8 QUALIFY row_number() OVER (PARTITION BY segment ORDER BY wape_gate_a, threshold) = 1")
+add("sel_gate_protect", lambda s, d: selection.gate_protected(_recalls(s, d), ["segment"], "wape_gate_b", (0.7, 0.8, 0.9)).select("segment", "protection", "threshold", "wape_gate_b"),
+    f"WITH {T.FOR}, {_GS}, {_HEADS} SELECT segment, v::DOUBLE AS protection, threshold, wape_gate_b FROM sh, (VALUES (0.7), (0.8), (0.9)) x(v) WHERE r5 >= v AND r20 >= v QUALIFY row_number() OVER (PARTITION BY segment, v ORDER BY wape_gate_b, threshold) = 1")
+add("sel_gate", lambda s, d: selection.best(metrics.gate_sweep(T.forecasts(s, d), _TAU).where("wape_gate_b IS NOT NULL"), ["segment"], [("wape_gate_b", "min")], ["threshold"]).select("segment", "threshold", "wape_gate_b"),
+    f"WITH {T.FOR}, {_GS}, sw AS ({_SWEEP}) SELECT segment, threshold, wape_gate_b FROM sw WHERE wape_gate_b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY segment ORDER BY wape_gate_b, threshold) = 1")
+
+
+def _by_month(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = metrics.quantity(_judged(s, d).where("split = 'valid'"), ["site_no", "month", "candidate"])
+    return rows.where("candidate <> 'hist'"), rows.where("candidate = 'hist'")
+
+
+add("sel_complete", lambda s, d: selection.accepted(*_by_month(s, d), ["site_no"]),
+    f"WITH {LONG}, q AS (SELECT site_no, month, candidate, wape FROM (SELECT site_no, month, candidate, {_METRIC} FROM lo WHERE split = 'valid' GROUP BY 1, 2, 3)), j AS (SELECT a.site_no, a.candidate, a.wape AS w, b.wape AS b FROM q a JOIN q b ON a.site_no = b.site_no AND a.month = b.month AND b.candidate = 'hist' WHERE a.candidate <> 'hist') SELECT site_no, candidate, round(avg((b - w) / nullif(b, 0)), 6) AS mean_gain, count(*) FILTER (WHERE w < b) AS months_improved, count(*) AS months, avg((b - w) / nullif(b, 0)) >= 0.005 AND count(*) FILTER (WHERE w < b) >= 4 AS accepted FROM j GROUP BY 1, 2")
+add("sel_weighted_median", lambda s, d: selection.weighted_median(T.forecasts(s, d).withColumn("w", F.col("target") + 1), ["gds_ctgry_3_lvel"], "qty_sum_last_3m", "w"),
+    f"WITH {T.FOR}, g AS (SELECT gds_ctgry_3_lvel, qty_sum_last_3m AS x, sum(target + 1) AS w FROM fc GROUP BY 1, 2), c AS (SELECT gds_ctgry_3_lvel, x, sum(w) OVER (PARTITION BY gds_ctgry_3_lvel ORDER BY x) AS u, sum(w) OVER (PARTITION BY gds_ctgry_3_lvel) AS t FROM g) SELECT gds_ctgry_3_lvel, min(x) AS weighted_median FROM c WHERE 2 * u >= t GROUP BY 1")
+
+# serving
+
+add("sv_top_books", lambda s, d: serving.top_books(T.predictions(s, d)).select("model_id", "site_no", "item_id", "pred_qty_int", "rank"),
+    f"WITH {T.PRE} SELECT model_id, site_no, item_id, pred_qty_int, row_number() OVER (PARTITION BY model_id ORDER BY pred_qty_int DESC, pred_qty_raw DESC, site_no, item_id) AS rank FROM pre QUALIFY rank <= 100")
+add("sv_store_summary", lambda s, d: serving.store_summary(T.predictions(s, d)), f"WITH {T.PRE} SELECT model_id, site_no, CAST(sum(pred_qty_int) AS BIGINT) AS total_qty, count(*) FILTER (WHERE pred_qty_int > 0) AS nonzero_count, count(*) FILTER (WHERE pred_qty_int >= 20) AS head_count FROM pre GROUP BY 1, 2")
+add("sv_model_summary", lambda s, d: serving.model_summary(T.predictions(s, d)),
+    f"WITH {T.PRE} SELECT model_id, CAST(sum(pred_qty_int) AS BIGINT) AS total_qty, count(*) FILTER (WHERE pred_qty_int > 0) AS nonzero_count, {', '.join(f'count(*) FILTER (WHERE pred_mc = {c}) AS mc{c}_count' for c in range(5))}, count(*) FILTER (WHERE pred_qty_int >= 20) AS head_count, count(DISTINCT site_no) AS stores, count(DISTINCT item_id) AS items, count(*) AS n_rows FROM pre GROUP BY 1")
+add("sv_results", lambda s, d: serving.page(T.predictions(s, d), F.col("pred_mc") >= 2, number=2).select("model_id", "site_no", "item_id", "pred_qty_int"),
+    f"WITH {T.PRE} SELECT model_id, site_no, item_id, pred_qty_int FROM pre WHERE pred_mc >= 2 ORDER BY pred_qty_int DESC, site_no, item_id, model_id LIMIT 50 OFFSET 50")
+add("sv_store_detail", lambda s, d: serving.store_detail(T.predictions(s, d), "1"),
+    f"WITH {T.PRE} SELECT model_id, CAST(sum(pred_qty_int) AS BIGINT) AS total_qty, count(*) FILTER (WHERE pred_qty_int > 0) AS nonzero_count, count(*) FILTER (WHERE pred_mc = 3) AS mc3_count, count(*) FILTER (WHERE pred_mc = 4) AS mc4_count, count(*) AS n_rows FROM pre WHERE site_no = '1' GROUP BY 1")
+add("sv_history_series", lambda s, d: serving.history_series(T.months(s, d), T.predictions(s, d), "2001-10"),
+    f"WITH {T.PRE} SELECT site_no, month, sum(total_qty) AS qty, 'actual' AS kind FROM mon GROUP BY 1, 2 UNION ALL SELECT site_no, '2001-10', CAST(sum(pred_qty_int) AS DOUBLE), model_id FROM pre GROUP BY 1, 4")
+_DIF = "df AS (SELECT *, abs(p - t) AS e, abs(p - t) / greatest(abs(t), 1) AS st, CASE WHEN abs(p - t) >= 10 OR abs(p - t) / greatest(abs(t), 1) >= 1 THEN 'hard' WHEN abs(p - t) >= 5 OR abs(p - t) / greatest(abs(t), 1) >= 0.5 THEN 'medium' ELSE 'easy' END AS difficulty FROM lo)"
+add("sv_difficult", lambda s, d: serving.difficult(_judged(s, d).where("split = 'test' AND candidate = 'hist'")).where("difficulty <> 'easy'").select("month", "site_no", "item_id", "difficulty", S.r6(F.col("abs_error")).alias("abs_error"), S.r6(F.col("stable_error")).alias("stable_error")),
+    f"WITH {LONG}, {_DIF} SELECT month, site_no, item_id, difficulty, round(e, 6) AS abs_error, round(st, 6) AS stable_error FROM df WHERE split = 'test' AND candidate = 'hist' AND difficulty <> 'easy'")
+add("sv_difficult_summary", lambda s, d: serving.difficult_summary(_judged(s, d), ["split", "candidate"]),
+    f"WITH {LONG}, {_DIF} SELECT split, candidate, count(*) FILTER (WHERE difficulty <> 'easy') AS difficult_count, round(count(*) FILTER (WHERE difficulty <> 'easy') / count(*), 6) AS difficult_ratio, count(DISTINCT site_no) FILTER (WHERE difficulty <> 'easy') AS stores, round(avg(e) FILTER (WHERE difficulty <> 'easy'), 6) AS mean_error, count(*) FILTER (WHERE difficulty = 'hard') AS hard_count FROM df GROUP BY 1, 2")
+
+# joins, unions, encodings, scalars
+
+
+@query("jn_left_lookup", f"WITH {T.MON}, si AS (SELECT month_idx, item_id, count(*) FILTER (WHERE total_qty > 0) AS gs FROM mon GROUP BY 1, 2 HAVING count(*) > 2) SELECT month, site_no, mon.item_id, coalesce(gs, 0) AS group_sites FROM mon LEFT JOIN si USING (month_idx, item_id)")
+def jn_left_lookup(s: SparkSession, d: str) -> DataFrame:
+    m = T.months(s, d)
+    side = m.groupBy("month_idx", "item_id").agg(F.count_if(F.col("total_qty") > 0).alias("group_sites"), F.count(F.lit(1)).alias("n")).where("n > 2").drop("n")
+    return m.select("month_idx", "month", "site_no", "item_id").join(side, ["month_idx", "item_id"], "left").select("month", "site_no", "item_id", F.coalesce("group_sites", F.lit(0)).alias("group_sites"))
+
+
+@query("src_history_union", f"WITH {T.MON}, u AS (SELECT month, site_no, item_id, total_qty, 'first' AS source_dataset_id, 1 AS o FROM mon WHERE month <= '1999-12' UNION ALL SELECT month, site_no, item_id, total_qty * 2, 'second', 2 FROM mon WHERE month >= '1999-01') SELECT * EXCLUDE (o) FROM u QUALIFY row_number() OVER (PARTITION BY month, site_no, item_id ORDER BY o DESC) = 1")
+def src_history_union(s: SparkSession, d: str) -> DataFrame:
+    m = T.months(s, d).select("month", "site_no", "item_id", "total_qty")
+    return sources.history_union([("first", m.where("month <= '1999-12'")), ("second", m.where("month >= '1999-01'").withColumn("total_qty", F.col("total_qty") * 2))], ["month", "site_no", "item_id"])
+
+
+@query("src_to_ledger", "SELECT CAST(l_suppkey AS VARCHAR) AS site_no, count(*) AS n, round(sum(l_quantity), 6) AS qty, round(sum(l_extendedprice), 4) AS tlp FROM lineitem GROUP BY 1")
+def src_to_ledger(s: SparkSession, d: str) -> DataFrame:
+    """Other headers brought to the ledger's names through aliases."""
+    raw = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_shipdate").alias('﻿"销售日期"'), F.col("l_suppkey").alias("门店编码"), F.col("l_partkey").alias("ISBN\t"), F.col("l_quantity").alias("数量"), F.col("l_extendedprice").alias("实洋"))
+    named = sources.normalised(raw)
+    rows = sources.to_ledger(named, sources.field_mapping(named.columns))
+    return rows.groupBy("site_no").agg(F.count(F.lit(1)).alias("n"), S.r6(F.sum(F.col("qty").cast("double"))).alias("qty"), F.round(F.sum(F.col("tlp").cast("double")), 4).alias("tlp"))
+
+
+_CODES = "cm AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT gds_ctgry_3_lvel AS value FROM fc WHERE month <= '1995-03'))"
+def _early() -> Column:
+    return F.col("month") <= "1995-03"
+
+
+
+@query("pp_category", f"WITH {T.FOR}, {_CODES} SELECT month, site_no, item_id, coalesce(code, -1) AS gds_ctgry_3_lvel_code FROM fc LEFT JOIN cm ON value = gds_ctgry_3_lvel")
+def pp_category(s: SparkSession, d: str) -> DataFrame:
+    rows = T.forecasts(s, d).select("month", "site_no", "item_id", "gds_ctgry_3_lvel")
+    codes = encoding.category_map(rows, _early(), ["gds_ctgry_3_lvel"])
+    return encoding.apply_map(rows, codes, ["gds_ctgry_3_lvel"]).drop("gds_ctgry_3_lvel")
+
+
+@query("pp_fold_seen", f"WITH {T.FOR}, {_FOLD_SQL}, se AS (SELECT DISTINCT fold, item_id FROM fo WHERE kind = 'train') SELECT fold, kind, count(*) AS n, count(*) FILTER (WHERE se.item_id IS NULL) AS n_unseen FROM fo LEFT JOIN se USING (fold, item_id) GROUP BY 1, 2")
+def pp_fold_seen(s: SparkSession, d: str) -> DataFrame:
+    rows = encoding.fold_seen(sampling.time_folds(T.forecasts(s, d), _FOLDS), "item_id")
+    return rows.groupBy("fold", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("item_id_fold") == "-1").alias("n_unseen"))
+
+
+add("pp_scale", lambda s, d: encoding.scaled(T.forecasts(s, d), F.col("split") == "train", ["current", "qty_lag_1m"]).select("month", "site_no", "item_id", *[F.round(f"{c}_scaled", 5).alias(f"{c}_scaled") for c in ("current", "qty_lag_1m")]),
+    f"WITH {T.FOR}, st AS (SELECT avg(current) AS a, stddev_pop(current) AS b, avg(qty_lag_1m) AS c, stddev_pop(qty_lag_1m) AS e FROM fc WHERE split = 'train') SELECT month, site_no, item_id, round((current - a) / b, 5) AS current_scaled, round((qty_lag_1m - c) / e, 5) AS qty_lag_1m_scaled FROM fc, st")
+_PAT = "CASE WHEN least(qty_lag_1m, qty_lag_2m, qty_lag_3m) >= 5 THEN 'persistent_high' WHEN (qty_lag_1m + qty_lag_2m + qty_lag_3m) / 3 <= 1 THEN 'sudden_burst_from_low' WHEN greatest(qty_lag_1m, qty_lag_2m, qty_lag_3m) - least(qty_lag_1m, qty_lag_2m, qty_lag_3m) >= 5 THEN 'volatile' ELSE 'other' END"
+add("fn_history_pattern", lambda s, d: T.forecasts(s, d).groupBy(S.history_pattern(F.col("qty_lag_1m"), F.col("qty_lag_2m"), F.col("qty_lag_3m")).alias("pattern")).agg(F.count(F.lit(1)).alias("n")), f"WITH {T.FOR} SELECT {_PAT} AS pattern, count(*) AS n FROM fc GROUP BY 1")
+add("fn_scalars", lambda s, d: T.months(s, d).select("month", "site_no", "item_id", S.demand_bucket(F.col("total_qty")).alias("bucket"), S.longtail_bucket(F.col("total_qty")).alias("longtail"), S.half_up(F.col("total_qty"), 2).alias("half_2m"), S.level(F.col("total_qty")).alias("level_1m"), S.level(F.col("total_qty"), 2).alias("level_2m"), S.month_text(F.col("month_idx") + 2).alias("two_later")),
+    f"WITH {T.MON} SELECT month, site_no, item_id, CASE WHEN total_qty <= 0 THEN '0' WHEN total_qty < 2 THEN '1' WHEN total_qty < 5 THEN '2-5' WHEN total_qty < 20 THEN '5-20' ELSE '20+' END AS bucket, {_LT} AS longtail, CAST(floor(greatest(total_qty / 2, 0) + 0.5) AS BIGINT) AS half_2m, {T.level_sql('total_qty')} AS level_1m, {T.level_sql('total_qty', 2)} AS level_2m, printf('%04d-%02d', (month_idx + 2) // 12, (month_idx + 2) % 12 + 1) AS two_later FROM mon")
+add("dq_compare_summary", lambda s, d: checks.compare_metrics(*[checks.long_metrics(metrics.quantity(_judged(s, d).where(F.col("candidate") == c), ["split"]), ["split"], ["mae", "wape", "target_sum"]) for c in ("hist", "wma")], ["split"]).select("split", "metric", "verdict"),
+    f"WITH {LONG}, q AS (SELECT split, candidate, {_METRIC} FROM lo GROUP BY 1, 2), l AS (SELECT split, candidate, unnest(['mae', 'wape', 'target_sum']) AS metric, unnest([mae, wape, target_sum]) AS v FROM q) SELECT a.split, a.metric, CASE WHEN abs(a.v - b.v) <= 1e-9 THEN 'same' WHEN abs(a.v - b.v) <= 1e-3 THEN 'equivalent' ELSE 'different' END AS verdict FROM l a JOIN l b ON a.split = b.split AND a.metric = b.metric AND a.candidate = 'hist' AND b.candidate = 'wma'")
+
+# learned forecasts: no SQL can train them
+
+
+def _model_rows(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from shelfcast.operators import models
+
+    rows = models.assembled(T.forecasts(s, d))
+    return rows.where("split = 'train'"), rows.where("split = 'test'")
+
+
+@query("ml_two_stage")
+def ml_two_stage(s: SparkSession, d: str) -> DataFrame:
+    from shelfcast.operators import models
+
+    found = models.two_stage(*_model_rows(s, d))
+    return metrics.quantity(metrics.cleaned(found, "target", "prediction"), ["split"])
+
+
+@query("ml_tree_reg")
+def ml_tree_reg(s: SparkSession, d: str) -> DataFrame:
+    from shelfcast.operators import models
+
+    train, test = _model_rows(s, d)
+    kinds = [models.tree_regression(train, test, kind).select("target", "prediction", F.lit(kind).alias("kind")) for kind in ("boosted", "forest")]
+    return metrics.quantity(metrics.cleaned(checks.union_all(kinds), "target", "prediction"), ["kind"])
+
+
+@query("ml_head_classifiers")
+def ml_head_classifiers(s: SparkSession, d: str) -> DataFrame:
+    from shelfcast.operators import models
+
+    train, test = _model_rows(s, d)
+    parts = [metrics.binary_rank(models.head_classifier(train, test, least), "score", F.col("target") >= least, ["split"]).withColumn("least", F.lit(least)) for least in (5, 20)]
+    return checks.union_all(parts)
+
+
+@query("ml_mc_direct")
+def ml_mc_direct(s: SparkSession, d: str) -> DataFrame:
+    from shelfcast.operators import models
+
+    found = models.direct_level(*_model_rows(s, d))
+    return models.level_logloss(found, ["split"]).join(metrics.disagreement(found, S.level(F.col("hist")), F.col("direct"), ["split"]), "split")

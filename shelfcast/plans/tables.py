@@ -17,7 +17,8 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def days(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.daily(lines(spark, d))
+    """Dealt by series once: days, months, panel and history all keep that partitioning and need no other shuffle."""
+    return cleaning.daily(lines(spark, d).repartition(*panel.KEY))
 
 
 def months(spark: SparkSession, d: str) -> DataFrame:

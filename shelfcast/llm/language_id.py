@@ -36,7 +36,7 @@ TRUST = {5: 0.8, 4: 0.7, 3: 0.5, 2: 0.3, 1: 0.1}
 SMOOTH = 0.5
 #: Words that count as independent in the score.
 EVIDENCE = 12
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -47,9 +47,13 @@ def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 
 @dataclass
 class Model:
+    """Known words and n-grams with the row of their log frequencies, a column for each language."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    word_logs: np.ndarray
+    gram_logs: np.ndarray
 
 
 def marked(word: str, order: int) -> list[str]:
@@ -103,36 +107,53 @@ def fit(rows: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
     for r in top.select("lang", "kind", "item", "n").toLocalIterator():
         seen[r["kind"] > 0].setdefault((r["kind"], r["item"]), np.zeros(len(languages)))[number[r["lang"]]] = r["n"]
 
-    def logs(found: dict) -> dict[str, np.ndarray]:
-        out = {}
-        for (kind, item), n in found.items():
-            all_n = np.array([totals.get((lang, kind), (0, 0)) for lang in languages], float)
-            out[item] = np.log((n + SMOOTH) / (all_n[:, 0] + SMOOTH * (all_n[:, 1] + 1))).astype(np.float32)
-        return out
+    def logs(found: dict) -> tuple[dict[str, int], np.ndarray]:
+        out = np.zeros((len(found), len(languages)), np.float32)
+        for row, ((kind, _), n) in enumerate(found.items()):
+            sums = np.array([totals.get((lang, kind), (0, 0)) for lang in languages], float)
+            out[row] = np.log((n + SMOOTH) / (sums[:, 0] + SMOOTH * (sums[:, 1] + 1)))
+        return {item: row for row, (_, item) in enumerate(found)}, out
 
-    return Model(languages, logs(seen[0]), logs(seen[1]))
+    (words, word_logs), (grams, gram_logs) = logs(seen[0]), logs(seen[1])
+    return Model(languages, words, grams, word_logs, gram_logs)
 
 
 class _Scorer:
+    """Scores texts; remembers the rows (log frequencies times weight, weight) of the words it has met."""
+
     def __init__(self, model: Model) -> None:
         self.model = model
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.filled = 0
-        self.table = np.zeros((0, len(self.model.languages) + 1), np.float32)
-
-    def _word(self, word: str) -> np.ndarray:
-        """Weight, and weighted log frequencies."""
-        if (known := self.model.words.get(word)) is not None:
-            return np.append(known, 1).astype(np.float32)
-        for order in ORDERS:
-            found = [g for g in map(self.model.grams.get, marked(word, order)) if g is not None]
-            if found:
-                return np.append(np.mean(found, axis=0) * TRUST[order], TRUST[order]).astype(np.float32)
-        return np.zeros(len(self.model.languages) + 1, np.float32)
+        self.table = np.zeros((1024, len(self.model.languages) + 1), np.float32)
+
+    def _learn(self, new: list[str]) -> None:
+        first, model, place = len(self.place), self.model, self.place
+        if first + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((first + len(new) + len(self.table), self.table.shape[1]), np.float32)])
+        known, by_word, found, starts, by_gram, trust = [], [], [], [], [], []
+        for word in new:
+            row = place[word] = len(place)
+            if (at := model.words.get(word)) is not None:
+                known.append(row)
+                by_word.append(at)
+                continue
+            for order in ORDERS:
+                grams = [g for g in map(model.grams.get, marked(word, order)) if g is not None]
+                if grams:
+                    starts.append(len(found))
+                    found += grams
+                    by_gram.append(row)
+                    trust.append(TRUST[order])
+                    break
+        if known:
+            self.table[known, :-1], self.table[known, -1] = model.word_logs[by_word], 1
+        if by_gram:
+            sizes = np.diff([*starts, len(found)])
+            means = np.add.reduceat(model.gram_logs[found], starts) / sizes[:, None]
+            self.table[by_gram, :-1], self.table[by_gram, -1] = means * np.array(trust)[:, None], trust
 
     def score(self, text: str | None) -> tuple[str, float]:
         counts = Counter(_LETTERS.findall((text or "").lower()))
@@ -140,18 +161,10 @@ class _Scorer:
             return UNKNOWN, 0.0
         if len(self.place) > KEPT_WORDS:
             self.forget()
-        place = self.place
-        for word in counts:
-            if word not in place:
-                place[word] = len(self.rows)
-                self.rows.append(self._word(word))
-        if self.filled < len(self.rows):
-            if len(self.table) < len(self.rows):
-                self.table = np.concatenate([self.table, np.zeros((max(1024, 2 * len(self.rows)) - len(self.table), self.table.shape[1]), np.float32)])
-            self.table[self.filled : len(self.rows)] = self.rows[self.filled :]
-            self.filled = len(self.rows)
+        if new := [word for word in counts if word not in self.place]:
+            self._learn(new)
         n = np.fromiter(counts.values(), np.float64, len(counts))
-        total = n @ self.table[np.fromiter(map(place.__getitem__, counts), np.int64, len(counts))]
+        total = n @ self.table[np.fromiter(map(self.place.__getitem__, counts), np.int64, len(counts))]
         weight = max(total[-1], 1e-9)
         logs = total[:-1] / weight
         best = int(np.argmax(logs))

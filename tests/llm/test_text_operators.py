@@ -251,6 +251,6 @@ def test_empty_table(spark, name):
         "classes": lambda: near_dedup.classes(none),
         "scan": lambda: license_scan.scan(none),
         "shards": lambda: sharding.numbered(sharding.assign(none.select("doc_id"), "doc_id", [1.0, 1.0]), "shard"),
-        "language": lambda: language_id.predict(none, language_id.Model(["en"], {}, {})),
+        "language": lambda: language_id.predict(none, language_id.fit(none.select("lang", "text"))),
     }
     assert run[name]().count() == 0

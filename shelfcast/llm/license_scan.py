@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfcast.llm.tables import table
+from shelfcast.llm.tables import stage, table
 
 #: Words that may be missing or added between merged diagonals.
 SLACK = 4
 #: Templates of fewer words are phrases: two-grams, and every one of them must be found.
 LONG, SHORT_GRAM, LONG_GRAM = 12, 2, 4
 COVERAGE = 0.6
+#: Texts with findings that may be broadcast: some 30 MB.
+BROADCAST_ROWS = 300_000
 
 # Fixed values: (label, base, text). Openings of public licenses and the lines that name them.
 TEMPLATES = (
@@ -132,6 +134,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
         F.count_if(mine).alias("n_base"), F.min(F.when(mine, F.col("first_word"))).cast("long").alias("first_word"), F.max(F.when(mine, F.col("first_word"))).cast("long").alias("last_word"),
         joined(F.when(mine, F.col("label"))).alias("base_labels"), joined(F.col("label")).alias("labels"), F.max("coverage").alias("score"),
     )
+    # written, so that Spark may split the rows of a text with very many copies, or send the few results to all
+    by_text = stage(by_text, "licenses")
+    by_text = F.broadcast(by_text) if by_text.count() <= BROADCAST_ROWS else by_text
     rows = source.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long").alias("n_words"))
     found = rows.join(by_text, "text_hash", "left")
     return found.select(

@@ -7,10 +7,14 @@ and step says how many darts fall there and where. The dart of lowest rank of ea
 the signature: two documents agree in a coordinate with the probability of their weighted Jaccard
 similarity. Only about ``k ln k`` darts are looked at for a document, however long it is.
 
-Bands of coordinates are joined by hash. In each band's bucket a few pivots are elected by
-aggregates; every member is compared with them (first by signatures, near the threshold by its exact
-shingles), and members that no pivot has linked elect pivots again until none is left, so no pairs
-of a bucket are listed. Linked documents form classes by star contraction.
+Bands of coordinates are joined by hash. In each bucket two pivots are elected by aggregates: the
+member that meets most others in all bands (the likely origin of a group of copies) and one by hash;
+every member is compared with them. Linked members are contracted, and buckets whose members are all
+of one class are done. In the others, members of different classes are compared among themselves if
+that is at most ``SMALL`` pairs for a member (inside a task, which gives only links), else pivots are elected again, ``ROUNDS`` times in all;
+what is left then (large groups just below the threshold) is compared across classes too, so that no
+link is given up. Signatures decide clear cases; near the threshold the exact shingles do. Linked
+documents form classes by star contraction.
 
 Defined cases: equal word sequences are one class however many rows they have; a null text or one
 without words has no shingle and forms a class of its own row id; equal doc_ids of different texts
@@ -32,10 +36,17 @@ from shelfcast.llm.tables import stage, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 25, 5
+#: A pair of similarity 0.8 shares a band with probability 0.9994, one of 0.9 with 1 - 1e-10, one of 0.5 with 0.15.
+BANDS, ROWS = 40, 8
 K = BANDS * ROWS
-#: Estimates outside of this range need no exact check: they are five standard errors off the threshold below, four above.
-UNSURE = (0.62, 0.94)
+#: Estimates outside of this range, nearly four standard errors off the threshold, need no exact check.
+UNSURE = (0.715, 0.885)
+#: Pairs for a member that a bucket may list, and how often pivots are elected before.
+SMALL, ROUNDS = 64, 4
+#: Members of a bucket that one task compares; larger buckets are compared by a join.
+IN_TASK = 2048
+#: Hashes of texts for the exact check that may be broadcast: 8 MB.
+BROADCAST_ROWS = 1_000_000
 _EDGES = np.array([0.0, 2.0**-8, 2.0**-6, 2.0**-4, 2.0**-2, *(2.0**p for p in range(14))])
 
 
@@ -118,7 +129,7 @@ def shingle_cells(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
 
 
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: doc_id, text_hash, key (hash of its words; null without words), signature (16 bits a coordinate), band hashes."""
+    """For each row: doc_id, text_hash, key (hash of its words; null without words), signature (a byte for each coordinate), band hashes."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("__text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -132,7 +143,7 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                     for r in range(ROWS):
                         bands[:, b] = W.salted(bands[:, b] + signature[:, b * ROWS + r], 300 + b)
                 none = count == 0
-                packed = (signature >> np.uint64(20)).astype(np.uint16)
+                packed = (signature >> np.uint64(20)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, end - row),
@@ -148,12 +159,12 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def _agreement(pairs: DataFrame) -> DataFrame:
-    """(a, b, estimate) from the signatures of both."""
+    """(a, b, estimate) from the signatures of both; one of 256 other coordinates agrees by chance."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, K) for c in ("sa", "sb"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((one == two).mean(axis=1))], names=["a", "b", "estimate"])
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, K) for c in ("sa", "sb"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(((one == two).mean(axis=1) - 1 / 256) * 256 / 255)], names=["a", "b", "estimate"])
 
     return pairs.mapInArrow(rows, "a bigint, b bigint, estimate double")
 
@@ -205,48 +216,82 @@ def _contracted(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
 
 
+def _linked_pairs(pairs: DataFrame, signatures: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """The (a, b) of ``pairs`` that reach the threshold, by signatures and, where these leave it open, by shingles."""
+    one, two = (signatures.select(F.col("key").alias(k), F.col("signature").alias(f"s{k}")) for k in ("a", "b"))
+    judged = _agreement(pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "sa", "sb")).where(F.col("estimate") >= UNSURE[0])
+    judged = stage(judged, "judged")
+    one, two = (cells.select(F.col("key").alias(k), F.col("cells").alias(f"c{k}")) for k in ("a", "b"))
+    unsure = judged.where(F.col("estimate") < UNSURE[1]).join(one, "a").join(two, "b").select("a", "b", "ca", "cb")
+    exact = _exact(unsure).where(F.col("similarity") >= threshold)
+    return stage(judged.where(F.col("estimate") >= UNSURE[1]).select("a", "b").unionByName(exact.select("a", "b")), "links")
+
+
 def linked(docs: DataFrame, rows: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity) of linked keys; ``rows`` is what ``signed`` gives for ``docs``."""
-    reps = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("bands").alias("bands"))
-    members = reps.select("key", F.posexplode("bands").alias("band", "hash"))
-    members = members.select("key", F.xxhash64("band", "hash").alias("bucket"), (F.col("band") % 3).alias("turn"))
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    open_rows = stage(members.join(crowded, "bucket"), "members")
-    signatures = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("signature").alias("signature"))
-    signatures = stage(signatures.join(open_rows.select("key").distinct(), "key", "left_semi"), "signatures")
-    known, links, turn = None, None, 0
-    while True:
-        # another order of keys for every third of the bands and every round
-        order = F.xxhash64(F.lit(turn), "turn")
-        ordered = F.col("key").bitwiseXOR(order)
-        pivots = open_rows.groupBy("bucket", "turn").agg(F.min(ordered).alias("low"), F.max(ordered).alias("high"))
-        pivots = pivots.select("bucket", F.explode(F.array_distinct(F.array(F.col("low").bitwiseXOR(order), F.col("high").bitwiseXOR(order)))).alias("pivot"))
-        tried = open_rows.join(pivots, "bucket").where("key <> pivot")
-        pairs = tried.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        one, two = (signatures.select(F.col("key").alias(k), F.col("signature").alias(f"s{k}")) for k in ("a", "b"))
-        judged = stage(_agreement(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")), "judged")
-        sure = judged.where(F.col("estimate") >= UNSURE[1]).select("a", "b", F.col("estimate").alias("similarity"))
-        unsure = judged.where((F.col("estimate") >= UNSURE[0]) & (F.col("estimate") < UNSURE[1])).select("a", "b")
-        needed = unsure.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        hashes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("text_hash").alias("text_hash")).join(needed, "key", "left_semi")
-        texts = docs.select(F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).join(hashes.select("text_hash").distinct(), "text_hash", "left_semi").select("text")
-        cells = stage(_with_cells(texts).dropDuplicates(["key"]), "cells")
-        one, two = (cells.select(F.col("key").alias(k), F.col("cells").alias(f"c{k}")) for k in ("a", "b"))
-        exact = _exact(unsure.join(one, "a").join(two, "b").select("a", "b", "ca", "cb")).where(F.col("similarity") >= threshold)
-        new = stage(sure.unionByName(exact), "links")
-        links = new if links is None else links.unionByName(new)
-        known = judged.select("a", "b") if known is None else known.unionByName(judged.select("a", "b"))
-        # what no pivot has linked goes on, without the pivots
-        ends = new.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("pivot")), F.struct(F.col("b").alias("key"), F.col("a").alias("pivot")))).alias("e")).select("e.*")
-        done = tried.join(ends, ["key", "pivot"], "left_semi").select("bucket", "key").unionByName(pivots.select("bucket", F.col("pivot").alias("key"))).distinct()
-        left = open_rows.join(done, ["bucket", "key"], "left_anti")
-        alone = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        open_rows = stage(left.join(alone, "bucket", "left_semi"), "members")
-        turn += 1
-        if open_rows.isEmpty():
-            return links
+    """(key, root) of the classes of linked keys; ``rows`` is what ``signed`` gives for ``docs``."""
+    worded = rows.where("key IS NOT NULL")
+    reps = worded.groupBy("key").agg(F.min("bands").alias("bands"))
+    members = reps.select("key", F.posexplode("bands").alias("band", "hash")).select("key", F.xxhash64("band", "hash").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = stage(members.join(sizes, "bucket"), "members")
+    met = stage(crowded.groupBy("key").agg(F.sum("n").alias("met")), "met")
+    kept = stage(worded.join(met, "key", "left_semi").groupBy("key").agg(F.min("signature").alias("signature"), F.min("text_hash").alias("text_hash")), "signatures")
+    signatures, hashes = kept.select("key", "signature"), kept.select("text_hash").distinct()
+    small = kept.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(hashes) if small else hashes, "text_hash", "left_semi").select("text")
+    cells = stage(_with_cells(texts).groupBy("key").agg(F.min("cells").alias("cells")), "cells")
+    active = crowded.select("bucket", "key").join(met, "key").withColumn("root", F.col("key"))
+    few = crowded.select("bucket", "key").where("false")
+    links = cells.select(F.col("key").alias("a"), F.col("key").alias("b")).where("false")
+    roots = links.select(F.col("a").alias("key"), F.col("b").alias("root"))
+    for turn in range(ROUNDS):
+        order = F.xxhash64(F.lit(turn))
+        ends = active.groupBy("bucket").agg(F.max(F.struct("met", "key")).alias("hub"), F.min(F.col("key").bitwiseXOR(order)).alias("low"))
+        pivots = ends.select("bucket", F.explode(F.array_distinct(F.array("hub.key", F.col("low").bitwiseXOR(order)))).alias("pivot"))
+        pivots = stage(pivots.join(active.select("bucket", F.col("key").alias("pivot"), F.col("root").alias("pivot_root")), ["bucket", "pivot"]), "pivots")
+        tried = active.join(pivots, "bucket").where("key <> pivot AND root <> pivot_root")
+        links = links.unionByName(_linked_pairs(tried.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")), signatures, cells, threshold))
+        roots = stage(_contracted(links), "roots")
+        rest = active.drop("root").join(pivots.select("bucket", F.col("pivot").alias("key")), ["bucket", "key"], "left_anti")
+        rest = stage(rest.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rest")
+        counts = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        light = (F.col("n") * F.col("n") - F.col("same")) <= 2 * SMALL * F.col("n")
+        few = few.unionByName(rest.join(counts.where(light), "bucket", "left_semi").select("bucket", "key"))
+        active = stage(rest.join(counts.where(~light), "bucket", "left_semi"), "active")
+        if active.isEmpty():
+            break
+    left = few.unionByName(active.select("bucket", "key")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("root").alias("classes")).where("classes > 1")
+    left = stage(left.join(sizes, "bucket"), "left")
+    within = _across(left.where(F.col("n") <= IN_TASK).select("bucket", "key", "root").join(signatures, "key").join(cells, "key"), threshold)
+    wide = left.where(F.col("n") > IN_TASK)
+    one, two = (wide.select("bucket", F.col("key").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))
+    pairs = one.join(two, "bucket").where("a < b AND root_a <> root_b").select("a", "b")
+    return _contracted(links.unionByName(within).unionByName(_linked_pairs(pairs, signatures, cells, threshold)))
+
+
+def _across(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of linked members of a bucket (bucket, key, root, signature, cells) that are of different classes so far.
+
+    A task compares a bucket's signatures in blocks and settles open cases by shingles at once, so only links leave it.
+    """
+
+    def rows(bucket: pa.Table) -> pa.Table:
+        keys, roots = (bucket.column(c).to_numpy() for c in ("key", "root"))
+        signed = np.frombuffer(b"".join(bucket.column("signature").to_pylist()), np.uint8).reshape(len(keys), K)
+        cells = [np.frombuffer(x, np.uint32) for x in bucket.column("cells").to_pylist()]
+        found: list[tuple[int, int]] = []
+        for i in range(len(keys) - 1):
+            rest = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
+            estimate = ((signed[rest] == signed[i]).mean(axis=1) - 1 / 256) * 256 / 255
+            for j in rest[estimate >= UNSURE[0]]:
+                both = len(np.intersect1d(cells[i], cells[j], assume_unique=True))
+                if both >= threshold * (len(cells[i]) + len(cells[j]) - both):
+                    found.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+        pairs = np.array(found, np.int64).reshape(len(found), 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return members.groupBy("bucket").applyInArrow(rows, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,7 +301,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = stage(signed(source), "signed")
-    roots = _contracted(linked(source, rows))
+    roots = linked(source, rows)
     placed = rows.select("doc_id", "text_hash", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).drop("key")
     lowest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return placed.join(lowest, "root", "left").select("doc_id", "text_hash", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
@@ -265,7 +310,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, any others) with one row of each class: that of the smallest doc_id. Rows without words stay."""
     placed = stage(classes(docs), "classes")
-    first = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    first = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     wordless = placed.where("root IS NULL").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
     here = (F.col("__text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id"))

@@ -20,7 +20,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,26 @@ BLOCK = 8192
 #: Cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Texts tokenized at once, and distinct chunks kept with their ids.
-TEXT_BYTES, KEPT_CHUNKS = 4 << 20, 500_000
+TEXT_BYTES, KEPT_CHUNKS = 4 << 20, 1_000_000
 
 
-#: White space beside a blank or at an end of the text, other than blanks and line ends, or three line ends.
-_ODD = re.compile(r"\s | \s|\A\s|\s\Z|[^\S \n]|\n\n\n")
+#: Marks that end a chunk as a piece of their own; none is a letter, digit or white space.
+_MARKS = ".,;:!?$%&*#|()[]<>"
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_blanks = methodcaller("split", " ")
+
+
+class _Known(dict):
+    """Numbers of chunks; a new one gets the next number and waits for its ids."""
+
+    def __init__(self, owner: ChunkedTokenizer) -> None:
+        self.owner = owner
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = self.owner._number()
+        self.new.append(chunk)
+        return number
 
 
 class ChunkedTokenizer:
@@ -63,12 +80,11 @@ class ChunkedTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        #: Place in ``begins`` by chunk: of those after a blank, and of those that begin a text or are one.
-        self.after_blank: dict[str, int] = {}
-        self.first: dict[str, int] = {}
+        #: Number of each chunk after a blank, and of each that begins a line or is a whole text.
+        self.after_blank, self.first = _Known(self), _Known(self)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begins: list[int] = [0, 1]
-        self.lengths: list[int] = [1, len(self.newline)]
+        #: Where the ids of each number begin, and how many they are.
+        self.begins, self.lengths = array("q", [0, 1]), array("q", [1, len(self.newline)])
         self.end, self.line_end = 0, 1
         self._append(np.array([END, *self.newline], np.uint32))
 
@@ -78,53 +94,59 @@ class ChunkedTokenizer:
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def _learn(self, known: dict[str, int], chunks: list[str], lead: str) -> None:
-        """New chunks without line ends are tokenized together, parted by line ends, each a token of its own there."""
-        whole = [c for c in chunks if not c or "\n" in c or c[0].isspace() or c[-1].isspace()]
-        plain = [c for c in chunks if c and "\n" not in c and not c[0].isspace() and not c[-1].isspace()] if len(self.newline) == 1 else []
-        whole = whole if plain or not chunks else chunks
-        if plain:
-            ids = np.array(self.model.encode("\n".join(lead + c for c in plain), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.newline[0])
-            if len(cuts) == len(plain) - 1:
-                base = self.used
-                self._append(ids)
-                for chunk, start, end in zip(plain, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                    known[chunk] = len(self.lengths)
-                    self.lengths.append(end - start)
-                    self.begins.append(base + start)
-            else:
-                whole = chunks
-        for chunk, found in zip(whole, self.model.encode_batch_fast([lead + c for c in whole], add_special_tokens=False), strict=True):
-            known[chunk] = len(self.lengths)
-            self.lengths.append(len(found.ids))
-            self.begins.append(self.used)
-            self._append(np.array(found.ids, np.uint32))
+    def _number(self) -> int:
+        self.begins.append(-1)
+        self.lengths.append(-1)
+        return len(self.begins) - 1
+
+    def _learn(self) -> None:
+        """Ids of all new chunks. One that is letters and a run of marks is put together from both, each a piece of its own."""
+        parts = []
+        for known, lead in ((self.after_blank, " "), (self.first, "")):
+            new, known.new = known.new, []
+            rest = []
+            for chunk in new:
+                letters = chunk.rstrip(_MARKS)
+                if len(letters) < len(chunk) and letters.isalpha():
+                    parts.append((known[chunk], known[letters], self.first[chunk[len(letters) :]]))
+                else:
+                    rest.append(chunk)
+            rest += known.new
+            known.new = []
+            for chunk, found in zip(rest, self.model.encode_batch_fast([lead + c for c in rest], add_special_tokens=False), strict=True):
+                number = known[chunk]
+                self.begins[number], self.lengths[number] = self.used, len(found.ids)
+                self._append(np.array(found.ids, np.uint32))
+        for number, *both in parts:
+            self.begins[number], self.lengths[number] = self.used, sum(self.lengths[n] for n in both)
+            for n in both:
+                self._append(self.ids[self.begins[n] : self.begins[n] + self.lengths[n]])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end token."""
-        if len(self.after_blank) + len(self.first) > KEPT_CHUNKS:
+        if len(self.begins) > KEPT_CHUNKS:
             self._forget()
-        after_blank, first = self.after_blank, self.first
-        lines = [[[t]] if _ODD.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        self._learn(first, list({c[0]: 0 for own in lines for c in own if c[0] not in first}), "")
-        self._learn(after_blank, list({c: 0 for own in lines for line in own for c in line[1:] if c not in after_blank}), " ")
+        first, after_blank = self.first.__getitem__, self.after_blank.__getitem__
         place: list[int] = []
         counts = []
-        for own in lines:
+        for text in texts:
             before = len(place)
-            for line in own:
-                place.append(first[line[0]])
-                place += map(after_blank.__getitem__, line[1:])
+            odd = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[:1].isspace() or text[-1:].isspace() or _OTHER_SPACE.search(text)
+            lines = [[text]] if odd else map(_blanks, text.split("\n"))
+            for line in lines:
+                place.append(first(line[0]))
+                place += map(after_blank, line[1:])
                 place.append(self.line_end)
             place[-1] = self.end
             counts.append(len(place) - before)
         if not counts:
             return []
+        self._learn()
         at = np.array(place, np.int64)
-        length = np.array(self.lengths, np.int64)[at]
+        length = np.frombuffer(self.lengths, np.int64)[at]
+        begin = np.frombuffer(self.begins, np.int64)[at]
         ends = np.cumsum(length)
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(np.array(self.begins, np.int64)[at] - ends + length, length)]
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends + length, length)]
         return np.split(ids, ends[np.cumsum(counts) - 1][:-1])
 
 

@@ -113,21 +113,28 @@ class ChunkedTokenizer:
                     rest.append(chunk)
             rest += known.new
             known.new = []
+            flat: list[int] = []
             for chunk, found in zip(rest, self.model.encode_batch_fast([lead + c for c in rest], add_special_tokens=False), strict=True):
-                number = known[chunk]
-                self.begins[number], self.lengths[number] = self.used, len(found.ids)
-                self._append(np.array(found.ids, np.uint32))
-        for number, *both in parts:
-            self.begins[number], self.lengths[number] = self.used, sum(self.lengths[n] for n in both)
-            for n in both:
-                self._append(self.ids[self.begins[n] : self.begins[n] + self.lengths[n]])
+                number, ids = known[chunk], found.ids
+                self.begins[number], self.lengths[number] = self.used + len(flat), len(ids)
+                flat += ids
+            self._append(np.array(flat, np.uint32))
+        if not parts:
+            return
+        both = np.array(parts, np.int64)
+        begin, length = np.frombuffer(self.begins, np.int64)[both[:, 1:]].reshape(-1), np.frombuffer(self.lengths, np.int64)[both[:, 1:]].reshape(-1)
+        ends = np.cumsum(length)
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends + length, length)]
+        for (number, *_), start, end in zip(parts, [0, *ends[1:-1:2].tolist()], ends[1::2].tolist(), strict=True):
+            self.begins[number], self.lengths[number] = self.used + start, end - start
+        self._append(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end token."""
         if len(self.begins) > KEPT_CHUNKS:
             self._forget()
         first, after_blank = self.first.__getitem__, self.after_blank.__getitem__
-        place: list[int] = []
+        place = array("q")
         counts = []
         for text in texts:
             before = len(place)
@@ -135,14 +142,14 @@ class ChunkedTokenizer:
             lines = [[text]] if odd else map(_blanks, text.split("\n"))
             for line in lines:
                 place.append(first(line[0]))
-                place += map(after_blank, line[1:])
+                place.extend(map(after_blank, line[1:]))
                 place.append(self.line_end)
             place[-1] = self.end
             counts.append(len(place) - before)
         if not counts:
             return []
         self._learn()
-        at = np.array(place, np.int64)
+        at = np.frombuffer(place, np.int64)
         length = np.frombuffer(self.lengths, np.int64)[at]
         begin = np.frombuffer(self.begins, np.int64)[at]
         ends = np.cumsum(length)
@@ -203,7 +210,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *numbers, *(["ids"] if with_ids else [])])
 
         def piece(doc: object, ids: np.ndarray, start: int, whole: int, sequence: int, offset: int) -> tuple:
-            return doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), whole, base + sequence, offset, ids
+            return doc, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4")), whole, base + sequence, offset, ids
 
         def flush() -> list[tuple]:
             nonlocal used

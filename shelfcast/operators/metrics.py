@@ -44,9 +44,10 @@ def quantity(rows: DataFrame, by: list[str], weight: Column | None = None) -> Da
         F.sum(w).alias("w"), F.count(F.lit(1)).alias("n"), F.sum(w * error).alias("ae"), F.sum(w * error * error).alias("se"), F.sum(w * F.coalesce(S.ratio(2 * error, t + p), F.lit(0.0))).alias("sm"), F.sum(w * t).alias("ts"), F.sum(w * p).alias("ps"),
     )
     wape = F.when(F.col("ts") == 0, F.when(F.col("ae") == 0, 0.0).otherwise(float("inf"))).otherwise(100 * S.ratio(F.col("ae"), F.col("ts")))
+    near = lambda c: S.r6(c + 1e-9)  # noqa: E731  sums in another order must not turn a half the other way
     return sums.select(
-        *by, F.col("n").alias("count"), S.r6(S.ratio(F.col("ae"), F.col("w"))).alias("mae"), S.r6(F.sqrt(S.ratio(F.col("se"), F.col("w")))).alias("rmse"), S.r6(100 * S.ratio(F.col("sm"), F.col("w"))).alias("smape"), S.r6(wape).alias("wape"),
-        S.r6(F.col("ts")).alias("target_sum"), S.r6(F.col("ps")).alias("prediction_sum"), S.r6(100 * S.ratio(F.col("ps") - F.col("ts"), F.col("ts"))).alias("total_bias_rate"),
+        *by, F.col("n").alias("count"), near(S.ratio(F.col("ae"), F.col("w"))).alias("mae"), near(F.sqrt(S.ratio(F.col("se"), F.col("w")))).alias("rmse"), near(100 * S.ratio(F.col("sm"), F.col("w"))).alias("smape"), near(wape).alias("wape"),
+        near(F.col("ts")).alias("target_sum"), near(F.col("ps")).alias("prediction_sum"), near(100 * S.ratio(F.col("ps") - F.col("ts"), F.col("ts"))).alias("total_bias_rate"),
     )
 
 

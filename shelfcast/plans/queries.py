@@ -213,8 +213,8 @@ add("fc_postprocess", lambda s, d: T.predictions(s, d).withColumn("pred_qty_raw"
 
 # evaluation
 
-_METRIC = """count(*) AS count, round(sum(abs(p - t)) / count(*), 6) AS mae, round(sqrt(sum((p - t) * (p - t)) / count(*)), 6) AS rmse, round(100 * sum(coalesce(2 * abs(p - t) / nullif(t + p, 0), 0)) / count(*), 6) AS smape,
-  round(CASE WHEN sum(t) = 0 THEN CASE WHEN sum(abs(p - t)) = 0 THEN 0 ELSE 'inf'::DOUBLE END ELSE 100 * sum(abs(p - t)) / sum(t) END, 6) AS wape, round(sum(t), 6) AS target_sum, round(sum(p), 6) AS prediction_sum, round(100 * (sum(p) - sum(t)) / nullif(sum(t), 0), 6) AS total_bias_rate"""
+_METRIC = """count(*) AS count, round(sum(abs(p - t)) / count(*) + 1e-9, 6) AS mae, round(sqrt(sum((p - t) * (p - t)) / count(*)) + 1e-9, 6) AS rmse, round(100 * sum(coalesce(2 * abs(p - t) / nullif(t + p, 0), 0)) / count(*) + 1e-9, 6) AS smape,
+  round(CASE WHEN sum(t) = 0 THEN CASE WHEN sum(abs(p - t)) = 0 THEN 0 ELSE 'inf'::DOUBLE END ELSE 100 * sum(abs(p - t)) / sum(t) END + 1e-9, 6) AS wape, round(sum(t) + 1e-9, 6) AS target_sum, round(sum(p) + 1e-9, 6) AS prediction_sum, round(100 * (sum(p) - sum(t)) / nullif(sum(t), 0) + 1e-9, 6) AS total_bias_rate"""
 _BUCKET = "CASE WHEN t = 0 THEN '0' WHEN t < 2 THEN '1' WHEN t < 5 THEN '2-5' WHEN t < 20 THEN '5-20' ELSE '20+' END"
 _LONG = f"lo AS (SELECT split, candidate, target AS t, p, current, month, site_no, item_id FROM (SELECT *, 'hist' AS candidate, hist AS p FROM (SELECT * EXCLUDE (p) FROM fc) UNION ALL SELECT *, 'wma', wma FROM (SELECT * EXCLUDE (p) FROM fc) UNION ALL SELECT *, 'two', two FROM (SELECT * EXCLUDE (p) FROM fc)))"
 _SEG = f"sg AS (SELECT *, unnest(list_filter(['overall', {_BUCKET}, CASE WHEN t > 0 THEN 'nonzero' END, CASE WHEN t >= 5 THEN 'ge_5' END, CASE WHEN t >= 20 THEN 'ge_20' END], lambda x: x IS NOT NULL)) AS segment FROM lo)"

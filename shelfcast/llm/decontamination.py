@@ -12,8 +12,8 @@ The test items are taken in blocks of bounded size (``BLOCK_WINDOWS``), each bro
 over the index, so neither side has to fit into memory.
 
 Defined cases: a null or empty text has no words and no hits; items without words match nothing; an
-item shorter than a window is one window; equal items count once each, equal rows get equal
-results; a null item_id is reported as an empty string; empty tables give no rows or no hits; other
+item shorter than a window is one window; equal items count once each; rows that share
+an id are items of their own, reported under one name; equal rows get equal results; a null item_id is reported as an empty string; empty tables give no rows or no hits; other
 columns are ignored.
 """
 
@@ -54,6 +54,11 @@ def item_words(items: DataFrame, item_id: str = "item_id", text: str = "text") -
     return source.mapInArrow(rows, "item string, terms array<bigint>")
 
 
+def different_items(item_terms: DataFrame) -> DataFrame:
+    """Rows of equal id and words once, each with a ``key`` of its own (fixed once written): ids may recur."""
+    return item_terms.distinct().withColumn("key", F.monotonically_increasing_id())
+
+
 def vocabulary(item_terms: DataFrame) -> DataFrame:
     return item_terms.select(F.explode("terms").alias("term")).distinct()
 
@@ -106,13 +111,13 @@ def term_counts(indexed: DataFrame) -> DataFrame:
 
 
 def test_windows(item_terms: DataFrame, counts: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(window, item, terms, offsets), rarest term first. Equal windows of an item stay apart by their number."""
-    place = item_terms.select("item", F.posexplode("terms").alias("place", "term")).join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    item = place.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("place", "term", "n"))).alias("words"))
+    """(key, item, start, terms, offsets), rarest term first. Equal windows of an item stay apart by their number."""
+    place = item_terms.select("key", "item", F.posexplode("terms").alias("place", "term")).join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    item = place.groupBy("key", "item").agg(F.array_sort(F.collect_list(F.struct("place", "term", "n"))).alias("words"))
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0))))
-    cut = item.withColumn("start", starts).select("item", F.slice("words", F.col("start") + 1, size).alias("words"), "start")
+    cut = item.withColumn("start", starts).select("key", "item", F.slice("words", F.col("start") + 1, size).alias("words"), "start")
     ranked = F.array_sort(F.transform("words", lambda w: F.struct(w["n"].alias("n"), (w["place"] - F.col("start")).alias("offset"), w["term"].alias("term"))))
-    return cut.select("item", "start", ranked.alias("words")).where(F.get("words", F.lit(0))["n"] > 0).select("item", "start", F.col("words.term").alias("terms"), F.col("words.offset").alias("offsets"))
+    return cut.select("key", "item", "start", ranked.alias("words")).where(F.get("words", F.lit(0))["n"] > 0).select("key", "item", "start", F.col("words.term").alias("terms"), F.col("words.offset").alias("offsets"))
 
 
 class _Lists:
@@ -248,10 +253,10 @@ def _blocks(windows: DataFrame, size: int) -> Iterator[list]:
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", slack: int = 2, block: int = BLOCK_WINDOWS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, hits (word spans begin, end), items (with exact phrases), near_items (proximity only)."""
-    item_terms = stage(item_words(items), "items")
+    item_terms = stage(different_items(item_words(items)), "items")
     terms = np.array([r["term"] for r in vocabulary(item_terms).toLocalIterator()], np.int64)
     indexed = stage(index(docs, terms, doc_id, text), "index")
-    windows = stage(test_windows(item_terms, term_counts(indexed)).repartition(8, "item"), "windows")
+    windows = stage(test_windows(item_terms, term_counts(indexed)).repartition(8, "key"), "windows")
     parts = [matches(indexed, rows, slack) for rows in _blocks(windows, block)] or [matches(indexed, [], slack)]
     found = parts[0]
     if len(parts) > 1:  # the written index has numbered its rows, so a document's finds of all blocks meet

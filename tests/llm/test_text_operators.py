@@ -116,6 +116,20 @@ def test_contamination(spark, docs, texts, block):
         assert (r.n_words, r.n_hit, r["items"]) == hit_by_hand(text, items), text
 
 
+def test_items_that_share_an_id(spark):
+    a, b, c, d, e = (prose(k, n) for k, n in ((31, 24), (32, 17), (33, 12), (34, 15), (35, 14)))
+    items = [("1", " ".join(a)), ("1", " ".join(a)), (None, " ".join(b)), (None, " ".join(c)), ("2", " ".join(d)), ("2", " ".join(e)), ("2", " ".join(d))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    filler = prose(36, 6)
+    texts = [filler + one[low:high] + filler for one in (a, b, c, d, e) for low, high in ((0, 5), (2, 12), (0, 99))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id int, text string")
+    rows = decontamination.contamination(docs, bench, slack=0).withColumn("n_hit", decontamination.hit_words(F.col("hits"))).collect()
+    for r in rows:
+        assert (r.n_words, r.n_hit, r["items"]) == hit_by_hand(" ".join(texts[r.doc_id]), [(i or "", t) for i, t in items]), r.doc_id
+    kept = decontamination.without_contaminated(docs, bench)
+    assert {r.doc_id for r in kept.collect()} == {0, 3, 6, 9, 12}
+
+
 def test_proximity(spark):
     item = spark.createDataFrame([("a", "alpha beta gamma delta epsilon")], "item_id string, text string")
     doc = spark.createDataFrame([(1, "x alpha beta extra gamma delta epsilon y"), (2, "epsilon x x x x x x x alpha")], "doc_id int, text string")

@@ -3,7 +3,8 @@
 Every block element's subtree is hashed (tag, class, id, texts and child hashes). Spark counts the pages of
 each host that hold a hash; a subtree found on many pages of its host (at least ``MIN_PAGES`` and a
 ``SHARE`` of them; inside of the main content, in half of the host's different articles, and only whole containers there) is the
-site's template and goes. What is left is cleaned by meaning: elements that HTML or their class, id
+site's template and goes. A page without main content, or whose main content would have no text left, loses only
+whole containers found in half of the host's different pages (of all, or of those without main content); copies count once. What is left is cleaned by meaning: elements that HTML or their class, id
 or role names as menus, headers, footers, sidebars, notices, adverts, forms or comments. The text is
 that of the articles, else of the main element, else of the body.
 
@@ -32,6 +33,8 @@ from shelfcast.llm.tables import stage, table
 
 MIN_PAGES, SHARE, SHARE_INSIDE = 8, 0.05, 0.5
 BROADCAST_ROWS = 500_000
+#: Flags of the templates, and the sets of hashes that they make.
+SETS = {"loose": "hashes", "strict": "inside", "body": "bodies"}
 
 # Names of HTML elements, and of the parts of pages that are not main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -178,14 +181,19 @@ def _text(elements: list[Element], gone: set[int]) -> str:
     return " ".join("".join(out).split())
 
 
-def template_parts(elements: list[Element], hashes: set[int], inside: set[int]) -> set[int]:
-    """Elements to delete: of the host's template, in the main content only by the stricter set."""
-    return {id(e) for e in elements if e.tag in BLOCK and e.tag not in KEPT_TAGS and (e.hash in inside and e.tag in CONTAINERS if e.main is not None else e.hash in hashes)}
+def template_parts(elements: list[Element], outside: set[int], inside: set[int], whole: bool = False) -> set[int]:
+    """Elements to delete: of the host's template, in the main content (with ``whole``, everywhere) only containers."""
+    return {id(e) for e in elements if e.tag in BLOCK and e.tag not in KEPT_TAGS and (e.hash in inside and e.tag in CONTAINERS if e.main is not None else e.hash in outside and (not whole or e.tag in CONTAINERS))}
 
 
-def main_text(source: str, hashes: set[int] = frozenset(), inside: set[int] = frozenset()) -> str:
+def main_text(source: str, hashes: set[int] = frozenset(), inside: set[int] = frozenset(), bodies: set[int] = frozenset()) -> str:
     root, elements = parse(source)
-    gone = template_parts(elements, hashes, inside)
+    if any(e.main is not None for e in elements):
+        gone = template_parts(elements, hashes, inside)
+        for tags in (("article",), ("main",)):
+            if (found := _mains(root, tags, gone)) and (text := _text(found, gone)):
+                return text
+    gone = template_parts(elements, bodies, inside, whole=True)
     for tags in (("article",), ("main",)):
         if (found := _mains(root, tags, gone)) and (text := _text(found, gone)):
             return text
@@ -193,31 +201,36 @@ def main_text(source: str, hashes: set[int] = frozenset(), inside: set[int] = fr
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, hash, main) for each page's distinct subtrees, with the hash of the main content around them or 0."""
+    """(host, hash, main, body, plain) for each page's distinct subtrees and the page itself, with the hash of the main content around them or 0, outside of it that of the page, and whether the page has no main content."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
+            hosts, found, plain = [], [], []
             for host, source in zip(batch.column("host"), batch.column("html"), strict=True):
-                _, elements = parse(source.as_py() or "")
-                own = {(e.hash, e.main.hash if e.main is not None else 0) for e in elements if e.tag in BLOCK and e.tag not in VOID}
+                root, elements = parse(source.as_py() or "")
+                own = {(e.hash, e.main.hash, 0) if e.main is not None else (e.hash, 0, root.hash) for e in elements if e.tag in BLOCK and e.tag not in VOID} | {(root.hash, 0, root.hash)}
                 hosts += [host.as_py()] * len(own)
                 found += own
-            both = np.array(found, np.uint64).reshape(len(found), 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["host", "hash", "main"])
+                plain += [all(e.main is None for e in elements)] * len(own)
+            each = np.array(found, np.uint64).reshape(len(found), 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(each[:, k]) for k in range(3)), pa.array(plain, pa.bool_())], names=["host", "hash", "main", "body", "plain"])
 
-    return pages.select("host", "html").mapInArrow(rows, "host string, hash bigint, main bigint")
+    return pages.select("host", "html").mapInArrow(rows, "host string, hash bigint, main bigint, body bigint, plain boolean")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, share_inside: float = SHARE_INSIDE) -> DataFrame:
-    """(host, hash, strict): subtrees on many of a host's pages; strict ones in enough different articles to go from main content too."""
-    each = stage(subtrees(pages).groupBy("host", "hash", "main").agg(F.count(F.lit(1)).alias("n")), "subtrees")
-    held = each.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.count_if(F.col("main") != 0).alias("n_in")).where(F.col("n") >= min_pages)
+    """(host, hash, loose, strict, body): subtrees on many of a host's pages; strict ones in enough different articles to go from main content too, body ones in enough different pages to go from those without."""
+    each = stage(subtrees(pages).groupBy("host", "hash", "main", "body", "plain").agg(F.count(F.lit(1)).alias("n")), "subtrees")
+    outside = F.col("main") == 0
+    counts = F.sum("n").alias("n"), F.count_if(~outside).alias("n_in"), F.count_if(outside).alias("n_out"), F.count_if(outside & F.col("plain")).alias("n_plain")
+    held = each.groupBy("host", "hash").agg(*counts).where(F.col("n") >= min_pages)
     total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    articles = each.where("main = hash").groupBy("host").agg(F.count(F.lit(1)).alias("n_articles"))
-    known = held.join(total, "host").join(articles, "host", "left").where(F.col("n") >= share * F.col("n_pages"))
-    strict = (F.col("n_in") >= min_pages) & (F.col("n_in") >= share_inside * F.coalesce("n_articles", F.lit(0)))
-    return known.select("host", "hash", strict.alias("strict"))
+    whole = each.where("main = hash OR body = hash").groupBy("host").agg(F.count_if(~outside).alias("n_articles"), F.count_if(outside).alias("n_bodies"), F.count_if(outside & F.col("plain")).alias("n_plain_bodies"))
+    loose = F.col("n") >= share * F.col("n_pages")
+    enough = lambda n, of: (F.col(n) >= min_pages) & (F.col(n) >= share_inside * F.col(of))
+    body = enough("n_out", "n_bodies") | enough("n_plain", "n_plain_bodies")
+    known = held.join(total, "host").join(whole, "host")
+    return known.select("host", "hash", loose.alias("loose"), (loose & enough("n_in", "n_articles")).alias("strict"), body.alias("body")).where("loose OR body")
 
 
 def with_host(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -230,12 +243,12 @@ def extract(pages: DataFrame) -> DataFrame:
     source = with_host(pages)
     found = stage(templates(source), "templates")
     small = found.count() <= BROADCAST_ROWS
-    sets = found.groupBy("host").agg(F.collect_list("hash").alias("hashes"), F.collect_list(F.when(F.col("strict"), F.col("hash"))).alias("inside"))
+    sets = found.groupBy("host").agg(*[F.collect_list(F.when(F.col(flag), F.col("hash"))).alias(name) for flag, name in SETS.items()])
     joined = source.join(F.broadcast(sets) if small else sets, "host", "left")
     kind = source.schema["page_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[set[int], set[int]]] = {}
+        known: dict[str, tuple[set[int], ...]] = {}
         for whole in batches:
             for part in range(0, whole.num_rows, 256):
                 batch = whole.slice(part, 256)
@@ -244,11 +257,11 @@ def extract(pages: DataFrame) -> DataFrame:
                     if host not in known:
                         if len(known) > 64:
                             known.clear()
-                        known[host] = tuple({h & 0xFFFFFFFFFFFFFFFF for h in batch.column(c)[i].as_py() or ()} for c in ("hashes", "inside"))
+                        known[host] = tuple({h & 0xFFFFFFFFFFFFFFFF for h in batch.column(c)[i].as_py() or ()} for c in SETS.values())
                     texts.append(main_text(source.as_py(), *known[host]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(texts, pa.string())], names=["page_id", "url", "host", "text"])
 
-    return joined.select("page_id", "url", "host", "html", "hashes", "inside").mapInArrow(rows, f"page_id {kind}, url string, host string, text string")
+    return joined.select("page_id", "url", "host", "html", *SETS.values()).mapInArrow(rows, f"page_id {kind}, url string, host string, text string")
 
 
 def op10_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,23 @@ def test_articles_that_recur_stay(spark):
     assert found == {"Title & 7 First line of boldness7 Second one <x> i7 i2 own c7 c2"}
 
 
+def test_pages_without_main_content(spark):
+    plain = "<html><body><div id=top><ul><li>Home<li>Shop</ul></div><h2>Summary</h2><div class=x><p>{0}</p><p>As they say</p><table><tr><td>yes<td>{0}</table></div></body></html>"
+    rows = [(n, "http://plain.example/a", plain.format(f"own {n}" if n >= 10 else "copied")) for n in range(40)]
+    wrapped = "<html><body><div id=all><article><h1>One</h1><p>same text</p></article></div></body></html>"
+    rows += [(100 + n, "http://wrapped.example/a", wrapped) for n in range(12)]
+    rows += [(200 + n, "http://copies.example/a", plain.format("same")) for n in range(12)]
+    rows += [(300 + n, "http://mixed.example/a", f"<body><div id=top>Menu</div><article>text {n}</article></body>") for n in range(12)]
+    rows += [(400, "http://mixed.example/a", "<body><div id=top>Menu</div><p>landing</p></body>")]
+    found = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for n in range(40):
+        own = f"own {n}" if n >= 10 else "copied"
+        assert found[n] == f"Summary {own} As they say yes {own}"
+    assert {found[100 + n] for n in range(12)} == {"One same text"}
+    assert {found[200 + n] for n in range(12)} == {"Home Shop Summary same As they say yes same"}
+    assert [found[300 + n] for n in range(12)] == [f"text {n}" for n in range(12)] and found[400] == "landing"
+
+
 def test_malformed_pages_end():
     for source in ("<a " + '"' * 30_000, "<p>" * 5_000 + "x", "<div>" * 5_000, '<a x="' * 2_000, "<" * 10_000, "</p>" * 5_000, "<script>" * 300, "&#0;&#x110000;&amp"):
         assert isinstance(html_extraction.main_text(source), str)

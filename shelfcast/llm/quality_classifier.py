@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
-Each token has a sparse ternary index vector drawn from its hash. A frequent token's vector is its
-index vector and the sum of its neighbours' index vectors in the sample (gathered by Spark, token by
-token). A rare token stands for its shape (its case, digits or punctuation). A document is the mean of
+Each token has a sparse ternary index vector drawn from its hash. A token's vector is its index vector,
+that of its shape (its case, digits or punctuation) and the sum of its neighbours' index vectors in all
+documents, gathered by Spark in ``SLOTS`` hashed slots, which tokens may share. A document is the mean of
 its tokens' vectors, plain and with damped counts, and a few measures of length and repetition. A
 network with one hidden layer is trained in NumPy on the driver, on at most ``SAMPLE_ROWS`` labelled
 rows, and its probabilities are calibrated by a temperature found on rows kept apart from training.
@@ -30,8 +30,8 @@ from shelfcast.llm.language_id import sampled
 from shelfcast.llm.tables import stage, table
 
 SAMPLE_ROWS = 6_000
-#: Tokens with vectors of their own, and in how many sampled documents they must be.
-VOCABULARY, MIN_DOCS = 8_192, 5
+#: Slots of context sums, slots in one row of the shuffle, and tokens summed at once.
+SLOTS, SLOT_BLOCK, CHUNK = 1 << 16, 64, 1 << 16
 DIMENSIONS, NONZERO, REACH = 64, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY, BATCH = 32, 40, 3e-3, 1e-4, 128
 CALIBRATION_SHARE = 0.2
@@ -71,19 +71,49 @@ def index_vector(token: str, dimensions: int = DIMENSIONS, nonzero: int = NONZER
     return out
 
 
+def drawn(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The index vectors of tokens, as ``index_vector`` has them, and their slots."""
+    digest = np.array([xxhash.xxh3_128_intdigest(t.encode("utf-8", "replace")) & (1 << 60) - 1 for t in names], np.int64)
+    out, row, bits = np.zeros((len(names), DIMENSIONS), np.int8), np.arange(len(names)), (2 * DIMENSIONS).bit_length() - 1
+    for k in range(NONZERO):
+        at = digest >> bits * k & 2 * DIMENSIONS - 1
+        out[row, at >> 1] += np.where(at & 1, 1, -1).astype(np.int8)
+    return out, (digest >> bits * NONZERO) % SLOTS
+
+
 @dataclass
 class Vectors:
-    """Vectors of known tokens and, by shape, of all others."""
+    """Vectors of all tokens."""
 
-    known: dict[str, np.ndarray]
+    context: np.ndarray  # by slot
     shapes: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def of(self, token: str) -> np.ndarray:
-        if (found := self.known.get(token)) is None:
-            look = shape(token)
-            if (found := self.shapes.get(look)) is None:
-                found = self.shapes[look] = index_vector(look)
-        return found
+    def of(self, names: list[str]) -> np.ndarray:
+        own, slot = drawn(names)
+        looks = [shape(t) for t in names]
+        for look in set(looks) - self.shapes.keys():
+            self.shapes[look] = index_vector(look)
+        return own + np.array([self.shapes[look] for look in looks], np.float32) + self.context[slot]
+
+
+class _Numbers(dict):
+    """Numbers tokens in order of arrival; ``new`` are those not looked at yet."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        self[token] = number = len(self)
+        self.new.append(token)
+        return number
+
+
+def _grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``array``, or a larger copy, with ``more`` from row ``used`` on."""
+    if used + len(more) > len(array):
+        array = np.concatenate([array[:used], np.zeros((used + 2 * len(more), *array.shape[1:]), array.dtype)])
+    array[used : used + len(more)] = more
+    return array
 
 
 class Pool:
@@ -94,9 +124,7 @@ class Pool:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.distinct: dict[int, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.place = _Numbers()
         self.table = np.zeros((0, DIMENSIONS), np.float32)
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -108,27 +136,14 @@ class Pool:
             return out
         if len(self.place) > KEPT_TOKENS:
             self._forget()
-        place = self.place
-        for token in counts:
-            if token not in place:
-                vector = self.vectors.of(token)
-                if (at := self.distinct.get(id(vector))) is None:
-                    at = self.distinct[id(vector)] = len(self.rows)
-                    self.rows.append(vector)
-                place[token] = at
-        if len(self.table) < len(self.rows):
-            self.table = np.array(self.rows, np.float32)
         n = np.fromiter(counts.values(), np.float32, len(counts))
-        at = np.fromiter(map(place.__getitem__, counts), np.int64, len(counts))
+        at = np.fromiter(map(self.place.__getitem__, counts), np.int64, len(counts))
+        if new := self.place.new:
+            self.table = _grown(self.table, len(self.place) - len(new), self.vectors.of(new))
+            self.place.new = []
         small = np.log1p(n)
-        # tokens of one shape share a vector: their counts are added before vectors are
-        many = np.bincount(at, n, len(self.table)) if len(at) > len(self.table) // 4 else None
-        if many is not None:
-            plain, damped = many.astype(np.float32) @ self.table, np.bincount(at, small, len(self.table)).astype(np.float32) @ self.table
-        else:
-            rows = self.table[at]
-            plain, damped = n @ rows, small @ rows
-        out[:DIMENSIONS], out[DIMENSIONS : 2 * DIMENSIONS] = plain / n.sum(), damped / small.sum()
+        rows = self.table[at]
+        out[:DIMENSIONS], out[DIMENSIONS : 2 * DIMENSIONS] = n @ rows / n.sum(), small @ rows / small.sum()
         same = sum(map(str.__eq__, found, found[1:]))
         lines = [line for line in (text or "").split("\n") if line]
         out[-5:-1] = len(counts) / len(found), n.max() / len(found), same / len(found), 1 - len(set(lines)) / max(1, len(lines))
@@ -195,39 +210,74 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality")  # bounded by ``bound``
 
 
-def context_vectors(sample: DataFrame) -> Vectors:
-    """Vectors of the sample's frequent tokens."""
-    frequent = sample.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+)"), F.lit(1)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    names = [r["token"] for r in frequent.where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()]
-    shared = sample.sparkSession.sparkContext.broadcast({name: i for i, name in enumerate(names)})
+class _Contexts:
+    """Sums of the neighbours' index vectors by slot."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
-        drawn: dict[str, np.ndarray] = {}
-        sums = np.zeros((len(number), DIMENSIONS), np.float32)
+    def __init__(self) -> None:
+        self.sums = np.zeros((SLOTS, DIMENSIONS), np.int32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place = _Numbers()
+        self.place[""] = 0  # between texts
+        self.index, self.slot = np.zeros((1, DIMENSIONS), np.int8), np.zeros(1, np.int64)
+
+    def add(self, ids: list[int]) -> None:
+        """Numbers of tokens, with ``REACH`` zeros before, between and after texts."""
+        if new := self.place.new:
+            used = len(self.place) - len(new)
+            index, slot = drawn(new)
+            self.index, self.slot = _grown(self.index, used, index), _grown(self.slot, used, slot)
+            self.place.new = []
+        whole = np.array(ids, np.int64)
+        for low in range(0, len(whole) - 2 * REACH, CHUNK):
+            part = whole[low : low + CHUNK + 2 * REACH]
+            n = len(part) - 2 * REACH
+            vectors, mine = self.index[part], part[REACH : REACH + n]
+            near = sum(vectors[k : k + n] for k in range(2 * REACH + 1) if k != REACH)
+            real = np.flatnonzero(mine)
+            order = real[np.argsort(self.slot[mine[real]], kind="stable")]
+            slot = self.slot[mine[order]]
+            starts = np.flatnonzero(np.diff(slot, prepend=-1))
+            if len(starts):
+                self.sums[slot[starts]] += np.add.reduceat(near[order], starts, axis=0, dtype=np.int32)
+        if len(self.place) > KEPT_TOKENS:
+            self._forget()
+
+
+def context_vectors(docs: DataFrame) -> Vectors:
+    """Context sums of all tokens of all documents, by slot."""
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts, gap = _Contexts(), [0] * REACH
+        ids = gap.copy()
         for batch in batches:
             for text in batch.column("text"):
-                found = tokens(text.as_py())
-                marks = [t if t in number else shape(t) for t in found]
-                for mark in set(marks) - drawn.keys():
-                    drawn[mark] = index_vector(mark)
-                at = np.array([number.get(t, -1) for t in found], np.int64)
-                vectors = np.array([drawn[m] for m in marks], np.float32).reshape(len(found), DIMENSIONS)
-                for shift in range(1, REACH + 1):
-                    ahead, behind = at[:-shift] >= 0, at[shift:] >= 0
-                    np.add.at(sums, at[:-shift][ahead], vectors[shift:][ahead])
-                    np.add.at(sums, at[shift:][behind], vectors[:-shift][behind])
-        some = np.flatnonzero(np.abs(sums).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(sums[some, d].astype(np.float64)) for d in range(DIMENSIONS))], names=["token", *(f"v{d}" for d in range(DIMENSIONS))])
-
-    parts = sample.select("text").mapInArrow(rows, ", ".join(["token bigint", *(f"v{d} double" for d in range(DIMENSIONS))]))
-    known = {name: index_vector(name) for name in names}
-    for r in parts.groupBy("token").agg(*[F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMENSIONS)]).collect():  # at most VOCABULARY rows
-        context = np.array(r[1:], np.float32)
-        if length := np.linalg.norm(context):
-            name = names[r["token"]]
-            known[name] = known[name] + 2 * context / length
-    return Vectors(known)
+                ids.extend(map(contexts.place.__getitem__, tokens(text.as_py())))
+                ids += gap
+                if len(ids) > CHUNK:
+                    contexts.add(ids)
+                    ids = gap.copy()
+        contexts.add(ids)
+        blocks = contexts.sums.reshape(-1, SLOT_BLOCK * DIMENSIONS)
+        some = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[k].tobytes() for k in some], pa.binary())], names=["block", "sums"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                if block not in total:
+                    total[block] = np.zeros(SLOT_BLOCK * DIMENSIONS, np.int64)
+                total[block] += np.frombuffer(sums, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["block", "sums"])
+
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(gathered, "block bigint, sums binary")
+    context = np.zeros((SLOTS, DIMENSIONS), np.float32)
+    for r in parts.repartition(16, "block").mapInArrow(added, "block bigint, sums binary").collect():  # at most SLOTS vectors: 16 MB
+        context[r["block"] * SLOT_BLOCK : (r["block"] + 1) * SLOT_BLOCK] = np.frombuffer(r["sums"], np.float32).reshape(SLOT_BLOCK, DIMENSIONS)
+    length = np.linalg.norm(context, axis=1, keepdims=True)
+    return Vectors(2 * context / np.where(length > 0, length, 1))
 
 
 def _pooled(batches: Iterator[pa.RecordBatch], vectors: Vectors) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -240,7 +290,7 @@ def _pooled(batches: Iterator[pa.RecordBatch], vectors: Vectors) -> Iterator[tup
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> tuple[Vectors, Network]:
     sample = stage(labelled_sample(docs, labels, bound).repartition(8), "labelled")
-    vectors = context_vectors(sample)
+    vectors = context_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -157,6 +157,22 @@ def test_quality_classifier(spark):
     assert quality_classifier.score(docs.where("false"), model).count() == 0
 
 
+def test_all_words_of_all_documents_have_vectors(spark):
+    texts = ["rare words stand in one text", None, "", "alone", "no label here , yet words count", "rare words again and again ; again"] + [f"word{i} next{i % 7}" for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    vectors, _ = quality_classifier.fit(docs.repartition(3), spark.createDataFrame([(0, 1), (3, 0)], "doc_id int, quality int"))
+    want = np.zeros_like(vectors.context)
+    for text in texts:
+        found = quality_classifier.tokens(text)
+        for i, slot in enumerate(quality_classifier.drawn(found)[1]):
+            for j in range(max(0, i - 2), min(len(found), i + 3)):
+                want[slot] += quality_classifier.index_vector(found[j]) * (i != j)
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(vectors.context, 2 * want / np.where(norm > 0, norm, 1), atol=1e-5)
+    a, b = vectors.of(["label", "stand"])
+    assert (a != b).any() and (quality_classifier.drawn(["label"])[0][0] == quality_classifier.index_vector("label")).all()
+
+
 DATA = "/root/testdata/sf0.001"
 
 

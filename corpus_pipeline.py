@@ -36,7 +36,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.default_tokenizer())
+    return packing.pack(docs, packing.default_tokenizer(), special_as_text=False)
 
 
 STAGES = [

@@ -72,10 +72,13 @@ class ChunkedTokenizer:
     space are tokenized whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = special_as_text
+        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        #: Texts with an added token are tokenized whole, unless it is read as text.
+        self.added = re.compile("|".join(added)) if added and not special_as_text else None
         self.newline = self.model.encode("\n", add_special_tokens=False).ids
         self._forget()
 
@@ -138,7 +141,7 @@ class ChunkedTokenizer:
         counts = []
         for text in texts:
             before = len(place)
-            odd = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[:1].isspace() or text[-1:].isspace() or _OTHER_SPACE.search(text)
+            odd = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[:1].isspace() or text[-1:].isspace() or _OTHER_SPACE.search(text) or (self.added and self.added.search(text))
             lines = [[text]] if odd else map(_blanks, text.split("\n"))
             for line in lines:
                 place.append(first(line[0]))
@@ -157,14 +160,14 @@ class ChunkedTokenizer:
         return np.split(ids, ends[np.cumsum(counts) - 1][:-1])
 
 
-_TOKENIZERS: dict[str, ChunkedTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, bool], ChunkedTokenizer] = {}
 
 
-def tokenizer(path: str) -> ChunkedTokenizer:
+def tokenizer(path: str, special_as_text: bool = True) -> ChunkedTokenizer:
     """One for each Python worker."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkedTokenizer(path)
-    return _TOKENIZERS[path]
+    if (path, special_as_text) not in _TOKENIZERS:
+        _TOKENIZERS[path, special_as_text] = ChunkedTokenizer(path, special_as_text)
+    return _TOKENIZERS[path, special_as_text]
 
 
 def cost(tokens: float) -> float:
@@ -191,14 +194,14 @@ def packed(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int,
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, special_as_text: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids if asked for."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     numbers = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(tokenizer_path).encode
+        encode = tokenizer(tokenizer_path, special_as_text).encode
         base = TaskContext.get().partitionId() << 36
         used = 0
         waiting: list[tuple[object, np.ndarray, int]] = []  # doc, ids of the remainder, its start
@@ -260,4 +263,4 @@ def default_tokenizer() -> str:
 
 
 def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), default_tokenizer())
+    return pack(table(spark, sf_dir, "documents"), default_tokenizer(), special_as_text=False)

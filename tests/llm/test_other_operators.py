@@ -29,6 +29,17 @@ def test_chunked_tokens_are_the_tokenizers():
         assert got.tolist() == [*want.ids, packing.END]
 
 
+def test_queries_leave_the_tokenizer_as_it_is(spark, tmp_path):
+    model = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "one <|endoftext|> two\nthree", "end <|endoftext|>.", "plain <|endoftext| >"]
+    want = [[*model.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+    assert [x.tolist() for x in packing.ChunkedTokenizer(packing.default_tokenizer(), special_as_text=False).encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for found in (packing.op5_cost_balanced_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, "")):
+        assert {r.doc_id: r.doc_tokens for r in found.collect()} == {i: len(w) for i, w in enumerate(want)}
+
+
 def test_packed_is_balanced_and_tight():
     draw = random.Random(2)
     lengths = [draw.randint(1, 2047) for _ in range(900)]

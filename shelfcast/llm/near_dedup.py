@@ -7,14 +7,20 @@ and step says how many darts fall there and where. The dart of lowest rank of ea
 the signature: two documents agree in a coordinate with the probability of their weighted Jaccard
 similarity. Only about ``k ln k`` darts are looked at for a document, however long it is.
 
-Bands of coordinates are joined by hash. In each bucket two pivots are elected by aggregates: the
-member that meets most others in all bands (the likely origin of a group of copies) and one by hash;
-every member is compared with them. Linked members are contracted, and buckets whose members are all
-of one class are done. In the others, members of different classes are compared among themselves if
-that is at most ``SMALL`` pairs for a member (inside a task, which gives only links), else pivots are elected again, ``ROUNDS`` times in all;
-what is left then (large groups just below the threshold) is compared across classes too, so that no
-link is given up. Signatures decide clear cases; near the threshold the exact shingles do. Linked
-documents form classes by star contraction.
+Bands of coordinates are joined by hash; of buckets with the same members one is kept. Then
+
+1. every member is compared with one hub, the most connected one of its buckets' hubs. The links point
+   from less to more connected members, so they are trees; following them gives classes;
+2. buckets whose members are all of one class are done. In the others, members of different classes are
+   compared among themselves if these are at most ``SMALL`` pairs for a member or fit into a task; else two pivots of each
+   bucket (the most connected member, and one by hash) are compared with all others, ``ROUNDS`` times in all;
+3. what is left then (large groups just below the threshold) is compared across classes as well, so that
+   no link is given up. Buckets are dealt in blocks bounded by rows and bytes: whoever is not in the
+   bucket's largest class visits all blocks of members.
+
+Signatures decide clear cases; near the threshold the exact shingles do, which are looked up for such
+members alone. Links join classes, not members: only the few edges between different classes are
+contracted, by alternating large and small stars.
 
 Defined cases: equal word sequences are one class however many rows they have; a null text or one
 without words has no shingle and forms a class of its own row id; equal doc_ids of different texts
@@ -43,8 +49,8 @@ K = BANDS * ROWS
 UNSURE = (0.715, 0.885)
 #: Pairs for a member that a bucket may list, and how often pivots are elected before.
 SMALL, ROUNDS = 64, 4
-#: Members of a bucket that one task compares; larger buckets are compared by a join.
-IN_TASK = 2048
+#: Members, and bytes of their shingles, in one block of a bucket; two blocks meet in a task.
+IN_TASK, TASK_BYTES = 1024, 8 << 20
 #: Hashes of texts for the exact check that may be broadcast: 8 MB.
 BROADCAST_ROWS = 1_000_000
 _EDGES = np.array([0.0, 2.0**-8, 2.0**-6, 2.0**-4, 2.0**-2, *(2.0**p for p in range(14))])
@@ -129,7 +135,7 @@ def shingle_cells(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
 
 
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: doc_id, text_hash, key (hash of its words; null without words), signature (a byte for each coordinate), band hashes."""
+    """For each row: doc_id, text_hash, key (hash of its words; null without words), number of cells, signature (a byte for each coordinate), band hashes."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("__text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -149,13 +155,14 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                         batch.column(0).slice(row, end - row),
                         batch.column(1).slice(row, end - row),
                         pa.array(whole.view(np.int64), mask=none),
+                        pa.array(np.bincount(of, minlength=end - row).astype(np.int64)),
                         pa.array([x.tobytes() for x in packed], pa.binary()),
                         pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.reshape(-1).view(np.int64))),
                     ],
-                    names=["doc_id", "text_hash", "key", "signature", "bands"],
+                    names=["doc_id", "text_hash", "key", "size", "signature", "bands"],
                 )
 
-    return source.mapInArrow(rows, f"doc_id {kind}, text_hash bigint, key bigint, signature binary, bands array<bigint>")
+    return source.mapInArrow(rows, f"doc_id {kind}, text_hash bigint, key bigint, size bigint, signature binary, bands array<bigint>")
 
 
 def _agreement(pairs: DataFrame) -> DataFrame:
@@ -200,26 +207,50 @@ def _exact(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(rows, "a bigint, b bigint, similarity double")
 
 
-def _contracted(links: DataFrame) -> DataFrame:
-    """(key, root) of the connected components of ``links`` (a, b): alternating large and small stars until nothing changes."""
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+def _followed(up: DataFrame) -> DataFrame:
+    """(key, root) from links to parents (key, up) that form trees."""
+    while True:
+        above = up.select(F.col("key").alias("up"), F.col("up").alias("above"))
+        jumped = stage(up.join(above, "up", "left").select("key", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")), "roots")
+        up = jumped.drop("moved")
+        if jumped.where("moved").isEmpty():
+            return up.withColumnRenamed("up", "root")
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(key, root) of the connected components of ``edges`` (u > v): alternating large and small stars until all are stars."""
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        after = stage(small, "edges")
-        a, b = (x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first() for x in (edges, after))
-        edges = after
-        if tuple(a) == tuple(b):
+        edges = stage(small, "edges")
+        n, keys = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        if n == keys and edges.join(edges.select(F.col("v").alias("w")).distinct(), F.col("u") == F.col("w"), "left_semi").isEmpty():
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
 
 
+def _rooted(rows: DataFrame, roots: DataFrame, key: str = "key", root: str = "root") -> DataFrame:
+    """``rows`` with the root of that key; a key of no class is its own."""
+    return rows.join(roots.select(F.col("key").alias(key), F.col("root").alias(root)), key, "left").withColumn(root, F.coalesce(root, key))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` once ``links`` (a, b) have joined classes."""
+    ends = _rooted(_rooted(links, roots, "a", "ra"), roots, "b", "rb")
+    edges = stage(ends.where("ra <> rb").select(F.greatest("ra", "rb").alias("u"), F.least("ra", "rb").alias("v")).distinct(), "edges")
+    if edges.isEmpty():
+        return roots
+    stars = _contracted(edges)
+    moved = roots.join(stars.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
+    return stage(moved.unionByName(stars), "roots")
+
+
 def _linked_pairs(pairs: DataFrame, signatures: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     """The (a, b) of ``pairs`` that reach the threshold, by signatures and, where these leave it open, by shingles."""
     one, two = (signatures.select(F.col("key").alias(k), F.col("signature").alias(f"s{k}")) for k in ("a", "b"))
-    judged = _agreement(pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "sa", "sb")).where(F.col("estimate") >= UNSURE[0])
+    judged = _agreement(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")).where(F.col("estimate") >= UNSURE[0])
     judged = stage(judged, "judged")
     one, two = (cells.select(F.col("key").alias(k), F.col("cells").alias(f"c{k}")) for k in ("a", "b"))
     unsure = judged.where(F.col("estimate") < UNSURE[1]).join(one, "a").join(two, "b").select("a", "b", "ca", "cb")
@@ -228,70 +259,125 @@ def _linked_pairs(pairs: DataFrame, signatures: DataFrame, cells: DataFrame, thr
 
 
 def linked(docs: DataFrame, rows: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, root) of the classes of linked keys; ``rows`` is what ``signed`` gives for ``docs``."""
+    """(key, root) of the classes of linked keys, but not of the roots; ``rows`` is what ``signed`` gives for ``docs``."""
     worded = rows.where("key IS NOT NULL")
     reps = worded.groupBy("key").agg(F.min("bands").alias("bands"))
     members = reps.select("key", F.posexplode("bands").alias("band", "hash")).select("key", F.xxhash64("band", "hash").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = stage(members.join(sizes, "bucket"), "members")
-    met = stage(crowded.groupBy("key").agg(F.sum("n").alias("met")), "met")
-    kept = stage(worded.join(met, "key", "left_semi").groupBy("key").agg(F.min("signature").alias("signature"), F.min("text_hash").alias("text_hash")), "signatures")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("set")).where("n > 1")
+    alike = sizes.groupBy("n", "set").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
+    crowded = stage(members.join(alike, "bucket").select("bucket", "key", "n", "times"), "members")
+    met = crowded.groupBy("key").agg(F.sum(F.col("n") * F.col("times")).alias("met"))
+    kept = worded.groupBy("key").agg(F.min("signature").alias("signature"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"))
+    kept = stage(kept.join(met, "key"), "signatures")
     signatures, hashes = kept.select("key", "signature"), kept.select("text_hash").distinct()
     small = kept.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(hashes) if small else hashes, "text_hash", "left_semi").select("text")
-    cells = stage(_with_cells(texts).groupBy("key").agg(F.min("cells").alias("cells")), "cells")
-    active = crowded.select("bucket", "key").join(met, "key").withColumn("root", F.col("key"))
-    few = crowded.select("bucket", "key").where("false")
-    links = cells.select(F.col("key").alias("a"), F.col("key").alias("b")).where("false")
-    roots = links.select(F.col("a").alias("key"), F.col("b").alias("root"))
-    for turn in range(ROUNDS):
-        order = F.xxhash64(F.lit(turn))
-        ends = active.groupBy("bucket").agg(F.max(F.struct("met", "key")).alias("hub"), F.min(F.col("key").bitwiseXOR(order)).alias("low"))
-        pivots = ends.select("bucket", F.explode(F.array_distinct(F.array("hub.key", F.col("low").bitwiseXOR(order)))).alias("pivot"))
-        pivots = stage(pivots.join(active.select("bucket", F.col("key").alias("pivot"), F.col("root").alias("pivot_root")), ["bucket", "pivot"]), "pivots")
-        tried = active.join(pivots, "bucket").where("key <> pivot AND root <> pivot_root")
-        links = links.unionByName(_linked_pairs(tried.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")), signatures, cells, threshold))
-        roots = stage(_contracted(links), "roots")
-        rest = active.drop("root").join(pivots.select("bucket", F.col("pivot").alias("key")), ["bucket", "key"], "left_anti")
-        rest = stage(rest.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rest")
-        counts = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-        light = (F.col("n") * F.col("n") - F.col("same")) <= 2 * SMALL * F.col("n")
-        few = few.unionByName(rest.join(counts.where(light), "bucket", "left_semi").select("bucket", "key"))
-        active = stage(rest.join(counts.where(~light), "bucket", "left_semi"), "active")
-        if active.isEmpty():
+    cells = stage(_with_cells(texts).groupBy("key").agg(F.min("cells").alias("cells")).join(signatures, "key"), "cells")
+    active = stage(crowded.select("bucket", "key").join(kept.select("key", "met", "size"), "key"), "active")
+
+    heads = active.groupBy("bucket").agg(F.max(F.struct("met", "key")).alias("hub"))
+    hubs = active.join(heads, "bucket").groupBy("key").agg(F.max("hub").alias("hub")).where("hub.key <> key")
+    tried = stage(hubs.select(F.col("key").alias("a"), F.col("hub.key").alias("b")), "tried")
+    roots = _followed(_linked_pairs(tried, signatures, cells, threshold).select(F.col("a").alias("key"), F.col("b").alias("up")))
+
+    few = active.where("false")
+    for turn in range(ROUNDS + 1):
+        active = stage(_rooted(active.drop("root"), roots), "active")
+        counts = _mixed(active)
+        light = F.col("across") <= F.greatest(SMALL * F.col("n"), F.lit(IN_TASK * IN_TASK))
+        few = few.unionByName(active.drop("root").join(counts.where(light), "bucket", "left_semi"))
+        active = stage(active.join(counts.where(~light), "bucket", "left_semi"), "active")
+        if turn == ROUNDS or active.isEmpty():
             break
-    left = few.unionByName(active.select("bucket", "key")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("root").alias("classes")).where("classes > 1")
-    left = stage(left.join(sizes, "bucket"), "left")
-    within = _across(left.where(F.col("n") <= IN_TASK).select("bucket", "key", "root").join(signatures, "key").join(cells, "key"), threshold)
-    wide = left.where(F.col("n") > IN_TASK)
-    one, two = (wide.select("bucket", F.col("key").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))
-    pairs = one.join(two, "bucket").where("a < b AND root_a <> root_b").select("a", "b")
-    return _contracted(links.unionByName(within).unionByName(_linked_pairs(pairs, signatures, cells, threshold)))
+        order = F.xxhash64(F.lit(turn))
+        ends = active.groupBy("bucket").agg(F.max(F.struct("met", "key", "root")).alias("hub"), F.min(F.struct(F.col("key").bitwiseXOR(order).alias("draw"), "key", "root")).alias("low"))
+        pivots = ends.select("bucket", F.explode(F.array_distinct(F.array(F.struct("hub.key", "hub.root"), F.struct("low.key", "low.root")))).alias("pivot")).select("bucket", F.col("pivot.key").alias("pivot"), F.col("pivot.root").alias("pivot_root"))
+        pivots = stage(pivots, "pivots")
+        pairs = active.join(pivots, "bucket").where("root <> pivot_root").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+        roots = _merged(roots, _linked_pairs(pairs, signatures, cells, threshold))
+        active = active.join(pivots.select("bucket", F.col("pivot").alias("key")), ["bucket", "key"], "left_anti")
+    left = stage(_rooted(few.unionByName(active.drop("root")), roots), "left")
+    mixed = _mixed(left)
+    # the pair of a bucket of two is judged as such, unless it was before
+    two = left.join(mixed.where("n = 2"), "bucket", "left_semi").groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("b")).select("a", "b").distinct()
+    before = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    roots = _merged(roots, _linked_pairs(two.join(before, ["a", "b"], "left_anti"), signatures, cells, threshold))
+    left = stage(_rooted(left.join(mixed.where("n > 2"), "bucket", "left_semi").drop("root"), roots), "left")
+    found = stage(_across(_dealt(left).join(signatures, "key"), threshold), "across")
+    roots = _merged(roots, found.where("b IS NOT NULL").select("a", "b"))
+    unsure = _rooted(found.where("b IS NULL").select("bucket", "chunk", "block", F.col("a").alias("key"), "home", "visits"), roots)
+    return _merged(roots, _across(unsure.join(cells, "key"), threshold).where("b IS NOT NULL").select("a", "b"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """(bucket, n, across) of the buckets (bucket, key, root) of different classes: members, and pairs of different classes."""
+    by_class = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket")
+    counts = by_class.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    return counts.select("bucket", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("across"))
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """(bucket, chunk, block, key, root, home, visits) for members (bucket, key, root, size) of mixed buckets.
+
+    A member is at home in its chunk, once for each block of visitors; those outside of the largest class visit all chunks in their block.
+    """
+    by_class = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.sum(4 * F.col("size") + K).alias("bytes"))
+    shape = by_class.groupBy("bucket").agg(F.max(F.struct("c", "root", "bytes")).alias("largest"), F.sum("c").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    parts = lambda n, size: F.greatest(F.ceil(n / IN_TASK), F.ceil(size / TASK_BYTES)).cast("int")
+    shape = shape.select("bucket", F.col("largest.root").alias("most"), parts(F.col("n"), F.col("bytes")).alias("chunks"), parts(F.col("n") - F.col("largest.c"), F.col("bytes") - F.col("largest.bytes")).alias("blocks"))
+    both = members.join(shape, "bucket").withColumn("own_chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).withColumn("own_block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
+    visitor = F.col("root") != F.col("most")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at_home = F.transform(each("blocks"), lambda b: F.struct(F.col("own_chunk").alias("chunk"), b.alias("block"), F.lit(True).alias("home"), (visitor & (b == F.col("own_block"))).alias("visits")))
+    away = F.transform(F.filter(each("chunks"), lambda c: visitor & (c != F.col("own_chunk"))), lambda c: F.struct(c.alias("chunk"), F.col("own_block").alias("block"), F.lit(False).alias("home"), F.lit(True).alias("visits")))
+    return both.select("bucket", "key", "root", F.explode(F.concat(at_home, away)).alias("at")).select("bucket", "at.chunk", "at.block", "key", "root", "at.home", "at.visits")
 
 
 def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of linked members of a bucket (bucket, key, root, signature, cells) that are of different classes so far.
+    """Links (a, b) between visitors and members of other classes of a bucket's chunk, one for a visitor and a class at most.
 
-    A task compares a bucket's signatures in blocks and settles open cases by shingles at once, so only links leave it.
+    Without a column ``cells``, signatures decide; who needs cells comes as (a, null). With it, shingles decide what signatures leave open.
     """
-
-    def rows(bucket: pa.Table) -> pa.Table:
-        keys, roots = (bucket.column(c).to_numpy() for c in ("key", "root"))
-        signed = np.frombuffer(b"".join(bucket.column("signature").to_pylist()), np.uint8).reshape(len(keys), K)
-        cells = [np.frombuffer(x, np.uint32) for x in bucket.column("cells").to_pylist()]
-        found: list[tuple[int, int]] = []
-        for i in range(len(keys) - 1):
-            rest = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
-            estimate = ((signed[rest] == signed[i]).mean(axis=1) - 1 / 256) * 256 / 255
-            for j in rest[estimate >= UNSURE[0]]:
-                both = len(np.intersect1d(cells[i], cells[j], assume_unique=True))
-                if both >= threshold * (len(cells[i]) + len(cells[j]) - both):
-                    found.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
-        pairs = np.array(found, np.int64).reshape(len(found), 2)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return members.groupBy("bucket").applyInArrow(rows, "a bigint, b bigint")
+    exact = "cells" in members.columns
+
+    def rows(key: tuple, group: pa.Table) -> pa.Table:
+        keys, roots = (group.column(c).to_numpy() for c in ("key", "root"))
+        at_home, visits = (np.array(group.column(c).to_pylist(), bool) for c in ("home", "visits"))
+        signed = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(keys), K)
+        cells = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("cells")] if exact else []
+        home = np.flatnonzero(at_home)
+        links, stays, comes = [], set(), set()
+        for v in np.flatnonzero(visits):
+            other = home[roots[home] != roots[v]]
+            estimate = ((signed[other] == signed[v]).mean(axis=1) - 1 / 256) * 256 / 255
+            near = estimate >= UNSURE[0]
+            other, estimate = other[near], estimate[near]
+            joined: set[int] = set()
+            for at in np.argsort(-estimate, kind="stable"):
+                m = other[at]
+                if roots[m] in joined:
+                    continue
+                if estimate[at] >= UNSURE[1]:
+                    links.append((keys[v], keys[m]))
+                    joined.add(roots[m])
+                elif exact:
+                    both = len(np.intersect1d(cells[v], cells[m], assume_unique=True))
+                    if both >= threshold * (len(cells[v]) + len(cells[m]) - both):
+                        links.append((keys[v], keys[m]))
+                        joined.add(roots[m])
+                else:
+                    comes.add(v)
+                    stays.add(m)
+        wanted = sorted(comes | stays)
+        a = [x[0] for x in links] + [keys[i] for i in wanted]
+        b = [x[1] for x in links] + [None] * len(wanted)
+        none = [False] * len(links)
+        bucket, chunk, block = (pa.array([x.as_py()] * len(a), x.type) for x in key)
+        roles = (pa.array(none + [i in role for i in wanted], pa.bool_()) for role in (stays, comes))
+        return pa.table([bucket, chunk, block, pa.array(a, pa.int64()), pa.array(b, pa.int64()), *roles], names=["bucket", "chunk", "block", "a", "b", "home", "visits"])
+
+    columns = ["bucket", "chunk", "block", "key", "root", "home", "visits", "signature", *(["cells"] if exact else [])]
+    return members.select(*columns).groupBy("bucket", "chunk", "block").applyInArrow(rows, "bucket bigint, chunk int, block int, a bigint, b bigint, home boolean, visits boolean")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,8 +388,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = stage(signed(source), "signed")
     roots = linked(source, rows)
-    placed = rows.select("doc_id", "text_hash", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).drop("key")
-    lowest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    least = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
+    # written, so that Spark may split the rows of a class that holds a large part of them
+    lowest = stage(_rooted(least, roots).groupBy("root").agg(F.min("least").alias("class_id")), "lowest")
+    placed = _rooted(rows.select("doc_id", "text_hash", "key"), roots).drop("key")
     return placed.join(lowest, "root", "left").select("doc_id", "text_hash", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 

@@ -5,7 +5,8 @@ all others as named users, and a mask over what the assistant says (its text and
 turns belong to no participant and are never masked.
 
 A dialogue is rendered in chunks of ``CHUNK`` consecutive turn numbers, so that no row, group or
-task holds a whole conversation however long it is. Each chunk says where it begins in the rendered
+task holds a whole conversation's text however long it is; where chunks begin is found from their
+lengths alone, in two levels of ``SPAN`` chunks. Each chunk says where it begins in the rendered
 dialogue; joined in the order of ``chunk`` they are the dialogue. Mask spans count from its beginning.
 
 Defined cases: a null speaker is named ``unknown``; a null text is empty; turns without a number come
@@ -23,7 +24,7 @@ from pyspark.sql.window import Window
 
 from shelfcast.llm.tables import table
 
-CHUNK = 64
+CHUNK, SPAN = 64, 4096
 SYSTEM = "system"
 #: The marks of a rendered turn.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -50,8 +51,7 @@ def render_perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     parts = F.transform("turns", lambda t: F.struct(own(t).alias("own"), head(t).alias("head"), F.concat(t["text"], F.lit(END)).alias("body")))
     shown = joined.select("conv_id", "perspective", "chunk", parts.alias("parts"))
     shown = shown.withColumn("rendered", F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), ""))
-    before = Window.partitionBy("conv_id", "perspective").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    placed = shown.withColumn("first_char", F.sum(F.char_length("rendered").cast("long")).over(before) - F.char_length("rendered"))
+    placed = shown.join(_places(shown).select(F.col("conv_id").alias("__c"), F.col("perspective").alias("__p"), F.col("chunk").alias("__k"), "first_char"), F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("perspective") == F.col("__p")) & (F.col("chunk") == F.col("__k")))
     start = F.struct(F.col("first_char").alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("mask"))
 
     def step(a: Column, p: Column) -> Column:
@@ -62,6 +62,17 @@ def render_perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     return placed.select("conv_id", "perspective", "chunk", "first_char", "rendered", F.aggregate("parts", start, step, lambda a: a["mask"]).alias("mask"), F.size("parts").alias("n_turns"))
 
 
+def _places(shown: DataFrame) -> DataFrame:
+    """(conv_id, perspective, chunk, first_char): lengths are summed within spans of chunks, and the spans' sums before them are added."""
+    lengths = shown.select("conv_id", "perspective", "chunk", F.floor(F.col("chunk") / SPAN).alias("span"), F.char_length("rendered").cast("long").alias("n"))
+    spans = lengths.groupBy("conv_id", "perspective", "span").agg(F.sum("n").alias("n"))
+    in_order = Window.partitionBy("conv_id", "perspective").orderBy("span")
+    starts = spans.select(F.col("conv_id").alias("__c"), F.col("perspective").alias("__p"), F.col("span").alias("__s"), (F.sum("n").over(in_order) - F.col("n")).alias("start"))
+    inside = F.sum("n").over(Window.partitionBy("conv_id", "perspective", "span").orderBy("chunk")) - F.col("n")
+    same = F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("perspective") == F.col("__p")) & (F.col("span") == F.col("__s"))
+    return lengths.withColumn("inside", inside).join(starts, same).select("conv_id", "perspective", "chunk", (F.col("start") + F.col("inside")).alias("first_char"))
+
+
 def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = render_perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["begin"].cast("string"), m["end"].cast("string"))), ",")
@@ -69,11 +80,12 @@ def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "perspective", "chunk", "first_char", "rendered", spans.alias("mask_spans"), masked.alias("masked_chars"), F.col("n_turns").cast("long").alias("n_turns"))
 
 
-SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text, CAST(floor(turn / {CHUNK}.0) AS BIGINT) AS chunk FROM conversations),
+#: Turns without a number, whose chunks go by a hash of Spark's, are left out here; the given tables have none.
+SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text, CAST(floor(turn / {CHUNK}.0) AS BIGINT) AS chunk FROM conversations WHERE turn IS NOT NULL),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> '{SYSTEM}'),
-r AS (SELECT conv_id, perspective, chunk, turn, speaker, text, speaker = perspective AS own,
+r AS (SELECT t.conv_id, perspective, chunk, turn, speaker, text, speaker = perspective AS own,
   CASE WHEN speaker = perspective THEN '{START}assistant' || chr(10) WHEN speaker = '{SYSTEM}' THEN '{START}system' || chr(10) ELSE '{START}user name=' || speaker || chr(10) END AS head, text || '{END}' AS body
-  FROM t JOIN p USING (conv_id)),
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 c AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY chunk, turn, speaker, text ROWS UNBOUNDED PRECEDING) - length(body) - length(head) - 1 AS pos FROM r)
 SELECT conv_id, perspective, chunk, CAST(min(pos) AS BIGINT) AS first_char, string_agg(head || body || chr(10), '' ORDER BY turn, speaker, text) AS rendered,
   coalesce(string_agg(CAST(pos + length(head) AS BIGINT) || ':' || CAST(pos + length(head) + length(body) AS BIGINT), ',' ORDER BY turn, speaker, text) FILTER (WHERE own), '') AS mask_spans,

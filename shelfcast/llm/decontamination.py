@@ -8,8 +8,9 @@ candidate starts (position less the term's offset) and intersects them with the
 of one rarer-first term after another until all terms of the window agree: an exact phrase. With
 ``slack`` above 0 it also reports proximity: the rarest terms agree within that many words.
 
-The test items are taken in blocks of bounded size (``BLOCK_WINDOWS``), each broadcast to one pass
-over the index, so neither side has to fit into memory.
+The test items' windows are taken in blocks of about ``BLOCK_WINDOWS``, each broadcast to one pass over
+the index whose finds are written before the next, so neither side has to fit into memory. The index
+holds the terms of the test items alone while these are at most ``VOCABULARY``, else all terms.
 
 Defined cases: a null or empty text has no words and no hits; items without words match nothing; an
 item shorter than a window is one window; equal items count once each; rows that share
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import words as W
-from shelfcast.llm.tables import stage, table
+from shelfcast.llm.tables import mapped, stage, table
 
 WINDOW = 10
 #: Windows of test items in one broadcast block: about 30 MB.
 BLOCK_WINDOWS = 200_000
+#: Different terms of the test items that are broadcast: 16 MB.
+VOCABULARY = 2_000_000
 RAREST = 3
+#: Words by which the rarest terms of a window may be off for a match by proximity.
+SLACK = 2
 
 
 def item_words(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -51,7 +57,7 @@ def item_words(items: DataFrame, item_id: str = "item_id", text: str = "text") -
                     [batch.column(0).slice(row, end - row), pa.ListArray.from_arrays(found.of_text.astype(np.int32), pa.array(hashed.view(np.int64)))], names=["item", "terms"]
                 )
 
-    return source.mapInArrow(rows, "item string, terms array<bigint>")
+    return mapped(source, rows, "item string, terms array<bigint>")
 
 
 def different_items(item_terms: DataFrame) -> DataFrame:
@@ -63,20 +69,21 @@ def vocabulary(item_terms: DataFrame) -> DataFrame:
     return item_terms.select(F.explode("terms").alias("term")).distinct()
 
 
-def index(docs: DataFrame, terms: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each document: row (a number of its own once written), doc_id, n_words, the given terms (sorted) that it has, where their lists begin, and the positions."""
+def index(docs: DataFrame, terms: np.ndarray | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each document: row (a number of its own once written), doc_id, n_words, those of the given terms (none given: all) that it has, sorted, where their lists begin, and the positions."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(terms))
+    shared = docs.sparkSession.sparkContext.broadcast(None if terms is None else np.sort(terms))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
+        given = shared.value
         row_id = TaskContext.get().partitionId() << 33
         for batch in batches:
             for row, end, data, offsets in W.text_slices(batch, "__text"):
                 found = W.runs(data, offsets, W.ALNUM)
                 hashed = W.hashes(data, found, W.LOWER).view(np.int64)
                 n = end - row
+                wanted = np.unique(hashed) if given is None else given
                 at = np.minimum(np.searchsorted(wanted, hashed), max(0, len(wanted) - 1))
                 word = np.flatnonzero(wanted[at] == hashed) if len(wanted) else np.zeros(0, np.int64)
                 of = np.repeat(np.arange(n), np.diff(found.of_text))[word]
@@ -100,7 +107,7 @@ def index(docs: DataFrame, terms: np.ndarray, doc_id: str = "doc_id", text: str
                 )
                 row_id += n
 
-    return source.mapInArrow(rows, f"row bigint, doc_id {kind}, n_words bigint, terms array<bigint>, begins array<int>, places array<int>")
+    return mapped(source, rows, f"row bigint, doc_id {kind}, n_words bigint, terms array<bigint>, begins array<int>, places array<int>")
 
 
 def term_counts(indexed: DataFrame) -> DataFrame:
@@ -214,7 +221,7 @@ def matches(indexed: DataFrame, windows: list, slack: int = 0) -> DataFrame:
                 ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_words")), pa.ListArray.from_arrays(ends, found)], names=["row", "doc_id", "n_words", "found"])
 
-    return indexed.mapInArrow(rows, f"row bigint, doc_id {kind}, n_words bigint, found array<struct<item:string,start:int,place:int,size:int,exact:boolean>>")
+    return mapped(indexed, rows, f"row bigint, doc_id {kind}, n_words bigint, found array<struct<item:string,start:int,place:int,size:int,exact:boolean>>")
 
 
 def _only(batch: pa.RecordBatch, vocabulary: np.ndarray) -> pa.RecordBatch:
@@ -240,27 +247,21 @@ def _only(batch: pa.RecordBatch, vocabulary: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cut(own, pa.array(terms)), cut(own, pa.array(begins)), cut(ends, pa.array(places))], names=["terms", "begins", "places"])
 
 
-def _blocks(windows: DataFrame, size: int) -> Iterator[list]:
-    block: list = []
-    for row in windows.toLocalIterator(prefetchPartitions=False):
-        block.append(row)
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", slack: int = 2, block: int = BLOCK_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", slack: int = SLACK, block: int = BLOCK_WINDOWS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, hits (word spans begin, end), items (with exact phrases), near_items (proximity only)."""
     item_terms = stage(different_items(item_words(items)), "items")
-    terms = np.array([r["term"] for r in vocabulary(item_terms).toLocalIterator()], np.int64)
-    indexed = stage(index(docs, terms, doc_id, text), "index")
-    windows = stage(test_windows(item_terms, term_counts(indexed)).repartition(8, "key"), "windows")
-    parts = [matches(indexed, rows, slack) for rows in _blocks(windows, block)] or [matches(indexed, [], slack)]
-    found = parts[0]
-    if len(parts) > 1:  # the written index has numbered its rows, so a document's finds of all blocks meet
-        found = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("found")).alias("found"))
+    terms = stage(vocabulary(item_terms), "vocabulary")
+    few = terms.count() <= VOCABULARY
+    indexed = stage(index(docs, np.array([r["term"] for r in terms.collect()], np.int64) if few else None, doc_id, text), "index")
+    windows = stage(test_windows(item_terms, term_counts(indexed)), "windows")
+    many = ceil(windows.count() / block)
+    part = F.pmod(F.xxhash64("key", "start"), F.lit(max(many, 1)))
+    if many <= 1:
+        found = matches(indexed, windows.collect(), slack)
+    else:  # the written index has numbered its rows, so a document's finds of all blocks meet
+        parts = [stage(matches(indexed, windows.where(part == k).collect(), slack).where(F.size("found") > 0), "finds") for k in range(many)]
+        finds = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.flatten(F.collect_list("found")).alias("found"))
+        found = indexed.select("row", "doc_id", "n_words").join(finds, "row", "left").withColumn("found", F.coalesce("found", F.array().cast(finds.schema["found"].dataType)))
     exact = F.filter("found", lambda f: f["exact"])
     near = F.array_distinct(F.transform(F.filter("found", lambda f: ~f["exact"]), lambda f: f["item"]))
     spans = F.array_distinct(F.transform(exact, lambda f: F.struct(f["place"].alias("begin"), (f["place"] + f["size"]).alias("end"))))
@@ -292,8 +293,9 @@ def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = hit_words(F.col("hits"))
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
-    )
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"), F.sha2(F.array_join(F.array_sort("near_items"), ","), 256).alias("near_items_sha256"),
+    )
 
 
 SQL = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
@@ -304,6 +306,16 @@ sizes AS (SELECT DISTINCT size FROM win),
 g AS (SELECT k, i, size, array_to_string(d.ws[i : i + size - 1], ' ') AS gram FROM dw JOIN d USING (k), sizes WHERE i + size - 1 <= len(d.ws)),
 m AS (SELECT k, i, size, item FROM g JOIN win USING (size, gram)),
 h AS (SELECT k, count(DISTINCT i + o) AS n_hit FROM m, range(10) AS r(o) WHERE o < size GROUP BY k),
-t AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT k, item FROM m) GROUP BY k)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)"""
+t AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT k, item FROM m) GROUP BY k),
+bn AS (SELECT row_number() OVER () AS q, item, ws FROM (SELECT DISTINCT item, ws FROM b WHERE len(ws) > 0)),
+cnt AS (SELECT w, count(*) AS n FROM dw GROUP BY w),
+wo AS (SELECT q, item, s, o, ws[s + o + 1] AS w FROM (SELECT q, item, ws, s, unnest(range(0, least(10, len(ws)))) AS o FROM (SELECT q, item, ws, unnest(range(0, greatest(len(ws) - 9, 1))) AS s FROM bn))),
+rk AS (SELECT q, item, s, o, w, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY q, s ORDER BY coalesce(n, 0), o) AS r FROM wo LEFT JOIN cnt USING (w)),
+tri AS (SELECT DISTINCT item, w1, o1, w2, o2 - o1 AS d2, w3, o3 - o1 AS d3 FROM (SELECT item, max(w) FILTER (WHERE r = 1) AS w1, max(o) FILTER (WHERE r = 1) AS o1, max(w) FILTER (WHERE r = 2) AS w2, max(o) FILTER (WHERE r = 2) AS o2,
+  max(w) FILTER (WHERE r = 3) AS w3, max(o) FILTER (WHERE r = 3) AS o3 FROM rk GROUP BY q, item, s HAVING min(n) > 0)),
+c1 AS (SELECT k, i, item, w2, d2, w3, d3 FROM tri JOIN dw ON w = w1 WHERE i - 1 >= o1),
+c2 AS (SELECT * FROM c1 WHERE w2 IS NULL UNION ALL SELECT c1.* FROM c1 SEMI JOIN (SELECT k, w, i + o AS i FROM dw, (VALUES (-2), (-1), (0), (1), (2)) AS v(o)) AS e ON e.k = c1.k AND e.w = c1.w2 AND e.i = c1.i + c1.d2),
+c3 AS (SELECT * FROM c2 WHERE w3 IS NULL UNION ALL SELECT c2.* FROM c2 SEMI JOIN (SELECT k, w, i + o AS i FROM dw, (VALUES (-2), (-1), (0), (1), (2)) AS v(o)) AS e ON e.k = c2.k AND e.w = c2.w3 AND e.i = c2.i + c2.d3),
+nr AS (SELECT k, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near_names FROM (SELECT DISTINCT k, item FROM c3 ANTI JOIN m USING (k, item)) GROUP BY k)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near_items, sha256(coalesce(near_names, '')) AS near_items_sha256
+FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k) LEFT JOIN nr USING (k)"""

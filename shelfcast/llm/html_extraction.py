@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm.tables import stage, table
+from shelfcast.llm.tables import mapped, stage, table
 
 MIN_PAGES, SHARE, SHARE_INSIDE = 8, 0.05, 0.5
 BROADCAST_ROWS = 500_000
@@ -215,7 +215,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
             each = np.array(found, np.uint64).reshape(len(found), 3).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(each[:, k]) for k in range(3)), pa.array(plain, pa.bool_())], names=["host", "hash", "main", "body", "plain"])
 
-    return pages.select("host", "html").mapInArrow(rows, "host string, hash bigint, main bigint, body bigint, plain boolean")
+    return mapped(pages.select("host", "html"), rows, "host string, hash bigint, main bigint, body bigint, plain boolean")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, share_inside: float = SHARE_INSIDE) -> DataFrame:
@@ -261,7 +261,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     texts.append(main_text(source.as_py(), *known[host]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(texts, pa.string())], names=["page_id", "url", "host", "text"])
 
-    return joined.select("page_id", "url", "host", "html", *SETS.values()).mapInArrow(rows, f"page_id {kind}, url string, host string, text string")
+    return mapped(joined.select("page_id", "url", "host", "html", *SETS.values()), rows, f"page_id {kind}, url string, host string, text string")
 
 
 def op10_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ character n-grams, marked at the word's ends: the longest order of which any is
 to single characters. A document's language is the best by the mean over its words.
 
 Word and n-gram counts are Spark aggregates over a bounded, documented sample of the labelled rows
-(``SAMPLE_ROWS``, drawn by a hash of the text), so the model is bounded: ``WORDS`` words and
+(about ``SAMPLE_ROWS``, drawn by a hash of the row), so the model is bounded: ``WORDS`` words and
 ``GRAMS`` n-grams of a language, the most frequent first. Every whole text is scored.
 
 Defined cases: ``und`` with score 0 if the text is null or has no letter, or if nothing was learned;
@@ -15,18 +15,18 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfcast.llm.tables import stage, table
+from shelfcast.llm.tables import mapped, stage, table
 
 SAMPLE_ROWS = 20_000
 WORDS, GRAMS = 20_000, 40_000
@@ -36,9 +36,12 @@ TRUST = {5: 0.8, 4: 0.7, 3: 0.5, 2: 0.3, 1: 0.1}
 SMOOTH = 0.5
 #: Words that count as independent in the score.
 EVIDENCE = 12
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
+#: Different words counted in Python before Spark adds them up.
+COUNTED_WORDS = 50_000
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters with their marks; numerals such as ½ are none.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -68,10 +71,9 @@ def _counted(sample: DataFrame) -> DataFrame:
     """(lang, kind, item, n): words (kind 0) and n-grams (their order), counted in batches before Spark sums them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words: dict[str, Counter] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                words.setdefault(lang, Counter()).update(_LETTERS.findall((text.as_py() or "").lower()))
+        words: dict[str, Counter] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
             for lang, counts in words.items():
                 found = {0: counts}
                 for order in ORDERS:
@@ -83,19 +85,30 @@ def _counted(sample: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(items), pa.string()), pa.array([kind] * len(items), pa.int32()), pa.array(items, pa.string()), pa.array(items.values(), pa.int64())], names=["lang", "kind", "item", "n"]
                     )
+            words.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                words.setdefault(lang, Counter()).update(_LETTERS.findall((text.as_py() or "").lower()))
+            if sum(map(len, words.values())) > COUNTED_WORDS:
+                yield from flush()
+        yield from flush()
+
+    return mapped(sample.select("lang", "text"), rows, "lang string, kind int, item string, n bigint").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+
 
-    return sample.select("lang", "text").mapInArrow(rows, "lang string, kind int, item string, n bigint").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+def drawn(total: int, bound: int, *by: str) -> Column:
+    """Whether a row is among about ``bound`` of ``total`` rows, by a hash of these columns."""
+    return F.lit(True) if total <= bound else F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int(bound / total * (1 << 30))
 
 
-def sampled(rows: DataFrame, bound: int, by: str = "text") -> DataFrame:
-    """About ``bound`` rows, or all if there are fewer, by a hash of their content."""
-    total = max(1, rows.select(F.count(F.lit(1))).first()[0])
-    share = min(1.0, bound / total)
-    return rows if share == 1 else rows.where(F.pmod(F.xxhash64(by), F.lit(1 << 20)) < int(share * (1 << 20)))
+def sampled(rows: DataFrame, bound: int) -> DataFrame:
+    """About ``bound`` rows, or all if there are fewer, by a hash of each whole row."""
+    return rows.where(drawn(rows.select(F.count(F.lit(1))).first()[0], bound, *rows.columns))
 
 
 def fit(rows: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
-    """From (lang, text). What comes to the driver is bounded by WORDS and GRAMS for each language."""
+    """From (lang, text) and what else tells rows apart when they are drawn. What comes to the driver is bounded by WORDS and GRAMS for each language."""
     counts = stage(_counted(sampled(rows.where("lang IS NOT NULL AND text IS NOT NULL"), bound)), "language-counts")
     kind = F.when(F.col("kind") == 0, F.lit(0)).otherwise(F.lit(1))
     rank = F.row_number().over(Window.partitionBy("lang", "gram").orderBy(F.desc("n"), "kind", "item"))
@@ -184,11 +197,11 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
             found = [scorer.score(t.as_py()) for t in batch.column(column)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return source.mapInArrow(rows, schema)
+    return mapped(source, rows, schema)
 
 
 def fit_on_folds(docs: DataFrame) -> Model:
-    return fit(docs.where(~held_out()).select("lang", "text"))
+    return fit(docs.where(~held_out()).select("doc_id", "lang", "text"))
 
 
 def op7_word_first_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

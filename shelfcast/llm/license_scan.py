@@ -112,12 +112,14 @@ def spans(texts: DataFrame, templates: DataFrame, text: str = "text") -> DataFra
     found = grams(texts.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), text), text)
     about = ["template", "label", "base", "n_grams", "least", "n_words", "k"]
     votes = found.join(F.broadcast(templates), ["k", "gram"]).select("text_hash", *about, (F.col("place") - F.col("at")).alias("diagonal"), "at").distinct()
-    lines = votes.groupBy("text_hash", *about, "diagonal").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
+    lines = votes.groupBy("text_hash", *about, "diagonal").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high"), F.collect_set("at").alias("ats"))
+    lines = stage(lines, "diagonals")  # only what matches; the corpus is cut into words once
     exact = lines.where((F.col("least") == 1) & (F.col("n") == F.col("n_grams"))).select("text_hash", "label", "base", F.col("diagonal").alias("first_word"), F.col("n_words").alias("n_span"), F.lit(1.0).alias("coverage"))
     order = Window.partitionBy("text_hash", "template").orderBy("diagonal")
     merged = lines.where("least < 1").withColumn("new", (F.col("diagonal") - F.lag("diagonal", 1, -(1 << 30)).over(order) > SLACK).cast("int")).withColumn("cluster", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    long = merged.groupBy("text_hash", *about, "cluster").agg(
-        F.min(F.col("diagonal") + F.col("low")).alias("first_word"), F.max(F.col("diagonal") + F.col("high") + F.col("k")).alias("last"), F.least(F.sum("n"), F.first("n_grams")).alias("n")
+    # a position of the template counts once, however many merged diagonals hit it
+    long = merged.withColumn("at", F.explode("ats")).groupBy("text_hash", *about, "cluster").agg(
+        F.min(F.col("diagonal") + F.col("low")).alias("first_word"), F.max(F.col("diagonal") + F.col("high") + F.col("k")).alias("last"), F.count_distinct("at").alias("n")
     )
     coverage = F.col("n") / F.col("n_grams")
     long = long.withColumn("n_span", F.col("last") - F.col("first_word")).where((coverage >= F.col("least")) & (2 * F.col("n_span") <= 3 * F.col("n_words")))
@@ -155,10 +157,10 @@ SQL = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_a
 tt AS (SELECT template, label, base, string_split(text, ' ') AS ws, CASE WHEN len(string_split(text, ' ')) >= {LONG} THEN {LONG_GRAM} ELSE {SHORT_GRAM} END AS k FROM (VALUES {_VALUES}) AS v(template, label, base, text)),
 tg AS (SELECT template, label, base, len(ws) AS n_words, k, s AS tp, {_GRAM("ws")} AS gram, len(ws) - k + 1 AS n_grams FROM (SELECT *, unnest(range(0, len(ws) - k + 1)) AS s FROM tt)),
 dg AS (SELECT r, k, s AS place, {_GRAM("ws")} AS gram FROM (SELECT r, ws, k, unnest(range(0, len(ws) - k + 1)) AS s FROM d, (VALUES ({SHORT_GRAM}), ({LONG_GRAM})) AS g(k) WHERE len(ws) >= k)),
-li AS (SELECT r, template, label, base, n_grams, n_words, k, place - tp AS diagonal, count(*) AS n, min(tp) AS low, max(tp) AS high FROM dg JOIN tg USING (k, gram) GROUP BY ALL),
+li AS (SELECT r, template, label, base, n_grams, n_words, k, place - tp AS diagonal, count(*) AS n, min(tp) AS low, max(tp) AS high, list(DISTINCT tp) AS ats FROM dg JOIN tg USING (k, gram) GROUP BY ALL),
 ex AS (SELECT r, label, base, diagonal AS first_word, CAST(1 AS DOUBLE) AS coverage FROM li WHERE n_words < {LONG} AND n = n_grams),
 mg AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN diagonal - lag(diagonal, 1, {-(1 << 30)}) OVER (PARTITION BY r, template ORDER BY diagonal) > {SLACK} THEN 1 ELSE 0 END AS fresh FROM li WHERE n_words >= {LONG})),
-lo AS (SELECT r, template, label, base, n_words, n_grams, min(diagonal + low) AS first_word, max(diagonal + high + k) AS l, least(sum(n), n_grams) AS n FROM mg GROUP BY r, template, label, base, n_words, n_grams, k, cluster),
+lo AS (SELECT r, template, label, base, n_words, n_grams, min(diagonal + low) AS first_word, max(diagonal + high + k) AS l, count(DISTINCT tp) AS n FROM (SELECT *, unnest(ats) AS tp FROM mg) GROUP BY r, template, label, base, n_words, n_grams, k, cluster),
 al AS (SELECT * FROM ex UNION ALL SELECT r, label, base, first_word, n / n_grams FROM lo WHERE n / n_grams >= {COVERAGE} AND 2 * (l - first_word) <= 3 * n_words),
 su AS (SELECT r, count(*) FILTER (WHERE base) AS n_base, min(first_word) FILTER (WHERE base) AS first_word, max(first_word) FILTER (WHERE base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM al GROUP BY r)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import words as W
-from shelfcast.llm.tables import stage, table
+from shelfcast.llm.tables import mapped, stage, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -162,7 +162,7 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                     names=["doc_id", "text_hash", "key", "size", "signature", "bands"],
                 )
 
-    return source.mapInArrow(rows, f"doc_id {kind}, text_hash bigint, key bigint, size bigint, signature binary, bands array<bigint>")
+    return mapped(source, rows, f"doc_id {kind}, text_hash bigint, key bigint, size bigint, signature binary, bands array<bigint>")
 
 
 def _agreement(pairs: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _agreement(pairs: DataFrame) -> DataFrame:
             one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, K) for c in ("sa", "sb"))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(((one == two).mean(axis=1) - 1 / 256) * 256 / 255)], names=["a", "b", "estimate"])
 
-    return pairs.mapInArrow(rows, "a bigint, b bigint, estimate double")
+    return mapped(pairs, rows, "a bigint, b bigint, estimate double")
 
 
 def _with_cells(docs: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def _with_cells(docs: DataFrame) -> DataFrame:
                 small = small[order]
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([small[ends[i] : ends[i + 1]].tobytes() for i in range(end - row)], pa.binary())], names=["key", "cells"])
 
-    return docs.mapInArrow(rows, "key bigint, cells binary")
+    return mapped(docs, rows, "key bigint, cells binary")
 
 
 def _exact(pairs: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def _exact(pairs: DataFrame) -> DataFrame:
                 found[i] = both / max(1, len(one) + len(two) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"])
 
-    return pairs.mapInArrow(rows, "a bigint, b bigint, similarity double")
+    return mapped(pairs, rows, "a bigint, b bigint, similarity double")
 
 
 def _followed(up: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfcast.llm.tables import table
+from shelfcast.llm.tables import mapped, table
 
 CAPACITY = 2048
 END = 1
@@ -40,8 +40,10 @@ END = 1
 BLOCK = 8192
 #: Cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Texts tokenized at once, and distinct chunks kept with their ids.
-TEXT_BYTES, KEPT_CHUNKS = 4 << 20, 1_000_000
+#: Bytes of texts tokenized at once; bytes of chunks that a worker keeps with their ids, with what an entry takes besides.
+TEXT_BYTES, KEPT_BYTES, ENTRY_BYTES = 4 << 20, 40 << 20, 200
+#: Longer chunks are tokenized anew each time.
+LONGEST_KEPT = 64
 
 
 #: Marks that end a chunk as a piece of their own; none is a letter, digit or white space.
@@ -51,14 +53,16 @@ _blanks = methodcaller("split", " ")
 
 
 class _Known(dict):
-    """Numbers of chunks; a new one gets the next number and waits for its ids."""
+    """Numbers of chunks; a new one gets the next number and waits for its ids. Long ones are not kept."""
 
-    def __init__(self, owner: ChunkedTokenizer) -> None:
-        self.owner = owner
+    def __init__(self, owner: ChunkedTokenizer, lead: str) -> None:
+        self.owner, self.lead = owner, lead
         self.new: list[str] = []
 
     def __missing__(self, chunk: str) -> int:
-        self[chunk] = number = self.owner._number()
+        if len(chunk) > LONGEST_KEPT:
+            return self.owner._passing(self.lead + chunk)
+        self[chunk] = number = self.owner._number(chunk)
         self.new.append(chunk)
         return number
 
@@ -69,7 +73,8 @@ class ChunkedTokenizer:
     The vocabulary's pattern begins a new piece at each blank between two visible characters, and a
     line end before a visible character is a piece of its own. So a text's ids are those of its chunks
     between them, each with its leading blank; recurring chunks are looked up. Texts with other white
-    space are tokenized whole.
+    space are tokenized whole. What is kept between calls is bounded by ``KEPT_BYTES``; texts tokenized
+    whole and long chunks are not kept.
     """
 
     def __init__(self, path: str, special_as_text: bool = True) -> None:
@@ -84,7 +89,9 @@ class ChunkedTokenizer:
 
     def _forget(self) -> None:
         #: Number of each chunk after a blank, and of each that begins a line or is a whole text.
-        self.after_blank, self.first = _Known(self), _Known(self)
+        self.after_blank, self.first = _Known(self, " "), _Known(self, "")
+        self.passing: list[str] = []
+        self.kept_bytes = 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         #: Where the ids of each number begin, and how many they are.
         self.begins, self.lengths = array("q", [0, 1]), array("q", [1, len(self.newline)])
@@ -97,7 +104,13 @@ class ChunkedTokenizer:
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def _number(self) -> int:
+    def _passing(self, text: str) -> int:
+        """A negative number for a text whose ids are not kept."""
+        self.passing.append(text)
+        return -len(self.passing)
+
+    def _number(self, chunk: str) -> int:
+        self.kept_bytes += len(chunk) + ENTRY_BYTES
         self.begins.append(-1)
         self.lengths.append(-1)
         return len(self.begins) - 1
@@ -105,7 +118,7 @@ class ChunkedTokenizer:
     def _learn(self) -> None:
         """Ids of all new chunks. One that is letters and a run of marks is put together from both, each a piece of its own."""
         parts = []
-        for known, lead in ((self.after_blank, " "), (self.first, "")):
+        for known in (self.after_blank, self.first):
             new, known.new = known.new, []
             rest = []
             for chunk in new:
@@ -117,7 +130,7 @@ class ChunkedTokenizer:
             rest += known.new
             known.new = []
             flat: list[int] = []
-            for chunk, found in zip(rest, self.model.encode_batch_fast([lead + c for c in rest], add_special_tokens=False), strict=True):
+            for chunk, found in zip(rest, self.model.encode_batch_fast([known.lead + c for c in rest], add_special_tokens=False), strict=True):
                 number, ids = known[chunk], found.ids
                 self.begins[number], self.lengths[number] = self.used + len(flat), len(ids)
                 flat += ids
@@ -134,7 +147,7 @@ class ChunkedTokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end token."""
-        if len(self.begins) > KEPT_CHUNKS:
+        if self.kept_bytes > KEPT_BYTES:
             self._forget()
         first, after_blank = self.first.__getitem__, self.after_blank.__getitem__
         place = array("q")
@@ -142,21 +155,30 @@ class ChunkedTokenizer:
         for text in texts:
             before = len(place)
             odd = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[:1].isspace() or text[-1:].isspace() or _OTHER_SPACE.search(text) or (self.added and self.added.search(text))
-            lines = [[text]] if odd else map(_blanks, text.split("\n"))
-            for line in lines:
-                place.append(first(line[0]))
-                place.extend(map(after_blank, line[1:]))
-                place.append(self.line_end)
-            place[-1] = self.end
+            if odd:
+                place.append(self._passing(text))
+                place.append(self.end)
+            else:
+                for line in map(_blanks, text.split("\n")):
+                    place.append(first(line[0]))
+                    place.extend(map(after_blank, line[1:]))
+                    place.append(self.line_end)
+                place[-1] = self.end
             counts.append(len(place) - before)
         if not counts:
             return []
         self._learn()
+        used = self.used
+        passing = [np.array(found.ids, np.uint32) for found in self.model.encode_batch_fast(self.passing, add_special_tokens=False)]
+        self._append(np.concatenate([np.zeros(0, np.uint32), *passing]))
+        sizes = np.array([len(x) for x in passing], np.int64)
         at = np.frombuffer(place, np.int64)
-        length = np.frombuffer(self.lengths, np.int64)[at]
-        begin = np.frombuffer(self.begins, np.int64)[at]
+        at = np.where(at < 0, len(self.begins) - 1 - at, at)
+        length = np.concatenate([np.frombuffer(self.lengths, np.int64), sizes])[at]
+        begin = np.concatenate([np.frombuffer(self.begins, np.int64), used + np.cumsum(sizes) - sizes])[at]
         ends = np.cumsum(length)
         ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends + length, length)]
+        self.used, self.passing = used, []
         return np.split(ids, ends[np.cumsum(counts) - 1][:-1])
 
 
@@ -164,7 +186,7 @@ _TOKENIZERS: dict[tuple[str, bool], ChunkedTokenizer] = {}
 
 
 def tokenizer(path: str, special_as_text: bool = True) -> ChunkedTokenizer:
-    """One for each Python worker."""
+    """One for each Python worker, of bounded size, so that tasks profit from chunks of earlier ones."""
     if (path, special_as_text) not in _TOKENIZERS:
         _TOKENIZERS[path, special_as_text] = ChunkedTokenizer(path, special_as_text)
     return _TOKENIZERS[path, special_as_text]
@@ -253,7 +275,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
             yield table_of(flush())
 
     columns = [f"`{n}` bigint" for n in numbers] + (["ids binary"] if with_ids else [])
-    return source.mapInArrow(rows, f"doc_id {kind}, {', '.join(columns)}")
+    return mapped(source, rows, f"doc_id {kind}, {', '.join(columns)}")
 
 
 def default_tokenizer() -> str:

@@ -4,7 +4,7 @@ Each token has a sparse ternary index vector drawn from its hash. A token's vect
 that of its shape (its case, digits or punctuation) and the sum of its neighbours' index vectors in all
 documents, gathered by Spark in ``SLOTS`` hashed slots, which tokens may share. A document is the mean of
 its tokens' vectors, plain and with damped counts, and a few measures of length and repetition. A
-network with one hidden layer is trained in NumPy on the driver, on at most ``SAMPLE_ROWS`` labelled
+network with one hidden layer is trained in NumPy on the driver, on about ``SAMPLE_ROWS`` labelled
 rows, and its probabilities are calibrated by a temperature found on rows kept apart from training.
 
 Defined cases: a null or empty text is the vector of a text without tokens and gets a score like any
@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm.language_id import sampled
-from shelfcast.llm.tables import stage, table
+from shelfcast.llm import language_id
+from shelfcast.llm.tables import mapped, stage, table
 
 SAMPLE_ROWS = 6_000
 #: Slots of context sums, slots in one row of the shuffle, and tokens summed at once.
@@ -204,10 +204,11 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, quality) of at most about ``bound`` labelled documents outside of the held-out fold."""
+    """(text, quality) of about ``bound`` labelled documents, or all if there are fewer, outside of the held-out fold."""
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality"))
-    chosen = sampled(marks, bound, "doc_id")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality")  # bounded by ``bound``
+    total = docs.select("doc_id").join(marks, "doc_id").count()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(language_id.drawn(total, bound, "doc_id", "text"))
+    return rows.join(marks, "doc_id").select("text", "quality")
 
 
 class _Contexts:
@@ -259,22 +260,25 @@ def context_vectors(docs: DataFrame) -> Vectors:
                     contexts.add(ids)
                     ids = gap.copy()
         contexts.add(ids)
-        blocks = contexts.sums.reshape(-1, SLOT_BLOCK * DIMENSIONS)
-        some = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[k].tobytes() for k in some], pa.binary())], names=["block", "sums"])
+        some = np.flatnonzero(contexts.sums.any(axis=1))
+        blocks, begins = np.unique(some // SLOT_BLOCK, return_index=True)
+        ends = np.append(begins, len(some))[1:]
+        slots = [(some[low:high] % SLOT_BLOCK).astype(np.uint8).tobytes() for low, high in zip(begins, ends, strict=True)]
+        sums = [contexts.sums[some[low:high]].tobytes() for low, high in zip(begins, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(slots, pa.binary()), pa.array(sums, pa.binary())], names=["block", "slots", "sums"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            for block, slots, sums in zip(*(batch.column(c).to_pylist() for c in ("block", "slots", "sums")), strict=True):
                 if block not in total:
-                    total[block] = np.zeros(SLOT_BLOCK * DIMENSIONS, np.int64)
-                total[block] += np.frombuffer(sums, np.int32)
+                    total[block] = np.zeros((SLOT_BLOCK, DIMENSIONS), np.int64)
+                total[block][np.frombuffer(slots, np.uint8)] += np.frombuffer(sums, np.int32).reshape(-1, DIMENSIONS)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["block", "sums"])
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(gathered, "block bigint, sums binary")
+    parts = mapped(docs.select(F.col("text").cast("string").alias("text")), gathered, "block bigint, slots binary, sums binary")
     context = np.zeros((SLOTS, DIMENSIONS), np.float32)
-    for r in parts.repartition(16, "block").mapInArrow(added, "block bigint, sums binary").collect():  # at most SLOTS vectors: 16 MB
+    for r in mapped(parts.repartition(16, "block"), added, "block bigint, sums binary").collect():  # at most SLOTS vectors: 16 MB
         context[r["block"] * SLOT_BLOCK : (r["block"] + 1) * SLOT_BLOCK] = np.frombuffer(r["sums"], np.float32).reshape(SLOT_BLOCK, DIMENSIONS)
     length = np.linalg.norm(context, axis=1, keepdims=True)
     return Vectors(2 * context / np.where(length > 0, length, 1))
@@ -297,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> tuple[V
         for part, x in _pooled(batches, shared.value):
             yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array([v.tobytes() for v in x], pa.binary())], names=["quality", "vector"])
 
-    found = sorted((bytes(r["vector"]), r["quality"]) for r in sample.mapInArrow(rows, "quality int, vector binary").collect())  # bounded
+    found = sorted((bytes(r["vector"]), r["quality"]) for r in mapped(sample, rows, "quality int, vector binary").collect())  # bounded
     x = np.array([np.frombuffer(v, np.float32) for v, _ in found], np.float64).reshape(len(found), 2 * DIMENSIONS + MEASURES)
     return vectors, train(x, np.array([q for _, q in found]))
 
@@ -313,7 +317,7 @@ def score(docs: DataFrame, model: tuple[Vectors, Network], keep: tuple[str, ...]
         for part, x in _pooled(batches, vectors):
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(network.score(x.astype(np.float64)).astype(np.float64))], names=[*keep, "score"])
 
-    return source.mapInArrow(rows, schema)
+    return mapped(source, rows, schema)
 
 
 def op8_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import words as W
-from shelfcast.llm.tables import table
+from shelfcast.llm.tables import mapped, table
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_pipes")
 
@@ -106,7 +106,7 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
                 own = [batch.column(k).slice(row, end - row) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(own + [pa.array(values[m].astype(np.int64)) for m in MEASURES], names=[*keep, *MEASURES])
 
-    return source.mapInArrow(rows, schema)
+    return mapped(source, rows, schema)
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -149,6 +149,11 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strictest policy's ablation over all documents."""
+    return ablation(ledger(table(spark, sf_dir, "documents")), "v3")
+
+
 _MEASURED_SQL = r"""
 d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT k, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT k, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
@@ -168,3 +173,9 @@ SQL = f"""WITH {MEASURED_SQL}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & {mask(BASE)}) <> 0 AS base_failed, (failed_bits & {mask(POLICIES['v3'])}) = 0 AS kept,
   failed_bits, (failed_bits & {mask(POLICIES['v2'])}) = 0 AS kept_v2, bit_count(failed_bits & {mask(POLICIES['v3'])}) = 1 AS one_rule_decides
 FROM ledger"""
+
+_NAMES_SQL = ", ".join(f"('{name}', {mask((name,))})" for name in POLICIES["v3"])
+ABLATION_SQL = f"""WITH {MEASURED_SQL},
+bits AS (SELECT failed_bits & {mask(POLICIES['v3'])} AS b FROM ledger)
+SELECT rule, CAST(count(*) FILTER (WHERE b & bit <> 0) AS BIGINT) AS n_failing, CAST(count(*) FILTER (WHERE b = bit) AS BIGINT) AS n_only_this, CAST(count(*) FILTER (WHERE b = 0 OR b = bit) AS BIGINT) AS n_kept_without
+FROM bits, (VALUES {_NAMES_SQL}) AS r(rule, bit) GROUP BY rule HAVING count(*) > 0"""

@@ -15,10 +15,12 @@ QUERIES = {
     "op8_random_indexing": quality_classifier.op8_random_indexing,
     "op9_dart_minhash": near_dedup.op9_dart_minhash,
     "op10_site_template_removal": html_extraction.op10_site_template_removal,
+    "quality_ablation": quality_rules.quality_ablation,
 }
 ORACLES = {
     "op1_perspective_rotation": chat_perspectives.SQL,
     "op3_quality_ledger": quality_rules.SQL,
     "op4_diagonal_voting": license_scan.SQL,
     "op6_positional_index": decontamination.SQL,
+    "quality_ablation": quality_rules.ABLATION_SQL,
 }

@@ -1,6 +1,6 @@
 """Words of an Arrow text column as NumPy arrays: boundaries and 64-bit hashes, without a Python loop over words.
 
-Texts are handled as UTF-8 bytes in slices of about a megabyte, so that memory is bounded by the
+Texts are handled as UTF-8 bytes in slices of some hundred kilobytes, so that memory is bounded by the
 slice and by the longest single text.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:

@@ -1,12 +1,20 @@
 """Main text of web pages by removal of site templates.
 
-Every block element's subtree is hashed (tag, class, id, texts and child hashes). Spark counts the pages of
-each host that hold a hash; a subtree found on many pages of its host (at least ``MIN_PAGES`` and a
-``SHARE`` of them; inside of the main content, in half of the host's different articles, and only whole containers there) is the
-site's template and goes. A page without main content, or whose main content would have no text left, loses only
-whole containers found in half of the host's different pages (of all, or of those without main content); copies count once. What is left is cleaned by meaning: elements that HTML or their class, id
-or role names as menus, headers, footers, sidebars, notices, adverts, forms or comments. The text is
-that of the articles, else of the main element, else of the body.
+Every block element's subtree is hashed, and Spark counts the pages of each host that hold a hash. There are
+three kinds:
+
+- the exact subtree (tag, class, id, texts, child hashes), inside of the main content (the outermost article or main
+  element) and on pages without one: a whole container in half of the host's different articles, or of
+  its different pages without main content, is the site's; copies of a page count once;
+- the subtree with digits and marks of state left out of its texts and names, beside the main content: on at
+  least ``MIN_PAGES`` pages and a ``SHARE`` of the host's it is the site's;
+- the shape (tags and names alone, runs of like children as one), beside the main content, and of lists of links
+  on any page: on ``MIN_PAGES`` and half of the host's pages it is the site's menu, footer or advert whatever it says today.
+
+Subtrees of the site's template go first. Names come second, for what the counts leave open (hosts with few
+pages, parts that do not recur): elements that HTML, their role or a whole class or id name as menus, headers,
+footers, sidebars, notices, adverts, forms or comments, unless they hold the main content or its heading. The text
+is that of the articles left, else of the main element, else of the body.
 
 Host template sets are small (at most the elements of a page divided by the share), yet joined, not
 assumed to fit: they are broadcast only up to ``BROADCAST_ROWS`` hashes.
@@ -20,7 +28,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,7 +42,7 @@ from shelfcast.llm.tables import mapped, stage, table
 MIN_PAGES, SHARE, SHARE_INSIDE = 8, 0.05, 0.5
 BROADCAST_ROWS = 500_000
 #: Flags of the templates, and the sets of hashes that they make.
-SETS = {"loose": "hashes", "strict": "inside", "body": "bodies"}
+SETS = {"loose": "hashes", "strict": "inside", "body": "bodies", "shape": "shapes"}
 
 # Names of HTML elements, and of the parts of pages that are not main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +57,7 @@ DROPPED_WORDS = frozenset(
     "subscribe subscription signup login sidebar widget widgets related recommended recommendations share sharing social comment comments reply replies disqus respond nav navbar navigation "
     "menu menus breadcrumb breadcrumbs header footer masthead toolbar pagination pager search alert disclaimer toc skip".split()
 )
+OTHERS = frozenset("comment comments reply replies disqus respond related recommended recommendations".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 KEPT_TAGS = frozenset("html body article main".split())
 #: What may be a site's part inside of the main content: whole containers, never their lines or cells.
@@ -56,47 +65,89 @@ CONTAINERS = frozenset("div section center details dl figure ol table ul".split(
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORDS = re.compile(r"[A-Za-z]+")
+_NAME_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+_DIGITS = re.compile(r"\d+")
+#: Names of a state, and first words that make a name speak of another element.
+STATES = frozenset("active current selected open closed first last odd even hover visited on off".split())
+ABOUT_OTHERS = frozenset("has with without no not is".split())
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     attributes: dict[str, str]
     main: Element | None  # the outermost element of main content around it, or itself
     parts: list = field(default_factory=list)  # texts and elements
     hash: int = 0
+    loose: int = 0  # without digits and states, beside main content only
+    shape: int = 0  # without texts
+    aside: bool = False  # whether it or an element around it holds readers' comments or other articles by name
+    holds_main: bool = False
+    heading: bool = False  # whether a first-level heading is in it
+    chars: int = 0
+    linked: int = 0  # characters inside of links
+    links: int = 0
 
 
 def _close(element: Element) -> None:
-    digest = xxhash.xxh3_64()
-    digest.update(f"{element.tag}\0{element.attributes.get('class', '')}\0{element.attributes.get('id', '')}".encode())
+    """Hashes and sums once all parts are known."""
+    own, outside = f"{element.tag}\0{element.attributes.get('class', '')}\0{element.attributes.get('id', '')}", element.main is None
+    names = [w for w in _DIGITS.sub("", own).split() if w not in STATES] if outside else ()
+    exact, loose, shape = xxhash.xxh3_64(own.encode("utf-8", "replace")), xxhash.xxh3_64(" ".join(names).encode("utf-8", "replace")), xxhash.xxh3_64(f"{element.tag}{' '.join(names)}".encode("utf-8", "replace"))
+    before = b""
+    element.heading = element.tag == "h1"
     for part in element.parts:
         if isinstance(part, str):
             if text := " ".join(part.split()):
-                digest.update(f"\1{text}".encode("utf-8", "replace"))
-        elif part.tag not in RAW:
-            digest.update(b"\2" + part.hash.to_bytes(8, "little"))
-    element.hash = digest.intdigest()
+                exact.update(f"\1{text}".encode("utf-8", "replace"))
+                element.chars += len(text)
+                if outside:
+                    loose.update(f"\1{_DIGITS.sub('', text)}".encode("utf-8", "replace"))
+                now = b"\1"
+            else:
+                continue
+        elif part.tag in RAW:
+            continue
+        else:
+            exact.update(b"\2" + part.hash.to_bytes(8, "little"))
+            if outside:
+                loose.update(b"\2" + part.loose.to_bytes(8, "little"))
+            element.chars, element.linked, element.links = element.chars + part.chars, element.linked + part.linked, element.links + part.links
+            element.holds_main |= part.holds_main or part.main is part
+            element.heading |= part.heading
+            now = b"\1" if part.tag not in BLOCK and part.tag != "a" else part.shape.to_bytes(8, "little")
+        if now != before:
+            shape.update(now)
+        before = now
+    if element.tag == "a":
+        element.linked, element.links = element.chars, 1
+    element.hash, element.loose, element.shape = exact.intdigest(), loose.intdigest(), shape.intdigest()
+
+
+def _link_list(element: Element) -> bool:
+    return element.links >= 3 and element.linked >= 0.8 * element.chars
 
 
 def parse(source: str) -> tuple[Element, list[Element]]:
     """The root and all elements. Tags left open end with their parent; end tags of nothing only end a block."""
     root = Element("", {}, None)
     stack, found, at = [root], [], 0
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
 
     def pop(until: int) -> None:
         while len(stack) > until:
-            _close(stack.pop())
+            element = stack.pop()
+            if stack:
+                places[element.tag].pop()
+            _close(element)
+
+    def innermost(tags: Iterable[str]) -> int:
+        return max((places[tag][-1] for tag in tags if places.get(tag)), default=0)
 
     def within(tags: tuple[str, ...], stop: frozenset[str]) -> int | None:
         """Place in the stack of the innermost of these tags that nothing of ``stop`` encloses."""
-        for place in range(len(stack) - 1, 0, -1):
-            if stack[place].tag in tags:
-                return place
-            if stack[place].tag in stop:
-                return None
-        return None
+        place = innermost(tags)
+        return place if place and place > innermost(stop) else None
 
     while token := _TOKEN.search(source, at):
         if token.start() > at:
@@ -117,7 +168,8 @@ def parse(source: str) -> tuple[Element, list[Element]]:
         if tag in CLOSED_BY_ITSELF and (place := within(CLOSED_BY_ITSELF[tag], HOLDS)) is not None:
             pop(place)
         element = Element(tag, attributes, stack[-1].main)
-        if element.main is None and (tag in ("article", "main") or attributes.get("role", "") == "main"):
+        element.aside = stack[-1].aside or tag not in ("html", "body") and not OTHERS.isdisjoint(_names(element))
+        if element.main is None and not element.aside and (tag in ("article", "main") or attributes.get("role", "") == "main"):
             element.main = element
         stack[-1].parts.append(element)
         found.append(element)
@@ -129,6 +181,7 @@ def parse(source: str) -> tuple[Element, list[Element]]:
         elif tag in VOID:
             _close(element)
         else:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(element)
     if at < len(source):
         stack[-1].parts.append(entities.unescape(source[at:]))
@@ -136,21 +189,34 @@ def parse(source: str) -> tuple[Element, list[Element]]:
     return root, found
 
 
+def _names(element: Element) -> list[str]:
+    """The words of its classes and id, without those of names that speak of another element."""
+    found = []
+    for name in f"{element.attributes.get('class', '')} {element.attributes.get('id', '')}".split():
+        words = [w.lower() for w in _NAME_PARTS.findall(name)]
+        if words and words[0] not in ABOUT_OTHERS:
+            found += words
+    return found
+
+
 def _named_apart(element: Element) -> bool:
     """Whether tag, class, id or role say that it is no main text."""
-    if element.tag in DROPPED_TAGS:
+    if element.tag in RAW:
         return True
     attributes = element.attributes
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
-    if element.main is element or element.tag in ("html", "body"):
+    if element.main is element or element.holds_main or element.tag in ("html", "body"):
         return False
+    if element.tag in DROPPED_TAGS:
+        return True
     if element.tag == "header":
         return not (element.main is not None and any(not isinstance(p, str) and p.tag in ("h1", "h2") for p in element.parts))
+    if element.heading and element.main is not None:
+        return False
     if attributes.get("role", "").lower() in DROPPED_ROLES:
         return True
-    names = {w.lower() for w in _WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
-    return bool(names & DROPPED_WORDS)
+    return not DROPPED_WORDS.isdisjoint(_names(element))
 
 
 def _mains(element: Element, tags: tuple[str, ...], gone: set[int]) -> list[Element]:
@@ -168,69 +234,133 @@ def _mains(element: Element, tags: tuple[str, ...], gone: set[int]) -> list[Elem
     return found
 
 
-def _text(elements: list[Element], gone: set[int]) -> str:
+def _text(elements: list[Element], gone: set[int], kept: list[Element] = ()) -> str:  # type: ignore[assignment]
     out: list[str] = []
     todo: list = list(reversed(elements))
     while todo:
         one = todo.pop()
         if isinstance(one, str):
             out.append(one)
-        elif id(one) not in gone and not (one.tag not in KEPT_TAGS and _named_apart(one)) and not (one.tag == "article" and one not in elements and _named_apart(one)):
+        elif id(one) not in gone and not (one.tag not in KEPT_TAGS and one not in kept and _named_apart(one)) and not (one.tag == "article" and one not in elements and _named_apart(one)):
             edge = [" "] if one.tag in BLOCK else []
             todo += [*edge, *reversed(one.parts), *edge]
     return " ".join("".join(out).split())
 
 
-def template_parts(elements: list[Element], outside: set[int], inside: set[int], whole: bool = False) -> set[int]:
-    """Elements to delete: of the host's template, in the main content (with ``whole``, everywhere) only containers."""
-    return {id(e) for e in elements if e.tag in BLOCK and e.tag not in KEPT_TAGS and (e.hash in inside and e.tag in CONTAINERS if e.main is not None else e.hash in outside and (not whole or e.tag in CONTAINERS))}
+def template_parts(elements: list[Element], hashes: set[int], inside: set[int], bodies: set[int], shapes: set[int]) -> set[int]:
+    """Elements of the host's template: in the main content, and on pages without one, only whole containers and lists of links."""
+    plain = all(e.main is None for e in elements)
 
+    def counted(e: Element) -> bool:
+        if e.main is not None:
+            return e.hash in inside and e.tag in CONTAINERS
+        if e.holds_main:
+            return False
+        if plain:
+            return e.hash in bodies and e.tag in CONTAINERS or e.shape in shapes and _link_list(e)
+        return e.loose in hashes or e.shape in shapes
 
-def main_text(source: str, hashes: set[int] = frozenset(), inside: set[int] = frozenset(), bodies: set[int] = frozenset()) -> str:
+    return {id(e) for e in elements if e.tag in BLOCK and e.tag not in KEPT_TAGS and counted(e)}
+
+
+def main_text(source: str, hashes: set[int] = frozenset(), inside: set[int] = frozenset(), bodies: set[int] = frozenset(), shapes: set[int] = frozenset()) -> str:
     root, elements = parse(source)
-    if any(e.main is not None for e in elements):
-        gone = template_parts(elements, hashes, inside)
-        for tags in (("article",), ("main",)):
-            if (found := _mains(root, tags, gone)) and (text := _text(found, gone)):
-                return text
-    gone = template_parts(elements, bodies, inside, whole=True)
+    gone = template_parts(elements, hashes, inside, bodies, shapes)
     for tags in (("article",), ("main",)):
         if (found := _mains(root, tags, gone)) and (text := _text(found, gone)):
             return text
-    return _text([root], gone)
+    if any(e.main is not None for e in elements):  # main content without text: what is beside it may be more than the template
+        gone = {id(e) for e in elements if e.main is None and not e.holds_main and e.tag in CONTAINERS and e.hash in bodies}
+    if text := _text([root], gone):
+        return text
+    # a form around the whole page is no form apart
+    around = [e for e in elements if e.tag == "form" and id(e) not in gone and 2 * e.chars > root.chars]
+    return _text(around[:1], gone, around[:1])
+
+
+def removed(source: str, hashes: set[int] = frozenset(), inside: set[int] = frozenset(), bodies: set[int] = frozenset(), shapes: set[int] = frozenset()) -> tuple[int, int]:
+    """Characters of the page that the counts remove, and those that names or the bounds of the main content remove then."""
+    root, elements = parse(source)
+    gone = template_parts(elements, hashes, inside, bodies, shapes)
+    counted, todo = 0, list(root.parts)
+    while todo:
+        part = todo.pop()
+        if isinstance(part, str) or part.tag in RAW:
+            continue
+        if id(part) in gone:
+            counted += part.chars
+        else:
+            todo += part.parts
+    kept = len("".join(main_text(source, hashes, inside, bodies, shapes).split()))
+    whole = len("".join(_whole(root).split()))
+    return counted, max(0, whole - counted - kept)
+
+
+def _whole(root: Element) -> str:
+    out, todo = [], [root]
+    while todo:
+        one = todo.pop()
+        if isinstance(one, str):
+            out.append(one)
+        elif one.tag not in RAW:
+            todo += reversed(one.parts)
+    return " ".join(out)
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, hash, main, body, plain) for each page's distinct subtrees and the page itself, with the hash of the main content around them or 0, outside of it that of the page, and whether the page has no main content."""
+    """(host, hash, main, body, plain, shape) for each page's distinct subtrees and the page itself.
+
+    ``main`` is the hash of the main content around the subtree, or 0; outside of it ``body`` is that of the page; ``plain``: the
+    page has no main content; ``shape``: the hash is one of shapes.
+    """
+
+    def of_page(source: str) -> set[tuple]:
+        root, elements = parse(source)
+        plain = all(e.main is None for e in elements)
+        own = {(root.hash, 0, root.hash, plain, False)}
+        for e in elements:
+            if e.tag not in BLOCK or e.tag in VOID:
+                continue
+            if e.main is not None:
+                own.add((e.hash, e.main.hash, 0, plain, False))
+            elif plain:
+                own.add((e.hash, 0, root.hash, plain, False))
+                if _link_list(e):
+                    own.add((e.shape, 0, 0, plain, True))
+            elif not e.holds_main:
+                own |= {(e.loose, 0, root.hash, plain, False), (e.hash, 0, root.hash, plain, False), (e.shape, 0, 0, plain, True)}
+        return own
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found, plain = [], [], []
+            hosts, found = [], []
             for host, source in zip(batch.column("host"), batch.column("html"), strict=True):
-                root, elements = parse(source.as_py() or "")
-                own = {(e.hash, e.main.hash, 0) if e.main is not None else (e.hash, 0, root.hash) for e in elements if e.tag in BLOCK and e.tag not in VOID} | {(root.hash, 0, root.hash)}
+                own = of_page(source.as_py() or "")
                 hosts += [host.as_py()] * len(own)
                 found += own
-                plain += [all(e.main is None for e in elements)] * len(own)
-            each = np.array(found, np.uint64).reshape(len(found), 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(each[:, k]) for k in range(3)), pa.array(plain, pa.bool_())], names=["host", "hash", "main", "body", "plain"])
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            hashes = (pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[:3])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *hashes, *(pa.array(c, pa.bool_()) for c in columns[3:])], names=["host", "hash", "main", "body", "plain", "shape"])
 
-    return mapped(pages.select("host", "html"), rows, "host string, hash bigint, main bigint, body bigint, plain boolean")
+    return mapped(pages.select("host", "html"), rows, "host string, hash bigint, main bigint, body bigint, plain boolean, shape boolean")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, share_inside: float = SHARE_INSIDE) -> DataFrame:
-    """(host, hash, loose, strict, body): subtrees on many of a host's pages; strict ones in enough different articles to go from main content too, body ones in enough different pages to go from those without."""
-    each = stage(subtrees(pages).groupBy("host", "hash", "main", "body", "plain").agg(F.count(F.lit(1)).alias("n")), "subtrees")
-    outside = F.col("main") == 0
+    """(host, hash, loose, strict, body, shape): the flags say where subtrees with that hash, or of that shape, are the template's."""
+    counted = subtrees(pages).groupBy("host", "hash", "main", "body", "plain", "shape").agg(F.count(F.lit(1)).alias("n"))
+    each = stage(counted, "subtrees")
+    exact, outside = each.where("NOT shape"), F.col("main") == 0
     counts = F.sum("n").alias("n"), F.count_if(~outside).alias("n_in"), F.count_if(outside).alias("n_out"), F.count_if(outside & F.col("plain")).alias("n_plain")
-    held = each.groupBy("host", "hash").agg(*counts).where(F.col("n") >= min_pages)
+    held = exact.groupBy("host", "hash").agg(*counts).where(F.col("n") >= min_pages)
     total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    whole = each.where("main = hash OR body = hash").groupBy("host").agg(F.count_if(~outside).alias("n_articles"), F.count_if(outside).alias("n_bodies"), F.count_if(outside & F.col("plain")).alias("n_plain_bodies"))
+    whole = exact.where("main = hash OR body = hash").groupBy("host").agg(F.count_if(~outside).alias("n_articles"), F.count_if(outside).alias("n_bodies"), F.count_if(outside & F.col("plain")).alias("n_plain_bodies"))
     loose = F.col("n") >= share * F.col("n_pages")
     enough = lambda n, of: (F.col(n) >= min_pages) & (F.col(n) >= share_inside * F.col(of))
     body = enough("n_out", "n_bodies") | enough("n_plain", "n_plain_bodies")
     known = held.join(total, "host").join(whole, "host")
-    return known.select("host", "hash", loose.alias("loose"), (loose & enough("n_in", "n_articles")).alias("strict"), body.alias("body")).where("loose OR body")
+    known = known.select("host", "hash", loose.alias("loose"), (loose & enough("n_in", "n_articles")).alias("strict"), body.alias("body"), F.lit(False).alias("shape")).where("loose OR body")
+    shapes = each.where("shape").groupBy("host", "hash").agg(F.sum("n").alias("n")).join(total, "host").where(enough("n", "n_pages"))
+    return known.unionByName(shapes.select("host", "hash", F.lit(False).alias("loose"), F.lit(False).alias("strict"), F.lit(False).alias("body"), F.lit(True).alias("shape")))
 
 
 def with_host(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -244,7 +374,8 @@ def extract(pages: DataFrame) -> DataFrame:
     found = stage(templates(source), "templates")
     small = found.count() <= BROADCAST_ROWS
     sets = found.groupBy("host").agg(*[F.collect_list(F.when(F.col(flag), F.col("hash"))).alias(name) for flag, name in SETS.items()])
-    joined = source.join(F.broadcast(sets) if small else sets, "host", "left")
+    # many sets are written, so that Spark may split the pages of a large host
+    joined = source.join(F.broadcast(sets) if small else stage(sets, "sets"), "host", "left")
     kind = source.schema["page_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,5 +220,5 @@ def test_pipeline_stages_on_nothing(spark, position):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)

@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Levels:
-    """Ordered demand levels: codes, names and lower bounds, the first of them 0."""
-
-    codes: tuple[int, ...] = (0, 1, 2, 3, 4)
-    names: tuple[str, ...] = ("no_sales", "low", "normal", "medium_high", "high")
-    bounds: tuple[int, ...] = (0, 1, 2, 5, 20)
-
-    def __post_init__(self) -> None:
-        if not len(self.codes) == len(self.names) == len(self.bounds):
-            raise ValueError("codes, names and bounds differ in number")
-        if self.bounds[:1] != (0,) or list(self.bounds) != sorted(self.bounds):
-            raise ValueError("bounds must begin at 0 and ascend")
-
-
-LEVELS = Levels()
+#: The lowest whole quantity of each demand level, and the level's code.
+LEVELS = {0: 0, 1: 1, 2: 2, 5: 3, 20: 4}
 
 # What the ledger says for each channel.
 ONLINE = ("oln", "online", "on", "线上", "網上", "网上")
@@ -71,13 +55,11 @@ def half_up(c: Column, months: int = 1) -> Column:
     return F.floor(F.greatest(finite(c) / months, F.lit(0.0)) + 0.5).cast("long")
 
 
-def level(c: Column, months: int = 1, levels: Levels = LEVELS) -> Column:
-    """Demand level of a quantity over that many months."""
+def level(c: Column, months: int = 1, levels: dict[int, int] = LEVELS) -> Column:
+    """Demand level of a quantity over that many months: the code of the highest bound that it reaches."""
     whole = half_up(c, months)
-    out = F.lit(levels.codes[0])
-    for code, bound in zip(levels.codes[1:], levels.bounds[1:], strict=True):
-        out = F.when(whole >= bound, code).otherwise(out)
-    return out
+    reached = [F.when(whole >= bound, code) for bound, code in sorted(levels.items(), reverse=True)]
+    return F.coalesce(*reached, F.lit(levels[min(levels)]))
 
 
 def direction(current: Column, future: Column, tolerance: float = 0.0) -> Column:

@@ -74,7 +74,7 @@ def horizon_violations(dataset: DataFrame) -> DataFrame:
     """Counts that must be 0: the second horizon known without the first, levels out of range, levels that do not follow from the quantity."""
     wrong = lambda n: (F.col(f"target_available_{n}m") == 1) & (F.col(f"target_mc_{n}m") != S.level(F.col(f"future_qty_{n}m"), n))
     return dataset.agg(
-        F.count_if((F.col("target_available_2m") == 1) & (F.col("target_available_1m") != 1)).alias("second_without_first"), F.count_if(~F.col("target_mc_2m").isin(-1, *S.LEVELS.codes)).alias("unknown_level"),
+        F.count_if((F.col("target_available_2m") == 1) & (F.col("target_available_1m") != 1)).alias("second_without_first"), F.count_if(~F.col("target_mc_2m").isin(-1, *S.LEVELS.values())).alias("unknown_level"),
         F.count_if(wrong(1)).alias("wrong_level_1m"), F.count_if(wrong(2)).alias("wrong_level_2m"), F.count_if((F.col("target_available_2m") == 0) & (F.col("target_mc_2m") != -1)).alias("level_without_target"),
         F.count_if(F.col("month_idx") + 1 > F.col("last_idx")).alias("after_close"),
     )

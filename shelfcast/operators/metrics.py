@@ -64,7 +64,7 @@ def candidates(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in names], F.explode(F.array(*[F.struct(F.lit(n).alias("candidate"), F.col(n).cast("double").alias("prediction")) for n in names])).alias("c")).select("*", "c.*").drop("c")
 
 
-def confusion(rows: DataFrame, true: Column, pred: Column, by: list[str], codes: tuple[int, ...] = S.LEVELS.codes) -> DataFrame:
+def confusion(rows: DataFrame, true: Column, pred: Column, by: list[str], codes: tuple[int, ...] = tuple(S.LEVELS.values())) -> DataFrame:
     """Dense counts of (true, pred) by group: all pairs of levels, also those that do not occur."""
     counts = rows.groupBy(*by, true.alias("true_code"), pred.alias("pred_code")).agg(F.count(F.lit(1)).alias("n"))
     listed = F.array(*[F.lit(c) for c in codes])
@@ -72,7 +72,7 @@ def confusion(rows: DataFrame, true: Column, pred: Column, by: list[str], codes:
     return dense.join(counts, [*by, "true_code", "pred_code"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def classification(matrix: DataFrame, by: list[str], high: int = S.LEVELS.codes[-1]) -> DataFrame:
+def classification(matrix: DataFrame, by: list[str], high: int = max(S.LEVELS.values())) -> DataFrame:
     """Accuracy, macro and weighted F1, adjacent and severe error rates and recall of the top level from a dense matrix."""
     n, t, p = F.col("n"), F.col("true_code"), F.col("pred_code")
     sides = matrix.select(*by, F.explode(F.array(F.struct(t.alias("code"), F.lit(True).alias("is_true")), F.struct(p.alias("code"), F.lit(False).alias("is_true")))).alias("s"), "n", (t == p).alias("hit")).select(*by, "s.*", "n", "hit")

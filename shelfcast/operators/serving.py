@@ -18,9 +18,9 @@ def store_summary(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("model_id", "site_no").agg(F.sum("pred_qty_int").alias("total_qty"), F.count_if(F.col("pred_qty_int") > 0).alias("nonzero_count"), F.count_if(F.col("pred_qty_int") >= 20).alias("head_count"))
 
 
-def model_summary(predictions: DataFrame, levels: S.Levels = S.LEVELS) -> DataFrame:
+def model_summary(predictions: DataFrame, levels: dict[int, int] = S.LEVELS) -> DataFrame:
     return predictions.groupBy("model_id").agg(
-        F.sum("pred_qty_int").alias("total_qty"), F.count_if(F.col("pred_qty_int") > 0).alias("nonzero_count"), *[F.count_if(F.col("pred_mc") == c).alias(f"mc{c}_count") for c in levels.codes],
+        F.sum("pred_qty_int").alias("total_qty"), F.count_if(F.col("pred_qty_int") > 0).alias("nonzero_count"), *[F.count_if(F.col("pred_mc") == c).alias(f"mc{c}_count") for c in levels.values()],
         F.count_if(F.col("pred_qty_int") >= 20).alias("head_count"), F.count_distinct("site_no").alias("stores"), F.count_distinct("item_id").alias("items"), F.count(F.lit(1)).alias("n_rows"),
     )
 

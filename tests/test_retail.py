@@ -108,8 +108,7 @@ def test_buckets_and_levels(spark):
     assert value(S.level, -1, 0.49, 0.5, 1.49, 1.5, 4.49, 4.5, 19.49, 19.5) == [0, 0, 1, 1, 2, 2, 3, 3, 4]
     assert value(lambda x: S.level(x, 2), 0, 1, 2, 3, 4, 9, 10, 39, 40) == [0, 1, 1, 2, 2, 3, 3, 4, 4]
     assert value(S.clip_target, "nan", "inf", "-inf", -2, 3) == [0, 0, 0, 0, 3]
-    with pytest.raises(ValueError):
-        S.Levels(bounds=(1, 2, 3, 4, 5))
+    assert value(lambda x: S.level(x, levels={0: 7, 3: 8}), -2, 2.4, 2.5) == [7, 7, 8]
     assert math.isclose(spark.range(1).select(S.hash_uniform("a")).first()[0], 0.0498269632816, abs_tol=1e-12)
 
 

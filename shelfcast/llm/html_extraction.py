@@ -92,8 +92,10 @@ class Element:
 def _close(element: Element) -> None:
     """Hashes and sums once all parts are known."""
     own, outside = f"{element.tag}\0{element.attributes.get('class', '')}\0{element.attributes.get('id', '')}", element.main is None
-    names = [w for w in _DIGITS.sub("", own).split() if w not in STATES] if outside else ()
-    exact, loose, shape = xxhash.xxh3_64(own.encode("utf-8", "replace")), xxhash.xxh3_64(" ".join(names).encode("utf-8", "replace")), xxhash.xxh3_64(f"{element.tag}{' '.join(names)}".encode("utf-8", "replace"))
+    exact = xxhash.xxh3_64(own.encode("utf-8", "replace"))
+    if outside:
+        names = " ".join(w for w in _DIGITS.sub("", own).split() if w not in STATES).encode("utf-8", "replace")
+        loose, shape = xxhash.xxh3_64(names), xxhash.xxh3_64(b"shape" + names)
     before = b""
     element.heading = element.tag == "h1"
     for part in element.parts:
@@ -116,12 +118,14 @@ def _close(element: Element) -> None:
             element.holds_main |= part.holds_main or part.main is part
             element.heading |= part.heading
             now = b"\1" if part.tag not in BLOCK and part.tag != "a" else part.shape.to_bytes(8, "little")
-        if now != before:
+        if outside and now != before:
             shape.update(now)
         before = now
     if element.tag == "a":
         element.linked, element.links = element.chars, 1
-    element.hash, element.loose, element.shape = exact.intdigest(), loose.intdigest(), shape.intdigest()
+    element.hash = exact.intdigest()
+    if outside:
+        element.loose, element.shape = loose.intdigest(), shape.intdigest()
 
 
 def _link_list(element: Element) -> bool:
@@ -162,7 +166,7 @@ def parse(source: str) -> tuple[Element, list[Element]]:
             elif tag in BLOCK:
                 stack[-1].parts.append(" ")
             continue
-        attributes = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(token[3] or "")}
+        attributes = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(token[3])} if token[3] else {}
         if tag in CLOSES_P and (place := within(("p",), HOLDS)) is not None:
             pop(place)
         if tag in CLOSED_BY_ITSELF and (place := within(CLOSED_BY_ITSELF[tag], HOLDS)) is not None:
@@ -192,6 +196,8 @@ def parse(source: str) -> tuple[Element, list[Element]]:
 def _names(element: Element) -> list[str]:
     """The words of its classes and id, without those of names that speak of another element."""
     found = []
+    if not element.attributes:
+        return found
     for name in f"{element.attributes.get('class', '')} {element.attributes.get('id', '')}".split():
         words = [w.lower() for w in _NAME_PARTS.findall(name)]
         if words and words[0] not in ABOUT_OTHERS:
@@ -204,6 +210,8 @@ def _named_apart(element: Element) -> bool:
     if element.tag in RAW:
         return True
     attributes = element.attributes
+    if not attributes and element.tag not in DROPPED_TAGS and element.tag != "header":
+        return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
     if element.main is element or element.holds_main or element.tag in ("html", "body"):

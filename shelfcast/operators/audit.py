@@ -50,9 +50,10 @@ def rank_correlations(rows: DataFrame, whole: DataFrame, key: list[str], new: li
     names = [*new, *existing]
     long = rows.select(*key, _values(names).alias("f")).select(*key, "f.feature", F.coalesce("f.value", F.lit(0.0)).alias("value"))
     wide = long.join(ranks, ["feature", "value"]).groupBy(*key).agg(*[F.max(F.when(F.col("feature") == n, F.col("rank"))).alias(n) for n in names])
-    pairs = wide.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a in new for b in existing])
-    listed = F.explode(F.array(*[F.struct(F.lit(a).alias("feature"), F.lit(b).alias("existing"), F.col(f"{a}|{b}").alias("correlation")) for a in new for b in existing]))
-    return pairs.select(listed.alias("p")).select("p.*")
+    each = wide.select(*existing, F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("rank")) for n in new])).alias("f")).select(*existing, "f.*")
+    pairs = each.groupBy("feature").agg(*[F.corr("rank", b).alias(b) for b in existing])
+    listed = F.explode(F.array(*[F.struct(F.lit(b).alias("existing"), F.col(b).alias("correlation")) for b in existing]))
+    return pairs.select("feature", listed.alias("p")).select("feature", "p.*")
 
 
 def audit(rows: DataFrame, groups: dict[str, list[str]], existing: list[str], labels: dict[str, Column], key: list[str]) -> DataFrame:
@@ -91,10 +92,11 @@ def audit(rows: DataFrame, groups: dict[str, list[str]], existing: list[str], la
 
 def refined_gate(swept: DataFrame, by: list[str], step: float = 0.05) -> DataFrame:
     """For each gate the best threshold within one step of the best on the coarse grid, and which gate wins. ``swept`` has method, threshold and wape."""
-    each = Window.partitionBy(*by, "method").orderBy("wape", "threshold")
-    coarse = swept.where(F.abs(F.col("threshold") / step - F.round(F.col("threshold") / step)) < 1e-6)
-    centre = coarse.withColumn("r", F.row_number().over(each)).where("r = 1").select(*by, "method", F.col("threshold").alias("centre"))
-    local = swept.join(centre, [*by, "method"]).where(F.abs(F.col("threshold") - F.col("centre")) <= step + 1e-7)
+    method = Window.partitionBy(*by, "method")
+    each = method.orderBy("wape", "threshold")
+    on_grid = F.abs(F.col("threshold") / step - F.round(F.col("threshold") / step)) < 1e-6
+    centred = swept.withColumn("centre", F.min(F.when(on_grid, F.struct("wape", "threshold"))).over(method)["threshold"])
+    local = centred.where(F.abs(F.col("threshold") - F.col("centre")) <= step + 1e-7)
     finalists = local.withColumn("r", F.row_number().over(each)).where("r = 1").drop("r")
     return finalists.select(*by, "method", "centre", "threshold", "wape", (F.row_number().over(Window.partitionBy(*by).orderBy("wape", "method", "threshold")) == 1).alias("chosen"))
 
@@ -122,40 +124,38 @@ def compensation_rules(rows: DataFrame, by: list[str], highest: float = 1.5) ->
     """
     taus = weighted_thresholds(rows, {"s5": MEDIUM, "s20": HIGH}, "w", by)
     reached = lambda s: F.aggregate(f"tau_{s}", F.lit(0), lambda n, x: n + F.when(F.col(s) >= x, 1).otherwise(0))
-    bins = rows.join(taus, by).select(*by, reached("s5").alias("b5"), reached("s20").alias("b20"), (F.col("w") * F.col("target")).alias("t"), (F.col("w") * F.col("prediction")).alias("p")).groupBy(*by, "b5", "b20").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
+    held = [*by, "tau_s5", "tau_s20"]
+    bins = rows.join(taus, by).select(*held, reached("s5").alias("b5"), reached("s20").alias("b20"), (F.col("w") * F.col("target")).alias("t"), (F.col("w") * F.col("prediction")).alias("p")).groupBy(*held, "b5", "b20").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
     # fractions grow, so that who reaches the i-th threshold reaches all later ones
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("medium"), F.lit(j).alias("j"), F.lit(h).alias("high")) for i, m in enumerate(MEDIUM) for j, h in enumerate(HIGH)]))
     each = bins.withColumn("c", cells).select("*", "c.*")
     high = F.col("b20") >= len(HIGH) - F.col("j")
     medium = ~high & (F.col("b5") >= len(MEDIUM) - F.col("i"))
     factor = lambda mask: F.least(F.greatest(F.coalesce(F.sqrt(S.ratio(F.sum(F.when(mask, F.col("t"))), F.sum(F.when(mask, F.col("p"))))), F.lit(1.0)), F.lit(1.0)), F.lit(highest))
-    rules = each.groupBy(*by, "i", "medium", "j", "high").agg(factor(medium).alias("c5"), factor(high).alias("c20")).join(taus, by)
-    rules = rules.select(*by, "medium", "high", F.expr("tau_s5[i]").alias("tau5"), F.expr("tau_s20[j]").alias("tau20"), "c5", "c20")
-    identity = taus.select(*by, *[F.lit(0.0).alias(c) for c in ("medium", "high")], *[F.lit(None).cast("double").alias(c) for c in ("tau5", "tau20")], *[F.lit(1.0).alias(c) for c in ("c5", "c20")])
-    listed = rules.unionByName(identity).groupBy(*by).agg(F.collect_list(F.struct("medium", "high", "tau5", "tau20", "c5", "c20")).alias("rules"))  # 26 a group
+    rules = each.groupBy(*held, "i", "medium", "j", "high").agg(factor(medium).alias("c5"), factor(high).alias("c20"))
+    rule = ["medium", "high", "tau5", "tau20", "c5", "c20"]
+    listed = rules.select(*by, "medium", "high", F.expr("tau_s5[i]").alias("tau5"), F.expr("tau_s20[j]").alias("tau20"), "c5", "c20").groupBy(*by).agg(F.collect_list(F.struct(*rule)).alias("rules"))  # 25 a group
+    none = F.lit(None).cast("double")
+    identity = F.array(F.struct(F.lit(0.0).alias("medium"), F.lit(0.0).alias("high"), none.alias("tau5"), none.alias("tau20"), F.lit(1.0).alias("c5"), F.lit(1.0).alias("c20")))
+    listed = listed.withColumn("rules", F.concat("rules", identity))
     judged = rows.join(listed, by).select(*by, "target", "prediction", "s5", "s20", "w", F.explode("rules").alias("r")).select("*", "r.*")
     lifted = forecast.compensated(F.col("prediction"), F.col("s5"), F.greatest("s5", "s20"), (F.col("tau5"), F.col("c5")), (F.lit(float("inf")), F.lit(1.0)))
     prediction = F.when(F.col("s20") >= F.col("tau20"), F.col("prediction") * F.col("c20")).otherwise(lifted)
-    found = E.complete(judged.withColumn("prediction", prediction), [*by, "medium", "high"], F.col("w"))
+    found = E.complete(judged.withColumn("prediction", prediction), [*by, *rule], F.col("w"))
     kept = ["wape_overall", "wape_5_19", "wape_20_plus", "wape_nonzero", "prediction_sum_0", "total_bias", "recall_20_plus"]
-    found = found.select(*by, "medium", "high", *kept)
-    base = found.where("medium = 0").select(*by, *[F.col(c).alias(f"base_{c}") for c in kept])
-    both = found.where("medium > 0").join(base, by)
+    group, is_rule = Window.partitionBy(*by), F.col("medium") > 0
+    both = found.select(*by, *rule, *kept, *[F.max(F.when(~is_rule, F.col(c))).over(group).alias(f"base_{c}") for c in kept])
     change = {
         "five_nineteen": S.r6(F.col("wape_5_19") - F.col("base_wape_5_19")), "nonzero": S.r6(F.col("wape_nonzero") - F.col("base_wape_nonzero")),
         "zero_total": S.r6(F.coalesce(S.ratio(F.col("prediction_sum_0"), F.col("base_prediction_sum_0")) - 1, F.lit(0.0))), "total_bias": S.r6(F.abs("total_bias") - F.abs("base_total_bias")),
     }
     both = both.withColumns({f"{n}_change": c for n, c in change.items()})
     both = both.withColumns({f"{n}_ok": F.coalesce(F.col(f"{n}_change") <= most, F.lit(False)) for n, most in GATES.items()})
-    both = both.withColumn("eligible", reduce(lambda a, b: a & b, [F.col(f"{n}_ok") for n in GATES]))
-    group = Window.partitionBy(*by)
+    both = both.withColumn("eligible", reduce(lambda a, b: a & b, [F.col(f"{n}_ok") for n in GATES], is_rule))
     order = group.orderBy(F.desc("eligible"), "wape_20_plus", F.desc("recall_20_plus"), "wape_overall", F.round(F.col("medium") + F.col("high"), 9), "medium")
-    both = both.withColumns({"chosen": (F.row_number().over(order) == 1) & F.col("eligible"), "n_eligible": F.sum(F.col("eligible").cast("int")).over(group)})
-    shown = [*by, "medium", "high", "wape_overall", "wape_20_plus", "recall_20_plus", *[f"{n}_change" for n in GATES], "eligible", "chosen", "n_eligible"]
-    none = base.join(both.groupBy(*by).agg(F.max("n_eligible").alias("n_eligible")), by).select(
-        *by, F.lit(0.0).alias("medium"), F.lit(0.0).alias("high"), *[F.col(f"base_{c}").alias(c) for c in ("wape_overall", "wape_20_plus", "recall_20_plus")], *[F.lit(0.0).alias(f"{n}_change") for n in GATES], F.lit(False).alias("eligible"), (F.col("n_eligible") == 0).alias("chosen"), "n_eligible",
-    )
-    return both.select(*shown).unionByName(none).join(rules.unionByName(identity).select(*by, "medium", "high", "tau5", "tau20", S.r6(F.col("c5")).alias("c5"), S.r6(F.col("c20")).alias("c20")), [*by, "medium", "high"])
+    both = both.withColumns({"r": F.row_number().over(order), "n_eligible": F.sum(F.col("eligible").cast("int")).over(group)})
+    chosen = F.when(is_rule, (F.col("r") == 1) & F.col("eligible")).otherwise(F.col("n_eligible") == 0)
+    return both.select(*by, "medium", "high", "tau5", "tau20", S.r6(F.col("c5")).alias("c5"), S.r6(F.col("c20")).alias("c20"), "wape_overall", "wape_20_plus", "recall_20_plus", *[f"{n}_change" for n in GATES], "eligible", chosen.alias("chosen"), "n_eligible")
 
 
 def worse_groups(rows: DataFrame, columns: dict[str, int], first: str, second: str, most: int = 10) -> DataFrame:

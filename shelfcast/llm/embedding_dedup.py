@@ -5,8 +5,8 @@ direction (drawn from the node's number, so it is stored nowhere) and parts them
 to the cut than the ``SPILL`` of what a link at the threshold typically differs by go to both sides. Medians
 come from a bounded sample of each node's rows (``SAMPLE`` a leaf and round); all rows are routed. Trees grow by
 rounds: leaves over ``LEAF`` rows are split again, each by a subtree that one task fits to that leaf's sample,
-so depth follows the input and no tree passes through the driver. A node in which most rows would go to both sides
-is not cut (``DENSE``): what lies there are near copies of one another.
+so depth follows the input and no tree passes through the driver. A node whose rows differ by no
+more than links do is not cut (``DENSE``): what lies there are near copies of one another.
 
 Rows of a leaf are compared in double precision, in groups of at most 2 * ``BLOCK`` rows: a larger leaf is dealt out as
 pairs of blocks, so its size is not limited. Before that, dense leaves of the first tree give balls: rows within half of the link's
@@ -44,7 +44,8 @@ TREES, LEAF, LEVELS = 8, 512, 8
 SAMPLE, LEAST_SAMPLE = 4096, 16
 #: Share of a full leaf that the subtrees aim at, as sizes are estimates.
 FILLED = 0.75
-SPILL, DENSE = 0.5, 0.5
+#: Half the width of the band around a cut whose rows go both ways, and of one that holds half of the rows if these are near copies.
+SPILL, DENSE = 0.25, 0.5
 BLOCK = 1024
 
 
@@ -59,9 +60,9 @@ def direction(leaf: int, node: int, size: int) -> np.ndarray:
     return drawn / np.linalg.norm(drawn)
 
 
-def margin(size: int, threshold: float, spill: float = SPILL) -> float:
-    """Half the width of the band whose rows go both ways, in units of what a link at the threshold differs by on a random direction."""
-    return spill * sqrt(2 * max(0.0, 1 - threshold) / size)
+def margin(size: int, threshold: float, times: float = SPILL) -> float:
+    """So many times what the ends of a link at the threshold differ by on a random direction (standard deviation)."""
+    return times * sqrt(2 * max(0.0, 1 - threshold) / size)
 
 
 def fitted(rows: np.ndarray, leaf: int, goal: float, threshold: float, levels: int = LEVELS) -> list[float]:
@@ -74,7 +75,7 @@ def fitted(rows: np.ndarray, leaf: int, goal: float, threshold: float, levels: i
             continue
         at = own @ direction(leaf, node, rows.shape[1])
         cut = float(np.median(at))
-        if np.mean(np.abs(at - cut) <= band) > DENSE:
+        if np.median(np.abs(at - cut)) <= margin(rows.shape[1], threshold, DENSE):
             continue
         cuts[node] = cut
         todo += [(2 * node + 1, own[at <= cut + band]), (2 * node + 2, own[at >= cut - band])]
@@ -246,9 +247,18 @@ def _parts(linked: np.ndarray) -> np.ndarray:
 
 
 def _shared_before(leaves: list[np.ndarray], one: np.ndarray, two: np.ndarray, leaf: int, chunk: int = 1 << 15) -> np.ndarray:
-    """Whether those pairs of rows share a leaf below ``leaf``."""
-    padded = np.full((len(leaves), max(map(len, leaves), default=0)), leaf, np.int64)
-    for i, own in enumerate(leaves):
+    """Whether those pairs of rows share a leaf below ``leaf``: pair by pair, or for many pairs of like rows by one product over the shared leaves."""
+    lower = [own[own < leaf] for own in leaves]
+    ids, place, n = np.unique(np.concatenate([np.zeros(0, np.int64), *lower]), return_inverse=True, return_counts=True)
+    shared, row = n > 1, np.repeat(np.arange(len(lower)), [len(own) for own in lower])
+    wide = max(map(len, lower), default=0)
+    if len(one) * wide * wide > len(leaves) ** 2 * int(shared.sum()) // 8:
+        held = np.zeros((len(leaves), int(shared.sum())), np.float32)
+        keep = shared[place]
+        held[row[keep], (np.cumsum(shared) - 1)[place[keep]]] = 1
+        return (held @ held.T > 0)[one, two]
+    padded = np.full((len(leaves), wide), leaf, np.int64)
+    for i, own in enumerate(lower):
         padded[i, : len(own)] = own
     out = np.zeros(len(one), bool)
     for at in range(0, len(one), chunk):
@@ -272,10 +282,10 @@ def compared(group: pa.Table, threshold: float = THRESHOLD) -> pa.Table:
     rows = np.flatnonzero(near.any(axis=1))
     one, two = np.nonzero(np.triu(near[np.ix_(rows, rows)]))
     ball = np.asarray(group.column("ball").fill_null(-1) if group.column("ball").null_count else group.column("ball"))[order][rows]
-    lists = group.column("leaves").to_pylist()
+    lists = group.column("leaves").take(pa.array(order[rows])).to_pylist()
     known = (ball[one] == ball[two]) & (ball[one] != -1)
     one, two = one[~known], two[~known]
-    again = _shared_before([np.array(lists[i], np.int64) for i in order[rows]], one, two, leaf)
+    again = _shared_before([np.array(x, np.int64) for x in lists], one, two, leaf)
     one, two = rows[one[~again]], rows[two[~again]]
     links = np.bincount(one, copies[two], len(keys)) + np.bincount(two, copies[one], len(keys))
     return pa.table({"key": pa.array(keys[rows]), "links": pa.array(links[rows].astype(np.int64)), "root": pa.array(keys[first[rows]])})

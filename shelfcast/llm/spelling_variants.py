@@ -1,12 +1,16 @@
 """Spelling variants of words by pivotal grams.
 
 Words are near if one inserted, deleted or replaced code point makes them equal. Bigrams are ordered from
-the rarest among the words. A word's prefix is its ``2 * edits + 1`` rarest bigrams; within it dynamic
-programming over their positions chooses ``edits + 1`` disjoint ones of the smallest total frequency, its pivots.
-So many edits cannot touch all pivots, hence of two near words one whose prefix ends earlier has a pivot that
-the other one has in its prefix, shifted by no more than the edits and just as the lengths say. The pivots are
-an index by (bigram, position, length); the prefixes look it up at the few places where such a pivot can
-stand, and ``levenshtein`` verifies what is found. Nothing is capped: each near pair is found, once.
+the rarest among the words. A word's prefix is its three rarest bigrams; within it dynamic programming over their positions
+chooses two disjoint ones of the smallest total frequency, its pivots. One edit cannot touch both, hence of two
+near words one whose prefix does not end later has a pivot that the other one has in its prefix, shifted just as the lengths say.
+
+The pivots are an index, which the prefixes look up. What the position of an edit leaves alone is part of the key: the edit
+is before both pivots (all from the first one on is equal), behind both (all up to the end of the second one), between
+them (both), or it touches one of them (all but that one; the other one is still there). A common bigram at a common place is
+so no hot key, and what meets grows with the words rather than with the square of a bigram's words. ``levenshtein`` verifies
+what is found. Nothing is capped: each near pair is found. Keys are 64-bit hashes from running hashes of the words' prefixes and suffixes, so long words take
+linear time; words over ``INLINE`` code points travel by a hash of their own and are looked up to be verified.
 
 Words are counted by Spark over all texts before any of this, so what is joined grows with the different
 words. The table of bigrams that goes to the driver has at most 90 * 90 rows (26 letters and 64 code points).
@@ -21,9 +25,11 @@ length and empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +39,10 @@ from shelfcast.llm.tables import mapped, stage, table
 LEAST_CHARS, LEAST_COUNT, DOMINANCE = 7, 2, 10
 GRAM, EDITS = 2, 1
 TYPO_EVERY = 31
+#: Code points of words that travel with their keys, and keys of a batch.
+INLINE, BATCH_KEYS = 40, 1 << 16
+BEFORE, BETWEEN, BEHIND, TOUCHED = range(4)
+_MODULUS, _BASE = (1 << 61) - 1, 0x1F3D5B79A24C6E81
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,41 +81,94 @@ def pivotal(word: str, frequency: dict[str, int], edits: int = EDITS) -> tuple[l
     grams = sorted((frequency.get(word[i : i + GRAM], 0), word[i : i + GRAM], i) for i in range(len(word) - GRAM + 1))
     size = min(GRAM * edits + 1, len(grams))
     last = grams[size - 1][:2]
-    while size < len(grams) and grams[size][:2] == last:  # repeats of the last one
-        size += 1
+    for _ in range(GRAM * edits):  # repeats of the last one; an edit makes at most so many new grams that could come before a pivot's
+        size += size < len(grams) and grams[size][:2] == last
     prefix = grams[:size]
     chosen = disjoint([(k, g[2]) for k, g in enumerate(prefix)], [g[0] for g in prefix], edits + 1)
     return [prefix[k][1:] for k in chosen], [g[1:] for g in prefix], last
 
 
-def signatures(words: DataFrame, frequency: dict[str, int]) -> DataFrame:
-    """(word, last, pivots, prefix); ``last`` orders the words' prefixes by where they end."""
+def running(codes: list[int]) -> list[int]:
+    """Hashes of all beginnings, from none to whole."""
+    out = [0]
+    for c in codes:
+        out.append((out[-1] * _BASE + c + 1) % _MODULUS)
+    return out
+
+
+def _key(case: int, one: int, two: int, chars: int) -> int:
+    return xxhash.xxh3_64_intdigest(struct.pack("<BQQq", case, one, two, chars)) - (1 << 63)
+
+
+def filed_under(word: str, pivots: list[tuple[str, int]]) -> list[int]:
+    """The keys of its pivots."""
+    codes, n = [*map(ord, word)], len(word)
+    to, back = running(codes), running(codes[::-1])[::-1]  # of word[:i] and of word[i:]
+    one, two = sorted(place for _, place in pivots)
+    return [_key(BEFORE, 0, back[one], n), _key(BETWEEN, to[one + GRAM], back[two], n), _key(BEHIND, to[two + GRAM], 0, n), *(_key(TOUCHED, to[p], back[p + GRAM], 0) for p in (one, two))]
+
+
+def looked_up(word: str, prefix: list[tuple[str, int]]) -> list[int]:
+    """The keys under which near words can be filed, if their pivots are in its prefix."""
+    codes, n = [*map(ord, word)], len(word)
+    to, back = running(codes), running(codes[::-1])[::-1]
+    places = sorted(place for _, place in prefix)
+    seen = set()
+    for chars in (n - 1, n, n + 1):
+        for p in places:
+            seen |= {_key(BEFORE, 0, back[p], chars), _key(BEHIND, to[p + GRAM], 0, chars)}
+            seen.update(_key(BETWEEN, to[p + GRAM], back[q], chars) for q in places if q >= p + GRAM)
+    for at in range(n):  # a touched gram is one code point less, as many, or one more
+        for width in range(GRAM - 1, GRAM + 2):
+            if at + width <= n and (places[-1] >= at + width or places[0] + GRAM <= at):
+                seen.add(_key(TOUCHED, to[at], back[at + width], 0))
+    return [*seen]
+
+
+def signatures(words: DataFrame, frequency: dict[str, int], filed: bool) -> DataFrame:
+    """(key, word) for what each word is filed under, or for what it looks up; long words by ``named``."""
     shared = words.sparkSession.sparkContext.broadcast(frequency)
-    kind = "array<struct<gram:string,place:int>>"
-    grams = pa.list_(pa.struct([("gram", pa.string()), ("place", pa.int32())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[int] = []
+        names: list[str] = []
         for batch in batches:
-            found = [pivotal(word, shared.value) for word in batch.column("word").to_pylist()]
-            lists = [pa.array([[{"gram": g, "place": p} for g, p in one[k]] for one in found], grams) for k in (0, 1)]
-            last = pa.array([f"{n:016d}{gram}" for _, _, (n, gram) in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), last, *lists], names=["word", "last", "pivots", "prefix"])
+            for word in batch.column("word").to_pylist():
+                pivots, prefix, _ = pivotal(word, shared.value)
+                own = filed_under(word, pivots) if filed else looked_up(word, prefix)
+                found += own
+                names += [named(word)] * len(own)
+                if len(found) > BATCH_KEYS:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(names, pa.string())], names=["key", "word"])
+                    found, names = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(names, pa.string())], names=["key", "word"])
+
+    return mapped(words.select("word"), rows, "key bigint, word string")
+
 
-    return mapped(words.select("word"), rows, f"word string, last string, pivots {kind}, prefix {kind}")
+def named(word: str) -> str:
+    """A word as it travels with its keys: a long one as its hash, marked by a sign that no word has."""
+    return word if len(word) <= INLINE else f"#{xxhash.xxh3_128_hexdigest(word.encode())}"
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b), each pair of near words once. ``words`` (word, n) is written, as it is read several times."""
     gram = F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word") - (GRAM - 1)), lambda i: F.col("word").substr(i, F.lit(GRAM))))
     frequency = {r["gram"]: r["n"] for r in words.select(gram.alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 90 * 90
-    signed = stage(signatures(words, frequency), "pivots")
-    index = signed.select(F.col("word").alias("a"), F.col("last").alias("last_a"), F.char_length("word").alias("chars"), F.inline("pivots"))
-    # where a pivot of a word of that length stands if it is the gram at this place, edited before or behind it
-    seen = F.transform("prefix", lambda g: F.transform(F.array(*[F.struct(F.lit(length).alias("more"), F.lit(shift).alias("shift")) for length, shift in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))]), lambda s: F.struct(g["gram"].alias("gram"), (g["place"] + s["shift"]).alias("place"), (F.char_length("word") + s["more"]).alias("chars"))))
-    looks = signed.select(F.col("word").alias("b"), F.col("last").alias("last_b"), F.inline(F.array_distinct(F.flatten(seen))))
-    earlier = (F.col("last_a") < F.col("last_b")) | (F.col("last_a") == F.col("last_b")) & (F.col("a") < F.col("b"))
-    met = index.join(looks, ["gram", "place", "chars"]).where(earlier & (F.levenshtein("a", "b", EDITS) == 1))
-    return met.select("a", "b").distinct()
+    filed, seen = (signatures(words, frequency, way).select("key", F.col("word").alias(c)) for way, c in ((True, "a"), (False, "b")))
+    long = F.col("a").startswith("#") | F.col("b").startswith("#")
+    near = F.levenshtein("a", "b", EDITS) == 1
+    met = filed.join(seen, "key").where((F.col("a") != F.col("b")) & (long | near)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), long.alias("long")).distinct()
+    met = stage(met, "met")
+    whole = mapped(words.where(F.char_length("word") > INLINE).select("word"), _renamed, "name string, word string")
+    texts = lambda c: whole.select(F.col("name").alias(c), F.col("word").alias(f"{c}_word"))
+    spelt = met.where("long").join(texts("a"), "a", "left").join(texts("b"), "b", "left").select(F.coalesce("a_word", "a").alias("a"), F.coalesce("b_word", "b").alias("b"))
+    return met.where("NOT long").select("a", "b").unionByName(spelt.where(near))
+
+
+def _renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([named(w) for w in batch.column("word").to_pylist()], pa.string()), batch.column("word")], names=["name", "word"])
 
 
 def forms(words: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from shelfcast.functions import scalars as S
 from shelfcast.operators import evaluation as E
 from shelfcast.operators import forecast
+from shelfcast.sources.staging import staged
 
 #: Top fractions looked at, and limits of the verdict.
 TOPS = {"1": 0.01, "5": 0.05, "10": 0.1}
@@ -138,12 +139,21 @@ def compensation_rules(rows: DataFrame, by: list[str], highest: float = 1.5) ->
     none = F.lit(None).cast("double")
     identity = F.array(F.struct(F.lit(0.0).alias("medium"), F.lit(0.0).alias("high"), none.alias("tau5"), none.alias("tau20"), F.lit(1.0).alias("c5"), F.lit(1.0).alias("c20")))
     listed = listed.withColumn("rules", F.concat("rules", identity))
-    judged = rows.join(listed, by).select(*by, "target", "prediction", "s5", "s20", "w", F.explode("rules").alias("r")).select("*", "r.*")
+    # a row that reaches no threshold is the same under all rules: it counts once, as rule -1, and is added to each of them
+    alike = F.array(F.struct(F.lit(-1.0).alias("medium"), F.lit(-1.0).alias("high"), none.alias("tau5"), none.alias("tau20"), F.lit(1.0).alias("c5"), F.lit(1.0).alias("c20")))
+    lowest = F.array_min(F.transform("rules", lambda r: r["tau5"])), F.array_min(F.transform("rules", lambda r: r["tau20"]))
+    reaches = F.coalesce(F.col("s5") >= lowest[0], F.lit(False)) | F.coalesce(F.col("s20") >= lowest[1], F.lit(False))
+    judged = rows.join(listed, by).select(*by, "target", "prediction", "s5", "s20", "w", F.explode(F.when(reaches, F.col("rules")).otherwise(alike)).alias("r"))
+    nothing = [F.lit(0.0).alias(c) for c in ("target", "prediction", "s5", "s20", "w")]
+    judged = judged.unionByName(listed.select(*by, *nothing, F.explode("rules").alias("r"))).select("*", "r.*")
     lifted = forecast.compensated(F.col("prediction"), F.col("s5"), F.greatest("s5", "s20"), (F.col("tau5"), F.col("c5")), (F.lit(float("inf")), F.lit(1.0)))
     prediction = F.when(F.col("s20") >= F.col("tau20"), F.col("prediction") * F.col("c20")).otherwise(lifted)
-    found = E.complete(judged.withColumn("prediction", prediction), [*by, *rule], F.col("w"))
+    sums = E.complete_sums(judged.withColumn("prediction", prediction), [*by, *rule], F.col("w"))
+    group = Window.partitionBy(*by)
+    added = [(F.col(c) + F.coalesce(F.max(F.when(F.col("medium") < 0, F.col(c))).over(group), F.lit(0.0))).alias(c) for c in sums.columns if c not in (*by, *rule)]
+    found = E.complete_rates(sums.select(*by, *rule, *added).where("medium >= 0"), [*by, *rule])
     kept = ["wape_overall", "wape_5_19", "wape_20_plus", "wape_nonzero", "prediction_sum_0", "total_bias", "recall_20_plus"]
-    group, is_rule = Window.partitionBy(*by), F.col("medium") > 0
+    is_rule = F.col("medium") > 0
     both = found.select(*by, *rule, *kept, *[F.max(F.when(~is_rule, F.col(c))).over(group).alias(f"base_{c}") for c in kept])
     change = {
         "five_nineteen": S.r6(F.col("wape_5_19") - F.col("base_wape_5_19")), "nonzero": S.r6(F.col("wape_nonzero") - F.col("base_wape_nonzero")),
@@ -158,6 +168,45 @@ def compensation_rules(rows: DataFrame, by: list[str], highest: float = 1.5) ->
     return both.select(*by, "medium", "high", "tau5", "tau20", S.r6(F.col("c5")).alias("c5"), S.r6(F.col("c20")).alias("c20"), "wape_overall", "wape_20_plus", "recall_20_plus", *[f"{n}_change" for n in GATES], "eligible", chosen.alias("chosen"), "n_eligible")
 
 
+#: What the rules have to gain on the next folds, and how much worse they may make the rest, on average.
+ROLLING = {"wape20_gain": 0.5, "recall20_gain": 1.0, "wape5_worsening": -0.25, "recall5_worsening": -0.25, "nonzero_worsening": -0.5, "zero_increase": -0.01, "bias_worsening": -2.0}
+RULE = ["medium", "high", "tau5", "tau20", "c5", "c20"]
+
+
+def rolling_rules(rows: DataFrame, fold: str) -> DataFrame:
+    """For each fold but the first: the rule fitted on all earlier folds, whom it reaches, and what it changes; means, gates and the rule of all folds.
+
+    ``rows`` (fold, s5, s20, target, prediction, w) is written as weighted cells once. A cell belongs to the prefixes of folds that end at its own or later, so
+    thresholds, multipliers and choices of all prefixes are fitted together; one pass over the cells judges them.
+    """
+    cells = staged(rows.groupBy(fold, "s5", "s20", "target", "prediction").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")), "cells")
+    folds = sorted(r[0] for r in cells.select(fold).distinct().collect())  # a handful
+    until = F.explode(F.filter(F.array(*map(F.lit, folds)) if folds else F.array().cast("array<string>"), lambda f: f >= F.col(fold)))
+    rules = staged(compensation_rules(cells.withColumn("until", until).drop("n", fold), ["until"]).where("chosen").select("until", *RULE, "n_eligible"), "rules")
+    after = F.create_map(*[F.lit(x) for pair in zip(folds, [*folds[1:], None], strict=True) for x in pair]) if folds else F.lit(None)
+    chosen = rules.withColumn(fold, F.try_element_at(after, F.col("until")) if folds else F.lit(None).cast("string")).where(F.col(fold).isNotNull())
+    high = F.coalesce(F.col("s20") >= F.col("tau20"), F.lit(False))
+    medium = F.coalesce(F.col("s5") >= F.col("tau5"), F.lit(False)) & ~high
+    met = cells.join(F.broadcast(chosen), fold)  # a row for each fold
+    both = F.explode(F.array(F.struct(F.lit("base").alias("candidate"), F.col("prediction").alias("p")), F.struct(F.lit("rule").alias("candidate"), (F.col("prediction") * F.when(high, F.col("c20")).when(medium, F.col("c5")).otherwise(1.0)).alias("p"))))
+    long = met.select(fold, "target", "w", both.alias("b")).select(fold, "target", "w", F.col("b.candidate"), F.col("b.p").alias("prediction"))
+    metrics = E.complete(long, [fold, "candidate"], F.col("w"))
+    reached = met.groupBy(fold).agg(F.sum(F.when(medium, F.col("n")).otherwise(0)).alias("medium_rows"), F.sum(F.when(high, F.col("n")).otherwise(0)).alias("high_rows"))
+    change = {
+        "wape20_gain": E.gain("wape_20_plus"), "recall20_gain": -E.gain("recall_20_plus"), "wape5_worsening": -E.gain("wape_5_19"), "recall5_worsening": E.gain("recall_5_19"), "nonzero_worsening": -E.gain("wape_nonzero"),
+        "zero_increase": F.coalesce(S.ratio(F.col("c_prediction_sum_0"), F.col("b_prediction_sum_0")) - 1, F.lit(0.0)), "bias_worsening": F.abs("c_total_bias") - F.abs("b_total_bias"),
+    }
+    changes = E.against(metrics, [fold], "base", "rule").select(fold, *[S.r6(c).alias(n) for n, c in change.items()]).join(reached, fold)
+    whole, back = Window.partitionBy(), Window.orderBy(F.desc(fold))  # over a row for each fold
+    latest = F.row_number().over(back) <= 2
+    better = (F.col("wape20_gain") > 0) & (F.col("recall20_gain") > 0)
+    means = changes.withColumn("latest", latest).select("*", *[S.r6(F.avg(n).over(whole)).alias(f"mean_{n}") for n in change], F.coalesce(F.min(F.when(F.col("latest"), F.coalesce(better, F.lit(False)))).over(whole), F.lit(False)).alias("last_two_agree")).drop("latest")
+    limits = [F.coalesce(F.col(f"mean_{n}") >= x if x > 0 else F.col(f"mean_{n}") <= -x, F.lit(False)) for n, x in ROLLING.items()]
+    passed = means.withColumn("passed", reduce(lambda a, b: a & b, limits, F.col("last_two_agree")))
+    final = rules.where(F.col("until") == F.lit(folds[-1] if folds else None)).select(*[F.col(c).alias(f"final_{c}") for c in RULE])
+    return passed.join(F.broadcast(chosen), fold).crossJoin(F.broadcast(final))  # one row
+
+
 def worse_groups(rows: DataFrame, columns: dict[str, int], first: str, second: str, most: int = 10) -> DataFrame:
     """Where the second model is materially worse: of each column the values whose share of those rows most exceeds their share of all. ``columns``: least number of worse rows."""
     worse = F.abs(F.col(second) - F.col("target")) - F.abs(F.col(first) - F.col("target")) > F.greatest(F.lit(2.0), 0.1 * F.col("target"))

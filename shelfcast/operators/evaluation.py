@@ -28,8 +28,8 @@ def name_of(segment: str) -> str:
     return segment.replace("-", "_").replace("+", "_plus")
 
 
-def complete(rows: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
-    """(target, prediction) as one row for a group: by segment count, sums, WAPE raw and rounded; bias, zero rates, macro F1 and recalls in percent."""
+def complete_sums(rows: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
+    """The sums over (target, prediction) of which ``complete`` is made; sums of parts of a group add up to its own."""
     w = F.lit(1.0) if weight is None else weight.cast("double")
     base = rows.select(*by, S.clip_target(F.col("target")).alias("target"), S.clip_target(F.col("prediction")).alias("prediction"), w.alias("w"))
     base = base.withColumn("whole", F.floor(F.col("prediction") + 0.5).cast("double"))
@@ -44,7 +44,16 @@ def complete(rows: DataFrame, by: list[str], weight: Column | None = None) -> Da
     sums += [when((F.col("target") <= 0) & (F.col("prediction") > 0.5), "z5"), when((F.col("target") <= 0) & (F.col("prediction") > 1), "z1")]
     for k in CODES:
         sums += [when((F.col("tc") == k) & (F.col("pc") == k), f"hit{k}"), when(F.col("tc") == k, f"true{k}"), when(F.col("pc") == k, f"pred{k}")]
-    found = base.groupBy(*by).agg(*sums)
+    return base.groupBy(*by).agg(*sums)
+
+
+def complete(rows: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
+    """(target, prediction) as one row for a group: by segment count, sums, WAPE raw and rounded; bias, zero rates, macro F1 and recalls in percent."""
+    return complete_rates(complete_sums(rows, by, weight), by)
+
+
+def complete_rates(found: DataFrame, by: list[str]) -> DataFrame:
+    """``complete`` from the rows of ``complete_sums``."""
     out = []
     for segment in COMPLETE:
         n = name_of(segment)
@@ -172,7 +181,7 @@ def business(rows: DataFrame, by: list[str], months: Column) -> DataFrame:
     )
 
 
-def _against(found: DataFrame, by: list[str], baseline: str, candidate: str) -> DataFrame:
+def against(found: DataFrame, by: list[str], baseline: str, candidate: str) -> DataFrame:
     """Rows of ``complete`` of two candidates side by side: columns b_ and c_."""
     measured = [c for c in found.columns if c not in (*by, "candidate")]
     side = lambda name, letter: found.where(F.col("candidate") == name).select(*by, *[F.col(c).alias(f"{letter}_{c}") for c in measured])
@@ -186,7 +195,7 @@ def gain(c: str) -> Column:
 
 def pilot(found: DataFrame, fold: str, baseline: str, candidate: str, wape: float = 0.5, recall: float = 1.0, nonzero: float = 0.5) -> DataFrame:
     """Fold by fold: does a head segment gain without the rest losing; and whether the gain is consistent over the folds."""
-    both = _against(found, [fold], baseline, candidate)
+    both = against(found, [fold], baseline, candidate)
     passed = ((F.greatest(gain("wape_5_19"), gain("wape_20_plus")) >= wape) | (F.greatest(-gain("recall_5_19"), -gain("recall_20_plus")) >= recall)) & (-gain("wape_nonzero") <= nonzero)
     each = both.select(fold, S.r6(-gain("wape_nonzero")).alias("nonzero_worsening_pp"), S.r6(gain("wape_5_19")).alias("wape5_gain_pp"), S.r6(gain("wape_20_plus")).alias("wape20_gain_pp"), S.r6(-gain("recall_5_19")).alias("recall5_gain_pp"), S.r6(-gain("recall_20_plus")).alias("recall20_gain_pp"), F.coalesce(passed, F.lit(False)).alias("passed"))
     total = each.agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("passed")).alias("__passed"))
@@ -201,7 +210,7 @@ GATES = {"head_wape": 0.5, "other_wape": 0.5, "head_recall": 1.0, "other_recall"
 def acceptance(found: DataFrame, monthly: DataFrame, baseline: str, candidate: str, gates_: dict = GATES) -> DataFrame:
     """The nine acceptance checks of a candidate, each with its verdict, and ``passed`` for all together."""
     w, r = (gain("wape_5_19"), gain("wape_20_plus")), (-gain("recall_5_19"), -gain("recall_20_plus"))
-    months = _against(monthly, ["month"], baseline, candidate).agg(F.count_if((gain("wape_20_plus") > 0) | (gain("recall_20_plus") < 0)).alias("months_improved"))
+    months = against(monthly, ["month"], baseline, candidate).agg(F.count_if((gain("wape_20_plus") > 0) | (gain("recall_20_plus") < 0)).alias("months_improved"))
     zero = (F.col("c_prediction_sum_0") <= F.col("b_prediction_sum_0") * (1 + gates_["zero_total"])) & (-100 * gain("zero_gt_0_5") <= gates_["zero_rate"]) & (-100 * gain("zero_gt_1") <= gates_["zero_rate"])
     checks = {
         "one_head_wape_improved": F.greatest(*w) >= gates_["head_wape"], "other_head_wape_protected": F.least(*w) >= -gates_["other_wape"], "one_head_recall_improved": F.greatest(*r) >= gates_["head_recall"], "other_head_recall_protected": F.least(*r) >= -gates_["other_recall"],
@@ -215,32 +224,10 @@ def acceptance(found: DataFrame, monthly: DataFrame, baseline: str, candidate: s
 
 def compensation_decision(found: DataFrame, by: list[str], baseline: str, candidate: str) -> DataFrame:
     """Whether a compensated head is worth it: gains of the head and protection of everything else."""
-    both = _against(found, by, baseline, candidate)
+    both = against(found, by, baseline, candidate)
     zero = F.coalesce(S.ratio(F.col("c_prediction_sum_0"), F.col("b_prediction_sum_0")) - 1, F.lit(0.0))
     bias = F.abs("c_total_bias") - F.abs("b_total_bias")
     checks = [gain("wape_20_plus") >= 0.5, -gain("recall_20_plus") >= 1.0, -gain("wape_5_19") <= 0.5, -gain("wape_nonzero") <= 0.5, zero <= 0.05, bias <= 1.0]
     names = ["head_wape", "head_recall", "five_nineteen", "nonzero", "zero_total", "total_bias"]
     told = both.select(*by, S.r6(gain("wape_20_plus")).alias("twenty_plus_wape_gain_pp"), S.r6(zero).alias("zero_prediction_total_increase"), S.r6(bias).alias("absolute_bias_worsening_pp"), *[c.alias(n) for n, c in zip(names, checks, strict=True)])
     return told.withColumn("promoted", reduce(lambda a, b: a & b, [F.col(n) for n in names]))
-
-
-def rolling_compensation(rows: DataFrame, fold: str, high: float = 1.5) -> DataFrame:
-    """Multipliers of predicted regions fitted on all earlier folds and judged on the next; mean change, and whether the last two agree.
-
-    Sums by fold and region are cumulated over the few folds; the rows are read twice and never repeated for a fold.
-    """
-    region = F.when(F.col("prediction") >= 20, "high").when(F.col("prediction") >= 5, "medium").otherwise("none")
-    marked = rows.withColumn("region", region)
-    earlier = Window.partitionBy("region").orderBy(fold).rowsBetween(Window.unboundedPreceding, -1)
-    sums = marked.groupBy(fold, "region").agg(F.sum("target").alias("t"), F.sum("prediction").alias("p"))
-    fitted = sums.withColumns({"t": F.sum("t").over(earlier), "p": F.sum("p").over(earlier)})
-    factor = F.when(F.col("region") == "none", 1.0).otherwise(F.least(F.greatest(F.coalesce(F.sqrt(S.ratio(F.col("t"), F.col("p"))), F.lit(1.0)), F.lit(1.0)), F.lit(high)))
-    multipliers = fitted.select(fold, "region", factor.alias("x"))
-    error = lambda c: F.sum(F.abs(c - F.col("target")))
-    judged = marked.join(multipliers, [fold, "region"]).groupBy(fold).agg((100 * S.ratio(error(F.col("prediction")), F.sum("target"))).alias("base"), (100 * S.ratio(error(F.col("prediction") * F.col("x")), F.sum("target"))).alias("now"))
-    order = Window.orderBy(fold)  # a row for each fold
-    changes = judged.select(fold, "base", "now", (F.col("now") - F.col("base")).alias("change"), F.row_number().over(order).alias("k")).where("k > 1")
-    last = changes.agg(F.avg("change").alias("mean"), F.max_by("change", fold).alias("l1"), F.max(fold).alias("__last"))
-    before = changes.crossJoin(F.broadcast(last)).where(F.col(fold) < F.col("__last")).agg(F.max_by("change", fold).alias("l2"))
-    agree = F.coalesce(F.signum(F.round("l1", 6)) == F.signum(F.round("l2", 6)), F.lit(False))
-    return changes.crossJoin(F.broadcast(last.crossJoin(before))).select(fold, S.r6(F.col("base")).alias("base_wape"), S.r6(F.col("now")).alias("wape"), S.r6(F.col("change")).alias("change_pp"), S.r6(F.col("mean")).alias("mean_change_pp"), agree.alias("last_two_agree"))  # one row

@@ -12,6 +12,7 @@ from shelfcast.operators import audit as A
 from shelfcast.operators import cleaning, evaluation, panel
 from shelfcast.plans import evaluation as plans
 from shelfcast.plans import tables as T
+from shelfcast.sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,29 +95,51 @@ fi AS (SELECT segment, method, centre, threshold, wape FROM sw JOIN ce USING (se
 SELECT *, row_number() OVER (PARTITION BY segment ORDER BY wape, method, threshold) = 1 AS chosen FROM fi""")
 
 
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    """Forecasts with the scores of both heads, weights, and their year as fold."""
+    return T.forecasts(s, d).select("split", F.substring("month", 1, 4).alias("fold"), F.col("qty_sum_last_3m").cast("double").alias("s5"), F.col("qty_lag_1m").cast("double").alias("s20"), "target", F.col("two").alias("prediction"), plans.weight().alias("w"))
+
+
 def fc_comp_rules(s: SparkSession, d: str) -> DataFrame:
-    rows = T.forecasts(s, d).select("split", F.col("qty_sum_last_3m").alias("s5"), F.col("qty_lag_1m").alias("s20"), "target", F.col("two").alias("prediction"), plans.weight().alias("w"))
-    return A.compensation_rules(rows, ["split"])
+    return A.compensation_rules(staged(_scored(s, d).drop("fold"), "scored"), ["split"])
 
 
-def _taus(score: str, name: str, fractions: tuple[float, ...]) -> str:
-    return f"""{name} AS (SELECT split, f AS {name}, max(v) AS tau_{name} FROM (SELECT split, v, sum(w) OVER (PARTITION BY split ORDER BY v DESC) AS upto, sum(w) OVER (PARTITION BY split) AS total FROM (SELECT split, {score} AS v, sum(w) AS w FROM b GROUP BY 1, 2)), (SELECT unnest({list(fractions)}::DOUBLE[]) AS f) WHERE round(upto, 6) >= round(f * total, 6) GROUP BY 1, 2)"""
+def _rules(by: str) -> str:
+    """Common table expressions that end in ``ru`` (all rules) and ``re`` (their metrics, gates and choice) of the rows ``b``, by group."""
 
+    def taus(score: str, name: str, fractions: tuple[float, ...]) -> str:
+        return f"""{name} AS (SELECT {by}, f AS {name}, max(v) AS tau_{name} FROM (SELECT {by}, v, sum(w) OVER (PARTITION BY {by} ORDER BY v DESC) AS upto, sum(w) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, {score} AS v, sum(w) AS w FROM b GROUP BY 1, 2)), (SELECT unnest({list(fractions)}::DOUBLE[]) AS f) WHERE round(upto, 6) >= round(f * total, 6) GROUP BY 1, 2)"""
 
-add("fc_comp_rules", fc_comp_rules, f"""WITH {T.FOR}, b AS MATERIALIZED (SELECT split, CAST(qty_sum_last_3m AS DOUBLE) AS s5, CAST(qty_lag_1m AS DOUBLE) AS s20, target AS t, two AS p, active_months_last_6m + 1 AS w FROM fc),
-{_taus('s5', 'medium', A.MEDIUM)}, {_taus('s20', 'high', A.HIGH)},
-ru AS MATERIALIZED (SELECT split, medium, high, tau_medium AS tau5, tau_high AS tau20, least(greatest(coalesce(sqrt(sum(w * t) FILTER (WHERE s20 < tau_high AND s5 >= tau_medium) / nullif(sum(w * p) FILTER (WHERE s20 < tau_high AND s5 >= tau_medium), 0)), 1), 1), 1.5) AS c5,
-  least(greatest(coalesce(sqrt(sum(w * t) FILTER (WHERE s20 >= tau_high) / nullif(sum(w * p) FILTER (WHERE s20 >= tau_high), 0)), 1), 1), 1.5) AS c20 FROM b JOIN medium USING (split) JOIN high USING (split) GROUP BY 1, 2, 3, 4, 5
-  UNION ALL SELECT DISTINCT split, 0::DOUBLE, 0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 1::DOUBLE, 1::DOUBLE FROM b),
-ju AS (SELECT split, medium, high, w, t, CASE WHEN s20 >= tau20 THEN p * c20 WHEN s5 >= tau5 THEN p * c5 ELSE p END AS p FROM b JOIN ru USING (split)),
-cm AS MATERIALIZED ({plans.complete_sql('ju', ['split', 'medium', 'high'], 'w')}),
+    return f"""{taus('s5', 'medium', A.MEDIUM)}, {taus('s20', 'high', A.HIGH)},
+ru AS MATERIALIZED (SELECT {by}, medium, high, tau_medium AS tau5, tau_high AS tau20, least(greatest(coalesce(sqrt(sum(w * t) FILTER (WHERE s20 < tau_high AND s5 >= tau_medium) / nullif(sum(w * p) FILTER (WHERE s20 < tau_high AND s5 >= tau_medium), 0)), 1), 1), 1.5) AS c5,
+  least(greatest(coalesce(sqrt(sum(w * t) FILTER (WHERE s20 >= tau_high) / nullif(sum(w * p) FILTER (WHERE s20 >= tau_high), 0)), 1), 1), 1.5) AS c20 FROM b JOIN medium USING ({by}) JOIN high USING ({by}) GROUP BY 1, 2, 3, 4, 5
+  UNION ALL SELECT DISTINCT {by}, 0::DOUBLE, 0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 1::DOUBLE, 1::DOUBLE FROM b),
+ju AS (SELECT {by}, medium, high, w, t, CASE WHEN s20 >= tau20 THEN p * c20 WHEN s5 >= tau5 THEN p * c5 ELSE p END AS p FROM b JOIN ru USING ({by})),
+cm AS MATERIALIZED ({plans.complete_sql('ju', [by, 'medium', 'high'], 'w')}),
 ch AS (SELECT c.*, round(c.wape_5_19 - i.wape_5_19, 6) AS five_nineteen_change, round(c.wape_nonzero - i.wape_nonzero, 6) AS nonzero_change, round(coalesce(c.prediction_sum_0 / nullif(i.prediction_sum_0, 0) - 1, 0), 6) AS zero_total_change, round(abs(c.total_bias) - abs(i.total_bias), 6) AS total_bias_change
-  FROM (SELECT * FROM cm WHERE medium > 0) c JOIN (SELECT * FROM cm WHERE medium = 0) i USING (split)),
+  FROM (SELECT * FROM cm WHERE medium > 0) c JOIN (SELECT * FROM cm WHERE medium = 0) i USING ({by})),
 el AS (SELECT *, {' AND '.join(f'coalesce({n}_change <= {most}, false)' for n, most in A.GATES.items())} AS eligible FROM ch),
-re AS (SELECT *, eligible AND row_number() OVER (PARTITION BY split ORDER BY eligible DESC, wape_20_plus, recall_20_plus DESC, wape_overall, round(medium + high, 9), medium) = 1 AS chosen, CAST(sum(eligible::INT) OVER (PARTITION BY split) AS BIGINT) AS n_eligible FROM el),
-al AS (SELECT split, medium, high, wape_overall, wape_20_plus, recall_20_plus, five_nineteen_change, nonzero_change, zero_total_change, total_bias_change, eligible, chosen, n_eligible FROM re
-  UNION ALL SELECT split, 0, 0, wape_overall, wape_20_plus, recall_20_plus, 0, 0, 0, 0, false, n_eligible = 0, n_eligible FROM (SELECT * FROM cm WHERE medium = 0) JOIN (SELECT split, max(n_eligible) AS n_eligible FROM re GROUP BY 1) USING (split))
+re AS (SELECT *, eligible AND row_number() OVER (PARTITION BY {by} ORDER BY eligible DESC, wape_20_plus, recall_20_plus DESC, wape_overall, round(medium + high, 9), medium) = 1 AS chosen, CAST(sum(eligible::INT) OVER (PARTITION BY {by}) AS BIGINT) AS n_eligible FROM el),
+al AS (SELECT {by}, medium, high, wape_overall, wape_20_plus, recall_20_plus, five_nineteen_change, nonzero_change, zero_total_change, total_bias_change, eligible, chosen, n_eligible FROM re
+  UNION ALL SELECT {by}, 0, 0, wape_overall, wape_20_plus, recall_20_plus, 0, 0, 0, 0, false, n_eligible = 0, n_eligible FROM (SELECT * FROM cm WHERE medium = 0) JOIN (SELECT {by}, max(n_eligible) AS n_eligible FROM re GROUP BY 1) USING ({by}))"""
+
+
+_SCORED = f"{T.FOR}, sc AS MATERIALIZED (SELECT split, substr(month, 1, 4) AS fold, CAST(qty_sum_last_3m AS DOUBLE) AS s5, CAST(qty_lag_1m AS DOUBLE) AS s20, target AS t, two AS p, active_months_last_6m + 1 AS w FROM fc)"
+add("fc_comp_rules", fc_comp_rules, f"""WITH {_SCORED}, b AS (SELECT * EXCLUDE (fold) FROM sc), {_rules('split')}
 SELECT al.*, tau5, tau20, round(c5, 6) AS c5, round(c20, 6) AS c20 FROM al JOIN ru USING (split, medium, high)""")
+_CHANGES = {
+    "wape20_gain": "b.wape_20_plus - c.wape_20_plus", "recall20_gain": "c.recall_20_plus - b.recall_20_plus", "wape5_worsening": "c.wape_5_19 - b.wape_5_19", "recall5_worsening": "b.recall_5_19 - c.recall_5_19", "nonzero_worsening": "c.wape_nonzero - b.wape_nonzero",
+    "zero_increase": "coalesce(c.prediction_sum_0 / nullif(b.prediction_sum_0, 0) - 1, 0)", "bias_worsening": "abs(c.total_bias) - abs(b.total_bias)",
+}
+add("fc_comp_rolling", lambda s, d: A.rolling_rules(_scored(s, d).drop("split"), "fold"), f"""WITH {_SCORED}, f AS (SELECT fold AS until, lead(fold) OVER (ORDER BY fold) AS next FROM (SELECT DISTINCT fold FROM sc)), b AS MATERIALIZED (SELECT sc.*, until FROM sc JOIN f ON fold <= until), {_rules('until')},
+rl AS MATERIALIZED (SELECT until, next, medium, high, tau5, tau20, round(c5, 6) AS c5, round(c20, 6) AS c20, n_eligible FROM al JOIN ru USING (until, medium, high) JOIN f USING (until) WHERE chosen),
+me AS MATERIALIZED (SELECT fold, t, p, w, CASE WHEN s20 >= tau20 THEN 2 WHEN s5 >= tau5 THEN 1 ELSE 0 END AS head, c5, c20 FROM sc JOIN rl ON fold = next),
+jj AS (SELECT fold, 'base' AS candidate, t, p, w FROM me UNION ALL SELECT fold, 'rule', t, CASE head WHEN 2 THEN p * c20 WHEN 1 THEN p * c5 ELSE p END, w FROM me), mm AS MATERIALIZED ({plans.complete_sql('jj', ['fold', 'candidate'], 'w')}),
+cg AS (SELECT fold, {', '.join(f'round({r}, 6) AS {n}' for n, r in _CHANGES.items())} FROM (SELECT * FROM mm WHERE candidate = 'base') b JOIN (SELECT * FROM mm WHERE candidate = 'rule') c USING (fold)),
+hd AS (SELECT fold, count(*) FILTER (WHERE head = 1) AS medium_rows, count(*) FILTER (WHERE head = 2) AS high_rows FROM me GROUP BY 1),
+av AS (SELECT {', '.join(f'round(avg({n}), 6) AS mean_{n}' for n in _CHANGES)}, (SELECT bool_and(wape20_gain > 0 AND recall20_gain > 0) FROM (SELECT * FROM cg ORDER BY fold DESC LIMIT 2)) AS last_two_agree FROM cg)
+SELECT cg.*, medium_rows, high_rows, av.*, last_two_agree AND {' AND '.join(f'mean_{n} >= {x}' if x > 0 else f'mean_{n} <= {-x}' for n, x in A.ROLLING.items())} AS passed, rl.* EXCLUDE (next), {', '.join(f'fi.{c} AS final_{c}' for c in A.RULE)}
+FROM cg JOIN hd USING (fold) JOIN rl ON fold = next, av, (SELECT * FROM rl WHERE next IS NULL) fi""")
 
 _COLUMNS = {"site_no": 10, "gds_ctgry_3_lvel": 10, "history_level": 1, "short_history": 1}
 

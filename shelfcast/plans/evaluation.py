@@ -225,9 +225,3 @@ _VALID_GATES = gates_sql(("overall", "5_20", "20plus"), ("original", "gate_b")).
 add("sel_test_gate", sel_test_gate, f"""WITH gt AS ({_VALID_GATES}), o AS (SELECT wape AS original_wape FROM gt WHERE method = 'original' AND segment = 'overall'),
 w AS (SELECT threshold, max(wape) FILTER (WHERE segment = 'overall') AS wape, max(pass_rate) FILTER (WHERE segment = '5_20') AS recall_5_20, max(pass_rate) FILTER (WHERE segment = '20plus') AS recall_20plus FROM gt WHERE method = 'gate_b' GROUP BY 1)
 SELECT threshold, original_wape, wape, recall_5_20, recall_20plus, round((original_wape - wape) / original_wape, 6) AS relative_gain, (original_wape - wape) / original_wape >= 0.005 AND recall_5_20 >= 0.95 AND recall_20plus >= 0.95 AS look_at_test FROM w, o""")
-add("fc_comp_rolling", lambda s, d: E.rolling_compensation(judged(s, d).where("candidate = 'hist'"), "fold"),
-    f"""WITH {LO}, m AS (SELECT fold, t, p, CASE WHEN p >= 20 THEN 'high' WHEN p >= 5 THEN 'medium' ELSE 'none' END AS r FROM lo WHERE candidate = 'hist'), g AS (SELECT fold, r, sum(t) AS t, sum(p) AS p FROM m GROUP BY 1, 2),
-f AS (SELECT fold, r, CASE WHEN r = 'none' THEN 1 ELSE least(greatest(coalesce(sqrt(sum(t) OVER o / nullif(sum(p) OVER o, 0)), 1), 1), 1.5) END AS x FROM g WINDOW o AS (PARTITION BY r ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-j AS (SELECT fold, 100 * sum(abs(p - t)) / nullif(sum(t), 0) AS b, 100 * sum(abs(p * x - t)) / nullif(sum(t), 0) AS n FROM m JOIN f USING (fold, r) GROUP BY 1), c AS (SELECT fold, b, n, n - b AS ch FROM j WHERE fold > (SELECT min(fold) FROM j)),
-l AS (SELECT avg(ch) AS mean, max_by(ch, fold) AS l1 FROM c), l2 AS (SELECT max_by(ch, fold) AS l2 FROM c WHERE fold < (SELECT max(fold) FROM c))
-SELECT fold, round(b, 6) AS base_wape, round(n, 6) AS wape, round(ch, 6) AS change_pp, round(mean, 6) AS mean_change_pp, coalesce(sign(round(l1, 6)) = sign(round(l2, 6)), false) AS last_two_agree FROM c, l, l2""")

@@ -8,7 +8,8 @@ candidate starts (position less the term's offset) and intersects them with the
 of one rarer-first term after another until all terms of the window agree: an exact phrase. With
 ``slack`` above 0 it also reports proximity: the rarest terms agree within that many words.
 
-The test items' windows are taken in blocks of about ``BLOCK_WINDOWS``, each broadcast to one pass over
+Equal windows are one window, whatever items they are from; which items have them is joined to the finds afterwards, windows
+of the same items together. The windows are taken in blocks of about ``BLOCK_WINDOWS``, each broadcast to one pass over
 the index whose finds are written before the next, so neither side has to fit into memory. The index
 holds the terms of the test items alone while these are at most ``VOCABULARY``, else all terms.
 
@@ -127,6 +128,16 @@ def test_windows(item_terms: DataFrame, counts: DataFrame, size: int = WINDOW) -
     return cut.select("key", "item", "start", ranked.alias("words")).where(F.get("words", F.lit(0))["n"] > 0).select("key", "item", "start", F.col("words.term").alias("terms"), F.col("words.offset").alias("offsets"))
 
 
+def different_windows(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(window, terms, offsets) of the different windows, and (window, kin, item): the items of each, ``kin`` being the least window that has the same items."""
+    own = stage(windows.select("terms", "offsets").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
+    owners = windows.join(own, ["terms", "offsets"]).select("window", "item").distinct()
+    same = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("item")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("b"))
+    held = stage(owners.groupBy("window").agg(same.alias("same")), "window-items")
+    kin = held.join(held.groupBy("same").agg(F.min("window").alias("kin")), "same").select("window", "kin")
+    return own, stage(owners.join(kin, "window"), "owners")
+
+
 class _Lists:
     """The posting lists of a batch: looked up by (document, term), and by (document, term, position)."""
 
@@ -156,42 +167,47 @@ class _Lists:
         return (low <= high) & (at < len(self.full)) & (self.full[np.minimum(at, len(self.full) - 1)] <= key + high)
 
 
+def _pieces(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of ``sizes`` that add up to about ``limit``; a larger one is a run of its own."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
+        yield at, end
+        at = end
+
+
 def _candidates(lists: _Lists, rarest: np.ndarray, order: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(document, window, position of the window's rarest term) for all lists, in pieces of about ``limit``."""
     first, last = np.searchsorted(rarest[order], lists.term, "left"), np.searchsorted(rarest[order], lists.term, "right")
-    wide = last - first
-    one = np.repeat(np.arange(len(wide)), wide)
-    window = order[np.arange(len(one)) - np.repeat(np.cumsum(wide) - wide, wide) + first[one]]
-    total = np.cumsum(lists.length[one])
-    at = 0
-    while at < len(one):
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
-        mine, long = one[at:end], lists.length[one[at:end]]
-        row = np.repeat(np.arange(len(mine)), long)
-        place = lists.place[np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long) + lists.begin[mine][row]]
-        yield lists.doc[mine][row], window[at:end][row], place
-        at = end
+    some = np.flatnonzero(last > first)
+    wide = (last - first)[some]
+    for low, high in _pieces(wide, limit):
+        many = wide[low:high]
+        one = np.repeat(some[low:high], many)
+        window = order[np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many) + first[one]]
+        for at, end in _pieces(lists.length[one], limit):
+            mine, long = one[at:end], lists.length[one[at:end]]
+            row = np.repeat(np.arange(len(mine)), long)
+            place = lists.place[np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long) + lists.begin[mine][row]]
+            yield lists.doc[mine][row], window[at:end][row], place
 
 
 def matches(indexed: DataFrame, windows: list, slack: int = 0) -> DataFrame:
-    """For each document the windows found: (row, doc_id, n_words, found: array of (item, start, place, size, exact)).
+    """For each document the windows found: (row, doc_id, n_words, found: array of (window, place, size, exact)).
 
-    ``windows``: rows of ``test_windows``, a block of bounded size.
+    ``windows``: rows of ``different_windows``, a block of bounded size.
     """
     kind = indexed.schema["doc_id"].dataType.simpleString()
-    names = sorted({w["item"] for w in windows})
-    number = {name: i for i, name in enumerate(names)}
     vocabulary = np.unique(np.array([t for w in windows for t in w["terms"]], np.int64))
     terms = np.full((len(windows), WINDOW if not windows else max(len(w["terms"]) for w in windows)), -1, np.int64)
     offsets = np.zeros_like(terms)
     for i, w in enumerate(windows):
         terms[i, : len(w["terms"])], offsets[i, : len(w["terms"])] = np.searchsorted(vocabulary, w["terms"]), w["offsets"]
-    items, starts = np.array([number[w["item"]] for w in windows], np.int64), np.array([w["start"] for w in windows], np.int64)
-    shared = indexed.sparkSession.sparkContext.broadcast((vocabulary, terms, offsets, items, starts, np.argsort(terms[:, 0], kind="stable") if windows else np.zeros(0, np.int64)))
+    numbers = np.array([w["window"] for w in windows], np.int64)
+    shared = indexed.sparkSession.sparkContext.broadcast((vocabulary, terms, offsets, numbers, np.argsort(terms[:, 0], kind="stable") if windows else np.zeros(0, np.int64)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, terms, offsets, items, starts, order = shared.value
-        named = pa.array(names, pa.string())
+        vocabulary, terms, offsets, numbers, order = shared.value
         for whole in batches:
             for part in range(0, whole.num_rows, 512):
                 batch = whole.slice(part, 512)
@@ -215,13 +231,13 @@ def matches(indexed: DataFrame, windows: list, slack: int = 0) -> DataFrame:
                 sort = np.argsort(doc, kind="stable")
                 doc, window, start, exact = doc[sort], window[sort], start[sort], exact[sort].astype(bool)
                 found = pa.StructArray.from_arrays(
-                    [named.take(pa.array(items[window])), pa.array(starts[window].astype(np.int32)), pa.array(start.astype(np.int32)), pa.array((terms[window] >= 0).sum(axis=1).astype(np.int32)), pa.array(exact)],
-                    names=["item", "start", "place", "size", "exact"],
+                    [pa.array(numbers[window]), pa.array(start.astype(np.int32)), pa.array((terms[window] >= 0).sum(axis=1).astype(np.int32)), pa.array(exact)],
+                    names=["window", "place", "size", "exact"],
                 )
                 ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_words")), pa.ListArray.from_arrays(ends, found)], names=["row", "doc_id", "n_words", "found"])
 
-    return mapped(indexed, rows, f"row bigint, doc_id {kind}, n_words bigint, found array<struct<item:string,start:int,place:int,size:int,exact:boolean>>")
+    return mapped(indexed, rows, f"row bigint, doc_id {kind}, n_words bigint, found array<struct<window:bigint,place:int,size:int,exact:boolean>>")
 
 
 def _only(batch: pa.RecordBatch, vocabulary: np.ndarray) -> pa.RecordBatch:
@@ -253,20 +269,22 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     terms = stage(vocabulary(item_terms), "vocabulary")
     few = terms.count() <= VOCABULARY
     indexed = stage(index(docs, np.array([r["term"] for r in terms.collect()], np.int64) if few else None, doc_id, text), "index")
-    windows = stage(test_windows(item_terms, term_counts(indexed)), "windows")
-    many = ceil(windows.count() / block)
-    part = F.pmod(F.xxhash64("key", "start"), F.lit(max(many, 1)))
-    if many <= 1:
-        found = matches(indexed, windows.collect(), slack)
-    else:  # the written index has numbered its rows, so a document's finds of all blocks meet
-        parts = [stage(matches(indexed, windows.where(part == k).collect(), slack).where(F.size("found") > 0), "finds") for k in range(many)]
-        finds = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.flatten(F.collect_list("found")).alias("found"))
-        found = indexed.select("row", "doc_id", "n_words").join(finds, "row", "left").withColumn("found", F.coalesce("found", F.array().cast(finds.schema["found"].dataType)))
-    exact = F.filter("found", lambda f: f["exact"])
-    near = F.array_distinct(F.transform(F.filter("found", lambda f: ~f["exact"]), lambda f: f["item"]))
-    spans = F.array_distinct(F.transform(exact, lambda f: F.struct(f["place"].alias("begin"), (f["place"] + f["size"]).alias("end"))))
-    named = F.array_sort(F.array_distinct(F.transform(exact, lambda f: f["item"])))
-    return found.select("doc_id", "n_words", F.array_sort(spans).alias("hits"), named.alias("items"), F.array_except(near, named).alias("near_items"))
+    windows, owners = different_windows(stage(test_windows(item_terms, term_counts(indexed)), "test-windows"))
+    many = max(1, ceil(windows.count() / block))
+    part = F.pmod(F.xxhash64("window"), F.lit(many))
+    # the written index has numbered its rows, so a document's finds of all blocks meet
+    parts = [stage(matches(indexed, windows.where(part == k).collect(), slack).where(F.size("found") > 0).select("row", "found"), "finds") for k in range(many)]
+    finds = reduce(DataFrame.unionByName, parts)
+    spans = F.array_distinct(F.transform(F.filter("found", lambda f: f["exact"]), lambda f: F.struct(f["place"].alias("begin"), (f["place"] + f["size"]).alias("end"))))
+    hits = finds.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(spans)))).alias("hits"))
+    kin = owners.select("window", "kin").distinct()
+    met = finds.select("row", F.explode(F.array_distinct(F.transform("found", lambda f: F.struct(f["window"].alias("window"), f["exact"].alias("exact"))))).alias("f")).select("row", "f.window", "f.exact").join(kin, "window")
+    named = owners.where("window = kin").select("kin", "item")
+    by_item = met.groupBy("row", "kin").agg(F.max("exact").alias("exact")).join(named, "kin").groupBy("row", "item").agg(F.max("exact").alias("exact"))
+    listed = by_item.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"), F.array_sort(F.collect_list(F.when(~F.col("exact"), F.col("item")))).alias("near_items"))
+    none = {"hits": "array<struct<begin:int,end:int>>", "items": "array<string>", "near_items": "array<string>"}
+    found = indexed.select("row", "doc_id", "n_words").join(hits.join(listed, "row"), "row", "left")
+    return found.select("doc_id", "n_words", *(F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in none.items()))
 
 
 def hit_words(hits: Column) -> Column:

@@ -107,8 +107,8 @@ def language_by_hand(rows):
             own = [n for (o, _), n in grams[lang].items() if o == order]
             totals[lang, order] = [sum(own), len(own)]
     languages = sorted(words)
-    known = {w for lang in words for w, n in words[lang].items() if n > 1}
-    seen = {g for lang in grams for g, n in grams[lang].items() if n > 1 or g[0] == 1}
+    known = {w for lang in words for w in words[lang]}
+    seen = {g for lang in grams for g in grams[lang]}
 
     def log(lang, kind, n):
         total, different = totals[lang, kind]
@@ -116,11 +116,11 @@ def language_by_hand(rows):
 
     def word_logs(word):
         if word in known:
-            return [log(lang, 0, words[lang][word] if words[lang][word] > 1 else 0) for lang in languages], 1.0
+            return [log(lang, 0, words[lang][word]) for lang in languages], 1.0
         for order in language_id.ORDERS:
             own = [g for g in (word if order == 1 else [f"^{word}$"[i : i + order] for i in range(len(word) + 3 - order)]) if (order, g) in seen]
             if own:
-                return [sum(log(lang, order, grams[lang][order, g] if order == 1 or grams[lang][order, g] > 1 else 0) for g in own) / len(own) for lang in languages], language_id.TRUST[order]
+                return [sum(log(lang, order, grams[lang][order, g]) for g in own) / len(own) for lang in languages], language_id.TRUST[order]
         return [0.0] * len(languages), 0.0
 
     def predict(text):

@@ -278,7 +278,7 @@ def context_vectors(docs: DataFrame) -> Vectors:
 
     parts = mapped(docs.select(F.col("text").cast("string").alias("text")), gathered, "block bigint, slots binary, sums binary")
     context = np.zeros((SLOTS, DIMENSIONS), np.float32)
-    for r in mapped(parts.repartition(16, "block"), added, "block bigint, sums binary").collect():  # at most SLOTS vectors: 16 MB
+    for r in mapped(parts.repartition("block"), added, "block bigint, sums binary").collect():  # at most SLOTS vectors: 16 MB; as many tasks as there are shuffle partitions, up to one for each block
         context[r["block"] * SLOT_BLOCK : (r["block"] + 1) * SLOT_BLOCK] = np.frombuffer(r["sums"], np.float32).reshape(SLOT_BLOCK, DIMENSIONS)
     length = np.linalg.norm(context, axis=1, keepdims=True)
     return Vectors(2 * context / np.where(length > 0, length, 1))

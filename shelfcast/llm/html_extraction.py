@@ -12,9 +12,13 @@ three kinds:
   on any page: on ``MIN_PAGES`` and half of the host's pages it is the site's menu, footer or advert whatever it says today.
 
 Subtrees of the site's template go first. Names come second, for what the counts leave open (hosts with few
-pages, parts that do not recur): elements that HTML, their role or a whole class or id name as menus, headers,
-footers, sidebars, notices, adverts, forms or comments, unless they hold the main content or its heading. The text
-is that of the articles left, else of the main element, else of the body.
+pages, parts that do not recur): block elements that HTML, their role or a whole class or id name (only words for such parts,
+besides words like list or box) as menus, headers, footers, sidebars, notices, adverts, forms or comments, unless they hold the
+main content or its heading. Inside of the main content a name alone decides nothing: such a container goes if the same name
+recurs there on half of the host's pages, or if its structure agrees (mostly linked text, a form, or a list of comments or of other articles).
+
+The text is that of the articles left, unless more unlinked text is left beside them: then it is that of the main element
+with the articles in it, or, if most is outside of that too, what is left of the body without the articles.
 
 Host template sets are small (at most the elements of a page divided by the share), yet joined, not
 assumed to fit: they are broadcast only up to ``BROADCAST_ROWS`` hashes.
@@ -30,6 +34,7 @@ import html as entities
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +56,14 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 CLOSES_P = BLOCK - frozenset("br caption body dd dt html li option tbody td tfoot th thead tr".split())
 CLOSED_BY_ITSELF = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset("ul ol dl table select article main section div body html nav aside footer header form".split())
-DROPPED_TAGS = frozenset("nav footer aside form button select input menu dialog svg head canvas object audio video label fieldset".split()) | RAW
+DROPPED_TAGS = frozenset("nav footer aside form button select input menu dialog svg head canvas object audio video fieldset".split()) | RAW
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter "
     "subscribe subscription signup login sidebar widget widgets related recommended recommendations share sharing social comment comments reply replies disqus respond nav navbar navigation "
     "menu menus breadcrumb breadcrumbs header footer masthead toolbar pagination pager search alert disclaimer toc skip".split()
 )
+#: Words that may stand beside these in a name.
+BESIDE_WORDS = frozenset("site page global main primary secondary top bottom left right list lists item items box boxes bar bars block area wrap wrapper container inner outer panel row link links button buttons icon icons group slot unit form thread posts articles".split())
 OTHERS = frozenset("comment comments reply replies disqus respond related recommended recommendations".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 KEPT_TAGS = frozenset("html body article main".split())
@@ -67,9 +74,10 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _DIGITS = re.compile(r"\d+")
-#: Names of a state, and first words that make a name speak of another element.
+#: Names of a state.
 STATES = frozenset("active current selected open closed first last odd even hover visited on off".split())
-ABOUT_OTHERS = frozenset("has with without no not is".split())
+#: Where a raw element ends: the name alone, so that a longer name or an unclosed tag is told apart without looking further.
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
 @dataclass(eq=False)
@@ -84,6 +92,7 @@ class Element:
     aside: bool = False  # whether it or an element around it holds readers' comments or other articles by name
     holds_main: bool = False
     heading: bool = False  # whether a first-level heading is in it
+    form: bool = False  # whether a form is in it
     chars: int = 0
     linked: int = 0  # characters inside of links
     links: int = 0
@@ -117,6 +126,7 @@ def _close(element: Element) -> None:
             element.chars, element.linked, element.links = element.chars + part.chars, element.linked + part.linked, element.links + part.links
             element.holds_main |= part.holds_main or part.main is part
             element.heading |= part.heading
+            element.form |= part.form or part.tag == "form"
             now = b"\1" if part.tag not in BLOCK and part.tag != "a" else part.shape.to_bytes(8, "little")
         if outside and now != before:
             shape.update(now)
@@ -172,15 +182,16 @@ def parse(source: str) -> tuple[Element, list[Element]]:
         if tag in CLOSED_BY_ITSELF and (place := within(CLOSED_BY_ITSELF[tag], HOLDS)) is not None:
             pop(place)
         element = Element(tag, attributes, stack[-1].main)
-        element.aside = stack[-1].aside or tag not in ("html", "body") and not OTHERS.isdisjoint(_names(element))
+        element.aside = stack[-1].aside or tag not in ("html", "body") and _of_others(element)
         if element.main is None and not element.aside and (tag in ("article", "main") or attributes.get("role", "") == "main"):
             element.main = element
         stack[-1].parts.append(element)
         found.append(element)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(source, at)
+            end = _RAW_ENDS[tag].search(source, at)
             element.parts.append(source[at : end.start() if end else len(source)])
-            at = end.end() if end else len(source)
+            at = source.find(">", end.end()) + 1 if end else 0
+            at = at or len(source)
             _close(element)
         elif tag in VOID:
             _close(element)
@@ -193,16 +204,32 @@ def parse(source: str) -> tuple[Element, list[Element]]:
     return root, found
 
 
-def _names(element: Element) -> list[str]:
-    """The words of its classes and id, without those of names that speak of another element."""
-    found = []
-    if not element.attributes:
-        return found
-    for name in f"{element.attributes.get('class', '')} {element.attributes.get('id', '')}".split():
-        words = [w.lower() for w in _NAME_PARTS.findall(name)]
-        if words and words[0] not in ABOUT_OTHERS:
-            found += words
-    return found
+@lru_cache(1 << 14)
+def _apart_words(name: str) -> frozenset[str]:
+    """The listed words of a class or id name if it has no words but such and those that stand beside them."""
+    words = {w.lower() for w in _NAME_PARTS.findall(name)}
+    return frozenset(words & DROPPED_WORDS if words <= DROPPED_WORDS | BESIDE_WORDS else ())
+
+
+def _words(element: Element) -> frozenset[str]:
+    if not element.attributes or element.tag not in BLOCK:
+        return frozenset()
+    names = f"{element.attributes.get('class', '')} {element.attributes.get('id', '')}".split()
+    return frozenset().union(*map(_apart_words, names)) if names else frozenset()
+
+
+def _of_others(element: Element) -> bool:
+    """Whether it is named as readers' comments or as other articles."""
+    return bool(element.attributes) and not OTHERS.isdisjoint(_words(element))
+
+
+def _name_hash(element: Element) -> int:
+    return xxhash.xxh3_64_intdigest(f"name\0{element.tag}\0{element.attributes.get('class', '')}\0{element.attributes.get('id', '')}".encode("utf-8", "replace"))
+
+
+def _named_inside(element: Element) -> bool:
+    """Whether it is a container of the main content with such a name, which counts or structure have to confirm."""
+    return element.tag in CONTAINERS and not (element.heading or element.main is element) and bool(_words(element))
 
 
 def _named_apart(element: Element) -> bool:
@@ -224,7 +251,9 @@ def _named_apart(element: Element) -> bool:
         return False
     if attributes.get("role", "").lower() in DROPPED_ROLES:
         return True
-    return not DROPPED_WORDS.isdisjoint(_names(element))
+    if element.main is not None:
+        return _named_inside(element) and (element.form or 2 * element.linked > element.chars or _of_others(element))
+    return bool(_words(element))
 
 
 def _mains(element: Element, tags: tuple[str, ...], gone: set[int]) -> list[Element]:
@@ -261,7 +290,7 @@ def template_parts(elements: list[Element], hashes: set[int], inside: set[int],
 
     def counted(e: Element) -> bool:
         if e.main is not None:
-            return e.hash in inside and e.tag in CONTAINERS
+            return e.tag in CONTAINERS and (e.hash in inside or bool(shapes) and _named_inside(e) and _name_hash(e) in shapes)
         if e.holds_main:
             return False
         if plain:
@@ -271,11 +300,45 @@ def template_parts(elements: list[Element], hashes: set[int], inside: set[int],
     return {id(e) for e in elements if e.tag in BLOCK and e.tag not in KEPT_TAGS and counted(e)}
 
 
+def _unlinked(elements: list[Element], gone: set[int], without: list[Element]) -> int:
+    """Characters outside of links in what is left of ``elements`` without those of ``without``."""
+    total, todo, skipped = 0, list(elements), {id(e) for e in without}
+    while todo:
+        one = todo.pop()
+        if isinstance(one, str):
+            total += len(" ".join(one.split()))
+        elif id(one) not in gone and id(one) not in skipped and one.tag != "a" and (one.tag in KEPT_TAGS or not _named_apart(one)):
+            todo += one.parts
+    return total
+
+
+def _within(element: Element, others: list[Element]) -> bool:
+    todo = [p for o in others for p in o.parts]
+    while todo:
+        one = todo.pop()
+        if one is element:
+            return True
+        if not isinstance(one, str):
+            todo += one.parts
+    return False
+
+
 def main_text(source: str, hashes: set[int] = frozenset(), inside: set[int] = frozenset(), bodies: set[int] = frozenset(), shapes: set[int] = frozenset()) -> str:
     root, elements = parse(source)
     gone = template_parts(elements, hashes, inside, bodies, shapes)
-    for tags in (("article",), ("main",)):
-        if (found := _mains(root, tags, gone)) and (text := _text(found, gone)):
+    articles, mains = _mains(root, ("article",), gone), _mains(root, ("main",), gone)
+    lone = [m for m in mains if m.tag != "article"]
+    own = sum(a.chars - a.linked for a in articles)
+    in_main = _unlinked(lone, gone, articles)
+    chosen = articles
+    if lone and in_main > own:
+        order = {id(e): i for i, e in enumerate(elements)}
+        chosen, own = sorted([*lone, *(a for a in articles if not _within(a, lone))], key=lambda e: order[id(e)]), own + in_main
+    beside = _unlinked([root], gone, [*articles, *lone])
+    if (articles or lone) and beside > own and (text := _text([root], gone | {id(a) for a in (*articles, *lone)})):
+        return text
+    for found in (chosen, lone):
+        if found and (text := _text(found, gone)):
             return text
     if any(e.main is not None for e in elements):  # main content without text: what is beside it may be more than the template
         gone = {id(e) for e in elements if e.main is None and not e.holds_main and e.tag in CONTAINERS and e.hash in bodies}
@@ -331,6 +394,8 @@ def subtrees(pages: DataFrame) -> DataFrame:
                 continue
             if e.main is not None:
                 own.add((e.hash, e.main.hash, 0, plain, False))
+                if e.attributes and _named_inside(e):
+                    own.add((_name_hash(e), 0, 0, plain, True))
             elif plain:
                 own.add((e.hash, 0, root.hash, plain, False))
                 if _link_list(e):

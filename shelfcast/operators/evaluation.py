@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfcast.functions import scalars as S
-from shelfcast.operators import metrics
+from shelfcast.operators import metrics, quantiles
 
 #: Segments of the complete metrics, by target.
 COMPLETE = {"overall": "true", "0": "target <= 0", "1": "target = 1", "2-4": "target >= 2 AND target < 5", "5-19": "target >= 5 AND target < 20", "20+": "target >= 20", "nonzero": "target > 0"}
@@ -146,11 +146,12 @@ def signal_months(rows: DataFrame, features: list[str], label: Column, weight: C
 
 def error_summary(rows: DataFrame, by: list[str], first: str, second: str) -> DataFrame:
     """Two models beside each other: mean, median, MAE and WAPE."""
-    out = [F.count(F.lit(1)).alias("count"), S.r6(F.avg("target")).alias("target_mean"), S.r6(F.percentile("target", F.lit(0.5))).alias("target_median")]
+    out, medians = [F.count(F.lit(1)).alias("count"), S.r6(F.avg("target")).alias("target_mean")], {"target_median": (F.col("target"), 0.5)}
     for n, c in (("first", first), ("second", second)):
         error = F.abs(F.col(c) - F.col("target"))
-        out += [S.r6(F.avg(c)).alias(f"{n}_mean"), S.r6(F.percentile(c, F.lit(0.5))).alias(f"{n}_median"), S.r6(F.avg(error)).alias(f"{n}_mae"), S.r6(100 * S.ratio(F.sum(error), F.sum("target"))).alias(f"{n}_wape")]
-    return rows.groupBy(*by).agg(*out)
+        medians[f"{n}_median"] = (F.col(c), 0.5)
+        out += [S.r6(F.avg(c)).alias(f"{n}_mean"), S.r6(F.avg(error)).alias(f"{n}_mae"), S.r6(100 * S.ratio(F.sum(error), F.sum("target"))).alias(f"{n}_wape")]
+    return rows.groupBy(*by).agg(*out).join(quantiles.wide(rows, by, medians).select(*by, *[S.r6(F.col(c)).alias(c) for c in medians]), by)
 
 
 def zero_sensitivity(rows: DataFrame, by: list[str], baseline: str) -> DataFrame:

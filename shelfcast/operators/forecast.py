@@ -71,27 +71,3 @@ def compensated(prediction: Column, s5: Column, s20: Column, medium: tuple[float
 def postprocessed(rows: DataFrame, prediction: str, months: int = 1) -> DataFrame:
     raw = S.clip_target(F.col(prediction))
     return rows.withColumns({"pred_qty_raw": raw, "pred_qty_int": S.half_up(raw), "pred_mc": S.level(raw, months)})
-
-
-def compensation_grid(rows: DataFrame, by: list[str], fractions: tuple[float, ...] = (0.02, 0.05, 0.1, 0.15, 0.2), tolerance: float = 0.02) -> DataFrame:
-    """For each group and pair of top fractions (medium, high): the WAPE of multiplied predictions, and which pair is best.
-
-    Ranks come from distinct scores; a row meets only the levels that it reaches, and all pairs are
-    judged from sums by (medium fraction, high fraction) in one pass. ``rows`` has s5, s20, target, prediction.
-    """
-    order = {c: Window.partitionBy(*by).orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, 0) for c in ("s5", "s20")}
-    shares = {}
-    for c in ("s5", "s20"):
-        counts = rows.groupBy(*by, c).agg(F.count(F.lit(1)).alias("n"))
-        shares[c] = counts.withColumn(f"top_{c}", F.sum("n").over(order[c]) / F.sum("n").over(Window.partitionBy(*by))).drop("n")
-    ranked = rows.join(shares["s5"], [*by, "s5"]).join(shares["s20"], [*by, "s20"])
-    pairs = [F.struct(F.lit(m).alias("medium"), F.lit(h).alias("high")) for m in fractions for h in fractions if h <= m]
-    each = ranked.withColumn("f", F.explode(F.array(*pairs)))
-    reached = F.when(F.col("top_s20") <= F.col("f.high"), "high").when(F.col("top_s5") <= F.col("f.medium"), "medium").otherwise("none")
-    keys = [*by, "medium", "high"]
-    judged = each.select(*by, F.col("f.medium").alias("medium"), F.col("f.high").alias("high"), reached.alias("reached"), "target", "prediction")
-    factor = multiplier(judged, "target", "prediction", F.lit(1.0), [*keys, "reached"]).withColumn("multiplier", F.when(F.col("reached") == "none", 1.0).otherwise(F.col("multiplier")))
-    error = judged.join(factor, [*keys, "reached"]).groupBy(*keys).agg(F.sum(F.abs(F.col("prediction") * F.col("multiplier") - F.col("target"))).alias("e"), F.sum("target").alias("t"), F.sum(F.abs(F.col("prediction") - F.col("target"))).alias("e0"))
-    found = error.select(*keys, S.r6(100 * S.ratio(F.col("e"), F.col("t"))).alias("wape"), S.r6(100 * S.ratio(F.col("e0"), F.col("t"))).alias("base_wape"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("wape", "medium", "high"))
-    return found.withColumn("chosen", (rank == 1) & (F.col("wape") < F.col("base_wape") * (1 + tolerance)))

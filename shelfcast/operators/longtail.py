@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfcast.functions import scalars as S
+from shelfcast.operators import quantiles
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -20,7 +21,9 @@ def buckets(rows: DataFrame) -> DataFrame:
 
 def describe(rows: DataFrame) -> DataFrame:
     q = F.col("total_qty")
-    return rows.agg(F.count(q).alias("count"), S.r6(F.avg(q)).alias("mean"), S.r6(F.stddev_samp(q)).alias("std"), F.min(q).alias("low"), *[S.r6(F.percentile(q, F.lit(p / 100))).alias(f"p{p}") for p in (50, 75, 90, 95, 99)], F.max(q).alias("high"))
+    sums = rows.agg(F.count(q).alias("count"), S.r6(F.avg(q)).alias("mean"), S.r6(F.stddev_samp(q)).alias("std"), F.min(q).alias("low"), F.max(q).alias("high"))
+    found = quantiles.wide(rows.withColumn("one", F.lit(1)), ["one"], {f"p{p}": (q, p / 100) for p in (50, 75, 90, 95, 99)})
+    return sums.withColumn("one", F.lit(1)).join(found, "one", "left").select("count", "mean", "std", "low", *[S.r6(F.col(f"p{p}")).alias(f"p{p}") for p in (50, 75, 90, 95, 99)], "high")  # a row each
 
 
 def top_share(rows: DataFrame, shares: tuple[float, ...] = (0.1, 0.2)) -> DataFrame:
@@ -38,7 +41,8 @@ def top_share(rows: DataFrame, shares: tuple[float, ...] = (0.1, 0.2)) -> DataFr
 
 def categories(rows: DataFrame, n: int = 30) -> DataFrame:
     q = F.col("total_qty")
-    found = rows.groupBy("gds_ctgry_3_lvel").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(q).alias("qty"), F.percentile(q, F.lit(0.5)).alias("median_qty"), S.r6(F.avg(F.when(q <= 0, 1.0).otherwise(0.0))).alias("share_not_sold"))
+    found = rows.groupBy("gds_ctgry_3_lvel").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(q).alias("qty"), S.r6(F.avg(F.when(q <= 0, 1.0).otherwise(0.0))).alias("share_not_sold"))
+    found = found.join(quantiles.wide(rows, ["gds_ctgry_3_lvel"], {"median_qty": (q, 0.5)}), "gds_ctgry_3_lvel", "left")
     return found.orderBy(F.desc("qty"), "gds_ctgry_3_lvel").limit(n)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfcast.functions import scalars as S
+from shelfcast.operators import quantiles
 
 
 def segmented(rows: DataFrame, segments: dict[str, Column]) -> DataFrame:
@@ -190,7 +191,9 @@ def disagreement(rows: DataFrame, first: Column, second: Column, by: list[str])
 
 def describe(rows: DataFrame, value: Column, by: list[str]) -> DataFrame:
     v = F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")), value)
-    return rows.groupBy(*by).agg(F.count(v).alias("count"), S.r6(F.avg(v)).alias("mean"), *[S.r6(F.percentile(v, F.lit(q))).alias(n) for n, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))])
+    means = rows.groupBy(*by).agg(F.count(v).alias("count"), S.r6(F.avg(v)).alias("mean"))
+    found = quantiles.wide(rows, by, {n: (v, q) for n, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))})
+    return means.join(found, by, "left").select(*by, "count", "mean", *[S.r6(F.col(c)).alias(c) for c in ("p25", "median", "p75")])
 
 
 def migration(rows: DataFrame, first: Column, second: Column, by: list[str]) -> DataFrame:
@@ -209,24 +212,26 @@ def concentration(rows: DataFrame, group: str, first: str, second: str, least: i
 
 
 def median_ratio(rows: DataFrame, by: list[str], least: float = 20) -> DataFrame:
-    return rows.where(F.col("target") >= least).groupBy(*by).agg(F.count(F.lit(1)).alias("count"), S.r6(F.percentile(F.col("prediction") / F.col("target"), F.lit(0.5))).alias("median_ratio"))
+    head = rows.where(F.col("target") >= least)
+    found = quantiles.wide(head, by, {"median_ratio": (F.col("prediction") / F.col("target"), 0.5)})
+    return head.groupBy(*by).agg(F.count(F.lit(1)).alias("count")).join(found, by, "left").withColumn("median_ratio", S.r6(F.col("median_ratio")))
 
 
 def head_months(rows: DataFrame, by: list[str], least: float = 20) -> DataFrame:
-    """High-demand rows by month: medians, upper quantiles, recall and WAPE."""
+    """High-demand rows by month: sums, medians (of the prediction over the target too), upper quantiles, recall and WAPE."""
     t, p = F.col("target"), F.col("prediction")
-    q = lambda c, x, name: S.r6(F.percentile(c, F.lit(x))).alias(name)
-    return rows.where(t >= least).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("count"), q(t, 0.5, "median_target"), q(p, 0.5, "median_prediction"), q(t, 0.9, "p90_target"), q(t, 0.95, "p95_target"), S.r6(F.avg(F.when(p >= least, 1.0).otherwise(0.0))).alias("recall"),
-        S.r6(100 * S.ratio(F.sum(F.abs(p - t)), F.sum(t))).alias("wape"),
-    )
-
-
-def feature_audit(rows: DataFrame, features: list[str], label: Column, bins: int = 100) -> DataFrame:
-    """By feature: missing and zero shares, range, and average precision as a ranker of ``label``, all features in one pass."""
-    long = rows.select(label.alias("label"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("f")).select("label", "f.*")
-    stats = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), S.r6(F.avg(F.when(F.col("value").isNull(), 1.0).otherwise(0.0))).alias("missing_share"), S.r6(F.avg(F.when(F.col("value") == 0, 1.0).otherwise(0.0))).alias("zero_share"), S.r6(F.min("value")).alias("low"), S.r6(F.max("value")).alias("high"))
-    counted = long.where("value IS NOT NULL").groupBy("feature", F.round("value", 4).alias("bin")).agg(F.sum(F.when(F.col("label"), 1.0).otherwise(0.0)).alias("pos"), F.count(F.lit(1)).alias("all"))
-    order = Window.partitionBy("feature").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    ap = counted.withColumns({"tp": F.sum("pos").over(order), "seen": F.sum("all").over(order)}).groupBy("feature").agg(S.r6(S.ratio(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos"))).alias("average_precision"))
-    return stats.join(ap, "feature")
+    head = rows.where(t >= least)
+    sums = head.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.round(F.sum(t), 3).alias("target_sum"), S.r6(F.avg(F.when(p >= least, 1.0).otherwise(0.0))).alias("recall"), S.r6(100 * S.ratio(F.sum(F.abs(p - t)), F.sum(t))).alias("wape"))
+    wanted = {"median_target": (t, 0.5), "p90_target": (t, 0.9), "p95_target": (t, 0.95), "median_prediction": (p, 0.5), "median_ratio": (p / t, 0.5)}
+    found = quantiles.wide(head, by, wanted)
+    return sums.join(found, by).select(*by, "count", "target_sum", *[S.r6(F.col(c)).alias(c) for c in wanted], "recall", "wape")
+
+
+def head_features(rows: DataFrame, train: DataFrame, by: list[str], features: list[str], least: float = 20) -> DataFrame:
+    """High-demand rows by group and feature: count, mean, quartiles, and where the median stands among the training rows of high demand, in percent."""
+    head = quantiles.long(rows.where(F.col("target") >= least), by, {f: F.col(f) for f in features})
+    means = head.groupBy(*by, "name").agg(F.sum("n").alias("count"), S.r6(F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
+    found = quantiles.of_counts(head, by, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    known = quantiles.long(train.where(F.col("target") >= least), [], {f: F.col(f) for f in features})
+    placed = quantiles.shares_up_to(found.withColumn("value", F.col("median")), known, ["name"], [*by, "p25", "median", "p75"])
+    return placed.join(means, [*by, "name"]).select(*by, F.col("name").alias("feature"), "count", "mean", *[S.r6(F.col(c)).alias(c) for c in ("p25", "median", "p75")], S.r6(100 * F.col("share")).alias("median_train_percentile"))

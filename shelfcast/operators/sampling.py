@@ -37,13 +37,28 @@ def bucket_counts(rows: DataFrame) -> DataFrame:
     return long.groupBy("split", "horizon", S.demand_bucket(F.col("target")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def scaled_rates(counts: dict[str, int], rates: dict[str, float], wanted: int, steps: int = 80) -> dict[str, float]:
-    """Rates times one factor, at most 1, that give the wanted number of rows from these few counts."""
-    low, high = 0.0, 100.0
-    for _ in range(steps):
-        middle = (low + high) / 2
-        low, high = (middle, high) if sum(n * min(1.0, rates[b] * middle) for b, n in counts.items()) < wanted else (low, middle)
-    return {b: min(1.0, rates[b] * high) for b in counts}
+def scaled_rates(rows: DataFrame, target: str, rates: dict[str, float], wanted: int) -> DataFrame:
+    """(bucket, n, rate): rates times one factor, at most 1, that give the wanted number of rows; all rows if there are fewer.
+
+    The expected number of rows is piecewise linear in the factor, with a break where a bucket's rate reaches 1. Over the buckets in that
+    order the rows of full buckets are cumulated, each segment is solved, and the first solution inside its segment is the factor.
+    """
+    counts = rows.groupBy(S.demand_bucket(F.col(target)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    known = counts.withColumn("own", F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("bucket"))).where("own > 0")
+    order = Window.orderBy(F.desc("own"), "bucket")  # a row for each bucket
+    full = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("n") * F.col("own")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    solved = known.withColumn("x", (wanted - full) / rest)
+    begins = F.coalesce(1 / F.lag("own").over(order), F.lit(0.0))
+    factor = F.min(F.when(F.col("x").between(F.col("begins") - 1e-12, 1 / F.col("own") + 1e-12), F.col("x"))).over(Window.partitionBy())
+    return solved.withColumn("begins", begins).select("bucket", "n", F.round(F.least(F.lit(1.0), F.coalesce(F.col("own") * factor, F.lit(1.0))), 9).alias("rate"))
+
+
+def stratified_to(rows: DataFrame, target: str, rates: dict[str, float], wanted: int, horizon: str = "1m", seed: int = 42) -> DataFrame:
+    """About the wanted number of rows, kept at their bucket's scaled rate and weighing its inverse."""
+    scaled = scaled_rates(rows, target, rates, wanted).select("bucket", F.col("rate").alias("sampling_probability"))
+    found = rows.withColumn("bucket", S.demand_bucket(F.col(target))).join(F.broadcast(scaled), "bucket")  # five rows
+    return found.where(uniform(horizon, seed) < F.col("sampling_probability")).withColumn("sample_weight", 1 / F.col("sampling_probability"))
 
 
 def distribution(sample: DataFrame, target: str, by: str) -> DataFrame:

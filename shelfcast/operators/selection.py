@@ -54,13 +54,6 @@ def gate_protected(sweep: DataFrame, by: list[str], wape: str, levels: tuple[flo
     return best(each, [*by, "protection"], [(wape, "min")], ["threshold"])
 
 
-def accepted(candidates: DataFrame, baseline: DataFrame, by: list[str], gain: float = 0.005, months_better: int = 4) -> DataFrame:
-    """Acceptance against a baseline by month: the mean relative gain in WAPE, in how many months it improves, and the verdict."""
-    joined = candidates.select(*by, "month", "candidate", F.col("wape").alias("w")).join(baseline.select(*by, "month", F.col("wape").alias("b")), [*by, "month"])
-    found = joined.groupBy(*by, "candidate").agg(F.avg(S.ratio(F.col("b") - F.col("w"), F.col("b"))).alias("g"), F.count_if(F.col("w") < F.col("b")).alias("months_improved"), F.count(F.lit(1)).alias("months"))
-    return found.select(*by, "candidate", S.r6(F.col("g")).alias("mean_gain"), "months_improved", "months", ((F.col("g") >= gain) & (F.col("months_improved") >= months_better)).alias("accepted"))
-
-
 def weighted_median(rows: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
     """The first value at which half of the group's weight is reached."""
     sums = rows.groupBy(*by, value).agg(F.sum(weight).alias("w"))

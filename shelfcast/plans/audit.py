@@ -164,3 +164,7 @@ SELECT month, count(*) AS count, max(th) AS threshold, count(*) FILTER (WHERE to
 _HISTORY = ["current", "qty_lag_1m", "qty_sum_last_3m", "active_months_last_6m"]
 add("mt_error_groups", lambda s, d: A.error_groups(T.forecasts(s, d), ["split"], S.level(F.col("wma")), _HISTORY),
     f"WITH {T.FOR}, l AS (" + " UNION ALL ".join(f"SELECT split, CASE {T.level_sql('wma')} WHEN 3 THEN 'kept' WHEN 4 THEN 'to_20_plus' ELSE 'to_4_or_lower' END AS kind, '{f}' AS feature, CAST({f} AS DOUBLE) AS v FROM fc WHERE target >= 5 AND target < 20" for f in _HISTORY) + ") SELECT split, kind, feature, count(*) AS count, round(avg(v), 6) AS mean, round(min(v), 6) AS low, round(max(v), 6) AS high FROM l GROUP BY 1, 2, 3")
+
+#: Names of the survey under which a query also goes.
+for short, whole in {"mt_feature_audit": "mt_feature_audit_full", "sel_gate": "sel_gate_refined", "fc_comp_fit": "fc_comp_rules"}.items():
+    QUERIES[short], ORACLES[short] = QUERIES[whole], ORACLES[whole]

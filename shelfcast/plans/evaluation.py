@@ -225,3 +225,7 @@ _VALID_GATES = gates_sql(("overall", "5_20", "20plus"), ("original", "gate_b")).
 add("sel_test_gate", sel_test_gate, f"""WITH gt AS ({_VALID_GATES}), o AS (SELECT wape AS original_wape FROM gt WHERE method = 'original' AND segment = 'overall'),
 w AS (SELECT threshold, max(wape) FILTER (WHERE segment = 'overall') AS wape, max(pass_rate) FILTER (WHERE segment = '5_20') AS recall_5_20, max(pass_rate) FILTER (WHERE segment = '20plus') AS recall_20plus FROM gt WHERE method = 'gate_b' GROUP BY 1)
 SELECT threshold, original_wape, wape, recall_5_20, recall_20plus, round((original_wape - wape) / original_wape, 6) AS relative_gain, (original_wape - wape) / original_wape >= 0.005 AND recall_5_20 >= 0.95 AND recall_20plus >= 0.95 AS look_at_test FROM w, o""")
+
+#: Names of the survey under which a query also goes.
+for short, whole in {"mt_topk": "mt_topk_horizons", "mt_business": "mt_business_horizons", "mt_gate_sweep": "mt_gate_sweep_full", "sel_complete": "sel_acceptance"}.items():
+    QUERIES[short], ORACLES[short] = QUERIES[whole], ORACLES[whole]

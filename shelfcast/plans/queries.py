@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from shelfcast.functions import scalars as S
 from shelfcast.operators import checks, cleaning, encoding, forecast, longtail, metrics, panel, sampling, selection, serving
 from shelfcast.plans import tables as T
+from shelfcast.sources import archives
 from shelfcast.sources import ledger as sources
+from shelfcast.sources.staging import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,17 +199,6 @@ add("fc_multiplier", lambda s, d: forecast.multiplier(T.forecasts(s, d), "target
     f"WITH {T.FOR} SELECT site_no, round(least(greatest(coalesce(sqrt(sum(target) / nullif(sum(hist), 0)), 1), 1), 1.5), 6) AS multiplier FROM fc GROUP BY 1")
 
 
-def _ranked(s: SparkSession, d: str) -> DataFrame:
-    return T.forecasts(s, d).select("split", F.col("qty_sum_last_3m").alias("s5"), F.col("qty_lag_1m").alias("s20"), "target", F.col("hist").alias("prediction"))
-
-
-add("fc_comp_fit", lambda s, d: forecast.compensation_grid(_ranked(s, d), ["split"]),
-    f"""WITH {T.FOR}, b AS (SELECT split, qty_sum_last_3m AS s5, qty_lag_1m AS s20, target, hist AS prediction, count(*) OVER (PARTITION BY split) AS n, count(*) OVER (PARTITION BY split ORDER BY qty_sum_last_3m DESC) AS u5, count(*) OVER (PARTITION BY split ORDER BY qty_lag_1m DESC) AS u20 FROM fc),
-f AS (SELECT m::DOUBLE AS medium, h::DOUBLE AS high FROM (VALUES (0.02), (0.05), (0.1), (0.15), (0.2)) a(m), (VALUES (0.02), (0.05), (0.1), (0.15), (0.2)) c(h) WHERE h <= m),
-e AS (SELECT split, medium, high, target, prediction, CASE WHEN u20 / n <= high THEN 'high' WHEN u5 / n <= medium THEN 'medium' ELSE 'none' END AS r FROM b, f),
-k AS (SELECT split, medium, high, r, CASE WHEN r = 'none' THEN 1 ELSE least(greatest(coalesce(sqrt(sum(target) / nullif(sum(prediction), 0)), 1), 1), 1.5) END AS x FROM e GROUP BY 1, 2, 3, 4),
-w AS (SELECT split, medium, high, round(100 * sum(abs(prediction * x - target)) / nullif(sum(target), 0), 6) AS wape, round(100 * sum(abs(prediction - target)) / nullif(sum(target), 0), 6) AS base_wape FROM e JOIN k USING (split, medium, high, r) GROUP BY 1, 2, 3)
-SELECT *, row_number() OVER (PARTITION BY split ORDER BY wape, medium, high) = 1 AND wape < base_wape * 1.02 AS chosen FROM w""")
 add("fc_comp_apply", lambda s, d: T.forecasts(s, d).groupBy("split").agg(F.round(F.sum(forecast.compensated(F.col("hist"), F.col("qty_sum_last_3m"), F.col("qty_lag_1m"), (20.0, 1.1), (15.0, 1.25))), 3).alias("compensated_sum")),
     f"WITH {T.FOR} SELECT split, round(sum(hist * CASE WHEN least(qty_lag_1m, qty_sum_last_3m) >= 15 THEN 1.25::DOUBLE WHEN qty_sum_last_3m >= 20 THEN 1.1::DOUBLE ELSE 1 END), 3) AS compensated_sum FROM fc GROUP BY 1")
 add("fc_postprocess", lambda s, d: T.predictions(s, d).withColumn("pred_qty_raw", S.r6(F.col("pred_qty_raw"))).withColumn("p_sale", S.r6(F.col("p_sale"))), f"WITH {T.PRE} SELECT * REPLACE (round(pred_qty_raw, 6) AS pred_qty_raw, round(CAST(p_sale AS DOUBLE), 6) AS p_sale) FROM pre")
@@ -258,22 +250,10 @@ add("mt_levels", lambda s, d: metrics.levels(_judged(s, d), ["split", "candidate
     f"WITH {LONG}, lv AS (SELECT split, candidate, {_TL} AS a, {_PL} AS b FROM lo) SELECT split, candidate, count(*) AS count, round(count(*) FILTER (WHERE a = b) / count(*), 6) AS accuracy, {_SH('a >= 1 AND b >= 1', 'a >= 1')} AS active_recall, {_SH('a >= 3 AND b >= 3', 'a >= 3')} AS medium_high_or_high_recall, {_SH('a = 4 AND b = 4', 'a = 4')} AS high_recall, {_SH('a >= 3 AND a - b >= 2', 'a >= 3')} AS severe_under_rate, {_SH('a <= 1 AND b - a >= 2', 'a <= 1')} AS severe_over_rate FROM lv GROUP BY 1, 2")
 
 
-@query("mt_business", f"WITH {LONG}, bz AS (SELECT *, {_TL} AS a, {_PL} AS b FROM lo) SELECT candidate, round(100 * sum(abs(p - t)) / sum(t), 6) AS wape, round(count(*) FILTER (WHERE a = b) / count(*), 6) AS accuracy, round(count(*) FILTER (WHERE sign(t - current) = sign(p - current)) / count(*), 6) AS trend_accuracy FROM bz GROUP BY 1")
-def mt_business(s: SparkSession, d: str) -> DataFrame:
-    """Quantity, level and trend quality side by side."""
-    rows = _judged(s, d)
-    parts = [metrics.quantity(rows, ["candidate"]).select("candidate", "wape"), metrics.levels(rows, ["candidate"]).select("candidate", "accuracy"), metrics.trend(rows, ["candidate"]).select("candidate", "trend_accuracy")]
-    return parts[0].join(parts[1], "candidate").join(parts[2], "candidate")
-
-
-_TOP = ", ".join(f"round(count(*) FILTER (WHERE r <= {k} AND t > 0) / nullif(count(*) FILTER (WHERE r <= {k}), 0), 6) AS precision_{k}, round(coalesce(sum(t) FILTER (WHERE r <= {k}), 0) / nullif(sum(t), 0), 6) AS sales_capture_{k}, {_SH(f'r <= {k} AND t >= 20', 't >= 20')} AS high_coverage_{k}" for k in (5, 10, 20))
-add("mt_topk", lambda s, d: metrics.top_k(_judged(s, d).where("split = 'test'"), ["candidate", "month", "site_no"], "prediction", "target", (5, 10, 20)),
-    f"WITH {LONG}, rk AS (SELECT candidate, month, site_no, t, row_number() OVER (PARTITION BY candidate, month, site_no ORDER BY p DESC, item_id) AS r FROM lo WHERE split = 'test') SELECT candidate, month, site_no, {_TOP} FROM rk GROUP BY 1, 2, 3")
 _TAU = [round(0.05 * i, 2) for i in range(1, 20)]
 _GS = "sx AS (SELECT CAST(p AS DOUBLE) AS p, q, target AS t, unnest(list_filter(['overall', CASE WHEN target = 0 THEN 'zero' END, CASE WHEN target > 0 THEN 'nonzero' END, CASE WHEN target = 1 THEN 'qty_1' END, CASE WHEN target >= 2 AND target < 5 THEN 'qty_2_5' END, CASE WHEN target >= 5 AND target < 20 THEN '5_20' END, CASE WHEN target >= 20 THEN '20plus' END], lambda x: x IS NOT NULL)) AS segment FROM fc)"
 _SWEEP = f"""SELECT segment, tau AS threshold, count(*) AS count, round(sum(t), 6) AS target_sum, round(100 * sum(abs(CASE WHEN p >= tau THEN p * q ELSE 0 END - t)) / nullif(sum(t), 0), 6) AS wape_gate_a, round(100 * sum(abs(CASE WHEN p >= tau THEN q ELSE 0 END - t)) / nullif(sum(t), 0), 6) AS wape_gate_b,
   round(sum(CASE WHEN p >= tau THEN p * q ELSE 0 END), 6) AS prediction_sum_a, round(sum(CASE WHEN p >= tau THEN q ELSE 0 END), 6) AS prediction_sum_b, count(*) FILTER (WHERE p >= tau) AS passing, round(count(*) FILTER (WHERE p >= tau) / count(*), 6) AS pass_rate FROM sx, (SELECT unnest({_TAU}::DOUBLE[]) AS tau) GROUP BY 1, 2"""
-add("mt_gate_sweep", lambda s, d: metrics.gate_sweep(T.forecasts(s, d), _TAU), f"WITH {T.FOR}, {_GS} {_SWEEP}")
 _PB = "count(*) AS count, round(avg(p), 6) AS mean_p, " + ", ".join(f"list_sort(list(floor(p * 10000 + 0.5)))[CAST(ceil({x} * count(*)) AS BIGINT)] / 10000 AS p{round(100 * x)}" for x in (0.1, 0.25, 0.5, 0.75, 0.9)) + ", " + ", ".join(f"round(count(*) FILTER (WHERE p < {x}) / count(*), 6) AS share_below_{n}" for x, n in ((0.2, "02"), (0.3, "03"), (0.5, "05")))
 add("mt_prob_diag", lambda s, d: metrics.probability_bins(T.forecasts(s, d), S.demand_bucket(F.col("target"))), f"WITH {T.FOR}, x AS (SELECT CAST(p AS DOUBLE) AS p, target AS t FROM fc) SELECT {_BUCKET} AS grp, {_PB} FROM x GROUP BY 1")
 add("mt_binary_rank", lambda s, d: metrics.binary_rank(T.forecasts(s, d), "p", F.col("target") > 0, ["split"]),
@@ -290,11 +270,12 @@ add("mt_concentration", lambda s, d: metrics.concentration(T.forecasts(s, d), "g
     f"WITH {T.FOR}, x AS (SELECT gds_ctgry_3_lvel, abs(wma - target) - abs(hist - target) > greatest(2, 0.1::DOUBLE * target) AS w FROM fc), g AS (SELECT gds_ctgry_3_lvel, count(*) AS n, count(*) FILTER (WHERE w) AS n_worse FROM x GROUP BY 1), t AS (SELECT sum(n) AS an, sum(n_worse) AS aw FROM g) SELECT gds_ctgry_3_lvel, n, n_worse, round(n_worse / nullif(aw, 0), 6) AS worse_share, round(n / an, 6) AS all_share, round((n_worse / nullif(aw, 0)) / (n / an), 6) AS ratio FROM g, t WHERE n >= 20")
 add("mt_median_ratio", lambda s, d: metrics.median_ratio(_judged(s, d), ["split", "candidate"]), f"WITH {LONG} SELECT split, candidate, count(*) AS count, round(quantile_cont(p / t, 0.5), 6) AS median_ratio FROM lo WHERE t >= 20 GROUP BY 1, 2")
 add("mt_head_month", lambda s, d: metrics.head_months(_judged(s, d), ["month", "candidate"]),
-    f"WITH {LONG} SELECT month, candidate, count(*) AS count, round(quantile_cont(t, 0.5), 6) AS median_target, round(quantile_cont(p, 0.5), 6) AS median_prediction, round(quantile_cont(t, 0.9), 6) AS p90_target, round(quantile_cont(t, 0.95), 6) AS p95_target, round(avg(CASE WHEN p >= 20 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(100 * sum(abs(p - t)) / sum(t), 6) AS wape FROM lo WHERE t >= 20 GROUP BY 1, 2")
-_AUD = ["current", "qty_lag_1m", "qty_sum_last_3m", "months_since_last_sale"]
-add("mt_feature_audit", lambda s, d: metrics.feature_audit(T.forecasts(s, d), _AUD, F.col("target") >= 5),
-    f"""WITH {T.FOR}, l AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS v, target >= 5 AS y FROM fc" for f in _AUD)}), s AS (SELECT feature, count(*) AS n, round(avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_share, round(avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share, round(min(v), 6) AS low, round(max(v), 6) AS high FROM l GROUP BY 1),
-b AS (SELECT feature, v, sum(CASE WHEN y THEN 1.0 ELSE 0.0 END) AS pos, count(*) AS a FROM l GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER (PARTITION BY feature ORDER BY v DESC) AS tp, sum(a) OVER (PARTITION BY feature ORDER BY v DESC) AS seen FROM b) SELECT s.*, ap AS average_precision FROM s JOIN (SELECT feature, round(sum(pos * tp / seen) / sum(pos), 6) AS ap FROM c GROUP BY 1) USING (feature)""")
+    f"WITH {LONG} SELECT month, candidate, count(*) AS count, round(sum(t), 3) AS target_sum, round(quantile_cont(p / t, 0.5), 6) AS median_ratio, round(quantile_cont(t, 0.5), 6) AS median_target, round(quantile_cont(p, 0.5), 6) AS median_prediction, round(quantile_cont(t, 0.9), 6) AS p90_target, round(quantile_cont(t, 0.95), 6) AS p95_target, round(avg(CASE WHEN p >= 20 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(100 * sum(abs(p - t)) / sum(t), 6) AS wape FROM lo WHERE t >= 20 GROUP BY 1, 2")
+_HF = ["current", "qty_lag_1m", "qty_sum_last_3m", "active_months_last_6m", "p", "hist"]
+add("mt_head_features", lambda s, d: metrics.head_features((rows := T.forecasts(s, d)).where("split <> 'train'"), rows.where("split = 'train'"), ["month"], _HF),
+    f"""WITH {T.FOR}, l AS MATERIALIZED ({' UNION ALL '.join(f"SELECT split, month, '{f}' AS feature, CAST({f} AS DOUBLE) AS v FROM fc WHERE target >= 20" for f in _HF)}),
+m AS (SELECT month, feature, count(*) AS count, avg(v) AS mean, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.75) AS c FROM l WHERE split <> 'train' GROUP BY 1, 2)
+SELECT month, feature, count, round(mean, 6) AS mean, round(a, 6) AS p25, round(b, 6) AS median, round(c, 6) AS p75, round(100 * (SELECT count(*) FILTER (WHERE v <= b) / count(*) FROM l WHERE split = 'train' AND l.feature = m.feature), 6) AS median_train_percentile FROM m""")
 
 
 @query("mt_fair", f"WITH {T.FOR}, j AS (SELECT a.split, a.target AS t, a.hist, b.wma FROM (SELECT * FROM fc WHERE hist > 0) a JOIN (SELECT * FROM fc WHERE wma > 1) b USING (month, site_no, item_id)), lo AS (SELECT split, 'hist' AS candidate, t, hist AS p FROM j UNION ALL SELECT split, 'wma', t, wma FROM j) SELECT split, candidate, {_METRIC} FROM lo GROUP BY 1, 2")
@@ -340,12 +321,29 @@ add("sm_multi_kind", lambda s, d: sampling.many_kinds(T.forecasts(s, d), "target
     f"WITH {T.FOR} SELECT 'train' AS sample_kind, split, count(*) AS n, round(sum(1 / {_RATE}), 6) AS w FROM fc WHERE {_U('train')} < {_RATE} GROUP BY 2 UNION ALL SELECT 'probe', split, count(*), round(sum(1 / 0.05::DOUBLE), 6) FROM fc WHERE {_U('probe')} < 0.05::DOUBLE GROUP BY 2")
 
 
-@query("sm_scaled_rates")
-def sm_scaled_rates(s: SparkSession, d: str) -> DataFrame:
-    """A sample of about 2,000 rows: five counts are read, the rates follow from them, the sample is a filter."""
-    rows = T.forecasts(s, d)
-    counts = {r["bucket"]: r["n"] for r in rows.groupBy(S.demand_bucket(F.col("target")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    return sampling.stratified(rows, "target", sampling.scaled_rates(counts, sampling.RATES, 2000)).select("month", "site_no", "item_id", "target", "sampling_probability", "sample_weight")
+add("sm_scaled_rates", lambda s, d: sampling.stratified_to(T.forecasts(s, d), "target", sampling.RATES, 2000).select("month", "site_no", "item_id", "target", S.r6(F.col("sampling_probability")).alias("sampling_probability"), S.r6(F.col("sample_weight")).alias("sample_weight")),
+    f"""WITH {T.FOR}, bu AS (SELECT *, {_RATE} AS own FROM fc), co AS (SELECT own, count(*) AS n FROM bu GROUP BY 1),
+sg AS (SELECT own, (2000 - coalesce(sum(n) OVER (ORDER BY own DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(n * own) OVER (ORDER BY own DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x, coalesce(1 / lag(own) OVER (ORDER BY own DESC), 0) AS begins FROM co),
+fa AS (SELECT min(x) FILTER (WHERE x BETWEEN begins - 1e-12 AND 1 / own + 1e-12) AS f FROM sg),
+ra AS (SELECT bu.*, round(least(1, coalesce(own * f, 1)), 9) AS r FROM bu, fa) SELECT month, site_no, item_id, target, round(r, 6) AS sampling_probability, round(1 / r, 6) AS sample_weight FROM ra WHERE {_U('1m')} < r""")
+
+# sources and sinks
+
+_TITLES = {"period": "销售日期", "site_no": "门店编码", "gds_no": "商品编码", "gds_ctgry_3_lvel": "品类", "oln_or_ofln": "渠道", "qty": "数量", "price": "定价", "tsp": "实洋"}
+
+
+def src_zip_csv(s: SparkSession, d: str) -> DataFrame:
+    """The ledger written as zipped CSV files in three encodings under other headers, read member by member and cleaned again: sums by store and channel."""
+    folder = f"{shared_folder(s)}/archives-{uuid.uuid4().hex}"
+    archives.write_zipped_csv(sources.retail_ledger(s, d).select(*_TITLES).repartition(6), folder, _TITLES, ("utf-8-sig", "utf-8", "gb18030"), 5000)
+    columns = list(_TITLES.values())
+    rows = archives.read_zipped_csv(s, folder, columns, archives.UPLOAD_ENCODINGS)
+    cleaned = cleaning.clean(sources.to_ledger(rows, sources.field_mapping(columns)))
+    return cleaned.groupBy("site_no", "channel_type").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"), F.min("period").alias("first_day"), F.max("period").alias("last_day"), F.count_distinct("gds_no").alias("n_items"))
+
+
+add("src_zip_csv", src_zip_csv, f"WITH {T.LED} SELECT site_no, channel_type, count(*) AS n, sum(qty) AS qty, min(period) AS first_day, max(period) AS last_day, count(DISTINCT item_id) AS n_items FROM led GROUP BY 1, 2")
+add("so_stable_sort", lambda s, d: sources.numbered(T.months(s, d).select("month", "site_no", "item_id", "total_qty"), [F.desc("total_qty"), "month", "site_no", "item_id"]), f"WITH {T.MON} SELECT month, site_no, item_id, total_qty, row_number() OVER (ORDER BY total_qty DESC, month, site_no, item_id) AS row_number FROM mon")
 
 # selection
 
@@ -385,17 +383,8 @@ add("sel_gate_safe", lambda s, d: selection.gate(_recalls(s, d), ["segment"], "w
     f"WITH {T.FOR}, {_GS}, {_HEADS} SELECT segment, threshold, wape_gate_a FROM sh WHERE r5 >= 0.8 AND r20 >= 0.8 QUALIFY row_number() OVER (PARTITION BY segment ORDER BY wape_gate_a, threshold) = 1")
 add("sel_gate_protect", lambda s, d: selection.gate_protected(_recalls(s, d), ["segment"], "wape_gate_b", (0.7, 0.8, 0.9)).select("segment", "protection", "threshold", "wape_gate_b"),
     f"WITH {T.FOR}, {_GS}, {_HEADS} SELECT segment, v::DOUBLE AS protection, threshold, wape_gate_b FROM sh, (VALUES (0.7), (0.8), (0.9)) x(v) WHERE r5 >= v AND r20 >= v QUALIFY row_number() OVER (PARTITION BY segment, v ORDER BY wape_gate_b, threshold) = 1")
-add("sel_gate", lambda s, d: selection.best(metrics.gate_sweep(T.forecasts(s, d), _TAU).where("wape_gate_b IS NOT NULL"), ["segment"], [("wape_gate_b", "min")], ["threshold"]).select("segment", "threshold", "wape_gate_b"),
-    f"WITH {T.FOR}, {_GS}, sw AS ({_SWEEP}) SELECT segment, threshold, wape_gate_b FROM sw WHERE wape_gate_b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY segment ORDER BY wape_gate_b, threshold) = 1")
-
-
-def _by_month(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = metrics.quantity(_judged(s, d).where("split = 'valid'"), ["site_no", "month", "candidate"])
-    return rows.where("candidate <> 'hist'"), rows.where("candidate = 'hist'")
 
 
-add("sel_complete", lambda s, d: selection.accepted(*_by_month(s, d), ["site_no"]),
-    f"WITH {LONG}, q AS (SELECT site_no, month, candidate, wape FROM (SELECT site_no, month, candidate, {_METRIC} FROM lo WHERE split = 'valid' GROUP BY 1, 2, 3)), j AS (SELECT a.site_no, a.candidate, a.wape AS w, b.wape AS b FROM q a JOIN q b ON a.site_no = b.site_no AND a.month = b.month AND b.candidate = 'hist' WHERE a.candidate <> 'hist') SELECT site_no, candidate, round(avg((b - w) / nullif(b, 0)), 6) AS mean_gain, count(*) FILTER (WHERE w < b) AS months_improved, count(*) AS months, avg((b - w) / nullif(b, 0)) >= 0.005 AND count(*) FILTER (WHERE w < b) >= 4 AS accepted FROM j GROUP BY 1, 2")
 add("sel_weighted_median", lambda s, d: selection.weighted_median(T.forecasts(s, d).withColumn("w", F.col("target") + 1), ["gds_ctgry_3_lvel"], "qty_sum_last_3m", "w"),
     f"WITH {T.FOR}, g AS (SELECT gds_ctgry_3_lvel, qty_sum_last_3m AS x, sum(target + 1) AS w FROM fc GROUP BY 1, 2), c AS (SELECT gds_ctgry_3_lvel, x, sum(w) OVER (PARTITION BY gds_ctgry_3_lvel ORDER BY x) AS u, sum(w) OVER (PARTITION BY gds_ctgry_3_lvel) AS t FROM g) SELECT gds_ctgry_3_lvel, min(x) AS weighted_median FROM c WHERE 2 * u >= t GROUP BY 1")
 
@@ -463,7 +452,7 @@ def pp_fold_seen(s: SparkSession, d: str) -> DataFrame:
 
 
 add("pp_scale", lambda s, d: encoding.scaled(T.forecasts(s, d), F.col("split") == "train", ["current", "qty_lag_1m"]).select("month", "site_no", "item_id", *[F.round(f"{c}_scaled", 5).alias(f"{c}_scaled") for c in ("current", "qty_lag_1m")]),
-    f"WITH {T.FOR}, st AS (SELECT avg(current) AS a, stddev_pop(current) AS b, avg(qty_lag_1m) AS c, stddev_pop(qty_lag_1m) AS e FROM fc WHERE split = 'train') SELECT month, site_no, item_id, round((current - a) / b, 5) AS current_scaled, round((qty_lag_1m - c) / e, 5) AS qty_lag_1m_scaled FROM fc, st")
+    f"WITH {T.FOR.replace('fc AS (', 'fc AS MATERIALIZED (')}, st AS MATERIALIZED (SELECT avg(current) AS a, stddev_pop(current) AS b, avg(qty_lag_1m) AS c, stddev_pop(qty_lag_1m) AS e FROM fc WHERE split = 'train') SELECT month, site_no, item_id, round((current - a) / b, 5) AS current_scaled, round((qty_lag_1m - c) / e, 5) AS qty_lag_1m_scaled FROM fc, st")
 _PAT = "CASE WHEN least(qty_lag_1m, qty_lag_2m, qty_lag_3m) >= 5 THEN 'persistent_high' WHEN (qty_lag_1m + qty_lag_2m + qty_lag_3m) / 3 <= 1 THEN 'sudden_burst_from_low' WHEN greatest(qty_lag_1m, qty_lag_2m, qty_lag_3m) - least(qty_lag_1m, qty_lag_2m, qty_lag_3m) >= 5 THEN 'volatile' ELSE 'other' END"
 add("fn_history_pattern", lambda s, d: T.forecasts(s, d).groupBy(S.history_pattern(F.col("qty_lag_1m"), F.col("qty_lag_2m"), F.col("qty_lag_3m")).alias("pattern")).agg(F.count(F.lit(1)).alias("n")), f"WITH {T.FOR} SELECT {_PAT} AS pattern, count(*) AS n FROM fc GROUP BY 1")
 add("fn_scalars", lambda s, d: T.months(s, d).select("month", "site_no", "item_id", S.demand_bucket(F.col("total_qty")).alias("bucket"), S.longtail_bucket(F.col("total_qty")).alias("longtail"), S.half_up(F.col("total_qty"), 2).alias("half_2m"), S.level(F.col("total_qty")).alias("level_1m"), S.level(F.col("total_qty"), 2).alias("level_2m"), S.month_text(F.col("month_idx") + 2).alias("two_later")),

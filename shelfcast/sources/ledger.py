@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Encodings in the order in which they are tried.
-ENCODINGS = ("utf-8-sig", "gbk", "gb18030")
+from shelfcast.sources.archives import clean_header, first_encoding, read_zipped_csv, write_zipped_csv  # noqa: F401
+from shelfcast.sources.staging import staged
+
 # The headers under which each standard field is found in files, in the order of preference.
 ALIASES = {
     "site_no": ("site_no", "site", "store_id", "store_no", "门店编码", "门店编号", "门店号", "店号"),
@@ -31,10 +27,6 @@ LEDGER_NAMES = {"category": "gds_ctgry_3_lvel", "return_flag": "rtn_flag"}
 REQUIRED = ("site_no", "item_id", "sale_date", "qty")
 
 
-def clean_header(name: str) -> str:
-    return name.replace("﻿", "").replace("\t", "").strip().strip("\"'").strip().lower()
-
-
 def normalised(df: DataFrame) -> DataFrame:
     return df.toDF(*map(clean_header, df.columns))
 
@@ -68,56 +60,6 @@ def to_ledger(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     )
 
 
-def read_zipped_csv(spark: SparkSession, folder: str, columns: list[str], rows: int = 20_000) -> DataFrame:
-    """All CSV members of all archives in ``folder`` as text columns, with the archive and member that they came from.
-
-    Each archive is a task of its own; members are decoded and emitted in pieces of ``rows`` lines.
-    """
-    names = [*columns, "source_file", "source_member"]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import csv
-
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                    for member in sorted(m for m in archive.namelist() if m.lower().endswith(".csv")):
-                        with archive.open(member) as file:
-                            encoding = first_encoding(file.read(128 * 1024))
-                        with archive.open(member) as file:
-                            lines = csv.reader(io.TextIOWrapper(file, encoding, errors="replace", newline=""))
-                            header = [clean_header(h) for h in next(lines, [])]
-                            at = [header.index(c) if c in header else None for c in columns]
-                            piece: list[list] = []
-                            for line in lines:
-                                piece.append([line[i] if i is not None and i < len(line) else None for i in at] + [path, member])
-                                if len(piece) == rows:
-                                    yield _batch(piece, names)
-                                    piece = []
-                            if piece:
-                                yield _batch(piece, names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select("path", "content")
-    return files.repartition("path").mapInArrow(read, ", ".join(f"`{n}` string" for n in names))
-
-
-def _batch(rows: list[list], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
-
-
-def first_encoding(start: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
-    """The first encoding that reads the file's beginning; a character cut at its end doesn't count."""
-    import codecs
-
-    for name in encodings:
-        try:
-            codecs.getincrementaldecoder(name)("strict").decode(start, False)
-            return name
-        except UnicodeDecodeError:
-            continue
-    return encodings[-1]
-
-
 def horizon_scan(dataset: DataFrame, months: int, splits: list[str], columns: list[str]) -> DataFrame:
     """Rows whose target of that horizon is known, of these splits; columns and filters reach the scan."""
     known = f"target_available_{months}m"
@@ -141,6 +83,27 @@ def write_parquet(df: DataFrame, path: str, sort: list[str] | None = None, codec
     (df.sortWithinPartitions(*sort) if sort else df).write.mode("errorifexists").option("compression", codec).parquet(path)
 
 
+def numbered(df: DataFrame, keys: list, number: str = "row_number") -> DataFrame:
+    """Rows with their place in the total order by ``keys`` (names or columns such as ``F.desc``), from 1.
+
+    Rows are dealt by ranges of the keys and sorted there; a row's place is its own in its range behind the rows of all ranges before, of
+    which there is one count a range. No task holds more than a range.
+    """
+    columns = df.columns
+    ranged = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()), "ranges")
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    counts = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = counts.select("__part", before.alias("__before"))
+    return ranged.withColumn("__part", part).join(F.broadcast(starts), "__part").select(*columns, (F.col("__before") + place + 1).alias(number))
+
+
+def write_sorted(df: DataFrame, path: str, keys: list, number: str | None = None, codec: str = "zstd") -> None:
+    """Files in total order by ``keys``: each is sorted and goes on where the one before ends. With ``number`` rows carry their place. A path that exists is an error."""
+    rows, order = (numbered(df, keys, number), [number]) if number else (df, keys)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").option("compression", codec).parquet(path)
+
+
 def write_csv_report(df: DataFrame, path: str) -> None:
     """A small metric table as one UTF-8 CSV file with a byte order mark in its header."""
     first = df.columns[0]

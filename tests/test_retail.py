@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.functions import scalars as S
-from shelfcast.operators import checks, cleaning, encoding, forecast, longtail, metrics, panel, sampling, selection, serving
+from shelfcast.operators import checks, cleaning, encoding, forecast, longtail, metrics, panel, quantiles, sampling, selection, serving
+from shelfcast.sources import archives
 from shelfcast.sources import ledger as sources
 
 RAW = "period string, site_no string, blt_site_no string, isbn string, gds_no string, gds_ctgry_3_lvel string, oln_or_ofln string, rtn_flag string, qty string, price string, tlp string, tsp string, cust_name string"
@@ -177,8 +178,13 @@ def test_sampling(spark):
     many = spark.range(4000).select(F.lit("2023-01").alias("month"), F.lit("S").alias("site_no"), F.col("id").cast("string").alias("item_id"), F.lit(0.0).alias("target"))
     one, two = (sampling.stratified(df, "target", sampling.RATES).select("item_id") for df in (many, many.orderBy(F.desc("item_id")).repartition(7)))
     assert 120 < one.count() < 290 and one.exceptAll(two).count() == 0
-    rates = sampling.scaled_rates({"0": 10_000, "20+": 50}, sampling.RATES, 500)
-    assert abs(10_000 * rates["0"] + 50 * rates["20+"] - 500) < 1 and max(rates.values()) <= 1
+    sizes = {0.0: 10_000, 3.0: 400, 7.0: 100, 25.0: 50}
+    bulk = spark.createDataFrame([(t, n) for t, n in sizes.items()], "target double, n int").select("target", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    for wanted in (20, 500, 700, 5_000, 10_600):
+        found = {r.bucket: r for r in sampling.scaled_rates(bulk, "target", sampling.RATES, wanted).collect()}
+        assert sum(r.n * r.rate for r in found.values()) == pytest.approx(min(wanted, sum(sizes.values())), abs=1e-3) and max(r.rate for r in found.values()) <= 1
+        low = min(r.rate / sampling.RATES[b] for b, r in found.items() if r.rate < 1) if wanted < 10_000 else 0
+        assert all(r.rate == pytest.approx(min(1, sampling.RATES[b] * low), abs=1e-6) for b, r in found.items()) or wanted > 10_000
 
 
 def test_encoding(spark):
@@ -240,6 +246,69 @@ def test_zipped_csv(spark, tmp_path):
         sources.field_mapping(["isbn"])
 
 
+def test_archives_by_member(spark, tmp_path):
+    text = "a,b\n" + "".join(f"{i},书{i}\n" for i in range(50_000))
+    with zipfile.ZipFile(tmp_path / "x.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, encoding in (("one.csv", "utf-8"), ("two.csv", "gb18030"), ("three.csv", "utf-8-sig")):
+            z.writestr(name, text.encode(encoding))
+        z.writestr("empty.csv", b"")
+        z.writestr("head.csv", b"a,b\n")
+        z.writestr("short.csv", b"b,c,a\n1\n\n2,3,4,5\n")
+    rows = sources.read_zipped_csv(spark, str(tmp_path), ["a", "b", "none"], archives.UPLOAD_ENCODINGS)
+    assert rows.rdd.getNumPartitions() == 6
+    found = {r.source_member: r for r in rows.groupBy("source_member").agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("b"), F.count("none").alias("none")).collect()}
+    assert {k: (v.n, v.b, v.none) for k, v in found.items()} == {**dict.fromkeys(("one.csv", "two.csv", "three.csv"), (50_000, "书9999", 0)), "short.csv": (2, "2", 0)}
+    assert sorted((r.a or "", r.b) for r in rows.where("source_member = 'short.csv'").collect()) == [("", "1"), ("4", "2")]
+    with pytest.raises(ValueError, match="comma"):
+        sources.read_zipped_csv(spark, str(tmp_path), ["a,b"])
+    (tmp_path / "none").mkdir()
+    assert sources.read_zipped_csv(spark, str(tmp_path / "none"), ["a"]).count() == 0
+
+
+def test_archives_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else f"书 {i}, \"x\"\n") for i in range(100)], "k int, v string").repartition(3)
+    folder = str(tmp_path / "out")
+    archives.write_zipped_csv(rows, folder, {"v": "名称"}, ("utf-8-sig", "utf-8", "gb18030"), lines=7)
+    found = archives.read_zipped_csv(spark, folder, ["k", "名称"], archives.UPLOAD_ENCODINGS)
+    assert sorted((int(r.k), r["名称"] or None) for r in found.collect()) == sorted((r.k, r.v) for r in rows.collect())
+    assert found.select("source_member").distinct().count() > 3
+    with pytest.raises(FileExistsError):
+        archives.write_zipped_csv(rows, folder)
+
+
+def test_sorted_files(spark, tmp_path):
+    rows = spark.range(3000).select((F.col("id") * 7919 % 1000).alias("k"), F.col("id").alias("v")).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sources.write_sorted(rows, str(tmp_path / "s"), [F.desc("k"), "v"], "place")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = [r for f in sorted((tmp_path / "s").glob("part-*")) for r in spark.read.parquet(str(f)).collect()]
+    assert len(list((tmp_path / "s").glob("part-*"))) > 1
+    assert [(r.k, r.v, r.place) for r in got] == [(k, v, i + 1) for i, (k, v) in enumerate(sorted(((r.k, r.v) for r in rows.collect()), key=lambda x: (-x[0], x[1])))]
+    with pytest.raises(Exception, match="exists"):
+        sources.write_sorted(rows, str(tmp_path / "s"), ["k"])
+    assert sources.numbered(rows.limit(0), ["k"]).count() == 0
+
+
+def test_counted_quantiles(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    values = {g: draw.integers(0, 30, n).astype(float).tolist() for g, n in (("a", 400), ("b", 7), ("c", 1))}
+    rows = spark.createDataFrame([(g, v) for g, own in values.items() for v in own] + [("a", None), ("a", float("nan")), ("d", None)], "g string, v double")
+    wanted = {"low": (F.col("v"), 0.1), "mid": (F.col("v"), 0.5), "half": (F.col("v") / 2, 0.5), "top": (F.col("v"), 0.99)}
+    found = {r.g: r for r in quantiles.wide(rows, ["g"], wanted).collect()}
+    assert found.keys() == values.keys()
+    for g, own in values.items():
+        assert [found[g][c] for c in wanted] == pytest.approx([np.quantile(own, 0.1), np.quantile(own, 0.5), np.quantile(own, 0.5) / 2, np.quantile(own, 0.99)])
+    counts = quantiles.long(rows, [], {"x": F.col("v")})
+    asked = spark.createDataFrame([("x", v, i) for i, v in enumerate((-1.0, 0.0, 13.5, 14.0, 99.0))] + [("y", 1.0, 9)], "name string, value double, k int")
+    every = [v for own in values.values() for v in own]
+    shares = {r.k: r.share for r in quantiles.shares_up_to(asked, counts, ["name"], ["k"]).collect()}
+    assert shares == {**{i: sum(x <= v for x in every) / len(every) for i, v in enumerate((-1.0, 0.0, 13.5, 14.0, 99.0))}, 9: None}
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")
     sources.write_parquet(rows, str(tmp_path / "p"), ["k"])

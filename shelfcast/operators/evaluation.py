@@ -232,3 +232,29 @@ def compensation_decision(found: DataFrame, by: list[str], baseline: str, candid
     names = ["head_wape", "head_recall", "five_nineteen", "nonzero", "zero_total", "total_bias"]
     told = both.select(*by, S.r6(gain("wape_20_plus")).alias("twenty_plus_wape_gain_pp"), S.r6(zero).alias("zero_prediction_total_increase"), S.r6(bias).alias("absolute_bias_worsening_pp"), *[c.alias(n) for n, c in zip(names, checks, strict=True)])
     return told.withColumn("promoted", reduce(lambda a, b: a & b, [F.col(n) for n in names]))
+
+
+#: Least relative gain of one average precision and most decline of the other; least gains of a head segment and most worsening of what sells.
+ADVANCES = {"ap_gain": 0.02, "ap_decline": 0.01, "wape": 0.5, "recall": 1.0, "nonzero": 0.5}
+
+
+def advancing(ranks: DataFrame, errors: DataFrame, fold: str, baseline: str, limits: dict[str, float] = ADVANCES) -> DataFrame:
+    """For each set of features: mean changes against the baseline over the folds, whether it passes by ranking or by errors in all folds, and whether it is selected.
+
+    ``ranks``: (fold, candidate, ap5, ap20), ``errors``: rows of ``complete`` by fold and candidate. A change that cannot be computed does not pass. Of the sets that pass, the one with the
+    largest mean gains is selected, by the head's WAPE, then by both average precisions, then by the shorter name.
+    """
+    kept = ["wape_5_19", "wape_20_plus", "recall_5_19", "recall_20_plus", "wape_nonzero"]
+    both = ranks.select(fold, "candidate", "ap5", "ap20").join(errors.select(fold, "candidate", *kept), [fold, "candidate"])
+    sides = both.where(F.col("candidate") != baseline).select(fold, "candidate", *[F.col(c).alias(f"c_{c}") for c in ("ap5", "ap20", *kept)])
+    base = both.where(F.col("candidate") == baseline).select(fold, *[F.col(c).alias(f"b_{c}") for c in ("ap5", "ap20", *kept)])
+    grown = lambda c: S.r6(F.coalesce(S.ratio(F.col(f"c_{c}"), F.col(f"b_{c}")) - 1, F.lit(0.0)))
+    each = sides.join(base, fold).select(fold, "candidate", grown("ap5").alias("ap5"), grown("ap20").alias("ap20"), *[S.r6(c).alias(n) for n, c in (("wape5", gain("wape_5_19")), ("wape20", gain("wape_20_plus")), ("recall5", -gain("recall_5_19")), ("recall20", -gain("recall_20_plus")), ("nonzero", -gain("wape_nonzero")))])
+    ap5, ap20 = F.col("ap5"), F.col("ap20")
+    by_rank = (ap5 >= limits["ap_gain"]) & (ap20 >= -limits["ap_decline"]) | (ap20 >= limits["ap_gain"]) & (ap5 >= -limits["ap_decline"])
+    by_error = ((F.greatest("wape5", "wape20") >= limits["wape"]) | (F.greatest("recall5", "recall20") >= limits["recall"])) & (F.col("nonzero") <= limits["nonzero"])
+    held = lambda c: F.min(F.coalesce(c, F.lit(False)))
+    found = each.groupBy("candidate").agg(F.count(F.lit(1)).alias("folds"), held(by_rank).alias("ap_pass"), held(by_error).alias("q_pass"), *[S.r6(F.avg(c)).alias(f"mean_{n}") for n, c in (("wape20_gain_pp", "wape20"), ("ap20_relative", "ap20"), ("ap5_relative", "ap5"))])
+    passed = F.col("ap_pass") | F.col("q_pass")
+    order = Window.orderBy(F.desc("passed"), F.desc_nulls_last("mean_wape20_gain_pp"), F.desc_nulls_last("mean_ap20_relative"), F.desc_nulls_last("mean_ap5_relative"), F.length("candidate"), "candidate")  # a row for each set
+    return found.withColumn("passed", passed).withColumn("selected", F.col("passed") & (F.row_number().over(order) == 1))

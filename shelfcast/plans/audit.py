@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfcast.functions import scalars as S
 from shelfcast.operators import audit as A
-from shelfcast.operators import cleaning, evaluation, panel
+from shelfcast.operators import cleaning, evaluation, metrics, panel
 from shelfcast.plans import evaluation as plans
 from shelfcast.plans import tables as T
 from shelfcast.sources.staging import staged
@@ -165,6 +166,33 @@ _HISTORY = ["current", "qty_lag_1m", "qty_sum_last_3m", "active_months_last_6m"]
 add("mt_error_groups", lambda s, d: A.error_groups(T.forecasts(s, d), ["split"], S.level(F.col("wma")), _HISTORY),
     f"WITH {T.FOR}, l AS (" + " UNION ALL ".join(f"SELECT split, CASE {T.level_sql('wma')} WHEN 3 THEN 'kept' WHEN 4 THEN 'to_20_plus' ELSE 'to_4_or_lower' END AS kind, '{f}' AS feature, CAST({f} AS DOUBLE) AS v FROM fc WHERE target >= 5 AND target < 20" for f in _HISTORY) + ") SELECT split, kind, feature, count(*) AS count, round(avg(v), 6) AS mean, round(min(v), 6) AS low, round(max(v), 6) AS high FROM l GROUP BY 1, 2, 3")
 
+_SETS = ["hist", "wma", "near", "rank", "error"]
+
+
+def sel_pilot_advance(s: SparkSession, d: str) -> DataFrame:
+    """Which set of features goes on: forecasts stand for the sets, each ranking the heads and predicting the quantity; hist is the baseline. Beside a forecast three sets are made of the target, to pass both ways, by ranking only and by errors only."""
+    rows = T.forecasts(s, d).withColumns({"near": (F.col("hist") + F.col("target")) / 2, "rank": 3 * F.col("target"), "error": F.when(F.col("target") > 0, F.col("target")).otherwise(1000)}).withColumn("fold", F.substring("month", 1, 4)).where("fold BETWEEN '1999' AND '2001'")
+    long = staged(metrics.cleaned(metrics.candidates(rows, _SETS), "target", "prediction").select("fold", "candidate", "target", "prediction"), "sets")
+    counts = long.groupBy("fold", "candidate", F.round("prediction", 6).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target") >= 5).alias("p5"), F.count_if(F.col("target") >= 20).alias("p20"))
+    down = Window.partitionBy("fold", "candidate").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
+    ap = lambda c: F.try_divide(F.sum(F.col(c) * F.col(f"{c}_upto") / F.col("upto")), F.sum(c))
+    ranks = counts.withColumns({"upto": F.sum("n").over(down), "p5_upto": F.sum("p5").over(down), "p20_upto": F.sum("p20").over(down)}).groupBy("fold", "candidate").agg(ap("p5").alias("ap5"), ap("p20").alias("ap20"))
+    return evaluation.advancing(ranks, evaluation.complete(long, ["fold", "candidate"]), "fold", "hist")
+
+
+_ADV = evaluation.ADVANCES
+_GR = lambda c: f"round(coalesce(c.{c} / nullif(b.{c}, 0) - 1, 0), 6)"
+add("sel_pilot_advance", sel_pilot_advance, f"""WITH {T.FOR}, fs AS (SELECT *, (hist + target) / 2 AS near, 3 * target AS rank, CASE WHEN target > 0 THEN target ELSE 1000 END AS error, substr(month, 1, 4) AS fold FROM fc WHERE substr(month, 1, 4) BETWEEN '1999' AND '2001'),
+lo AS MATERIALIZED ({' UNION ALL '.join(f"SELECT fold, '{n}' AS candidate, target AS t, greatest({n}, 0) AS p FROM fs" for n in _SETS)}),
+co AS (SELECT fold, candidate, round(p, 6) AS v, count(*) AS n, count(*) FILTER (WHERE t >= 5) AS p5, count(*) FILTER (WHERE t >= 20) AS p20 FROM lo GROUP BY 1, 2, 3),
+ra AS (SELECT fold, candidate, sum(p5 * u5 / u) / nullif(sum(p5), 0) AS ap5, sum(p20 * u20 / u) / nullif(sum(p20), 0) AS ap20 FROM (SELECT *, sum(n) OVER o AS u, sum(p5) OVER o AS u5, sum(p20) OVER o AS u20 FROM co WINDOW o AS (PARTITION BY fold, candidate ORDER BY v DESC)) GROUP BY 1, 2),
+cm AS ({plans.complete_sql('lo', ['fold', 'candidate'])}), al AS (SELECT * FROM ra JOIN cm USING (fold, candidate)),
+ea AS (SELECT c.candidate, {_GR('ap5')} AS ap5, {_GR('ap20')} AS ap20, round(b.wape_5_19 - c.wape_5_19, 6) AS w5, round(b.wape_20_plus - c.wape_20_plus, 6) AS w20, round(c.recall_5_19 - b.recall_5_19, 6) AS r5, round(c.recall_20_plus - b.recall_20_plus, 6) AS r20, round(c.wape_nonzero - b.wape_nonzero, 6) AS nz
+  FROM (SELECT * FROM al WHERE candidate <> 'hist') c JOIN (SELECT * FROM al WHERE candidate = 'hist') b USING (fold)),
+de AS (SELECT candidate, count(*) AS folds, bool_and(coalesce(ap5 >= {_ADV['ap_gain']} AND ap20 >= {-_ADV['ap_decline']} OR ap20 >= {_ADV['ap_gain']} AND ap5 >= {-_ADV['ap_decline']}, false)) AS ap_pass, bool_and(coalesce((greatest(w5, w20) >= {_ADV['wape']} OR greatest(r5, r20) >= {_ADV['recall']}) AND nz <= {_ADV['nonzero']}, false)) AS q_pass,
+  round(avg(w20), 6) AS mean_wape20_gain_pp, round(avg(ap20), 6) AS mean_ap20_relative, round(avg(ap5), 6) AS mean_ap5_relative FROM ea GROUP BY 1)
+SELECT *, ap_pass OR q_pass AS passed, (ap_pass OR q_pass) AND row_number() OVER (ORDER BY ap_pass OR q_pass DESC, mean_wape20_gain_pp DESC NULLS LAST, mean_ap20_relative DESC NULLS LAST, mean_ap5_relative DESC NULLS LAST, length(candidate), candidate) = 1 AS selected FROM de""")
+
 #: Names of the survey under which a query also goes.
 for short, whole in {"mt_feature_audit": "mt_feature_audit_full", "sel_gate": "sel_gate_refined", "fc_comp_fit": "fc_comp_rules"}.items():
     QUERIES[short], ORACLES[short] = QUERIES[whole], ORACLES[whole]

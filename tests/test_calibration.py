@@ -109,7 +109,7 @@ def plain(v):
     return f"{v:.9g}" if isinstance(v, float) else v.isoformat() if isinstance(v, datetime.date) else str(v)
 
 
-@pytest.mark.parametrize("name", [*plans.QUERIES, "fc_comp_rolling"])
+@pytest.mark.parametrize("name", [*plans.QUERIES, "fc_comp_rolling", "sel_pilot_advance"])
 def test_queries_equal_their_sql(spark, name):
     duck = duckdb.connect()
     for table in ("part", "orders", "lineitem"):
@@ -135,3 +135,9 @@ def test_rolling_rules_choose_one_that_pays(spark):
     assert all(r.c20 > 1.2 and r.high_rows > 0 and r.wape20_gain > 10 for r in found)
     assert all(r.last_two_agree == (min(x.recall20_gain for x in found[-2:]) > 0) for r in found)
     assert audit.rolling_rules(df.where("fold = 'q1'"), "fold").count() == 0
+
+
+def test_one_set_for_each_outcome(spark):
+    found = {r.candidate: (r.ap_pass, r.q_pass, r.selected) for r in entry.queries()["sel_pilot_advance"](spark, DATA).collect()}
+    assert found["rank"] == (True, False, False) and found["error"][:2] == (False, True) and found["near"][:2] == (True, True) and found["wma"] == (False, False, False)
+    assert sum(f[2] for f in found.values()) == 1

@@ -23,8 +23,12 @@ CONSTANT, CORRELATION, LIFT, MONTHS = 0.9999, 0.98, 1.1, 0.75
 
 def _values(names: list[str]) -> Column:
     """(feature, value) for each name, told apart to six decimals; what is not finite is null."""
-    clean = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.round(c, 6))
-    return F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), clean(F.col(n).cast("double")).alias("value")) for n in names]))
+    return F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), _clean(n).alias("value")) for n in names]))
+
+
+def _clean(name: str) -> Column:
+    c = F.col(name).cast("double")
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.round(c, 6))
 
 
 def tops(counts: DataFrame, by: list[str], fractions: dict[str, float]) -> DataFrame:
@@ -44,29 +48,39 @@ def tops(counts: DataFrame, by: list[str], fractions: dict[str, float]) -> DataF
     return found.select(*by, "hits", *out)
 
 
-def rank_correlations(rows: DataFrame, whole: DataFrame, key: list[str], new: list[str], existing: list[str]) -> DataFrame:
-    """(feature, existing, correlation): Spearman's, with mean ranks for ties; ``whole`` has each feature's (value, n)."""
+#: Different values of a feature whose ranks are broadcast: about 100 MB; beyond them the ranks are joined.
+BROADCAST_VALUES = 2_000_000
+
+
+def rank_correlations(rows: DataFrame, whole: DataFrame, new: list[str], existing: list[str]) -> DataFrame:
+    """(feature, existing, correlation): Spearman's, with mean ranks for ties; ``whole`` has each feature's (value, n).
+
+    Each row looks up the rank of each of its values where it is: rows are neither turned into a row for each feature nor gathered again.
+    """
     up = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = whole.select("feature", "value", (F.sum("n").over(up) - (F.col("n") - 1) / 2).alias("rank"))
+    ranks = staged(whole.select("feature", "value", (F.sum("n").over(up) - (F.col("n") - 1) / 2).alias("rank")), "ranks")
+    many = {r["feature"]: r["n"] for r in ranks.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = [*new, *existing]
-    long = rows.select(*key, _values(names).alias("f")).select(*key, "f.feature", F.coalesce("f.value", F.lit(0.0)).alias("value"))
-    wide = long.join(ranks, ["feature", "value"]).groupBy(*key).agg(*[F.max(F.when(F.col("feature") == n, F.col("rank"))).alias(n) for n in names])
-    each = wide.select(*existing, F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("rank")) for n in new])).alias("f")).select(*existing, "f.*")
-    pairs = each.groupBy("feature").agg(*[F.corr("rank", b).alias(b) for b in existing])
+    wide = rows.select(*[F.coalesce(_clean(n), F.lit(0.0)).alias(n) for n in names])
+    for n in names:
+        own = ranks.where(F.col("feature") == n).select(F.col("value").alias(n), F.col("rank").alias(f"rank_{n}"))
+        wide = wide.join(F.broadcast(own) if many.get(n, 0) <= BROADCAST_VALUES else own, n).drop(n)
+    each = wide.select(*[f"rank_{b}" for b in existing], F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"rank_{n}").alias("rank")) for n in new])).alias("f")).select("*", "f.*")
+    pairs = each.groupBy("feature").agg(*[F.corr("rank", f"rank_{b}").alias(b) for b in existing])
     listed = F.explode(F.array(*[F.struct(F.lit(b).alias("existing"), F.col(b).alias("correlation")) for b in existing]))
     return pairs.select("feature", listed.alias("p")).select("feature", "p.*")
 
 
-def audit(rows: DataFrame, groups: dict[str, list[str]], existing: list[str], labels: dict[str, Column], key: list[str]) -> DataFrame:
+def audit(rows: DataFrame, groups: dict[str, list[str]], existing: list[str], labels: dict[str, Column]) -> DataFrame:
     """A row for each new feature and label: coverage, strongest existing feature, ranking against the best existing one, monthly direction, and whether feature and group are kept.
 
-    ``rows`` has ``month`` and unique ``key``. One pass counts (feature, month, value); all but the rank correlations come from these counts.
+    ``rows`` has ``month``. They are written once; one pass counts (feature, month, value), which is written too, and all but the rank correlations come from these counts.
     """
     of = {f: g for g, features in groups.items() for f in features}
-    rows = rows.withColumns({f"y_{n}": F.when(c, 1).otherwise(0) for n, c in labels.items()})
     ys = [f"y_{n}" for n in labels]
+    rows = staged(rows.select("month", *existing, *of, *[F.when(c, 1).otherwise(0).alias(f"y_{n}") for n, c in labels.items()]), "audited")
     counts = rows.select("month", *ys, _values([*existing, *of]).alias("f")).select("month", *ys, "f.*").groupBy("feature", "month", "value").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys])
-    counts = counts.withColumns({"missing": F.when(F.isnull("value"), F.col("n")).otherwise(0), "value": F.coalesce("value", F.lit(0.0))})
+    counts = staged(counts.withColumns({"missing": F.when(F.isnull("value"), F.col("n")).otherwise(0), "value": F.coalesce("value", F.lit(0.0))}), "counts")
     whole = counts.groupBy("feature", "value").agg(*[F.sum(c).alias(c) for c in ("n", "missing", *ys)])
     labelled = lambda d: d.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"y_{n}").alias("pos")) for n in labels])).alias("l")).select("*", "l.*")
     new = F.col("feature").isin(*of)
@@ -75,7 +89,7 @@ def audit(rows: DataFrame, groups: dict[str, list[str]], existing: list[str], la
     zeros = F.sum(F.when(F.col("value") == 0, F.col("n")).otherwise(0)) - F.sum("missing")
     finite = F.when(F.col("n") > F.col("missing"), F.col("value"))
     shape = whole.where(new).groupBy("feature").agg(S.r6(F.sum("missing") / n).alias("missing_share"), S.r6(zeros / n).alias("zero_share"), F.min(finite).alias("low"), F.max(finite).alias("high"), S.r6(F.max("n") / n).alias("modal_share"))
-    strongest = rank_correlations(rows, whole, key, list(of), existing).groupBy("feature").agg(F.max(F.struct(S.r6(F.abs("correlation")).alias("c"), F.col("existing").alias("e"))).alias("s")).select("feature", F.col("s.c").alias("strongest_correlation"), F.col("s.e").alias("strongest_existing"))
+    strongest = rank_correlations(rows, whole, list(of), existing).groupBy("feature").agg(F.max(F.struct(S.r6(F.abs("correlation")).alias("c"), F.col("existing").alias("e"))).alias("s")).select("feature", F.col("s.c").alias("strongest_correlation"), F.col("s.e").alias("strongest_existing"))
     scored = tops(labelled(whole), ["feature", "label"], TOPS).drop("hits")
     best = scored.where(~new).groupBy("label").agg(F.max("average_precision").alias("best_existing_precision"))
     monthly = tops(labelled(counts.where(new).groupBy("feature", "month", "value").agg(*[F.sum(c).alias(c) for c in ("n", *ys)])), ["feature", "label", "month"], {"10": 0.1}).where("hits > 0")

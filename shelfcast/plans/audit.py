@@ -17,7 +17,6 @@ from shelfcast.sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-KEY = ["month_idx", "site_no", "item_id"]
 DIFF = ["qty_diff_current_lag1", "qty_diff_lag1_lag2", "log_qty_diff_current_lag1", "sales_days_diff_current_lag1", "qty_diff_recent3_previous3", "qty_diff_6m_history_available"]
 CROSS = ["xstore_qty_current", "xstore_positive_sites_current", "xstore_qty_per_positive_site_current", "xstore_qty_mean_last_3m", "xstore_qty_max_last_3m", "xstore_qty_diff_1m"]
 EXISTING = [
@@ -41,7 +40,7 @@ def featured(s: SparkSession, d: str) -> DataFrame:
 def feature_audit(s: SparkSession, d: str) -> DataFrame:
     rows = featured(s, d).where("split = 'train'")
     target = S.clip_target(F.col("future_qty_1m"))
-    return A.audit(rows, {"diff": DIFF, "cross_store": CROSS}, EXISTING, {n: target >= x for n, x in LABELS.items()}, KEY)
+    return A.audit(rows, {"diff": DIFF, "cross_store": CROSS}, EXISTING, {n: target >= x for n, x in LABELS.items()})
 
 
 _OBS = "active_months_last_6m + zero_sales_months_last_6m = 6"

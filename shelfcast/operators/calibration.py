@@ -88,27 +88,27 @@ def coefficients(counts: DataFrame, by: list[str]) -> DataFrame:
     coefficient moves by more than the tolerance. A pseudo-observation holds them at the identity.
     """
     p = inner(F.col("total") / F.col("n"))
-    cells = staged(counts.select(*by, "n", "pos", (F.log(p) - F.log(1 - p)).alias("x"), F.log(p).alias("l")), "logits")
-    n, pos, x, log = (F.col(c) for c in ("n", "pos", "x", "l"))
+    cells = staged(counts.select(*by, "n", "pos", (F.log(p) - F.log(1 - p)).alias("__x"), F.log(p).alias("__l")), "logits")
+    n, pos, x, log = (F.col(c) for c in ("n", "pos", "__x", "__l"))
     fit, raised, none = 1 / (1 + F.exp(-(F.col("slope") * x + F.col("intercept")))), F.exp(F.col("gamma") * log), n - pos
     off, bend = n * fit - pos, n * fit * (1 - fit)
-    sums = [F.sum(off * x).alias("g1"), F.sum(off).alias("g0"), F.sum(bend * x * x).alias("h11"), F.sum(bend * x).alias("h10"), F.sum(bend).alias("h00")]
-    sums += [F.sum(-pos * log + none * raised * log / (1 - raised)).alias("g"), F.sum(none * raised * log * log / ((1 - raised) * (1 - raised))).alias("h")]
-    g1, g0 = F.col("g1") + PRIOR * (F.col("slope") - 1), F.col("g0") + PRIOR * F.col("intercept")
-    h11, h10, h00 = F.col("h11") + PRIOR, F.col("h10"), F.col("h00") + PRIOR
+    sums = [F.sum(off * x).alias("__g1"), F.sum(off).alias("__g0"), F.sum(bend * x * x).alias("__h11"), F.sum(bend * x).alias("__h10"), F.sum(bend).alias("__h00")]
+    sums += [F.sum(-pos * log + none * raised * log / (1 - raised)).alias("__g"), F.sum(none * raised * log * log / ((1 - raised) * (1 - raised))).alias("__h")]
+    g1, g0 = F.col("__g1") + PRIOR * (F.col("slope") - 1), F.col("__g0") + PRIOR * F.col("intercept")
+    h11, h10, h00 = F.col("__h11") + PRIOR, F.col("__h10"), F.col("__h00") + PRIOR
     scale = h11 * h00 - h10 * h10
-    d1, d0, dg = (h00 * g1 - h10 * g0) / scale, (h11 * g0 - h10 * g1) / scale, (F.col("g") + PRIOR * (F.col("gamma") - 1)) / (F.col("h") + PRIOR)
+    d1, d0, dg = (h00 * g1 - h10 * g0) / scale, (h11 * g0 - h10 * g1) / scale, (F.col("__g") + PRIOR * (F.col("gamma") - 1)) / (F.col("__h") + PRIOR)
     wide = F.greatest(F.lit(1.0), F.abs(d1), F.abs(d0))
     to = {"slope": F.col("slope") - d1 / wide, "intercept": F.col("intercept") - d0 / wide, "gamma": F.greatest(F.col("gamma") - dg / F.greatest(F.lit(1.0), F.abs(dg)), F.lit(LEAST_POWER))}
     step = F.greatest(*[F.abs(c - F.col(k)) for k, c in to.items()])
     now = cells.select(*by).distinct().select("*", F.lit(1.0).alias("slope"), F.lit(0.0).alias("intercept"), F.lit(1.0).alias("gamma"))
     for _ in range(0, ROUNDS, STEPS):
         for _ in range(STEPS):
-            now = cells.join(now.select(*by, *to), by).groupBy(*by, *to).agg(*sums).select(*by, *[c.alias(k) for k, c in to.items()], step.alias("step"))
+            now = cells.join(now.select(*by, *to), by).groupBy(*by, *to).agg(*sums).select(*by, *[c.alias(k) for k, c in to.items()], step.alias("__step"))
         now = staged(now, "coefficients")
-        if (now.agg(F.max("step")).first()[0] or 0) <= TOLERANCE:
+        if (now.agg(F.max("__step")).first()[0] or 0) <= TOLERANCE:
             break
-    return now.drop("step")
+    return now.drop("__step")
 
 
 def maps(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -117,10 +117,10 @@ def maps(counts: DataFrame, by: list[str]) -> DataFrame:
     return coefficients(counts, by).join(pools, by)
 
 
-def mapped(p: Column) -> dict[str, Column]:
-    """The calibrated probabilities of ``p`` by method, beside the columns of ``maps``. A cell between two pools has the rate of the one below it, or of the first."""
+def mapped(p: Column, bins: int = BINS) -> dict[str, Column]:
+    """The calibrated probabilities of ``p`` by method, beside the columns of ``maps`` of as many cells. A cell between two pools has the rate of the one below it, or of the first."""
     low = inner(p)
-    below = F.filter("pools", lambda q: q["low"] <= cell(p))
+    below = F.filter("pools", lambda q: q["low"] <= cell(p, bins))
     return {
         "original": p, "platt": 1 / (1 + F.exp(-(F.col("slope") * (F.log(low) - F.log(1 - low)) + F.col("intercept")))), "power": F.exp(F.col("gamma") * F.log(low)),
         "isotonic": F.coalesce(F.try_element_at(below, F.lit(-1))["rate"], F.get("pools", F.lit(0))["rate"]),

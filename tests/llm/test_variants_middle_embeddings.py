@@ -244,7 +244,9 @@ def test_links_by_hand(spark, options):
 
 
 def test_balls_hold_linked_rows_alone(spark):
-    rows = stage(embedding_dedup.different(embeddings(spark, planted()), "vec_id", "embedding"), "vectors")
+    draw = np.random.default_rng(4)
+    near = draw.standard_normal(24) + 0.2 * draw.standard_normal((300, 24))
+    rows = stage(embedding_dedup.different(embeddings(spark, list(enumerate(near.tolist()))), "vec_id", "embedding"), "vectors")
     placed = rows.select("key", F.lit(1).cast("long").alias("leaf"))
     found = embedding_dedup.balls(rows, placed, least=100).join(rows, "key").collect()
     values = np.array([np.frombuffer(r.vector) for r in found])

@@ -178,7 +178,7 @@ def business(rows: DataFrame, by: list[str], months: Column) -> DataFrame:
     every = F.lit(True)
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("count"), S.r6(100 * S.ratio(F.sum(F.abs(p - t)), F.sum(t))).alias("wape"), share(a == b, every).alias("accuracy"), share(b >= 1, a >= 1).alias("active_recall"), share(b >= 3, a >= 3).alias("medium_high_or_high_recall"), share(b == 4, a == 4).alias("high_recall"),
-        share(a - b >= 2, a >= 3).alias("severe_under_rate"), share(b - a >= 2, a <= 1).alias("severe_over_rate"), share(same_way, every).alias("trend_accuracy"),
+        share(b <= 1, a >= 3).alias("severe_under_rate"), share(b >= 3, a <= 1).alias("severe_over_rate"), share(same_way, every).alias("trend_accuracy"),
     )
 
 

@@ -111,7 +111,7 @@ _SHARE = lambda a, b: f"round(count(*) FILTER (WHERE ({a}) AND {b}) / nullif(cou
 add("mt_business_horizons", lambda s, d: E.business(horizons(s, d), ["split", "horizon", "candidate"], F.col("horizon")),
     f"""WITH {HZ}, lv AS (SELECT *, {_TM} AS a, {_PM} AS b FROM hz)
 SELECT split, horizon, candidate, count(*) AS count, round(100 * sum(abs(p - t)) / nullif(sum(t), 0), 6) AS wape, {_SHARE('a = b', 'true')} AS accuracy, {_SHARE('b >= 1', 'a >= 1')} AS active_recall, {_SHARE('b >= 3', 'a >= 3')} AS medium_high_or_high_recall, {_SHARE('b = 4', 'a = 4')} AS high_recall,
-  {_SHARE('a - b >= 2', 'a >= 3')} AS severe_under_rate, {_SHARE('b - a >= 2', 'a <= 1')} AS severe_over_rate, {_SHARE('sign(t / horizon - current) = sign(p / horizon - current)', 'true')} AS trend_accuracy FROM lv GROUP BY 1, 2, 3""")
+  {_SHARE('b <= 1', 'a >= 3')} AS severe_under_rate, {_SHARE('b >= 3', 'a <= 1')} AS severe_over_rate, {_SHARE('sign(t / horizon - current) = sign(p / horizon - current)', 'true')} AS trend_accuracy FROM lv GROUP BY 1, 2, 3""")
 _KS = (20, 50, 100)
 _TOP = ", ".join(f"round(count(*) FILTER (WHERE r <= {k} AND t > 0) / nullif(count(*) FILTER (WHERE r <= {k}), 0), 6) AS precision_{k}, round(coalesce(sum(t) FILTER (WHERE r <= {k}), 0) / nullif(sum(t), 0), 6) AS sales_capture_{k}, round(count(*) FILTER (WHERE r <= {k} AND t >= 20) / nullif(count(*) FILTER (WHERE t >= 20), 0), 6) AS high_coverage_{k}" for k in _KS)
 add("mt_topk_horizons", lambda s, d: metrics.top_k(horizons(s, d), ["horizon", "candidate", "month", "site_no"], "prediction", "target", _KS),

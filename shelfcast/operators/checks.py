@@ -53,10 +53,6 @@ def date_range(rows: DataFrame, date: str, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.min(date).cast("string").alias("first_date"), F.max(date).cast("string").alias("last_date"), months.alias("months"))
 
 
-def month_coverage(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("month").agg(F.count_distinct("site_no").alias("stores"), F.count_distinct("item_id").alias("items"), F.count(F.lit(1)).alias("n_rows"))
-
-
 def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once, and how often."""
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -101,18 +101,6 @@ def trend(rows: DataFrame, by: list[str], months: int = 1, tolerance: float = 0.
     )
 
 
-def levels(rows: DataFrame, by: list[str], months: int = 1) -> DataFrame:
-    """Recalls of active, medium-high and high levels, and rates of errors over two levels or more down and up."""
-    m = rows.select(*by, S.level(F.col("target"), months).alias("t"), S.level(F.col("prediction"), months).alias("p"))
-    t, p = F.col("t"), F.col("p")
-    when = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    share = lambda a, b: S.r6(S.ratio(when(a), when(b)))
-    return m.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("count"), S.r6(F.avg(F.when(t == p, 1.0).otherwise(0.0))).alias("accuracy"), share((t >= 1) & (p >= 1), t >= 1).alias("active_recall"), share((t >= 3) & (p >= 3), t >= 3).alias("medium_high_or_high_recall"),
-        share((t == 4) & (p == 4), t == 4).alias("high_recall"), share((t >= 3) & (t - p >= 2), t >= 3).alias("severe_under_rate"), share((t <= 1) & (p - t >= 2), t <= 1).alias("severe_over_rate"),
-    )
-
-
 def top_k(rows: DataFrame, by: list[str], score: str, target: str, ks: tuple[int, ...] = (20, 50, 100), high: float = 20) -> DataFrame:
     """Of the k rows of highest score in each group: share that sells, share of all sales, share of all high-demand rows."""
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), "item_id")))
@@ -201,16 +189,6 @@ def migration(rows: DataFrame, first: Column, second: Column, by: list[str]) ->
     return rows.groupBy(*by, first.alias("from_level"), second.alias("to_level")).agg(F.count(F.lit(1)).alias("n"), S.r6(F.sum("target")).alias("target_sum"))
 
 
-def concentration(rows: DataFrame, group: str, first: str, second: str, least: int = 20) -> DataFrame:
-    """Where the second model is materially worse: a group's share of those rows against its share of all."""
-    worse = F.abs(F.col(second) - F.col("target")) - F.abs(F.col(first) - F.col("target")) > F.greatest(F.lit(2.0), 0.1 * F.col("target"))
-    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(worse).alias("n_worse"))
-    total = counts.agg(F.sum("n").alias("all_n"), F.sum("n_worse").alias("all_worse"))
-    both = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= least)  # one row
-    share, base = S.ratio(F.col("n_worse"), F.col("all_worse")), S.ratio(F.col("n"), F.col("all_n"))
-    return both.select(group, "n", "n_worse", S.r6(share).alias("worse_share"), S.r6(base).alias("all_share"), S.r6(S.ratio(share, base)).alias("ratio"))
-
-
 def median_ratio(rows: DataFrame, by: list[str], least: float = 20) -> DataFrame:
     head = rows.where(F.col("target") >= least)
     found = quantiles.wide(head, by, {"median_ratio": (F.col("prediction") / F.col("target"), 0.5)})

@@ -178,11 +178,3 @@ def inference_rows(monthly_rows: DataFrame, target_month: str) -> DataFrame:
     known = monthly_rows.where(F.col("month_idx") <= observed)
     end = known.groupBy("site_no").agg(F.lit(observed).alias("last_idx"))
     return history(expand(known, end)).where(F.col("month_idx") == observed)
-
-
-def missing_history(monthly_rows: DataFrame, observed_idx: int, months: int) -> DataFrame:
-    """For each store the months of the required history that it has no rows for."""
-    have = monthly_rows.select("site_no", "month_idx").distinct()
-    need = have.select("site_no").distinct().withColumn("month_idx", F.explode(F.sequence(F.lit(observed_idx - months), F.lit(observed_idx))))
-    gone = need.join(have, ["site_no", "month_idx"], "left_anti")
-    return gone.groupBy("site_no").agg(F.array_join(F.array_sort(F.collect_list(S.month_text(F.col("month_idx")))), ",").alias("missing_months"), F.count(F.lit(1)).alias("n_missing"))  # at most ``months`` + 1 for each store

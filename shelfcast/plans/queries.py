@@ -136,9 +136,6 @@ add("fn_calendar", lambda s, d: panel.calendar(T.months(s, d), "1995-01").select
     f"WITH {T.MON} SELECT DISTINCT month, {', '.join(f'CAST((month_idx + {n}) // 12 AS INTEGER) AS cal_year{a}, CAST((month_idx + {n}) % 12 + 1 AS INTEGER) AS cal_month{a}, CAST((month_idx + {n}) % 12 // 3 + 1 AS INTEGER) AS cal_quarter{a}, CAST(month_idx + {n} - 1995 * 12 AS INTEGER) AS time_index{a}' for n, a in enumerate(('', '_1m', '_2m')))} FROM mon")
 add("ft_inference", lambda s, d: panel.inference_rows(T.months(s, d), "2001-07").select("site_no", "item_id", "month", "total_qty", "qty_lag_1m", "qty_sum_last_6m", "months_since_last_sale"),
     f"WITH {T.HIS} SELECT site_no, item_id, month, total_qty, qty_lag_1m, qty_sum_last_6m, months_since_last_sale FROM his WHERE month = '2001-06'")
-_OBSERVED = 2001 * 12 + 10
-add("dq_history_ready", lambda s, d: panel.missing_history(T.months(s, d), _OBSERVED, 6),
-    f"WITH {T.MON}, m AS (SELECT DISTINCT site_no, month_idx FROM mon), n AS (SELECT site_no, unnest(range({_OBSERVED - 6}, {_OBSERVED + 1})) AS month_idx FROM (SELECT DISTINCT site_no FROM m)) SELECT site_no, string_agg(printf('%04d-%02d', month_idx // 12, month_idx % 12 + 1), ',' ORDER BY month_idx) AS missing_months, count(*) AS n_missing FROM n ANTI JOIN m USING (site_no, month_idx) GROUP BY 1")
 
 # profiles and contracts
 
@@ -152,11 +149,8 @@ _EV = ["event_id", "user_id", "event_type", "value", "props"]
 add("dq_column_profile", lambda s, d: checks.column_profile(s.read.parquet(f"{d}/events.parquet"), _EV), " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) - count({c}) AS null_count, round((count(*) - count({c})) / count(*), 6) AS null_rate, count(DISTINCT {c}) AS distinct_count FROM events" for c in _EV))
 _NUM = ["l_quantity", "l_discount", "l_tax"]
 add("dq_numeric_stats", lambda s, d: checks.numeric_stats(s.read.parquet(f"{d}/lineitem.parquet"), _NUM), " UNION ALL ".join(f"SELECT '{c}' AS field, round(min({c}), 6) AS low, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(max({c}), 6) AS high FROM lineitem" for c in _NUM))
-add("dq_dataset_report", lambda s, d: T.dataset(s, d).groupBy("split", S.demand_bucket(F.col("total_qty")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), S.r6(F.avg("future_qty_1m")).alias("mean_target"), S.r6(F.avg("future_has_sales_1m")).alias("has_sales_ratio")),
-    f"WITH {T.HIS} SELECT split, CASE WHEN total_qty <= 0 THEN '0' WHEN total_qty < 2 THEN '1' WHEN total_qty < 5 THEN '2-5' WHEN total_qty < 20 THEN '5-20' ELSE '20+' END AS bucket, count(*) AS n, round(avg(future_qty_1m), 6) AS mean_target, round(avg(future_has_sales_1m), 6) AS has_sales_ratio FROM ds GROUP BY 1, 2")
 add("dq_monthly_summary", lambda s, d: T.months(s, d).agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.count_distinct("site_no").alias("stores"), F.count_distinct("item_id").alias("items"), F.count(F.lit(1)).alias("n_rows")),
     f"WITH {T.MON} SELECT min(month) AS first_month, max(month) AS last_month, count(DISTINCT site_no) AS stores, count(DISTINCT item_id) AS items, count(*) AS n_rows FROM mon")
-add("dq_month_coverage", lambda s, d: checks.month_coverage(T.months(s, d)), f"WITH {T.MON} SELECT month, count(DISTINCT site_no) AS stores, count(DISTINCT item_id) AS items, count(*) AS n_rows FROM mon GROUP BY 1")
 
 
 @query("dq_panel_row_count", f"WITH {T.ACT}, f AS (SELECT site_no, item_id, min(month_idx) AS f FROM mon GROUP BY 1, 2) SELECT CAST(sum((SELECT max(last_idx) FROM act) - f + 1) AS BIGINT) AS panel_rows, CAST(sum(last_idx - f + 1) AS BIGINT) AS active_rows, count(*) AS series FROM f JOIN act USING (site_no)")
@@ -245,9 +239,6 @@ pf AS (SELECT *, coalesce(2.0 * tp / nullif(tr + gu, 0), 0) AS f1 FROM pc), er A
 SELECT split, candidate, CAST(sum(tr) AS BIGINT) AS count, round(sum(tp) / sum(tr), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * tr) / sum(tr), 6) AS weighted_f1, round(any_value(near) / sum(tr), 6) AS adjacent_error_rate, round(any_value(far) / sum(tr), 6) AS severe_error_rate, round(max(CASE WHEN code = 4 THEN tp / nullif(tr, 0) END), 6) AS high_level_recall FROM pf JOIN er USING (split, candidate) GROUP BY 1, 2""")
 add("mt_trend", lambda s, d: metrics.trend(_judged(s, d), ["split", "candidate"]),
     f"WITH {LONG}, tr AS (SELECT split, candidate, sign(t - current) AS a, sign(p - current) AS b FROM lo) SELECT split, candidate, count(*) AS count, round(count(*) FILTER (WHERE a = b) / count(*), 6) AS trend_accuracy, round(count(*) FILTER (WHERE a = 1 AND b = 1) / nullif(count(*) FILTER (WHERE a = 1), 0), 6) AS up_recall, round(count(*) FILTER (WHERE a = -1 AND b = -1) / nullif(count(*) FILTER (WHERE a = -1), 0), 6) AS down_recall, round(count(*) FILTER (WHERE a * b = -1) / count(*), 6) AS severe_direction_error_rate FROM tr GROUP BY 1, 2")
-_SH = lambda a, b: f"round(count(*) FILTER (WHERE {a}) / nullif(count(*) FILTER (WHERE {b}), 0), 6)"
-add("mt_levels", lambda s, d: metrics.levels(_judged(s, d), ["split", "candidate"]),
-    f"WITH {LONG}, lv AS (SELECT split, candidate, {_TL} AS a, {_PL} AS b FROM lo) SELECT split, candidate, count(*) AS count, round(count(*) FILTER (WHERE a = b) / count(*), 6) AS accuracy, {_SH('a >= 1 AND b >= 1', 'a >= 1')} AS active_recall, {_SH('a >= 3 AND b >= 3', 'a >= 3')} AS medium_high_or_high_recall, {_SH('a = 4 AND b = 4', 'a = 4')} AS high_recall, {_SH('a >= 3 AND a - b >= 2', 'a >= 3')} AS severe_under_rate, {_SH('a <= 1 AND b - a >= 2', 'a <= 1')} AS severe_over_rate FROM lv GROUP BY 1, 2")
 
 
 _TAU = [round(0.05 * i, 2) for i in range(1, 20)]
@@ -266,8 +257,6 @@ add("mt_mc_disagree", lambda s, d: metrics.disagreement(T.forecasts(s, d), S.lev
 add("mt_describe", lambda s, d: metrics.describe(T.forecasts(s, d), F.col("hist") - F.col("target"), ["split"]),
     f"WITH {T.FOR} SELECT split, count(*) AS count, round(avg(hist - target), 6) AS mean, round(quantile_cont(hist - target, 0.25), 6) AS p25, round(quantile_cont(hist - target, 0.5), 6) AS median, round(quantile_cont(hist - target, 0.75), 6) AS p75 FROM fc GROUP BY 1")
 add("mt_migration", lambda s, d: metrics.migration(T.forecasts(s, d), S.level(F.col("hist")), S.level(F.col("wma")), ["split"]), f"WITH {T.FOR} SELECT split, {_HL} AS from_level, {_WL} AS to_level, count(*) AS n, round(sum(target), 6) AS target_sum FROM fc GROUP BY 1, 2, 3")
-add("mt_concentration", lambda s, d: metrics.concentration(T.forecasts(s, d), "gds_ctgry_3_lvel", "hist", "wma"),
-    f"WITH {T.FOR}, x AS (SELECT gds_ctgry_3_lvel, abs(wma - target) - abs(hist - target) > greatest(2, 0.1::DOUBLE * target) AS w FROM fc), g AS (SELECT gds_ctgry_3_lvel, count(*) AS n, count(*) FILTER (WHERE w) AS n_worse FROM x GROUP BY 1), t AS (SELECT sum(n) AS an, sum(n_worse) AS aw FROM g) SELECT gds_ctgry_3_lvel, n, n_worse, round(n_worse / nullif(aw, 0), 6) AS worse_share, round(n / an, 6) AS all_share, round((n_worse / nullif(aw, 0)) / (n / an), 6) AS ratio FROM g, t WHERE n >= 20")
 add("mt_median_ratio", lambda s, d: metrics.median_ratio(_judged(s, d), ["split", "candidate"]), f"WITH {LONG} SELECT split, candidate, count(*) AS count, round(quantile_cont(p / t, 0.5), 6) AS median_ratio FROM lo WHERE t >= 20 GROUP BY 1, 2")
 add("mt_head_month", lambda s, d: metrics.head_months(_judged(s, d), ["month", "candidate"]),
     f"WITH {LONG} SELECT month, candidate, count(*) AS count, round(sum(t), 3) AS target_sum, round(quantile_cont(p / t, 0.5), 6) AS median_ratio, round(quantile_cont(t, 0.5), 6) AS median_target, round(quantile_cont(p, 0.5), 6) AS median_prediction, round(quantile_cont(t, 0.9), 6) AS p90_target, round(quantile_cont(t, 0.95), 6) AS p95_target, round(avg(CASE WHEN p >= 20 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(100 * sum(abs(p - t)) / sum(t), 6) AS wape FROM lo WHERE t >= 20 GROUP BY 1, 2")
@@ -278,13 +267,6 @@ m AS (SELECT month, feature, count(*) AS count, avg(v) AS mean, quantile_cont(v,
 SELECT month, feature, count, round(mean, 6) AS mean, round(a, 6) AS p25, round(b, 6) AS median, round(c, 6) AS p75, round(100 * (SELECT count(*) FILTER (WHERE v <= b) / count(*) FROM l WHERE split = 'train' AND l.feature = m.feature), 6) AS median_train_percentile FROM m""")
 
 
-@query("mt_fair", f"WITH {T.FOR}, j AS (SELECT a.split, a.target AS t, a.hist, b.wma FROM (SELECT * FROM fc WHERE hist > 0) a JOIN (SELECT * FROM fc WHERE wma > 1) b USING (month, site_no, item_id)), lo AS (SELECT split, 'hist' AS candidate, t, hist AS p FROM j UNION ALL SELECT split, 'wma', t, wma FROM j) SELECT split, candidate, {_METRIC} FROM lo GROUP BY 1, 2")
-def mt_fair(s: SparkSession, d: str) -> DataFrame:
-    """Two models on the rows that both have."""
-    rows, key = T.forecasts(s, d), ["month", "site_no", "item_id"]
-    a, b = rows.where("hist > 0").select(*key, "split", "target", "hist"), rows.where("wma > 1").select(*key, "wma")
-    return metrics.quantity(metrics.cleaned(metrics.candidates(a.join(b, key), ["hist", "wma"]), "target", "prediction"), ["split", "candidate"])
-
 
 # sampling
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions import scalars as S
-from shelfcast.operators import audit, checks, cleaning, forecast, metrics, panel, reports
+from shelfcast.operators import audit, checks, cleaning, forecast, metrics, panel, reports, selection
 from shelfcast.plans import evaluation, queries
 from shelfcast.plans import tables as T
 from shelfcast.sources import ledger as sources
@@ -142,3 +142,30 @@ def cl_return_flag(s: SparkSession, d: str) -> DataFrame:
 
 _MARKS = [" N ", "Normal", "0", "", None, "R", "1"]
 add("cl_return_flag", cl_return_flag, f"""WITH {T.LED}, m AS (SELECT coalesce([' N ', 'Normal', '0', '', NULL, 'R', '1'][CAST(day(period) % 7 + 1 AS INTEGER)], 'null') AS mark, qty FROM led), r AS (SELECT *, qty < 0 OR mark IN ('R', '1') AS is_return FROM m) SELECT mark, is_return, count(*) AS n, sum(qty) AS qty, sum(CASE WHEN is_return THEN abs(qty) ELSE 0 END) AS return_qty FROM r GROUP BY 1, 2""")
+add("dq_history_ready_gaps", lambda s, d: reports.readiness(T.months(s, d).where("NOT (month = '2001-06' OR month = '2001-08' AND CAST(site_no AS BIGINT) % 3 = 0)"), "2001-12", CONTRACTS),
+    ORACLES["dq_history_ready"].replace("FROM mon", "FROM (SELECT * FROM mon WHERE NOT (month = '2001-06' OR month = '2001-08' AND CAST(site_no AS BIGINT) % 3 = 0))"))
+_MADE = {"hist": "hist", "kept": "0.9::DOUBLE * target", "even": "CASE WHEN target = 0 AND current >= 20 THEN 2 ELSE 0.9::DOUBLE * target END", "poor": "3 * target"}
+
+
+def sel_business_guarded(s: SparkSession, d: str) -> DataFrame:
+    """The guardrails on forecasts of which some keep them: beside the mean three are made of the target, to pass, to fail on zeros and to fail by MAE."""
+    t, p = F.col("target"), F.col("prediction")
+    made = T.forecasts(s, d).withColumns({"kept": 0.9 * t, "even": F.when((t == 0) & (F.col("current") >= 20), 2).otherwise(0.9 * t), "poor": 3 * t})
+    rows, error = metrics.candidates(made, list(_MADE)), F.abs(p - t)
+    total = lambda c, mask: S.r6(F.coalesce(F.sum(F.when(mask, c)), F.lit(0.0)))  # noqa: E731  before it is divided: last digits depend on the order of rows
+    share = lambda mask: S.r6(100 * S.ratio(total(error, mask), total(t, mask)))
+    every = F.lit(True)
+    found = rows.groupBy("site_no", "candidate").agg(
+        S.r6(F.coalesce(F.avg(F.when(t == 0, F.when(p > 1, 1.0).otherwise(0.0))), F.lit(0.0))).alias("zero_gt_1_rate"), S.r6(total(error, every) / F.count(F.lit(1))).alias("mae"), S.r6(100 * S.ratio(total(p, every) - total(t, every), total(t, every))).alias("total_bias_rate"),
+        share(t > 0).alias("nonzero_wape"), share(t >= 20).alias("ge_20_wape"),
+    )
+    least = found.groupBy("site_no").agg(F.min("mae").alias("base_mae"))
+    return selection.business(found.join(least, "site_no"), ["site_no"], ["candidate"]).select("site_no", "candidate", "zero_gt_1_rate", "mae", "reasons", "accepted", "rank")
+
+
+_SUM = lambda x, c="true": f"round(coalesce(sum({x}) FILTER (WHERE {c}), 0), 6)"
+_PART = lambda c: f"round(100 * ({_SUM('abs(p - t)', c)} / nullif({_SUM('t', c)}, 0)), 6)"
+add("sel_business_guarded", sel_business_guarded, f"""WITH {T.FOR}, lo AS ({' UNION ALL '.join(f"SELECT site_no, '{n}' AS candidate, CAST(target AS DOUBLE) AS t, {x} AS p FROM fc" for n, x in _MADE.items())}),
+z AS (SELECT site_no, candidate, round(coalesce(avg(CASE WHEN p > 1 THEN 1.0 ELSE 0.0 END) FILTER (WHERE t = 0), 0), 6) AS zero_gt_1_rate, round({_SUM('abs(p - t)')} / count(*), 6) AS mae, round(100 * (({_SUM('p')} - {_SUM('t')}) / nullif({_SUM('t')}, 0)), 6) AS total_bias_rate, {_PART('t > 0')} AS nonzero_wape, {_PART('t >= 20')} AS ge_20_wape FROM lo GROUP BY 1, 2),
+b AS (SELECT *, concat_ws(',', CASE WHEN zero_gt_1_rate > 0 THEN 'zero_false_positives' END, CASE WHEN mae > base * 1.35 THEN 'mae' END) AS reasons FROM (SELECT *, min(mae) OVER (PARTITION BY site_no) AS base FROM z))
+SELECT site_no, candidate, zero_gt_1_rate, mae, reasons, reasons = '' AS accepted, row_number() OVER (PARTITION BY site_no ORDER BY reasons = '' DESC, abs(total_bias_rate), nonzero_wape, ge_20_wape NULLS LAST, candidate) AS rank FROM b""")

@@ -8,13 +8,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from shelfcast.plans import audit, evaluation
-from shelfcast.plans import queries as retail
 
 DATA = "/root/testdata/sf0.001"
 NAMES = ["agg_monthly", "pn_expand", "ft_roll", "as_filter", "ft_cross", "fc_comp_fit", "mt_long_tail", "mt_classification", "mt_gate_sweep", "mt_topk", "sm_audit_mix", "sel_business", "sv_results", "dq_distribution_shift", "pp_fold_seen"]
 NAMES += ["mt_complete", "mt_gate_sweep_full", "mt_signal_month", "mt_zero_sensitivity", "dq_active_integrity_violated", "sel_pilot", "sel_acceptance", "fc_comp_rolling", "jn_multi_fair"]
 NAMES += ["mt_feature_audit_full", "sel_gate_refined", "fc_comp_rules", "mt_concentration_groups", "mt_head_errors", "mt_error_groups"]
+NAMES += ["mt_level_details", "mt_levels", "mt_fair", "dq_month_coverage", "dq_history_ready_gaps", "dq_dataset_report", "mt_migration_levels", "mt_migration_errors", "mt_concentration", "sel_business_guarded"]
+NAMES += ["agg_closure_validate_violated", "dq_validate_horizon_violated", "cl_return_flag", "mt_business"]
 
 
 def plain(v):
@@ -35,9 +35,9 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
-    found = (retail.QUERIES | evaluation.QUERIES | audit.QUERIES)[name](spark, DATA)
+    found = entry.queries()[name](spark, DATA)
     columns = sorted(found.columns)
-    want = duck.sql((retail.ORACLES | evaluation.ORACLES | audit.ORACLES)[name])
+    want = duck.sql(entry.oracle_sql()[name])
     assert columns == sorted(want.columns)
     at = [want.columns.index(c) for c in columns]
     assert sorted([plain(r[c]) for c in columns] for r in found.collect()) == sorted([plain(r[i]) for i in at] for r in want.fetchall())

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.functions import scalars as S
-from shelfcast.operators import checks, cleaning, encoding, forecast, longtail, metrics, panel, quantiles, sampling, selection, serving
+from shelfcast.operators import checks, cleaning, encoding, forecast, longtail, metrics, panel, quantiles, reports, sampling, selection, serving
 from shelfcast.sources import archives
 from shelfcast.sources import ledger as sources
 
@@ -94,12 +94,14 @@ def test_cross_store(spark):
     assert b.xstore_qty_current == 0 and b.xstore_qty_per_positive_site_current == 0
 
 
-def test_inference_and_missing_history(spark):
+def test_inference_and_readiness(spark):
     rows = [(s, i, f"2026-{m:02d}", 1 + m) for s in ("S1", "S2") for i in ("A", "B") for m in range(1, 7)] + [("S1", "A", "2025-12", 1)]
     m = months(spark, *rows)
     found = panel.inference_rows(m, "2026-07")
     assert found.count() == 4 and set(column(found, "month")) == {"2026-06"} and not [c for c in found.columns if c.startswith("future")]
-    assert [tuple(r) for r in panel.missing_history(m, 2026 * 12 + 5, 6).collect()] == [("S2", "2025-12", 1)]
+    found = {r.scope: r for r in reports.readiness(m, "2026-07", [["qty_lag_1m"], ["qty_lag_6m", "qty_sum_last_3m"], ["qty_lag_6m", "active_months_last_6m"]]).collect()}
+    assert (found["S2"].status, found["S2"].missing_months, found["S2"].n_missing, found["S2"].affected_features) == ("DataNotReady", "2025-12", 1, "qty_lag_6m,active_months_last_6m")
+    assert {found[k].status for k in ("all", "S1")} == {"READY"} and found["all"].observation_month == "2026-06"
 
 
 def test_buckets_and_levels(spark):
@@ -127,7 +129,7 @@ def test_quantity_metrics(spark):
 
 def test_levels_and_trend(spark):
     rows = judged(spark, (0, 0), (1, 6), (2, 2), (6, 1), (21, 20)).withColumn("g", F.lit(1))
-    found = metrics.levels(rows, ["g"]).first()
+    found = reports.level_summary(reports.level_counts(rows.withColumn("horizon", F.lit(1)), ["g"]), ["g", "horizon"]).first()
     assert (found.accuracy, found.active_recall, found.medium_high_or_high_recall, found.high_recall, found.severe_under_rate, found.severe_over_rate) == (0.6, 1, 0.5, 1, 0.5, 0.5)
     trend = metrics.trend(spark.createDataFrame([(1, 1.0, 2.0, 2.0), (1, 2.0, 2.0, 1.0), (1, 3.0, 1.0, 4.0)], "g int, current double, target double, prediction double"), ["g"]).first()
     assert (trend.trend_accuracy, trend.severe_direction_error_rate) == (0.333333, 0.333333)

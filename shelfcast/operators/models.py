@@ -1,12 +1,16 @@
 """Learned forecasts on spark.ml: two-stage, tree regression, head classifiers and direct level classification.
 
-Numbers follow from Spark's own learners; rows are keyed by (month, site_no, item_id).
+Numbers follow from Spark's own learners; rows are keyed by (month, site_no, item_id). Boosted trees and the quantity model learn from
+all training rows as weighted cells: rows of equal features and label count once, with their number as weight. Forests draw rows
+for each tree and so keep them one by one.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions import scalars as S
 from shelfcast.operators import checks
+from shelfcast.sources.staging import staged
 
 FEATURES = ["current", "qty_lag_1m", "qty_lag_2m", "qty_lag_3m", "qty_mean_last_3m", "active_months_last_6m", "months_since_last_sale"]
 
@@ -25,27 +30,62 @@ def assembled(rows: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=[f"__{c}" for c in features], outputCol="features").transform(clean).drop(*[f"__{c}" for c in features])
 
 
+#: Rows that decide on the split points of trees, and the most bins of a feature; both are the learners' own.
+SPLIT_ROWS, BINS = 10_000, 32
+
+
+def split_points(values: list[float], bins: int = BINS) -> list[float]:
+    """Points between sampled values: between all different ones if these are few, else wherever about another ``bins``-th of the values has passed."""
+    counts = sorted(Counter(values).items())
+    middles = [(a + b) / 2 for (a, _), (b, _) in zip(counts, counts[1:], strict=False)]
+    if len(middles) < bins:
+        return middles
+    step = len(values) / bins
+    points, seen, wanted = [], 0, step
+    for middle, (_, n), (_, after) in zip(middles, counts, counts[1:], strict=False):
+        seen += n
+        if abs(seen - wanted) < abs(seen + after - wanted) and len(points) < bins - 1:
+            points.append(middle)
+            wanted += step
+    return points
+
+
+def boosted(learner, train: DataFrame, rows: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    """``rows`` with the learner's outputs, fitted on ``label``. Features are cut at the split points of a sample, as the learner would, so that trees cannot tell rows of equal bins apart: these are one cell."""
+    names = [f"__{c}" for c in features]
+    numbers = lambda d: d.withColumns({f"__{c}": S.finite(F.col(c)) for c in features})
+    share = SPLIT_ROWS / max(train.count(), 1)
+    sample = numbers(train.sample(share, 1) if share < 1 else train).select(*names).collect()  # about SPLIT_ROWS rows
+    splits = [[-float("inf"), *(split_points([r[n] for r in sample]) or [0.0]), float("inf")] for n in names]
+    cut = Bucketizer(splitsArray=splits, inputCols=names, outputCols=[f"{n}_bin" for n in names])
+    bins = VectorAssembler(inputCols=[f"{n}_bin" for n in names], outputCol="bins")
+    cells = cut.transform(numbers(train)).groupBy(*[f"{n}_bin" for n in names], "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    model = learner.setFeaturesCol("bins").setLabelCol("label").setWeightCol("weight").fit(bins.transform(staged(cells, "cells")))
+    return model.transform(bins.transform(cut.transform(numbers(rows)))).drop("bins", *names, *[f"{n}_bin" for n in names])
+
+
 def two_stage(train: DataFrame, rows: DataFrame, target: str = "target", power: float = 1.4, iterations: int = 8) -> DataFrame:
     """Probability of a sale, quantity given a sale (Tweedie, on selling rows alone), and their product."""
     labelled = train.withColumn("label", F.when(F.col(target) > 0, 1.0).otherwise(0.0))
-    stage1 = GBTClassifier(maxIter=iterations, maxDepth=4, seed=1, featuresCol="features", labelCol="label").fit(labelled)
-    stage2 = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, maxIter=25, regParam=0.01, labelCol=target, predictionCol="conditional").fit(train.where(F.col(target) > 0))
-    scored = stage1.transform(rows).withColumn("p_sale", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    cells = train.where(F.col(target) > 0).groupBy(*FEATURES, target).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    stage2 = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, maxIter=25, regParam=0.01, labelCol=target, weightCol="weight", predictionCol="conditional").fit(assembled(staged(cells, "cells")))
+    scored = boosted(GBTClassifier(maxIter=iterations, maxDepth=4, seed=1), labelled, rows).withColumn("p_sale", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
     found = stage2.transform(scored)
     return found.withColumn("prediction", F.least(F.greatest("p_sale", F.lit(0.0)), F.lit(1.0)) * S.clip_target(F.col("conditional")))
 
 
 def tree_regression(train: DataFrame, rows: DataFrame, kind: str = "boosted", target: str = "target") -> DataFrame:
     """Trees on the logarithm of the target, back-transformed and clipped."""
-    learner = {"boosted": GBTRegressor(maxIter=8, maxDepth=4, seed=1), "forest": RandomForestRegressor(numTrees=20, maxDepth=6, seed=1)}[kind]
-    model = learner.setLabelCol("label").setPredictionCol("raw").fit(train.withColumn("label", F.log1p(S.clip_target(F.col(target)))))
-    return model.transform(rows).withColumn("prediction", S.clip_target(F.expm1("raw")))
+    learner = {"boosted": GBTRegressor(maxIter=8, maxDepth=4, seed=1), "forest": RandomForestRegressor(numTrees=20, maxDepth=6, seed=1)}[kind].setPredictionCol("raw")
+    labelled = train.withColumn("label", F.log1p(S.clip_target(F.col(target))))
+    found = boosted(learner, labelled, rows) if kind == "boosted" else learner.setLabelCol("label").fit(labelled).transform(rows)
+    return found.withColumn("prediction", S.clip_target(F.expm1("raw")))
 
 
 def head_classifier(train: DataFrame, rows: DataFrame, least: float, target: str = "target") -> DataFrame:
     """Probability that the target reaches ``least``."""
-    model = GBTClassifier(maxIter=8, maxDepth=4, seed=1).fit(train.withColumn("label", F.when(F.col(target) >= least, 1.0).otherwise(0.0)))
-    return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
+    found = boosted(GBTClassifier(maxIter=8, maxDepth=4, seed=1), train.withColumn("label", F.when(F.col(target) >= least, 1.0).otherwise(0.0)), rows)
+    return found.withColumn("score", vector_to_array("probability")[1])
 
 
 def direct_level(train: DataFrame, rows: DataFrame, target: str = "target") -> DataFrame:

@@ -1,11 +1,13 @@
 """What keeps tasks and passes bounded: parts by input, one pass for several figures, rows that are written once."""
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfcast.functions import scalars as S
-from shelfcast.operators import audit, metrics, panel
+from shelfcast.operators import audit, metrics, models, panel
 from shelfcast.plans import queries
 from shelfcast.plans import tables as T
 
@@ -60,3 +62,25 @@ def test_models_read_written_rows(spark):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Join" not in plan
     assert train.count() + test.count() == T.forecasts(spark, DATA).where("split <> 'valid'").count()
+
+
+def test_split_points():
+    assert models.split_points([3.0, 1.0, 1.0, 2.0]) == [1.5, 2.5]
+    many = models.split_points([0.0] * 700 + [float(i) for i in range(1, 301)])
+    assert len(many) == 31 and many == sorted(set(many)) and many[0] == 0.5
+
+
+def test_boosted_trees_on_cells_equal_those_on_rows(spark):
+    rows = spark.range(600).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    rows = rows.withColumn("label", F.when(F.col("a") + F.col("b") > 5, 1.0).otherwise(0.0))
+    learner = lambda: GBTRegressor(maxIter=3, maxDepth=3, seed=1)
+    whole = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    want = {(r.a, r.b): r.prediction for r in learner().fit(whole).transform(whole).collect()}
+    sizes = []
+    plain = models.staged
+    models.staged = lambda df, name: sizes.append(df.count()) or plain(df, name)
+    try:
+        found = {(r.a, r.b): r.prediction for r in models.boosted(learner(), rows, rows, ["a", "b"]).collect()}
+    finally:
+        models.staged = plain
+    assert sizes == [21] and found == pytest.approx(want)

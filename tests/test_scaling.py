@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfcast.functions import scalars as S
-from shelfcast.operators import audit, metrics, models, panel
-from shelfcast.plans import queries
+from shelfcast.operators import audit, checks, longtail, metrics, models, panel, reports, sampling
+from shelfcast.plans import evaluation, queries
 from shelfcast.plans import tables as T
+from shelfcast.sources import archives
 
 DATA = "/root/testdata/sf0.001"
 
@@ -46,6 +47,47 @@ def test_rules_are_fitted_on_cells(spark, monkeypatch, name):
     assert cells.agg(F.sum("w")).first()[0] == T.forecasts(spark, DATA).agg(F.sum(F.col("active_months_last_6m") + 1)).first()[0]
 
 
+def tables_read(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_ledger_joins_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
+    figures = lambda rows: rows.agg(F.count(F.lit(1)), F.sum("qty"), F.sum("tsp"), F.count_distinct("item_id")).first()
+    few = figures(T.lines(spark, DATA))
+    monkeypatch.setattr(T, "TASK_LINES", 500)
+    many = T.lines(spark, DATA)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert many.rdd.getNumPartitions() == T.parts(spark, DATA) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert figures(many) == few
+
+
+def test_months_are_computed_once(spark):
+    last = T.months(spark, DATA).agg(F.max("month_idx")).first()[0]
+    assert T.last_month(spark, DATA) == last
+    for rows in (T.history(spark, DATA), longtail.channels(T.months(spark, DATA)), longtail.buckets(T.months(spark, DATA)), sampling.distribution(queries._stratified(spark, DATA), "target", "gds_ctgry_3_lvel")):
+        assert tables_read(rows) == 3  # lines, orders, parts
+    assert tables_read(T.active(spark, DATA)) == 5  # and the stores, twice
+    assert T.predictions(spark, DATA).select("month").distinct().first().month == T.forecasts(spark, DATA).agg(F.max("month")).first()[0]
+
+
+def test_last_month_of_lines_that_join_and_of_none(spark, tmp_path):
+    for name in ("orders", "part"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    late = lines.limit(1).withColumns({"l_shipdate": F.lit("2030-01-01").cast(dict(lines.dtypes)["l_shipdate"]), "l_orderkey": F.lit(-1).cast(dict(lines.dtypes)["l_orderkey"])})
+    lines.unionByName(late).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert T.last_month(spark, str(tmp_path)) == T.last_month(spark, DATA)
+    lines.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert T.last_month(spark, str(tmp_path)) is None and T.history(spark, str(tmp_path)).count() == T.predictions(spark, str(tmp_path)).count() == 0
+
+
+def test_level_of_odd_quantities_uses_them_once(spark):
+    rows = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (-3.0,), (0.49,), (0.5,), (1.5,), (4.5,), (19.4,), (19.5,), (1e15,)], "x double")
+    assert [r[0] for r in rows.select(S.level(F.col("x"))).collect()] == [0, 0, 0, 0, 0, 1, 2, 3, 3, 4, 4]
+    assert rows.select(S.level(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0].count("x#") <= 2
+
+
 def test_long_tail_is_one_pass(spark):
     rows = spark.createDataFrame([("a", 0.0, 0.6), ("a", 0.0, 2.0), ("a", 7.0, 5.0), ("b", 3.0, 3.0)], "k string, target double, prediction double")
     found = metrics.long_tail(rows, ["k"])

@@ -88,6 +88,13 @@ def test_level_of_odd_quantities_uses_them_once(spark):
     assert rows.select(S.level(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0].count("x#") <= 2
 
 
+def test_levels_are_counted_by_cells(spark):
+    by = ["split", "candidate"]
+    old, new = reports.level_counts(evaluation.horizons(spark, DATA), by), reports.level_cells(evaluation.monthly(spark, DATA), ["split"], ["hist", "wma"])
+    columns = [*by, "horizon", "true_code", "pred_code", "n"]
+    assert sorted(map(tuple, new.select(columns).collect())) == sorted(map(tuple, old.select(columns).collect()))
+
+
 def test_long_tail_is_one_pass(spark):
     rows = spark.createDataFrame([("a", 0.0, 0.6), ("a", 0.0, 2.0), ("a", 7.0, 5.0), ("b", 3.0, 3.0)], "k string, target double, prediction double")
     found = metrics.long_tail(rows, ["k"])

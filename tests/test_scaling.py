@@ -95,6 +95,15 @@ def test_levels_are_counted_by_cells(spark):
     assert sorted(map(tuple, new.select(columns).collect())) == sorted(map(tuple, old.select(columns).collect()))
 
 
+def test_top_k_ranks_each_forecast_once(spark, monkeypatch):
+    by = ["horizon", "candidate", "month", "site_no"]
+    old = metrics.top_k(evaluation.horizons(spark, DATA), by, "prediction", "target", (1, 3))
+    monkeypatch.setattr(T, "TASK_LINES", 500)
+    new = metrics.top_k_horizons(T.dealt(spark, DATA, evaluation.monthly(spark, DATA), "month", "site_no"), ["month", "site_no"], ["hist", "wma"], {1: "future_qty_1m", 2: "future_qty_2m"}, (1, 3))
+    assert new.columns == old.columns and sorted(map(str, new.collect())) == sorted(map(str, old.collect()))
+    assert tables_read(new) == 3
+
+
 def test_long_tail_is_one_pass(spark):
     rows = spark.createDataFrame([("a", 0.0, 0.6), ("a", 0.0, 2.0), ("a", 7.0, 5.0), ("b", 3.0, 3.0)], "k string, target double, prediction double")
     found = metrics.long_tail(rows, ["k"])

@@ -104,6 +104,13 @@ def test_top_k_ranks_each_forecast_once(spark, monkeypatch):
     assert tables_read(new) == 3
 
 
+def test_shift_of_weights_is_the_shift_of_the_sample(spark):
+    rows = T.forecasts(spark, DATA)
+    old = checks.distribution_shift(rows, queries._stratified(spark, DATA), ["month", "site_no"])
+    new = checks.weight_shift(rows, F.lit(1.0), sampling.sample_weight("target", sampling.RATES), ["month", "site_no"])
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
+
+
 def test_long_tail_is_one_pass(spark):
     rows = spark.createDataFrame([("a", 0.0, 0.6), ("a", 0.0, 2.0), ("a", 7.0, 5.0), ("b", 3.0, 3.0)], "k string, target double, prediction double")
     found = metrics.long_tail(rows, ["k"])

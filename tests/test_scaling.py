@@ -111,6 +111,17 @@ def test_shift_of_weights_is_the_shift_of_the_sample(spark):
     assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
 
 
+def test_small_members_of_an_archive_are_read_together(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "z")
+    archives.write_zipped_csv(spark.range(100).select(F.col("id").alias("k")).repartition(2), folder, lines=10)
+    found = archives.read_zipped_csv(spark, folder, ["k"])
+    assert found.rdd.getNumPartitions() == 2 and sorted(int(r.k) for r in found.collect()) == list(range(100))
+    assert found.select(*archives.ORIGIN).distinct().count() == 10
+    members = archives.MemberReader(folder, ["k"], archives.ENCODINGS)
+    monkeypatch.setattr(archives, "TASK_BYTES", 1)
+    assert [len(m.names) for m in members.partitions()] == [1] * 10
+
+
 def test_long_tail_is_one_pass(spark):
     rows = spark.createDataFrame([("a", 0.0, 0.6), ("a", 0.0, 2.0), ("a", 7.0, 5.0), ("b", 3.0, 3.0)], "k string, target double, prediction double")
     found = metrics.long_tail(rows, ["k"])

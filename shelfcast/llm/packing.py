@@ -41,7 +41,7 @@ BLOCK = 8192
 #: Cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Bytes of texts tokenized at once; bytes of chunks that a worker keeps with their ids, with what an entry takes besides.
-TEXT_BYTES, KEPT_BYTES, ENTRY_BYTES = 4 << 20, 40 << 20, 200
+TEXT_BYTES, KEPT_BYTES, ENTRY_BYTES = 4 << 20, 64 << 20, 200
 #: Longer chunks are tokenized anew each time.
 LONGEST_KEPT = 64
 
@@ -96,8 +96,28 @@ class ChunkedTokenizer:
         #: Where the ids of each number begin, and how many they are.
         self.begins, self.lengths = array("q", [0, 1]), array("q", [1, len(self.newline)])
         self.end, self.line_end = 0, 1
+        #: How often each number has occurred.
+        self.uses = np.zeros(2, np.int64)
         self._append(np.array([END, *self.newline], np.uint32))
 
+    def _make_room(self) -> None:
+        """Chunks that have not come again go, most of which occur once in a corpus; all go if the others fill more than half of the room. Uses count from 0 again."""
+        kept = [[(c, n) for c, n in known.items() if n < len(self.uses) and self.uses[n] > 1] for known in (self.after_blank, self.first)]
+        ids, begins, lengths = self.ids, np.array(self.begins, np.int64), np.array(self.lengths, np.int64)
+        self._forget()
+        if sum(len(c) + ENTRY_BYTES for pairs in kept for c, _ in pairs) * 2 > KEPT_BYTES:
+            return
+        numbers = np.array([n for pairs in kept for _, n in pairs], np.int64)
+        if not len(numbers):
+            return
+        for known, pairs in zip((self.after_blank, self.first), kept, strict=True):
+            for chunk, _ in pairs:
+                known[chunk] = self._number(chunk)
+        begin, length = begins[numbers], lengths[numbers]
+        ends = np.cumsum(length)
+        self.begins[2:], self.lengths[2:] = array("q", (self.used + ends - length).tolist()), array("q", length.tolist())
+        self._append(ids[np.arange(ends[-1]) + np.repeat(begin - ends + length, length)])
+
     def _append(self, ids: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -148,7 +168,7 @@ class ChunkedTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end token."""
         if self.kept_bytes > KEPT_BYTES:
-            self._forget()
+            self._make_room()
         first, after_blank = self.first.__getitem__, self.after_blank.__getitem__
         place = array("q")
         counts = []
@@ -173,6 +193,9 @@ class ChunkedTokenizer:
         self._append(np.concatenate([np.zeros(0, np.uint32), *passing]))
         sizes = np.array([len(x) for x in passing], np.int64)
         at = np.frombuffer(place, np.int64)
+        seen = np.bincount(at[at >= 0], minlength=len(self.begins))
+        seen[: len(self.uses)] += self.uses
+        self.uses = seen
         at = np.where(at < 0, len(self.begins) - 1 - at, at)
         length = np.concatenate([np.frombuffer(self.lengths, np.int64), sizes])[at]
         begin = np.concatenate([np.frombuffer(self.begins, np.int64), used + np.cumsum(sizes) - sizes])[at]

@@ -111,15 +111,14 @@ def test_shift_of_weights_is_the_shift_of_the_sample(spark):
     assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
 
 
-def test_small_members_of_an_archive_are_read_together(spark, tmp_path, monkeypatch):
+def test_small_members_of_an_archive_are_read_together(spark, tmp_path):
     folder = str(tmp_path / "z")
     archives.write_zipped_csv(spark.range(100).select(F.col("id").alias("k")).repartition(2), folder, lines=10)
-    found = archives.read_zipped_csv(spark, folder, ["k"])
+    found = archives.read_zipped_csv(spark, folder, ["k"], together=archives.TASK_BYTES)
     assert found.rdd.getNumPartitions() == 2 and sorted(int(r.k) for r in found.collect()) == list(range(100))
     assert found.select(*archives.ORIGIN).distinct().count() == 10
-    members = archives.MemberReader(folder, ["k"], archives.ENCODINGS)
-    monkeypatch.setattr(archives, "TASK_BYTES", 1)
-    assert [len(m.names) for m in members.partitions()] == [1] * 10
+    for together in (0, 1):
+        assert [len(m.names) for m in archives.MemberReader(folder, ["k"], archives.ENCODINGS, together).partitions()] == [1] * 10
 
 
 def test_long_tail_is_one_pass(spark):

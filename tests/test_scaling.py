@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfcast.functions import scalars as S
-from shelfcast.operators import audit, checks, longtail, metrics, models, panel, reports, sampling
+from shelfcast.operators import audit, checks, cleaning, longtail, metrics, models, panel, reports, sampling
+from shelfcast.plans import audit as audits
 from shelfcast.plans import evaluation, queries
 from shelfcast.plans import tables as T
 from shelfcast.sources import archives
@@ -159,3 +160,40 @@ def test_boosted_trees_on_cells_equal_those_on_rows(spark):
     finally:
         models.staged = plain
     assert sizes == [21] and found == pytest.approx(want)
+
+
+@pytest.mark.parametrize("groups", [0, 1_000_000])
+def test_audited_rows_read_the_ledger_once(spark, monkeypatch, groups):
+    old = panel.cross_features(panel.differences(T.dataset(spark, DATA)), cleaning.cross_store(T.months(spark, DATA))).where("split = 'train'")
+    monkeypatch.setattr(audits, "BROADCAST_GROUPS", groups)
+    new = audits.featured(spark, DATA)
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "l_orderkey" not in plan and ("Join" in plan) == ("broadcast" in plan) == (groups > 0)
+    names = ["future_qty_1m", *audits.EXISTING, *audits.DIFF, *audits.CROSS]
+    assert sorted(map(tuple, new.select("month", *names).collect())) == sorted(map(tuple, old.select("month_idx", *names).collect()))
+
+
+def mean_ranks(values):
+    return [sum(v < x for v in values) + (sum(v == x for v in values) + 1) / 2 for x in values]
+
+
+@pytest.mark.parametrize("most", [0, 8, 4_000_000])
+def test_rank_correlations_of_odd_values(spark, monkeypatch, most):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.0, 2.0, 1, 5.0), (None, 1.0, 1, 5.0), (nan, 3.0, 2, 5.0), (inf, 3.0, 2, 5.0), (-0.0, 0.0, 3, 5.0), (0.1 + 0.2, 4.0, 3, 5.0), (0.3, -1.0, 9, 5.0), (-2.5, 7.0, None, 5.0)]
+    df = spark.createDataFrame([(*r, "m", r[1]) for r in rows], "a double, b double, c int, d double, month string, t double")
+    clean = lambda x: 0.0 if x is None or x != x or abs(x) == inf else round(x, 6)
+    ranks = {n: mean_ranks([clean(r[i]) for r in rows]) for i, n in enumerate("abcd")}
+
+    def corr(x, y):
+        x, y = ([v - sum(z) / len(z) for v in z] for z in (x, y))
+        spread = (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+        return sum(v * w for v, w in zip(x, y, strict=True)) / spread if spread else None
+
+    monkeypatch.setattr(audit, "BROADCAST_VALUES", most)
+    raw = audit._counted(df, list("abcd"), [], [])
+    counts = raw.withColumn("value", F.coalesce(audit._clean(F.col("raw")), F.lit(0.0)))
+    found = {(r.feature, r.existing): r.correlation for r in audit.rank_correlations(df, counts, ["a", "d"], ["b", "c"]).collect()}
+    assert found == {(x, y): pytest.approx(corr(ranks[x], ranks[y])) if x == "a" else None for x in "ad" for y in "bc"}
+    shape = {r.feature: r for r in audit.audit(df, {"g": ["a", "d"]}, ["b", "c"], {"x": F.col("t") >= 3}).collect()}
+    assert (shape["a"].missing_share, shape["a"].zero_share, shape["a"].low, shape["a"].high, shape["a"].modal_share) == (0.375, 0.125, -2.5, 1.0, 0.5)

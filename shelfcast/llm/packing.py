@@ -20,9 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -42,39 +40,26 @@ BLOCK = 8192
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Bytes of texts tokenized at once; bytes of chunks that a worker keeps with their ids, with what an entry takes besides.
 TEXT_BYTES, KEPT_BYTES, ENTRY_BYTES = 4 << 20, 64 << 20, 200
-#: Longer chunks are tokenized anew each time.
-LONGEST_KEPT = 64
+#: Longer chunks are tokenized anew each time; so many new chunks are tokenized as one text.
+LONGEST_KEPT, TOGETHER = 64, 1024
 
-
-#: Marks that end a chunk as a piece of their own; none is a letter, digit or white space.
-_MARKS = ".,;:!?$%&*#|()[]<>"
+#: Marks that end a chunk of letters and begin another; none is a letter, digit or white space.
+_MARKS = b".,;:!?$%&*#|()[]<>"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_blanks = methodcaller("split", " ")
-
-
-class _Known(dict):
-    """Numbers of chunks; a new one gets the next number and waits for its ids. Long ones are not kept."""
-
-    def __init__(self, owner: ChunkedTokenizer, lead: str) -> None:
-        self.owner, self.lead = owner, lead
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        if len(chunk) > LONGEST_KEPT:
-            return self.owner._passing(self.lead + chunk)
-        self[chunk] = number = self.owner._number(chunk)
-        self.new.append(chunk)
-        return number
+_BYTES = np.arange(256)
+_IS_LETTER = (_BYTES < 128) & np.array([chr(b).isalpha() for b in range(256)])
+_IS_MARK, _IS_GAP = np.isin(_BYTES, list(_MARKS)), np.isin(_BYTES, list(b" \n"))
 
 
 class ChunkedTokenizer:
     """Ids of whole texts, exactly as the tokenizer gives them for the text, from ids of its chunks.
 
     The vocabulary's pattern begins a new piece at each blank between two visible characters, and a
-    line end before a visible character is a piece of its own. So a text's ids are those of its chunks
-    between them, each with its leading blank; recurring chunks are looked up. Texts with other white
-    space are tokenized whole. What is kept between calls is bounded by ``KEPT_BYTES``; texts tokenized
-    whole and long chunks are not kept.
+    line end before a visible character is a piece of its own; so does a mark after a letter. So a
+    text's ids are those of its chunks between them, each with its leading blank. The different chunks
+    of the texts are found first; recurring ones are looked up, new ones tokenized many at a time.
+    Texts with other white space are tokenized whole. What is kept between calls is bounded by
+    ``KEPT_BYTES``; texts tokenized whole and long chunks are not kept.
     """
 
     def __init__(self, path: str, special_as_text: bool = True) -> None:
@@ -85,38 +70,37 @@ class ChunkedTokenizer:
         #: Texts with an added token are tokenized whole, unless it is read as text.
         self.added = re.compile("|".join(added)) if added and not special_as_text else None
         self.newline = self.model.encode("\n", add_special_tokens=False).ids
+        vocabulary = self.model.get_vocab()
+        #: Bytes of text of each id: a character of a byte-level vocabulary is a byte.
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = list(map(len, vocabulary))
         self._forget()
 
     def _forget(self) -> None:
-        #: Number of each chunk after a blank, and of each that begins a line or is a whole text.
-        self.after_blank, self.first = _Known(self, " "), _Known(self, "")
+        #: Number of each chunk after a blank, and of each that begins a line or follows a letter.
+        self.after_blank: dict[str, int] = {}
+        self.first: dict[str, int] = {"": 2}
         self.passing: list[str] = []
         self.kept_bytes = 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        #: Where the ids of each number begin, and how many they are.
-        self.begins, self.lengths = array("q", [0, 1]), array("q", [1, len(self.newline)])
+        #: Where the ids of each number begin, how many they are and how often the number has occurred; first those of the end, a line end and an empty line.
+        self.begins, self.lengths = np.array([0, 1, 1], np.int64), np.array([1, len(self.newline), 0], np.int64)
+        self.uses = np.zeros(3, np.int64)
         self.end, self.line_end = 0, 1
-        #: How often each number has occurred.
-        self.uses = np.zeros(2, np.int64)
         self._append(np.array([END, *self.newline], np.uint32))
 
     def _make_room(self) -> None:
         """Chunks that have not come again go, most of which occur once in a corpus; all go if the others fill more than half of the room. Uses count from 0 again."""
-        kept = [[(c, n) for c, n in known.items() if n < len(self.uses) and self.uses[n] > 1] for known in (self.after_blank, self.first)]
-        ids, begins, lengths = self.ids, np.array(self.begins, np.int64), np.array(self.lengths, np.int64)
+        uses = self.uses.tolist()
+        kept = [{c: n for c, n in known.items() if c and uses[n] > 1} for known in (self.after_blank, self.first)]
+        ids, begins, lengths = self.ids, self.begins, self.lengths
         self._forget()
-        if sum(len(c) + ENTRY_BYTES for pairs in kept for c, _ in pairs) * 2 > KEPT_BYTES:
-            return
-        numbers = np.array([n for pairs in kept for _, n in pairs], np.int64)
-        if not len(numbers):
+        if sum(sum(map(len, part)) + ENTRY_BYTES * len(part) for part in kept) * 2 > KEPT_BYTES:
             return
-        for known, pairs in zip((self.after_blank, self.first), kept, strict=True):
-            for chunk, _ in pairs:
-                known[chunk] = self._number(chunk)
-        begin, length = begins[numbers], lengths[numbers]
-        ends = np.cumsum(length)
-        self.begins[2:], self.lengths[2:] = array("q", (self.used + ends - length).tolist()), array("q", length.tolist())
-        self._append(ids[np.arange(ends[-1]) + np.repeat(begin - ends + length, length)])
+        for known, part in zip((self.after_blank, self.first), kept, strict=True):
+            self._keep(known, list(part))
+        numbers = np.array([n for part in kept for n in part.values()], np.int64)
+        self._add(_slices(ids, begins[numbers], lengths[numbers]), lengths[numbers])
 
     def _append(self, ids: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
@@ -124,85 +108,104 @@ class ChunkedTokenizer:
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Ids of the next numbers."""
+        self.begins = np.concatenate([self.begins, self.used + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self._append(ids)
+
+    def _given(self) -> int:
+        """How many numbers are given to what is kept."""
+        return 2 + len(self.after_blank) + len(self.first)
+
+    def _keep(self, known: dict[str, int], chunks: list[str]) -> None:
+        """Give different new chunks the next numbers."""
+        known.update(zip(chunks, range(self._given(), self._given() + len(chunks)), strict=True))
+        self.kept_bytes += sum(map(len, chunks)) + ENTRY_BYTES * len(chunks)
+
     def _passing(self, text: str) -> int:
         """A negative number for a text whose ids are not kept."""
         self.passing.append(text)
         return -len(self.passing)
 
-    def _number(self, chunk: str) -> int:
-        self.kept_bytes += len(chunk) + ENTRY_BYTES
-        self.begins.append(-1)
-        self.lengths.append(-1)
-        return len(self.begins) - 1
-
-    def _learn(self) -> None:
-        """Ids of all new chunks. One that is letters and a run of marks is put together from both, each a piece of its own."""
-        parts = []
-        for known in (self.after_blank, self.first):
-            new, known.new = known.new, []
-            rest = []
-            for chunk in new:
-                letters = chunk.rstrip(_MARKS)
-                if len(letters) < len(chunk) and letters.isalpha():
-                    parts.append((known[chunk], known[letters], self.first[chunk[len(letters) :]]))
-                else:
-                    rest.append(chunk)
-            rest += known.new
-            known.new = []
-            flat: list[int] = []
-            for chunk, found in zip(rest, self.model.encode_batch_fast([known.lead + c for c in rest], add_special_tokens=False), strict=True):
-                number, ids = known[chunk], found.ids
-                self.begins[number], self.lengths[number] = self.used + len(flat), len(ids)
-                flat += ids
-            self._append(np.array(flat, np.uint32))
-        if not parts:
-            return
-        both = np.array(parts, np.int64)
-        begin, length = np.frombuffer(self.begins, np.int64)[both[:, 1:]].reshape(-1), np.frombuffer(self.lengths, np.int64)[both[:, 1:]].reshape(-1)
-        ends = np.cumsum(length)
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends + length, length)]
-        for (number, *_), start, end in zip(parts, [0, *ends[1:-1:2].tolist()], ends[1::2].tolist(), strict=True):
-            self.begins[number], self.lengths[number] = self.used + start, end - start
-        self._append(ids)
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, each tokenized by itself, and how many they are of each."""
+        found = [np.array(e.ids, np.uint32) for text in texts for e in self.model.encode_batch_fast([text], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+
+    def _together(self, chunks: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks, each with a blank or line end before it: many are one text, and the bytes of its ids tell where a chunk ends."""
+        ids, _ = self._whole([lead + lead.join(chunks[i : i + TOGETHER]) for i in range(0, len(chunks), TOGETHER)])
+        ends, wanted = np.cumsum(self.widths[ids]), np.cumsum([1 + len(c.encode()) for c in chunks], dtype=np.int64)
+        last = np.minimum(np.searchsorted(ends, wanted), len(ids) - 1)
+        if len(chunks) and (not len(ids) or last[-1] != len(ids) - 1 or (ends[last] != wanted).any()):  # another kind of vocabulary
+            return self._whole([lead + c for c in chunks])
+        return ids, np.diff(last, prepend=-1)
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of different chunks, each with its blank or line end before it if it has one."""
+        numbers = np.empty(len(chunks), np.int64)
+        spaced = np.fromiter((c[0] == " " for c in chunks), bool, len(chunks))
+        for known, lead, at in ((self.after_blank, " ", np.flatnonzero(spaced)), (self.first, "\n", np.flatnonzero(~spaced))):
+            bare = [chunks[i].removeprefix(lead) for i in at.tolist()]
+            found = list(map(known.get, bare))
+            missing = [i for i, n in enumerate(found) if n is None]
+            new = list(dict.fromkeys([bare[i] for i in missing]))
+            kept = [c for c in new if len(c) <= LONGEST_KEPT]
+            passing = {c: self._passing(lead.strip("\n") + c) for c in new if len(c) > LONGEST_KEPT}
+            self._keep(known, kept)
+            for i in missing:
+                found[i] = known[bare[i]] if bare[i] in known else passing[bare[i]]
+            numbers[at] = found
+            ids, lengths = self._together(kept, lead)
+            dropped = len(self.newline) if lead == "\n" else 0
+            self._add(ids, lengths)
+            self.begins[len(self.begins) - len(kept) :] += dropped
+            self.lengths[len(self.begins) - len(kept) :] -= dropped
+        return numbers
+
+    def _is_odd(self, text: str) -> bool:
+        return bool("  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[:1].isspace() or text[-1:].isspace() or _OTHER_SPACE.search(text) or (self.added and self.added.search(text)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end token."""
+        if not texts:
+            return []
         if self.kept_bytes > KEPT_BYTES:
             self._make_room()
-        first, after_blank = self.first.__getitem__, self.after_blank.__getitem__
-        place = array("q")
-        counts = []
-        for text in texts:
-            before = len(place)
-            odd = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[:1].isspace() or text[-1:].isspace() or _OTHER_SPACE.search(text) or (self.added and self.added.search(text))
-            if odd:
-                place.append(self._passing(text))
-                place.append(self.end)
-            else:
-                for line in map(_blanks, text.split("\n")):
-                    place.append(first(line[0]))
-                    place.extend(map(after_blank, line[1:]))
-                    place.append(self.line_end)
-                place[-1] = self.end
-            counts.append(len(place) - before)
-        if not counts:
-            return []
-        self._learn()
-        used = self.used
-        passing = [np.array(found.ids, np.uint32) for found in self.model.encode_batch_fast(self.passing, add_special_tokens=False)]
-        self._append(np.concatenate([np.zeros(0, np.uint32), *passing]))
-        sizes = np.array([len(x) for x in passing], np.int64)
-        at = np.frombuffer(place, np.int64)
-        seen = np.bincount(at[at >= 0], minlength=len(self.begins))
+        whole = [self._is_odd(text) for text in texts]
+        plain = ["" if odd else text for text, odd in zip(texts, whole, strict=True)]
+        joined = "".join(["\n" + text for text in plain]).encode()
+        at = np.frombuffer(joined, np.uint8)
+        cut = _IS_GAP[at]
+        cut[1:] |= _IS_MARK[at[1:]] & _IS_LETTER[at[:-1]]
+        starts = np.flatnonzero(cut)
+        chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(at))), pa.py_buffer(joined)).dictionary_encode()
+        numbers = self._numbers(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())[chunks.indices.to_numpy()]
+        lines = at[starts] == ord("\n")
+        begins = np.flatnonzero(lines)[np.cumsum([0, *(text.count("\n") + 1 for text in plain[:-1])])]
+        numbers[begins[whole]] = [self._passing(text) for text, odd in zip(texts, whole, strict=True) if odd]
+        numbers[numbers < 0] = self._given() - 1 - numbers[numbers < 0]
+        self._add(*self._whole(self.passing))
+        # before each line a line end, before each text instead the end of the one before, and the end of the last
+        places = np.cumsum(1 + lines) - 1
+        order = np.full(places[-1] + 2, self.line_end)
+        order[places] = numbers
+        order[[*(places[begins] - 1), -1]] = self.end
+        seen = np.bincount(order, minlength=self._given())[: self._given()]
         seen[: len(self.uses)] += self.uses
         self.uses = seen
-        at = np.where(at < 0, len(self.begins) - 1 - at, at)
-        length = np.concatenate([np.frombuffer(self.lengths, np.int64), sizes])[at]
-        begin = np.concatenate([np.frombuffer(self.begins, np.int64), used + np.cumsum(sizes) - sizes])[at]
-        ends = np.cumsum(length)
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends + length, length)]
-        self.used, self.passing = used, []
-        return np.split(ids, ends[np.cumsum(counts) - 1][:-1])
+        length = self.lengths[order]
+        ids = _slices(self.ids, self.begins[order], length)
+        self.used -= int(self.lengths[self._given() :].sum())
+        self.begins, self.lengths, self.passing = self.begins[: self._given()], self.lengths[: self._given()], []
+        return np.split(ids, np.cumsum(length)[places[begins] - 1])[1:]
+
+
+def _slices(ids: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Slices of ``ids`` one after the other."""
+    ends = np.cumsum(lengths)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + lengths, lengths)]
 
 
 _TOKENIZERS: dict[tuple[str, bool], ChunkedTokenizer] = {}

@@ -160,12 +160,16 @@ def head_classifier(train: DataFrame, rows: DataFrame, least: float, target: str
     return found.withColumn("score", vector_to_array("probability")[1])
 
 
-def direct_level(train: DataFrame, rows: DataFrame, target: str = "target") -> DataFrame:
+def direct_level(train: DataFrame, rows: DataFrame, target: str = "target", weight: str | None = None) -> DataFrame:
     """The demand level as a class of its own, with the probability of the true one."""
-    model = RandomForestClassifier(numTrees=20, maxDepth=6, seed=1).fit(train.withColumn("label", S.level(F.col(target)).cast("double")))
-    found = model.transform(rows).withColumn("direct", F.col("prediction").cast("int"))
-    return found.withColumn("p_true", F.element_at(vector_to_array("probability"), S.level(F.col(target)) + 1))
+    labelled = train.withColumn("label", S.level(F.col(target)).cast("double"))
+    said = forest(RandomForestClassifier(maxDepth=6, featureSubsetStrategy="sqrt"), labelled, rows, weight=weight)
+    none = F.array_repeat(F.lit(0.0), max(S.LEVELS.values()) + 1)
+    found = said.withColumn("sums", F.aggregate("trees", none, lambda a, x: F.zip_with(a, x, lambda p, q: p + q)))
+    found = found.withColumn("direct", (F.array_position("sums", F.array_max("sums")) - 1).cast("int"))
+    return found.withColumn("p_true", F.element_at("sums", S.level(F.col(target)) + 1) / F.size("trees")).drop("trees", "sums")
 
 
-def level_logloss(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(F.avg(-F.log(F.greatest("p_true", F.lit(1e-15)))).alias("logloss"), F.count(F.lit(1)).alias("count"))
+def level_logloss(rows: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
+    w = F.lit(1) if weight is None else weight
+    return rows.groupBy(*by).agg((F.sum(-F.log(F.greatest("p_true", F.lit(1e-15))) * w) / F.sum(w)).alias("logloss"), F.sum(w).cast("long").alias("count"))

@@ -92,3 +92,29 @@ def test_model_cells_are_all_rows(spark):
     columns = rows.columns
     found = sorted(tuple(r[c] for c in columns) for p in cells for r in p for _ in range(r.rows))
     assert found == sorted(map(tuple, rows.collect())) and len(set(found)) == sum(map(len, cells))
+
+
+def test_metrics_of_cells_are_those_of_rows(spark):
+    cells = spark.createDataFrame([("test", 0.0, 0, 1, 0.5, 3), ("test", 7.0, 3, 1, 0.25, 2), ("test", 30.0, 4, 4, 0.0, 1)], "split string, target double, first int, direct int, p_true double, rows long")
+    rows = cells.withColumn("one", F.explode(F.sequence(F.lit(1), "rows")))
+    args = F.col("first"), F.col("direct"), ["split"]
+    assert sorted(map(tuple, metrics.disagreement(cells, *args, F.col("rows")).collect())) == sorted(map(tuple, metrics.disagreement(rows, *args).collect()))
+    a, b = models.level_logloss(cells, ["split"], F.col("rows")).first(), models.level_logloss(rows, ["split"]).first()
+    assert a["count"] == b["count"] == 6 and a.logloss == pytest.approx(b.logloss) == pytest.approx((3 * math.log(2) + 2 * math.log(4) + 15 * math.log(10)) / 6)
+
+
+def test_direct_levels_read_cells_and_count_rows(spark, fitted):
+    found = queries.ml_mc_direct(spark, DATA).collect()
+    rows = T.forecasts(spark, DATA)
+    n = rows.where("split = 'test'").count()
+    assert {r["count"] for r in found} == {n} == {sum(r.n for r in found)}
+    assert 0 < max(fitted) < rows.where("split = 'train'").count() / 2
+
+
+def test_levels_that_no_row_has_get_a_probability(spark):
+    train = spark.createDataFrame([(float(i % 4), float(i % 2), 10) for i in range(8)], "a double, target double, rows long")
+    train = train.select("*", *[F.col("a").alias(c) for c in models.FEATURES])
+    found = models.direct_level(train, train.withColumn("target", F.lit(50.0)), weight="rows").collect()
+    assert {r.p_true for r in found} == {0.0} and {r.direct for r in found} == {0, 1}
+    right = models.direct_level(train, train, weight="rows").where(F.col("direct") == S.level(F.col("target"))).count()
+    assert right == train.count()
